@@ -1,0 +1,10 @@
+"""The corpus pipeline: toxicity, line dedup, near-duplicates, mixing, encoding."""
+
+from __future__ import annotations
+
+STAGES: list = []
+ORACLE_SQL = None
+
+
+def run(spark, sf_dir):
+    raise NotImplementedError
