@@ -1,10 +1,49 @@
-"""The corpus pipeline: toxicity, line dedup, near-duplicates, mixing, encoding."""
+"""The corpus pipeline: toxicity, line dedup, near-duplicates, mixing, encoding.
+
+Every stage takes (spark, docs, sf_dir), gets what its predecessor wrote and returns a
+DataFrame with the columns of documents; the last adds the sampled segmentations.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from sluice.llm import dedup, lines, mixing, pieces, toxicity
+from sluice.llm.common import materialize
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored 0.5 or more go."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of lines that are near copies the first stays; documents left without text go."""
+    return lines.dedup_lines(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return dedup.near_dedup(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are taken as often as their source's target asks for."""
+    return mixing.mix(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations a row, with inclusion scores; ids decode to the text."""
+    return pieces.encode(docs).drop("text")
+
+
+STAGES = [("toxicity", drop_toxic), ("line_dedup", dedup_lines), ("near_dedup", near_dedup), ("mixing", mix_sources), ("encoding", encode)]
+#: clustering, sampling by hashes and piece lattices are not SQL; tests use brute force
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return docs
