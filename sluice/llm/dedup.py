@@ -149,30 +149,39 @@ def cluster(buckets: DataFrame, sets: DataFrame, kind: str = "long") -> DataFram
     live = materialize(buckets.join(able, "id").select("key", "id", "n", "own"))
     links, done, labels = None, None, None
     for r in range(LEADER_ROUNDS):
-        rank = F.struct((F.col("own") / F.col("n")).alias("r"), "id") if not r else F.struct(F.xxhash64(F.lit(r), "id").alias("r"), "id")
-        lead = live.groupBy("key").agg(F.min(rank)["id"].alias("x"), F.count("*").alias("size"))
-        pairs = live.join(lead.where("size > 1"), "key").where("x <> id").select(F.least("x", "id").alias("x"), F.greatest("x", "id").alias("y")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["x", "y"], "left_anti")
-            c = labels.withColumnRenamed("component", "cx").withColumnRenamed("node", "x")
-            d = labels.withColumnRenamed("component", "cy").withColumnRenamed("node", "y")
-            pairs = pairs.join(c, "x", "left").join(d, "y", "left").where("cx is null or cy is null or cx <> cy").select("x", "y")
-        pairs = materialize(pairs)
+        at = _apart(live, labels)
+        rank = F.struct((F.col("own") / F.col("n")).alias("r"), "id", "c") if not r else F.struct(F.xxhash64(F.lit(r), "id").alias("r"), "id", "c")
+        lead = at.groupBy("key").agg(F.min(rank).alias("lead")).select("key", F.col("lead.id").alias("x"), F.col("lead.c").alias("cx"))
+        pairs = at.join(lead, "key").where("c <> cx").select(F.least("x", "id").alias("x"), F.greatest("x", "id").alias("y")).distinct()
+        pairs = materialize(pairs if done is None else pairs.join(done, ["x", "y"], "left_anti"))
         done = pairs if done is None else done.unionByName(pairs)
         new = materialize(verified(pairs, sets, kind))
         links = new if links is None else links.unionByName(new)
         labels = connected_components(links, "x", "y")
-    at = live.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    spread = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    at = materialize(at.join(spread, "key"))
-    one, two = (at.select("key", *[F.col(k).alias(k + s) for k in ("id", "n", "own", "c")]) for s in ("1", "2"))
+    at = _apart(live, labels)
+    #: a pair is met at the least key it shares
+    keys = at.groupBy("id").agg(F.collect_set("key").alias("keys"))
+    at = materialize(at.join(keys, "id"))
+    one, two = (at.select("key", *[F.col(k).alias(k + s) for k in ("id", "n", "own", "c", "keys")]) for s in ("1", "2"))
     shared = F.least(F.col("n1") - F.col("own1"), F.col("n2") - F.col("own2"))
-    rest = one.join(two, "key").where("id1 < id2 and c1 <> c2").where(100 * shared >= PERCENT * (F.col("n1") + F.col("n2") - shared))
-    rest = rest.select(F.col("id1").alias("x"), F.col("id2").alias("y")).distinct().join(done, ["x", "y"], "left_anti")
+    able = 100 * shared >= PERCENT * (F.col("n1") + F.col("n2") - shared)
+    first = F.col("one.key") == F.array_min(F.array_intersect("keys1", "keys2"))
+    on = (F.col("one.key") == F.col("two.key")) & (F.col("id1") < F.col("id2")) & (F.col("c1") != F.col("c2")) & able & first
+    rest = one.alias("one").join(two.alias("two"), on).select(F.col("id1").alias("x"), F.col("id2").alias("y")).join(done, ["x", "y"], "left_anti")
     new = materialize(verified(rest, sets, kind))
     return connected_components(links.unionByName(new), "x", "y")
 
 
+def _apart(live: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Rows of the buckets that hold more than one component, with their component c."""
+    if labels is None:
+        at = live.withColumn("c", F.col("id"))
+    else:
+        at = live.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    spread = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    return materialize(at.join(spread, "key"))
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, class (hash of the set) for every row."""
     doc = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
