@@ -1,0 +1,142 @@
+"""Scalar text functions as column expressions: normal forms, checksums, requirements."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# fixed values: characters that a document number may spell a dash with
+DASHES = "\u2010\u2011\u2012\u2013\u2014\u2015\u2212\ufe58\ufe63\uff0d"
+# fixed values: Cyrillic capitals and their Latin look-alikes, for document numbers
+NUMBER_FROM, NUMBER_TO = "АВЕКМНОРСТХУR", "ABEKMHOPCTXYP"
+# fixed values: the wider table of look-alikes, for names and standards
+NAME_FROM, NAME_TO = "АВЕКМНОРСТХУІЅЈ", "ABEKMHOPCTXYISJ"
+# fixed values: weights of the check digits
+INN10 = (2, 4, 10, 3, 5, 9, 4, 6, 8)
+INN11 = (7, 2, 4, 10, 3, 5, 9, 4, 6, 8)
+INN12 = (3, 7, 2, 4, 10, 3, 5, 9, 4, 6, 8)
+
+
+def doc_no(c: Column) -> Column:
+    """Upper case, one kind of dash, without spaces, number sign, quotes, semicolons."""
+    dashed = F.translate(F.upper(c), DASHES, "-" * len(DASHES))
+    return F.regexp_replace(dashed, "[\\s\u00a0\u00ad№\"'«»“”„;]+", "")
+
+
+def doc_no_folded(c: Column) -> Column:
+    return F.translate(doc_no(c), NUMBER_FROM, NUMBER_TO)
+
+
+def fold_homoglyphs(c: Column) -> Column:
+    return F.translate(F.upper(c), NAME_FROM, NAME_TO)
+
+
+def standard(c: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(fold_homoglyphs(c), "[\"'«»]", ""), r"\s*-\s*", "-"), r"\s+", " "))
+
+
+def standard_without_year(c: Column) -> Column:
+    return F.regexp_replace(standard(c), r"-(19|20)\d\d$", "")
+
+
+def standard_year(c: Column) -> Column:
+    return F.nullif(F.regexp_extract(standard(c), r"-((19|20)\d\d)$", 1), F.lit(""))
+
+
+def org_name(c: Column) -> Column:
+    """Import form: upper, Ё as Е, without quotes, single spaces."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.translate(F.upper(c), "Ё", "Е"), "[\"'«»“”„]", ""), r"\s+", " "))
+
+
+def digits_of(c: Column) -> Column:
+    return F.regexp_replace(c, r"\D", "")
+
+
+def mark(c: Column) -> Column:
+    return F.regexp_replace(F.upper(c), r"[\s.\-]", "")
+
+
+def line(c: Column) -> Column:
+    """A line without heading, list and emphasis marks, outer pipes and double spaces."""
+    x = F.regexp_replace(F.trim(c), r"^(#{1,6}\s+|[-*+]\s+|\d+[.)]\s+)", "")
+    x = F.regexp_replace(F.regexp_replace(x, r"[*_`]", ""), r"^\|\s*|\s*\|$", "")
+    return F.trim(F.regexp_replace(x, r"\s+", " "))
+
+
+def lines(c: Column) -> Column:
+    return F.filter(F.transform(F.split(c, r"\r?\n"), line), lambda x: x != "")
+
+
+def error_template(c: Column, cap: int = 500) -> Column:
+    """A message with its timestamps, uuids, long hex, key values, quoted values and numbers masked."""
+    for pattern, to in (
+        (r"\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:?\d\d)?", "<ts>"),
+        (r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", "<uuid>"),
+        (r"(?i)\b[0-9a-f]{16,}\b", "<hex>"), (r"\)=\([^)]*\)", ")=(<value>)"), (r"'[^']*'", "'<value>'"), (r"\b\d+(\.\d+)?\b", "<n>"),
+    ):
+        c = F.regexp_replace(c, pattern, to)
+    return F.substring(c, 1, cap)
+
+
+def fingerprint(*parts: Column, version: str = "v1") -> Column:
+    return F.sha2(F.concat_ws("\n", F.lit(version), *[F.coalesce(p, F.lit("")) for p in parts]), 256)
+
+
+def _control(c: Column, weights: tuple[int, ...]) -> Column:
+    total = F.lit(0)
+    for i, w in enumerate(weights):
+        total = total + F.substring(c, i + 1, 1).try_cast("int") * w
+    return total % 11 % 10
+
+
+def inn_ok(c: Column) -> Column:
+    """Check digits of a 10- or 12-digit taxpayer number; null stays null."""
+    digit = lambda i: F.substring(c, i, 1).try_cast("int")
+    ten = c.rlike(r"^\d{10}$") & (_control(c, INN10) == digit(10))
+    twelve = c.rlike(r"^\d{12}$") & (_control(c, INN11) == digit(11)) & (_control(c, INN12) == digit(12))
+    return F.when(c.isNotNull(), F.coalesce(ten, F.lit(False)) | F.coalesce(twelve, F.lit(False)))
+
+
+def ogrn_ok(c: Column) -> Column:
+    body = lambda n: F.substring(c, 1, n - 1).try_cast("long")
+    last = lambda n: F.substring(c, n, 1).try_cast("int")
+    short = c.rlike(r"^\d{13}$") & (body(13) % 11 % 10 == last(13))
+    long = c.rlike(r"^\d{15}$") & (body(15) % 13 % 10 == last(15))
+    return F.when(c.isNotNull(), F.coalesce(short, F.lit(False)) | F.coalesce(long, F.lit(False)))
+
+
+def kpp_ok(c: Column) -> Column:
+    return c.rlike(r"^\d{9}$")
+
+
+def requirement(c: Column) -> Column:
+    """STRUCT(kind, lo, hi) of a norm: a±b, a…b, от a до b, не менее a, не более a, exact; else unparsed."""
+    num = r"(-?\d+(?:[.,]\d+)?)"
+    text = F.regexp_replace(F.lower(c), "\u00a0", " ")
+    value = lambda p, g: F.regexp_replace(F.regexp_extract(text, p, g), ",", ".").try_cast("double")
+    make = lambda kind, lo, hi: F.struct(F.lit(kind).alias("kind"), lo.cast("double").alias("lo"), hi.cast("double").alias("hi"))
+    sym, rng, span = num + r"\s*±\s*" + num, num + r"\s*(?:…|\.\.\.)\s*" + num, r"от\s*" + num + r"\s*до\s*" + num
+    low, high, one = r"(?:не менее|≥)\s*" + num, r"(?:не более|≤)\s*" + num, r"^\s*" + num + r"\s*[^\d]*$"
+    none = F.lit(None)
+    return (
+        F.when(text.rlike(sym), make("range", value(sym, 1) - value(sym, 2), value(sym, 1) + value(sym, 2)))
+        .when(text.rlike(span), make("range", value(span, 1), value(span, 2)))
+        .when(text.rlike(rng), make("range", value(rng, 1), value(rng, 2)))
+        .when(text.rlike(low), make("min", value(low, 1), none))
+        .when(text.rlike(high), make("max", none, value(high, 1)))
+        .when(text.rlike(one), make("exact", value(one, 1), value(one, 1)))
+        .otherwise(make("unparsed", none, none))
+    )
+
+
+def iso_date(c: Column) -> Column:
+    """dd.MM.yyyy as a date; an impossible day is null."""
+    return F.try_to_date(c, "d.M.yyyy")
+
+
+def backoff_ms(attempt: Column, base: int = 5_000, cap: int = 600_000) -> Column:
+    return F.least(F.lit(float(cap)), F.lit(float(base)) * F.pow(F.lit(2.0), attempt - 1)).cast("long")
+
+
+def iso_instant(c: Column) -> Column:
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
