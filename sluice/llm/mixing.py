@@ -63,7 +63,8 @@ def _draw(seed: int) -> Column:
 
 
 def _pareto(u: Column, p: Column) -> Column:
-    return (u / (1 - u)) / (p / (1 - p))
+    odds = F.greatest(p, F.lit(1e-12)) / (1 - p)
+    return (u / (1 - u)) / odds
 
 
 def _sized(docs: DataFrame, seed: int) -> DataFrame:
