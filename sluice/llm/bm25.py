@@ -175,8 +175,9 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     last = terms.agg(F.max("block")).first()[0]
     best = None
     for block in range(-1 if last is None else last + 1):
-        t = terms.where(F.col("block") == block).toPandas()  # QUERY_TERMS rows, and the last query's
-        shared = spark.sparkContext.broadcast((t["query_id"].to_numpy(np.int64), t["h"].to_numpy(np.int64), t["weight"].to_numpy(float), t["df"].to_numpy(np.int64)))
+        t = terms.where(F.col("block") == block).toArrow()  # QUERY_TERMS rows, and the last query's
+        shared = spark.sparkContext.broadcast(tuple(t.column(c).to_numpy() for c in ("query_id", "h", "weight", "df")))
+        del t
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             found = Queries(*shared.value, mean, k)
