@@ -13,10 +13,13 @@ key with probability below 2e-4 (12 a side, 2 rows).
 2. A class goes on if some A_i and some B_j of it occur elsewhere; its keys are made.
 3. Classes that share a key are candidates. A class more than a quarter of whose
    shingles occur in no other candidate cannot reach 0.75 with any: it is set aside.
-4. In each bucket all classes are checked against a leader (first the one with least
-   own shingles, then by hash) on full sets; links are joined by union-find. Pairs inside a
-   component need no check. What is left, pairs of one bucket in different components whose
-   sizes and shared parts allow 0.75, is checked pair by pair.
+4. Each bucket has a leader (first the class with least own shingles, then by hash).
+   A class is first checked on full sets against the best leader of its buckets, then,
+   where components still differ, against all of them; links are joined by union-find.
+   Pairs inside a component need no check. What is left, pairs of one bucket in different
+   components whose sizes and shared parts allow 0.75, is checked pair by pair.
+   Before sets are compared, parities of the hashed items (``parity_sketch``) bound the
+   difference of the two sets from below: a pair that cannot reach 0.75 is left out.
 
 Nothing is capped: a large bucket costs its size in each leader round.
 
@@ -32,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, chunks, connected_components, list_array, materialize, mix, release, semi
@@ -40,6 +43,7 @@ from .common import Words, chunks, connected_components, list_array, materialize
 SHINGLE, PERCENT = 5, 75
 SIDE, ROWS = 12, 2
 LEADER_ROUNDS = 2
+PARITY_BITS = 1024
 _rng = np.random.default_rng(77)
 _MULT = _rng.integers(1, 2**63, 2 * SIDE * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(1, 2**63, 2 * SIDE * ROWS, dtype=np.uint64)
@@ -103,7 +107,30 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes, sizes = shingle_sets(part.column("text"))
             total = np.zeros(len(sizes), dtype=np.uint64)
             np.add.at(total, np.repeat(np.arange(len(sizes)), sizes), hashes)
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(total.view(np.int64)), list_array(hashes.view(np.int64), sizes, pa.int64())], names=["id", "h", "items"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(total.view(np.int64)), pa.array(sizes), parity_sketch(hashes, sizes), list_array(hashes.view(np.int64), sizes, pa.int64())], names=["id", "h", "n", "odd", "body"])
+
+
+def parity_sketch(hashes: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Per set, PARITY_BITS bits: whether an odd number of its items fall on the bit.
+
+    Two sets differ in at least as many items as their sketches differ in bits.
+    """
+    at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    parts = [np.zeros(0, dtype=np.int64)]
+    for first in range(0, len(sizes), 1024):
+        last = min(first + 1024, len(sizes))
+        row = np.repeat(np.arange(last - first), sizes[first:last])
+        bit = (hashes[at[first] : at[last]] % np.uint64(PARITY_BITS)).astype(np.int64)
+        count = np.bincount(row * PARITY_BITS + bit, minlength=(last - first) * PARITY_BITS)
+        parts.append(np.packbits((count & 1).astype(np.uint8)).view(np.int64))
+    return list_array(np.concatenate(parts), np.full(len(sizes), PARITY_BITS // 64), pa.int64())
+
+
+def may_link(n1: Column, odd1: Column, n2: Column, odd2: Column) -> Column:
+    """False only for sets whose sizes and sketches keep them below the similarity."""
+    bits = [F.bit_count(odd1[i].bitwiseXOR(odd2[i])) for i in range(PARITY_BITS // 64)]
+    apart = F.greatest(sum(bits[1:], bits[0]), F.abs(n1 - n2))
+    return apart * (100 + PERCENT) <= (n1 + n2) * (100 - PERCENT)
 
 
 def overlap(left: pa.ListArray, right: pa.ListArray) -> np.ndarray:
@@ -121,54 +148,61 @@ def overlap(left: pa.ListArray, right: pa.ListArray) -> np.ndarray:
 
 
 def _linked(batches: Iterator[pa.RecordBatch], percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
-    """Rows (x, y, items, other) that reach the similarity."""
+    """Rows (x, y, body, other), bodies being sets of items, that reach the similarity."""
     for batch in batches:
         for first in range(0, batch.num_rows, 256):
             part = batch.slice(first, 256)
-            both = overlap(part.column("items"), part.column("other"))
-            sizes = sum(part.column(c).value_lengths().to_numpy(zero_copy_only=False) for c in ("items", "other"))
+            both = overlap(part.column("body"), part.column("other"))
+            sizes = sum(part.column(c).value_lengths().to_numpy(zero_copy_only=False) for c in ("body", "other"))
             ok = pa.array(100 * both >= percent * (sizes - both))
             yield part.select(["x", "y"]).filter(ok)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, kind: str = "long") -> DataFrame:
-    """Those of the pairs (x, y) whose sets (id, items) reach the similarity."""
-    j = pairs.join(sets.withColumnRenamed("id", "x"), "x").join(sets.select(F.col("id").alias("y"), F.col("items").alias("other")), "y")
-    return j.select("x", "y", "items", "other").mapInArrow(_linked, f"x {kind}, y {kind}")
+def verified(pairs: DataFrame, sets: DataFrame, linked=_linked) -> DataFrame:
+    """Those of the pairs (x, y) whose sets (id, n, odd, body) reach the similarity."""
+    one, two = (sets.select(F.col("id").alias(k), F.col("n").alias("n" + k), F.col("odd").alias("odd" + k)) for k in "xy")
+    able = pairs.join(one, "x").join(two, "y").where(may_link(F.col("nx"), F.col("oddx"), F.col("ny"), F.col("oddy"))).select("x", "y")
+    j = able.join(sets.select(F.col("id").alias("x"), "body"), "x").join(sets.select(F.col("id").alias("y"), F.col("body").alias("other")), "y")
+    return j.select("x", "y", "body", "other").mapInArrow(linked, "x long, y long")
 
 
-def cluster(buckets: DataFrame, sets: DataFrame, kind: str = "long") -> DataFrame:
-    """(node, component) of all linked ids. buckets: (key, id), sets: (id, items sorted).
+def cluster(buckets: DataFrame, sets: DataFrame, linked=_linked, own: DataFrame | None = None) -> DataFrame:
+    """(node, component) of all linked ids. buckets: (key, id), sets: (id, n, odd, body).
 
-    Steps 3 and 4 of the module's text.
+    Step 4 of the module's text; own (id, own) has numbers of items that no other set holds.
     """
-    items = sets.select("id", F.explode("items").alias("item"))
-    alone = items.groupBy("item").agg(F.count("*").alias("df"), F.min("id").alias("id")).where("df = 1").groupBy("id").agg(F.count("*").alias("own"))
-    able = sets.select("id", F.size("items").alias("n")).join(alone, "id", "left").withColumn("own", F.coalesce("own", F.lit(0))).where(f"100 * (n - own) >= {PERCENT} * n")
+    able = sets.select("id", "n")
+    if own is None:
+        able = able.withColumn("own", F.lit(0))
+    else:
+        able = able.join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(0))).where(f"100 * (n - own) >= {PERCENT} * n")
     able = materialize(able)
     live = materialize(buckets.join(able, "id").select("key", "id", "n", "own"))
     links, done, labels = None, None, None
     for r in range(LEADER_ROUNDS):
         at = _apart(live, labels)
         rank = F.struct((F.col("own") / F.col("n")).alias("r"), "id", "c") if not r else F.struct(F.xxhash64(F.lit(r), "id").alias("r"), "id", "c")
-        lead = at.groupBy("key").agg(F.min(rank).alias("lead")).select("key", F.col("lead.id").alias("x"), F.col("lead.c").alias("cx"))
-        pairs = at.join(lead, "key").where("c <> cx").select(F.least("x", "id").alias("x"), F.greatest("x", "id").alias("y")).distinct()
+        lead = at.groupBy("key").agg(F.min(rank).alias("lead")).select("key", "lead")
+        pairs = at.join(lead, "key").where("c <> lead.c")
+        if not r:  # a class of N copies has a leader in each of its buckets: one check each first
+            pairs = pairs.groupBy("id").agg(F.min("lead").alias("lead"))
+        pairs = pairs.select(F.least("lead.id", "id").alias("x"), F.greatest("lead.id", "id").alias("y")).distinct()
         pairs = materialize(pairs if done is None else pairs.join(done, ["x", "y"], "left_anti"))
         done = pairs if done is None else done.unionByName(pairs)
-        new = materialize(verified(pairs, sets, kind))
+        new = materialize(verified(pairs, sets, linked))
         links = new if links is None else links.unionByName(new)
         labels = connected_components(links, "x", "y")
     at = _apart(live, labels)
     #: a pair is met at the least key it shares
-    keys = at.groupBy("id").agg(F.collect_set("key").alias("keys"))
+    keys = at.groupBy("id").agg(F.collect_set("key").alias("keys")).join(sets.select("id", "odd"), "id")
     at = materialize(at.join(keys, "id"))
-    one, two = (at.select("key", *[F.col(k).alias(k + s) for k in ("id", "n", "own", "c", "keys")]) for s in ("1", "2"))
+    one, two = (at.select("key", *[F.col(k).alias(k + s) for k in ("id", "n", "own", "c", "keys", "odd")]) for s in ("1", "2"))
     shared = F.least(F.col("n1") - F.col("own1"), F.col("n2") - F.col("own2"))
-    able = 100 * shared >= PERCENT * (F.col("n1") + F.col("n2") - shared)
+    able = (100 * shared >= PERCENT * (F.col("n1") + F.col("n2") - shared)) & may_link(F.col("n1"), F.col("odd1"), F.col("n2"), F.col("odd2"))
     first = F.col("one.key") == F.array_min(F.array_intersect("keys1", "keys2"))
     on = (F.col("one.key") == F.col("two.key")) & (F.col("id1") < F.col("id2")) & (F.col("c1") != F.col("c2")) & able & first
     rest = one.alias("one").join(two.alias("two"), on).select(F.col("id1").alias("x"), F.col("id2").alias("y")).join(done, ["x", "y"], "left_anti")
-    new = materialize(verified(rest, sets, kind))
+    new = materialize(verified(rest, sets, linked))
     return connected_components(links.unionByName(new), "x", "y")
 
 
@@ -201,8 +235,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
     buckets = materialize(buckets)
     wanted = materialize(buckets.select("id").distinct())
     texts = semi(doc.where("doc_id is not null").withColumnRenamed("doc_id", "id"), wanted, "id")
-    sets = materialize(texts.mapInArrow(_sets, "id long, h long, items array<long>").dropDuplicates(["id", "h"]).drop("h"))
-    found = cluster(buckets, sets)
+    sets = materialize(texts.mapInArrow(_sets, "id long, h long, n long, odd array<long>, body array<long>").dropDuplicates(["id", "h"]).drop("h"))
+    items = sets.select("id", F.explode("body").alias("item"))
+    alone = items.groupBy("item").agg(F.count("*").alias("df"), F.min("id").alias("id")).where("df = 1").groupBy("id").agg(F.count("*").alias("own"))
+    found = cluster(buckets, sets, own=alone)
     release(buckets, sets)
     classes = own.select("h1", "h2", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("cid"))
     out = sketch.join(classes, ["h1", "h2"], "left")

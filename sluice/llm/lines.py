@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, list_array, materialize, mix, powers, release, semi
-from .dedup import cluster, minhash
+from .dedup import PERCENT, cluster, minhash, overlap, parity_sketch
 
 SHINGLE, BANDS, ROWS = 10, 10, 2
 _rng = np.random.default_rng(91)
@@ -53,7 +53,23 @@ def line_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return mix((h[end] - h[at]) * down[at] + (end - at).astype(np.uint64)), count
 
 
+def line_id(line: str) -> int:
+    return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
+
+
+def line_sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, sizes): the sorted distinct window hashes of every line, end to end."""
+    hashes, count = line_shingles(lines)
+    row = np.repeat(np.arange(len(lines)), count)
+    order = np.lexsort((hashes.view(np.int64), row))
+    hashes, row = hashes[order], row[order]
+    keep = np.ones(len(row), dtype=bool)
+    keep[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
+    return hashes[keep], np.bincount(row[keep], minlength=len(lines))
+
+
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each line; its keys stand at its first occurrence in a chunk, else null."""
     for batch in batches:
         for part in chunks(batch, "text"):
             unique: dict[str, int] = {}
@@ -68,29 +84,40 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             hashes, count = line_shingles(list(unique))
             bands = minhash(hashes, count, _MULT, _ADD, ROWS).view(np.int64)
-            ids = np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in unique], dtype=np.uint64).view(np.int64)
+            ids = np.array([line_id(x) for x in unique], dtype=np.uint64).view(np.int64)
             which = np.array(which)
+            first = np.zeros(len(which), dtype=bool)
+            first[np.unique(which, return_index=True)[1]] = True
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id").take(pa.array(row)), part.column("rid").take(pa.array(row)), pa.array(pos, pa.int32()), pa.array(ids[which]),
-                 list_array(bands[which].ravel(), np.full(len(which), BANDS), pa.int64())],
+                 list_array(bands.ravel(), np.where(first, BANDS, 0), pa.int64())],
                 names=["doc_id", "rid", "pos", "id", "keys"],
             )
 
 
-def _line_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _wanted_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines at the positions seats of each text, with their sets' sizes and sketches."""
     for batch in batches:
         for part in chunks(batch, "text"):
-            unique = list(dict.fromkeys(c for text in part.column("text").to_pylist() for line in (text or "").split("\n") if (c := compared(line))))
-            if not unique:
+            found: dict[str, None] = {}
+            for text, seats in zip(part.column("text").to_pylist(), part.column("seats").to_pylist(), strict=True):
+                all_lines = (text or "").split("\n")
+                found.update(dict.fromkeys(compared(all_lines[p]) for p in seats))
+            lines = list(found)
+            if not lines:
                 continue
-            hashes, count = line_shingles(unique)
-            row = np.repeat(np.arange(len(unique)), count)
-            order = np.lexsort((hashes.view(np.int64), row))
-            hashes, row = hashes[order], row[order]
-            keep = np.ones(len(row), dtype=bool)
-            keep[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
-            ids = np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in unique], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), list_array(hashes[keep].view(np.int64), np.bincount(row[keep], minlength=len(unique)), pa.int64())], names=["id", "items"])
+            hashes, sizes = line_sets(lines)
+            ids = np.array([line_id(x) for x in lines], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sizes), parity_sketch(hashes, sizes), pa.array(lines, pa.string())], names=["id", "n", "odd", "body"])
+
+
+def _linked_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (x, y, body, other), bodies being lines, whose sets reach the similarity."""
+    for batch in batches:
+        for part in chunks(batch, "body"):
+            one, two = (line_sets(part.column(c).to_pylist()) for c in ("body", "other"))
+            both = overlap(*(list_array(h.view(np.int64), n, pa.int64()) for h, n in (one, two)))
+            yield part.select(["x", "y"]).filter(pa.array(100 * both >= PERCENT * (one[1] + two[1] - both)))
 
 
 def row_id() -> Column:
@@ -101,14 +128,17 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     """(rid, removed): for each document that loses lines, their positions in order."""
     doc = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_id().alias("rid"))
     lines = materialize(doc.mapInArrow(_lines, "doc_id long, rid long, pos int, id long, keys array<long>"))
-    keys = lines.select("id", F.explode("keys").alias("key"))
+    keys = lines.where(F.size("keys") > 0).select("id", "keys").dropDuplicates(["id"]).select("id", F.explode("keys").alias("key"))
     by_key = Window.partitionBy("key")
     buckets = keys.withColumn("lo", F.min("id").over(by_key)).withColumn("hi", F.max("id").over(by_key)).where("lo <> hi").select("key", "id").distinct()
     buckets = materialize(buckets)
     wanted = materialize(buckets.select("id").distinct())
-    seats = materialize(semi(lines.select("id", "rid"), wanted, "id").groupBy("id").agg(F.min("rid").alias("rid")).select("rid").distinct())
-    sets = materialize(semi(semi(doc, seats, "rid").mapInArrow(_line_sets, "id long, items array<long>"), wanted, "id").dropDuplicates(["id"]))
-    found = cluster(buckets, sets)
+    #: each wanted line is read at one place
+    places = semi(lines.select("id", "rid", "pos"), wanted, "id").groupBy("id").agg(F.min(F.struct("rid", "pos")).alias("at"))
+    seats = materialize(places.groupBy(F.col("at.rid").alias("rid")).agg(F.collect_list("at.pos").alias("seats")))
+    found = semi(doc, seats, "rid", "inner").select("text", "seats").mapInArrow(_wanted_lines, "id long, n long, odd array<long>, body string")
+    sets = materialize(found.dropDuplicates(["id"]))
+    found = cluster(buckets, sets, _linked_lines)
     release(buckets, wanted, seats, sets)
     classed = lines.select("doc_id", "rid", "pos", "id").join(found.withColumnRenamed("node", "id"), "id", "left")
     classed = classed.select(F.coalesce("component", "id").alias("c"), F.struct("doc_id", "rid", "pos").alias("at"))
