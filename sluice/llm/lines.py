@@ -44,7 +44,7 @@ def line_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     cp = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     up, down = powers(len(cp) + 1)
     h = np.zeros(len(cp) + 1, dtype=np.uint64)
-    np.cumsum(mix(cp + np.uint64(0x51ED27)) * up[: len(cp)], out=h[1:])
+    np.cumsum((cp + np.uint64(1)) * np.uint64(0x9FB21C651E98DF25) * up[: len(cp)], out=h[1:])
     begin = np.cumsum(size) - size
     count = np.maximum(size - SHINGLE + 1, 1)
     first = np.cumsum(count) - count
