@@ -14,8 +14,8 @@ key with probability below 2e-4 (12 a side, 2 rows).
 3. Classes that share a key are candidates. A class more than a quarter of whose
    shingles occur in no other candidate cannot reach 0.75 with any: it is set aside.
 4. Each bucket has a leader (first the class with least own shingles, then by hash).
-   In each round a class is checked on full sets against the best leader of its buckets
-   that is in another component; links are joined by union-find.
+   A class is first checked on full sets against the best leader of its buckets, then,
+   where components still differ, against all of them; links are joined by union-find.
    Pairs inside a component need no check. What is left, pairs of one bucket in different
    components whose sizes and shared parts allow 0.75, is checked pair by pair.
    Before sets are compared, parities of the hashed items (``parity_sketch``) bound the
@@ -183,10 +183,13 @@ def cluster(buckets: DataFrame, sets: DataFrame, linked=_linked, own: DataFrame
         at = _apart(live, labels)
         rank = F.struct((F.col("own") / F.col("n")).alias("r"), "id", "c") if not r else F.struct(F.xxhash64(F.lit(r), "id").alias("r"), "id", "c")
         lead = at.groupBy("key").agg(F.min(rank).alias("lead")).select("key", "lead")
-        pairs = at.join(lead, "key").where("c <> lead.c")
-        #: a large group has a leader in each of its buckets: a class is checked against one a round
-        pairs = pairs.groupBy("id").agg(F.min("lead").alias("lead"))
-        pairs = pairs.select(F.least("lead.id", "id").alias("x"), F.greatest("lead.id", "id").alias("y")).distinct()
+        if not r:  # a large group has a leader in each of its buckets: one check a class first
+            pairs = at.join(lead, "key").where("c <> lead.c").groupBy("id").agg(F.min("lead").alias("lead")).select("id", F.col("lead.id").alias("other"))
+        else:
+            far = lead.select("key", F.col("lead.id").alias("id"), F.col("lead.c").alias("cl")).join(sets.select("id", "n", "odd"), "id").select("key", "cl", F.col("id").alias("other"), F.col("n").alias("nl"), F.col("odd").alias("oddl"))
+            near = at.select("key", "id", "c", "n").join(sets.select("id", "odd"), "id")
+            pairs = near.join(far, "key").where((F.col("c") != F.col("cl")) & may_link(F.col("n"), F.col("odd"), F.col("nl"), F.col("oddl")))
+        pairs = pairs.select(F.least("other", "id").alias("x"), F.greatest("other", "id").alias("y")).distinct()
         pairs = materialize(pairs if done is None else pairs.join(done, ["x", "y"], "left_anti"))
         done = pairs if done is None else done.unionByName(pairs)
         new = materialize(verified(pairs, sets, linked))
