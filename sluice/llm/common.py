@@ -24,11 +24,15 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write a table in the shared folder and read it back: lineage ends there."""
+def materialize(df: DataFrame, rows: int | None = None, per_file: int = 50_000) -> DataFrame:
+    """Write a table in the shared folder and read it back: lineage ends there.
+
+    Where a bound on its rows is known, small tables are written by fewer tasks (8 at
+    least, then one for every per_file rows).
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sluice-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(8, rows // per_file))).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._sluice_path = path
     return out
@@ -160,22 +164,22 @@ def list_array(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Least node reachable, for every node of an edge list: (node, component).
 
-    Distributed union-find: each round every node takes the least label among its
-    neighbours and then its label's own label (pointer jumping), until none changes.
+    Distributed union-find: each round every node takes the least of its label, its
+    neighbours' labels and its label's label (pointer jumping), until none changes.
     Rounds are written to the shared folder; edges and labels never reach the driver.
     """
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a <> b")
     e = materialize(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = materialize(e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
+    n = e.count()
+    labels = materialize(e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), n)
     while True:
         near = e.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        hooked = labels.join(near, "node").select("node", F.least("component", "near").alias("component"), F.col("component").alias("was"))
-        hooked = materialize(hooked)
-        jump = hooked.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        jumped = materialize(hooked.join(jump, "component", "left").select("node", F.coalesce(F.least("component", "further"), "component").alias("component"), "was"))
-        changed = jumped.where("component <> was").limit(1).count()
-        release(labels, hooked)
-        labels = jumped
+        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
+        took = F.least("component", "near", "further")
+        new = materialize(labels.join(near, "node").join(jump, "component").select("node", took.alias("component"), (took < F.col("component")).alias("changed")), n)
+        changed = new.where("changed").limit(1).count()
+        release(labels)
+        labels = new
         if not changed:
             release(e)
             return labels.select("node", "component")

@@ -43,6 +43,8 @@ from .common import Words, chunks, connected_components, list_array, materialize
 SHINGLE, PERCENT = 5, 75
 SIDE, ROWS = 12, 2
 LEADER_ROUNDS = 2
+#: pairs whose full sets one task compares, where few are left
+VERIFIED_ROWS = 5_000
 PARITY_BITS = 1024
 _rng = np.random.default_rng(77)
 _MULT = _rng.integers(1, 2**63, 2 * SIDE * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -177,10 +179,11 @@ def cluster(buckets: DataFrame, sets: DataFrame, linked=_linked, own: DataFrame
     else:
         able = able.join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(0))).where(f"100 * (n - own) >= {PERCENT} * n")
     able = materialize(able)
-    live = materialize(buckets.join(able, "id").select("key", "id", "n", "own"))
+    size = buckets.count()
+    live = materialize(buckets.join(able, "id").select("key", "id", "n", "own"), size)
     links, done, labels = None, None, None
     for r in range(LEADER_ROUNDS):
-        at = _apart(live, labels)
+        at = _apart(live, labels, size)
         rank = F.struct((F.col("own") / F.col("n")).alias("r"), "id", "c") if not r else F.struct(F.xxhash64(F.lit(r), "id").alias("r"), "id", "c")
         lead = at.groupBy("key").agg(F.min(rank).alias("lead")).select("key", "lead")
         if not r:  # a large group has a leader in each of its buckets: one check a class first
@@ -190,15 +193,17 @@ def cluster(buckets: DataFrame, sets: DataFrame, linked=_linked, own: DataFrame
             near = at.select("key", "id", "c", "n").join(sets.select("id", "odd"), "id")
             pairs = near.join(far, "key").where((F.col("c") != F.col("cl")) & may_link(F.col("n"), F.col("odd"), F.col("nl"), F.col("oddl")))
         pairs = pairs.select(F.least("other", "id").alias("x"), F.greatest("other", "id").alias("y")).distinct()
-        pairs = materialize(pairs if done is None else pairs.join(done, ["x", "y"], "left_anti"))
+        pairs = materialize(pairs if done is None else pairs.join(done, ["x", "y"], "left_anti"), size)
         done = pairs if done is None else done.unionByName(pairs)
-        new = materialize(verified(pairs, sets, linked))
+        new = materialize(verified(pairs, sets, linked), pairs.count(), VERIFIED_ROWS)
+        if labels is not None and not new.count():
+            continue  # no new link: the components stand
         links = new if links is None else links.unionByName(new)
         labels = connected_components(links, "x", "y")
-    at = _apart(live, labels)
+    at = _apart(live, labels, size)
     #: a pair is met at the least key it shares
     keys = at.groupBy("id").agg(F.collect_set("key").alias("keys")).join(sets.select("id", "odd"), "id")
-    at = materialize(at.join(keys, "id"))
+    at = materialize(at.join(keys, "id"), size)
     one, two = (at.select("key", *[F.col(k).alias(k + s) for k in ("id", "n", "own", "c", "keys", "odd")]) for s in ("1", "2"))
     shared = F.least(F.col("n1") - F.col("own1"), F.col("n2") - F.col("own2"))
     able = (100 * shared >= PERCENT * (F.col("n1") + F.col("n2") - shared)) & may_link(F.col("n1"), F.col("odd1"), F.col("n2"), F.col("odd2"))
@@ -206,17 +211,17 @@ def cluster(buckets: DataFrame, sets: DataFrame, linked=_linked, own: DataFrame
     on = (F.col("one.key") == F.col("two.key")) & (F.col("id1") < F.col("id2")) & (F.col("c1") != F.col("c2")) & able & first
     rest = one.alias("one").join(two.alias("two"), on).select(F.col("id1").alias("x"), F.col("id2").alias("y")).join(done, ["x", "y"], "left_anti")
     new = materialize(verified(rest, sets, linked))
-    return connected_components(links.unionByName(new), "x", "y")
+    return connected_components(links.unionByName(new), "x", "y") if new.count() else labels
 
 
-def _apart(live: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _apart(live: DataFrame, labels: DataFrame | None, size: int) -> DataFrame:
     """Rows of the buckets that hold more than one component, with their component c."""
     if labels is None:
         at = live.withColumn("c", F.col("id"))
     else:
         at = live.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
     spread = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    return materialize(at.join(spread, "key"))
+    return materialize(at.join(spread, "key"), size)
 
 
 def near_groups(docs: DataFrame) -> DataFrame:

@@ -3,7 +3,8 @@
 A line is compared after Unicode lower-casing and collapsing of white space; blank lines are
 never touched. Its set holds the hashes of its SHINGLE-character windows (a shorter line:
 itself). Lines are candidates when one of BANDS bands of ROWS minhashes agrees (a pair at
-similarity 0.75 is missed with probability 3e-4), linked when the exact Jaccard similarity
+similarity 0.75 is missed with probability 3e-4; one at 0.05, as unrelated lines of one
+language may have, is met with 2e-4), linked when the exact Jaccard similarity
 of their sets is 0.75 or more, and joined by distributed union-find. Of each component the
 first occurrence stays, by doc_id, then position; all other occurrences go.
 
@@ -25,13 +26,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, list_array, materialize, mix, powers, release, semi
-from .dedup import PERCENT, cluster, minhash, overlap, parity_sketch
+from .common import chunks, list_array, materialize, mix, release, semi
+from .dedup import PERCENT, cluster, overlap, parity_sketch
 
-SHINGLE, BANDS, ROWS = 10, 10, 2
+SHINGLE, BANDS, ROWS = 10, 22, 4
+#: windows whose minhashes are taken together; what a pass touches stays in a core's cache
+BLOCK = 1 << 16
 _rng = np.random.default_rng(91)
-_MULT = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64)
+_MULT = _rng.integers(1, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_ADD = _rng.integers(1, 2**32, BANDS * ROWS, dtype=np.uint32)
+_STEP = _rng.integers(1, 2**63, 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def compared(line: str) -> str:
@@ -42,15 +46,50 @@ def line_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, counts) of the character windows of non-empty lines, not yet distinct."""
     size = np.array([len(x) for x in lines], dtype=np.int64)
     cp = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    up, down = powers(len(cp) + 1)
-    h = np.zeros(len(cp) + 1, dtype=np.uint64)
-    np.cumsum((cp + np.uint64(1)) * np.uint64(0x9FB21C651E98DF25) * up[: len(cp)], out=h[1:])
-    begin = np.cumsum(size) - size
     count = np.maximum(size - SHINGLE + 1, 1)
-    first = np.cumsum(count) - count
-    at = np.arange(int(count.sum())) - np.repeat(first - begin, count)
-    end = np.minimum(at + SHINGLE, np.repeat(begin + size, count))
-    return mix((h[end] - h[at]) * down[at] + (end - at).astype(np.uint64)), count
+    if len(cp) >= SHINGLE:  # windows of 2, 4, 8 and 10 characters at every position
+        two = cp[:-1] * _STEP[0] + cp[1:]
+        four = two[:-2] * _STEP[1] + two[2:]
+        eight = four[:-4] * _STEP[2] + four[4:]
+        window = mix(eight[:-2] * _STEP[3] + two[8:])
+        inside = np.ones(len(window), dtype=bool)
+        across = (np.cumsum(size)[:, None] - np.arange(1, SHINGLE)).ravel()
+        inside[across[(across >= 0) & (across < len(window))]] = False
+        window = window[inside]
+    else:
+        window = np.zeros(0, dtype=np.uint64)
+    short = np.flatnonzero(size < SHINGLE)
+    if not len(short):
+        return window, count
+    hashes = np.empty(int(count.sum()), dtype=np.uint64)
+    whole = np.zeros(len(hashes), dtype=bool)
+    whole[(np.cumsum(count) - count)[short]] = True
+    hashes[whole] = np.array([line_id(lines[i]) for i in short], dtype=np.uint64)
+    hashes[~whole] = window
+    return hashes, count
+
+
+def line_keys(lines: list[str]) -> np.ndarray:
+    """BANDS keys of ROWS 32-bit minhashes each, a row for every line."""
+    ends = np.cumsum([len(x) for x in lines])
+    parts, first = [np.zeros((0, BANDS), dtype=np.uint64)], 0
+    while first < len(lines):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + BLOCK, "right")))
+        hashes, count = line_shingles(lines[first:last])
+        h = (hashes >> np.uint64(32)).astype(np.uint32)
+        at = np.cumsum(count) - count
+        least = np.empty((len(count), BANDS * ROWS), dtype=np.uint32)
+        work = np.empty_like(h)
+        for k in range(BANDS * ROWS):
+            np.multiply(h, _MULT[k], out=work)
+            np.add(work, _ADD[k], out=work)
+            least[:, k] = np.minimum.reduceat(work, at)
+        key = np.arange(BANDS, dtype=np.uint64)[None, :]
+        for pair in np.moveaxis(least.view(np.uint64).reshape(len(count), BANDS, ROWS // 2), 2, 0):
+            key = mix(key * _STEP[0] + pair)
+        parts.append(key)
+        first = last
+    return np.concatenate(parts)
 
 
 def line_id(line: str) -> int:
@@ -82,8 +121,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         which.append(unique.setdefault(c, len(unique)))
             if not row:
                 continue
-            hashes, count = line_shingles(list(unique))
-            bands = minhash(hashes, count, _MULT, _ADD, ROWS).view(np.int64)
+            bands = line_keys(list(unique)).view(np.int64)
             ids = np.array([line_id(x) for x in unique], dtype=np.uint64).view(np.int64)
             which = np.array(which)
             first = np.zeros(len(which), dtype=bool)
@@ -128,10 +166,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     """(rid, removed): for each document that loses lines, their positions in order."""
     doc = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_id().alias("rid"))
     lines = materialize(doc.mapInArrow(_lines, "doc_id long, rid long, pos int, id long, keys array<long>"))
-    keys = lines.where(F.size("keys") > 0).select("id", "keys").dropDuplicates(["id"]).select("id", F.explode("keys").alias("key"))
-    by_key = Window.partitionBy("key")
-    buckets = keys.withColumn("lo", F.min("id").over(by_key)).withColumn("hi", F.max("id").over(by_key)).where("lo <> hi").select("key", "id").distinct()
-    buckets = materialize(buckets)
+    keys = lines.where(F.size("keys") > 0).select("id", F.explode("keys").alias("key"))
+    shared = materialize(keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key"))
+    buckets = materialize(semi(keys, shared, "key").distinct())
     wanted = materialize(buckets.select("id").distinct())
     #: each wanted line is read at one place
     places = semi(lines.select("id", "rid", "pos"), wanted, "id").groupBy("id").agg(F.min(F.struct("rid", "pos")).alias("at"))
@@ -139,7 +176,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     found = semi(doc, seats, "rid", "inner").select("text", "seats").mapInArrow(_wanted_lines, "id long, n long, odd array<long>, body string")
     sets = materialize(found.dropDuplicates(["id"]))
     found = cluster(buckets, sets, _linked_lines)
-    release(buckets, wanted, seats, sets)
+    release(shared, buckets, wanted, seats, sets)
     classed = lines.select("doc_id", "rid", "pos", "id").join(found.withColumnRenamed("node", "id"), "id", "left")
     classed = classed.select(F.coalesce("component", "id").alias("c"), F.struct("doc_id", "rid", "pos").alias("at"))
     keepers = classed.groupBy("c").agg(F.min("at").alias("keep"), F.max("at").alias("last")).where("not keep <=> last").select("c", "keep")
