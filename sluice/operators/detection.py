@@ -1,0 +1,51 @@
+"""Detector output as rows: tile plans, activations, top scores, page coordinates."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def tile_starts(size: Column, tile: int, overlap: int) -> Column:
+    """Starts of tiles along one side; the last is moved back to end at the border."""
+    step = tile - overlap
+    last = F.greatest(size - tile, F.lit(0))
+    regular = F.sequence(F.lit(0), last, F.lit(step))
+    return F.array_distinct(F.concat(regular, F.array(last)))
+
+
+def plan_tiles(pages: DataFrame, page: str, width: str, height: str, tile: int, overlap: int) -> DataFrame:
+    """(page, x, y, w, h) of every tile of every page."""
+    xs = pages.select(page, width, height, F.explode(tile_starts(F.col(width), tile, overlap)).alias("x"))
+    both = xs.select(page, width, height, "x", F.explode(tile_starts(F.col(height), tile, overlap)).alias("y"))
+    return both.select(page, "x", "y", F.least(F.lit(tile), width).alias("w"), F.least(F.lit(tile), height).alias("h"))
+
+
+def softmax(scores: Column) -> Column:
+    """Probabilities of an array of logits, shifted by their maximum."""
+    grown = F.transform(scores, lambda v: F.exp(v.cast("double") - F.array_max(scores).cast("double")))
+    return F.transform(grown, lambda v: v / F.aggregate(grown, F.lit(0.0), lambda a, b: a + b))
+
+
+def sigmoid(v: Column) -> Column:
+    return 1 / (1 + F.exp(-v.cast("double")))
+
+
+def top_scores(df: DataFrame, key: str, scores: Column, k: int) -> DataFrame:
+    """(key, rank, index, score): the k largest of each array, ties by index.
+
+    Sorted inside each row's array, so no row leaves its partition.
+    """
+    pairs = F.transform(scores, lambda v, i: F.struct((-v.cast("double")).alias("s"), i.alias("i")))
+    best = F.slice(F.array_sort(pairs), 1, k)
+    return df.select(key, F.posexplode(best).alias("rank", "b")).select(key, (F.col("rank") + 1).alias("rank"), F.col("b.i").alias("index"), (-F.col("b.s")).alias("score"))
+
+
+def to_page(x: Column, offset: Column, scale: Column, limit: Column) -> Column:
+    """A tile coordinate on its page, clamped to the page."""
+    return F.greatest(F.lit(0.0), F.least(limit.cast("double"), (x + offset) / scale))
+
+
+def capped(df: DataFrame, page: str, score: str, tie: str, n: int) -> DataFrame:
+    w = Window.partitionBy(page).orderBy(F.col(score).desc(), tie)
+    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")

@@ -291,3 +291,6 @@ def error_fingerprints(spark, d):
 @query("""SELECT doc_id, count(*) AS lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) WHERE trim(x) <> '' GROUP BY 1""")
 def document_lines(spark, d):
     return table(spark, d, "documents").select("doc_id", F.explode(tx.lines(F.col("text"))).alias("x")).groupBy("doc_id").agg(F.count("*").alias("lines"))
+
+
+from sluice.plans import intake  # noqa: E402,F401
