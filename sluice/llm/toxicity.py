@@ -1,18 +1,21 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words (letters and digits, lower-cased) and their first PREFIX characters.
-Over a bounded sample of labelled training rows (FIT_ROWS, by a hash of doc_id) terms that
-go with label 1 are chosen by a two-proportion z score (at least MIN_Z; at most TERMS, the
-best). Examples and documents are TF-IDF vectors over them, (1 + log tf) * idf, unit length.
-
-The examples stand in an inverted index in blocks of BLOCK; each list keeps, per block,
-its largest weight. A query bounds every block by the sum of its terms' block maxima,
-visits blocks by falling bound and stops when the bound is below the NEIGHBOURS-th best
-cosine: the neighbours are exact. Votes weigh by cosine, are shrunk to the share of label 1,
-and calibrated by a logistic fit on leave-one-out votes. Evidence: ids and cosines.
-
-A document without such terms has no neighbours; its score is the calibrated vote of
-examples without terms. Whole texts are read; lang, source and doc_id are no inputs.
+Terms are words (letters and digits, lower-cased) and their first PREFIX characters, known
+by 64-bit hashes; none is left out. Document frequencies are counted over all documents by
+Spark. Examples are a bounded sample of labelled training rows (FIT_ROWS, by a hash of
+doc_id). Texts are TF-IDF vectors, (1 + log tf) * idf, unit length; words of a document
+that no example has count in its length, by a shuffled join with the frequencies.
+
+The examples stand, by their most frequent term, in blocks of BLOCK. Lists of the HEADS
+most frequent terms carry a largest weight per block; lists of all other terms are summed
+first. A query skips a block when the block's largest such sum and its block maxima
+together are below the NEIGHBOURS-th largest sum: the neighbours are exact (found in single
+precision with a margin, then scored in double). Votes weigh by cosine, are shrunk to the
+share of label 1, and calibrated by a logistic fit on leave-one-out votes. Evidence: ids
+and cosines.
+
+A document that shares no term with an example has no neighbours; its score is the
+calibrated vote of none. Whole texts are read; lang, source and doc_id are no inputs.
 
 Defined results: null and empty texts are scored like texts without terms; without labels
 of both kinds all scores are the one kind's share (no labels: 0); doubled labels of an id
@@ -23,19 +26,22 @@ count once, the larger one; repeated rows score alike; extra columns pass throug
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, list_array, materialize
 
-FIT_ROWS = 20_000
-TERMS, MIN_Z, MIN_LIFT, PREFIX = 2_000, 15.0, 8.0, 4
-NEIGHBOURS, BLOCK, FIRST, SHRINK = 15, 64, 4, 1.0
+FIT_ROWS, PREFIX = 20_000, 4
+NEIGHBOURS, BLOCK, HEADS, QUERIES, SHRINK = 15, 64, 768, 128, 1.0
+_MERGE_AT = 1_000_000
+#: more than single precision can be off by
+_MARGIN = 1e-4
 _WORD = re.compile(r"\w+")
 
 
@@ -43,87 +49,185 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def terms_of(word: str) -> tuple[str, ...]:
-    return (word, "^" + word[:PREFIX]) if len(word) > PREFIX else (word,)
+def term_id(term: str) -> int:
+    return xxhash.xxh3_64_intdigest(term.encode("utf-8", "surrogatepass"))
+
+
+def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(terms a text, hash, tf) of the distinct terms of each text, by row, then hash."""
+    number: dict[str, int] = {}
+    found = [[number.setdefault(w, len(number)) for w in words(text)] for text in column.to_pylist()]
+    whole = np.fromiter((term_id(w) for w in number), dtype=np.uint64, count=len(number))
+    short: dict[str, int] = {}
+    start = np.array([short.setdefault("^" + w[:PREFIX], len(short)) if len(w) > PREFIX else -1 for w in number], dtype=np.int64)
+    every = np.concatenate([whole, np.fromiter((term_id(w) for w in short), dtype=np.uint64, count=len(short))])
+    every, at = np.unique(every, return_inverse=True)
+    size = np.array([len(x) for x in found], dtype=np.int64)
+    w = np.fromiter((x for f in found for x in f), dtype=np.int64, count=int(size.sum()))
+    row = np.repeat(np.arange(len(found)), size)
+    has = start[w] >= 0 if len(w) else np.zeros(0, dtype=bool)
+    cell = np.concatenate([row * len(every) + at[w], row[has] * len(every) + at[len(whole) + start[w[has]]]])
+    cell, tf = np.unique(cell, return_counts=True)
+    n = max(1, len(every))
+    return np.bincount(cell // n, minlength=len(found)), every[cell % n], tf
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, df) merged within the task up to a bound; the row of h = null counts texts."""
+    held, texts = [], 0
 
+    def merged():
+        h, c = (np.concatenate(x) for x in zip(*held, strict=True))
+        u, inverse = np.unique(h, return_inverse=True)
+        return u, np.bincount(inverse, c).astype(np.int64)
 
-def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batch_of(h, df):
+        return pa.RecordBatch.from_arrays([h, pa.array(df, pa.int64())], names=["h", "df"])
+
+    for batch in batches:
+        for part in chunks(batch, "text"):
+            texts += part.num_rows
+            held.append(np.unique(terms(part.column("text"))[1], return_counts=True))
+            if sum(len(x[0]) for x in held) > _MERGE_AT:
+                held = [merged()]
+                if len(held[0][0]) > _MERGE_AT // 2:
+                    u, c = held.pop()
+                    yield batch_of(pa.array(u.view(np.int64)), c)
+    if held:
+        u, c = merged()
+        yield batch_of(pa.array(u.view(np.int64)), c)
+    yield batch_of(pa.array([None], pa.int64()), [texts])
+
+
+def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch, "text"):
-            found = (Counter(), Counter())
-            for text, y in zip(part.column("text").to_pylist(), part.column("y").to_pylist(), strict=True):
-                found[y].update({t for w in set(words(text)) for t in terms_of(w)})
-            every = list(found[0].keys() | found[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *(pa.array([c[t] for t in every], pa.int64()) for c in found)], names=["term", "neg", "pos"])
+            size, h, tf = terms(part.column("text"))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), list_array(h.view(np.int64), size, pa.int64()), list_array(tf, size, pa.int32())], names=["doc_id", "y", "h", "c"])
+
+
+def spans(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (count[0] of them), first[1], ..."""
+    return np.arange(int(count.sum())) + np.repeat(first - (np.cumsum(count) - count), count)
 
 
 class Index:
-    """Examples (rows of term: count) with labels, block by block."""
-
-    def __init__(self, rows: list[dict[int, int]], labels: np.ndarray, ids: np.ndarray, idf: np.ndarray):
-        self.prior = float(labels.mean()) if len(rows) else 0.0
-        self.all_rows, self.all_labels = rows, labels.astype(float)
-        has = [i for i, r in enumerate(rows) if r]
-        rows, self.labels, self.ids, self.idf = [rows[i] for i in has], self.all_labels[has], ids[has], idf
-        blocks = max(1, -(-len(rows) // BLOCK))
-        self.top = np.zeros((len(idf), blocks), dtype=np.float64)
-        lists: list[list[tuple[int, float]]] = [[] for _ in idf]
-        for i, row in enumerate(rows):
-            t, w = self.vector(row)
-            for a, b in zip(t.tolist(), w.tolist(), strict=True):
-                lists[a].append((i, b))
-                self.top[a, i // BLOCK] = max(self.top[a, i // BLOCK], b)
-        self.rows = [np.array([i for i, _ in x], dtype=np.int64) for x in lists]
-        self.weights = [np.array([w for _, w in x]) for x in lists]
-        self.block = [r // BLOCK for r in self.rows]
+    """Examples (rows of term: count, or sizes, terms and counts end to end) with labels."""
+
+    def __init__(self, rows: list[dict[int, int]] | tuple[np.ndarray, np.ndarray, np.ndarray], labels: np.ndarray, ids: np.ndarray, idf: np.ndarray):
+        if not isinstance(rows, tuple):
+            rows = tuple(np.array(x, dtype=np.int64) for x in ([len(r) for r in rows], [t for r in rows for t in r], [c for r in rows for c in r.values()]))
+        self.size, self.t, self.c = rows[0], rows[1].astype(np.int32), rows[2].astype(np.int32)
+        self.first = np.cumsum(self.size) - self.size
+        self.labels, self.ids, self.idf = labels.astype(float), ids, idf
+        self.prior = float(labels.mean()) if len(ids) else 0.0
+        self.norm = np.sqrt(np.bincount(np.repeat(np.arange(len(ids)), self.size), self.weigh(self.t, self.c) ** 2, len(ids)))
         self.a, self.b, self.one_kind = 0.0, 1.0, True
+        self.ready = False
+
+    def weigh(self, t: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return (1 + np.log(c)) * self.idf[t]
 
     def vector(self, row: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         t = np.array(sorted(row), dtype=np.int64)
-        w = (1 + np.log(np.array([row[x] for x in t.tolist()], dtype=float))) * self.idf[t] if len(t) else np.zeros(0)
+        w = self.weigh(t, np.array([row[x] for x in t.tolist()], dtype=float)) if len(t) else np.zeros(0)
         return t, w / np.linalg.norm(w) if len(t) else w
 
-    def nearest(self, row: dict[int, int], k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
-        """The k largest cosines above 0, ties to the earlier example.
+    def build(self) -> None:
+        """The lists, once in every process that searches."""
+        n, row = len(self.ids), np.repeat(np.arange(len(self.ids)), self.size)
+        w = (self.weigh(self.t, self.c) / np.maximum(self.norm, 1e-300)[row]).astype(np.float32)
+        df = np.bincount(self.t, minlength=len(self.idf))
+        top = np.argsort(-df, kind="stable")[:HEADS]
+        self.head = np.full(len(self.idf), -1)
+        self.head[top] = np.arange(len(top))
+        favourite = np.full(n, -1)
+        order = np.lexsort((df[self.t], self.c))
+        favourite[row[order]] = self.t[order]
+        self.by = np.lexsort((np.arange(n), favourite))
+        place = np.empty(n, dtype=np.int32)
+        place[self.by] = np.arange(n)
+        blocks = max(1, -(-n // BLOCK))
+        dense = np.zeros((blocks * BLOCK, len(top)), dtype=np.float32)
+        h = self.head[self.t]
+        dense[place[row[h >= 0]], h[h >= 0]] = w[h >= 0]
+        self.dense = dense.reshape(blocks, BLOCK, -1)
+        self.top = self.dense.max(1)
+        rest = np.flatnonzero(h < 0)
+        rest = rest[np.argsort(self.t[rest], kind="stable")]
+        self.at, self.weight = place[row[rest]], w[rest]
+        self.list = np.searchsorted(self.t[rest], np.arange(len(self.idf) + 1))
+        self.ready = True
+
+    def search(self, size: np.ndarray, t: np.ndarray, c: np.ndarray, without: np.ndarray | None = None, k: int = NEIGHBOURS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query the k largest products above 0 of its vector, of length not yet 1,
+        with examples, ties to the earlier example: (products, examples)."""
+        if not self.ready:
+            self.build()
+        first = np.cumsum(size) - size
+        w = self.weigh(t, c)
+        for lo in range(0, len(size), QUERIES):
+            part = range(lo, min(lo + QUERIES, len(size)))
+            sums = np.zeros((len(part), self.dense.shape[0] * BLOCK), dtype=np.float32)
+            heads = np.zeros((len(part), self.dense.shape[2]), dtype=np.float32)
+            scale = np.zeros(len(part))
+            for i, q in enumerate(part):
+                x, y = t[first[q] : first[q] + size[q]], w[first[q] : first[q] + size[q]]
+                scale[i] = np.linalg.norm(y)
+                h = self.head[x]
+                heads[i, h[h >= 0]] = y[h >= 0]
+                x, y = x[h < 0], y[h < 0]
+                n = self.list[x + 1] - self.list[x]
+                e = spans(self.list[x], n)
+                sums[i] = np.bincount(self.at[e], np.repeat(y, n) * self.weight[e], sums.shape[1])
+            if without is not None:  # what is left out may not raise the floor
+                gone = np.flatnonzero(without[part] >= 0)
+                seat = np.empty(len(self.ids), dtype=np.int64)
+                seat[self.by] = np.arange(len(self.by))
+                sums[gone, seat[without[part][gone]]] = -np.inf
+            kth = max(0, sums.shape[1] - k)
+            floor = np.maximum(np.partition(sums, kth, axis=1)[:, kth], 0) - _MARGIN * scale
+            bound = heads @ self.top.T + sums.reshape(len(part), -1, BLOCK).max(2)
+            live = (bound > 0) & (bound >= floor[:, None])
+            for b in np.flatnonzero(live.any(0)):
+                q = np.flatnonzero(live[:, b])
+                sums[q, b * BLOCK : (b + 1) * BLOCK] += heads[q] @ self.dense[b].T
+            floor = np.maximum(np.partition(sums, kth, axis=1)[:, kth] - _MARGIN * scale, 0)
+            for i, q in enumerate(part):
+                near = np.flatnonzero((sums[i] > 0) & (sums[i] >= floor[i]))
+                near = np.sort(self.by[near])
+                yield self.exact(t[first[q] : first[q] + size[q]], w[first[q] : first[q] + size[q]], near, k)
+
+    def exact(self, t: np.ndarray, w: np.ndarray, near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        if not len(near):
+            return np.zeros(0), near
+        e = spans(self.first[near], self.size[near])
+        x, row = self.t[e], np.repeat(np.arange(len(near)), self.size[near])
+        at = np.minimum(np.searchsorted(t, x), len(t) - 1)
+        hit = t[at] == x
+        s = np.bincount(row[hit], w[at[hit]] * self.weigh(x[hit], self.c[e[hit]]), len(near)) / self.norm[near]
+        order = np.lexsort((near, -s))[:k]
+        order = order[s[order] > 0]
+        return s[order], near[order]
 
-        The FIRST blocks by bound are summed first; then, at once, all others whose bound
-        isn't below the k-th best cosine so far.
-        """
+    def nearest(self, row: dict[int, int], k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
+        """The k largest cosines above 0, ties to the earlier example."""
         t, w = self.vector(row)
         if not len(t):
             return []
-        bound = w @ self.top[t]
-        order = np.argsort(-bound, kind="stable")
-        sums, floor = np.zeros(len(self.labels)), 0.0
-        for part in (order[:FIRST], order[FIRST:]):
-            ok = np.zeros(len(bound), dtype=bool)
-            ok[part[(bound[part] > 0) & (bound[part] >= floor - 1e-12)]] = True
-            if not ok.any():
-                break
-            for a, b in zip(t.tolist(), w.tolist(), strict=True):
-                hit = ok[self.block[a]]
-                sums[self.rows[a][hit]] += b * self.weights[a][hit]
-            if without >= 0:
-                sums[without] = 0.0
-            if (sums > 0).sum() >= k:
-                floor = np.partition(sums, -k)[-k]
-        found = np.flatnonzero((sums > 0) & (sums >= floor))
-        found = found[np.lexsort((found, -sums[found]))][:k]
-        return [(float(sums[i]), int(i)) for i in found]
+        s, i = next(self.search(np.array([len(t)]), t, np.array([row[x] for x in t.tolist()]), np.array([without]), k))
+        norm = np.linalg.norm(self.weigh(t, np.array([row[x] for x in t.tolist()])))
+        return [(float(a) / norm, int(b)) for a, b in zip(s, i, strict=True)]
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         total = sum(s for s, _ in near)
         return (sum(s * self.labels[i] for s, i in near) + SHRINK * self.prior) / (total + SHRINK)
 
-    def calibrate(self) -> None:
+    def calibrate(self, votes: np.ndarray) -> None:
         """Logistic fit of labels on leave-one-out votes by Newton steps, with a small ridge."""
-        y = self.all_labels
+        y = self.labels
         if not len(y) or y.min() == y.max():
             return
-        at, votes = 0, []
-        for r in self.all_rows:
-            votes.append(self.vote(self.nearest(r, without=at)) if r else self.prior)
-            at += bool(r)
         v = np.clip(votes, 1e-4, 1 - 1e-4)
         x = np.stack([np.ones(len(v)), np.log(v / (1 - v))], 1)
         beta = np.array([0.0, 1.0])
@@ -132,118 +236,110 @@ class Index:
             beta += np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-2 * np.eye(2), x.T @ (y - p) - 1e-2 * (beta - [0, 1]))
         self.a, self.b = float(beta[0]), float(beta[1])
         self.one_kind = False
-        self.all_rows = []
 
-    def score(self, near: list[tuple[float, int]]) -> float:
+    def score(self, vote: Column) -> Column:
         if self.one_kind:
-            return self.prior
-        v = min(max(self.vote(near), 1e-4), 1 - 1e-4)
-        return 1 / (1 + np.exp(-self.a - self.b * np.log(v / (1 - v))))
-
-
-class Lookup(dict):
-    """Word -> numbers of its chosen terms, filled as words come."""
-
-    def __init__(self, number: dict[str, int]):
-        super().__init__()
-        self.number = number
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 200_000:
-            self.clear()
-        found = self[word] = tuple(self.number[t] for t in terms_of(word) if t in self.number)
-        return found
-
-    def counts(self, text: str | None) -> dict[int, int]:
-        return Counter(t for got in map(self.__getitem__, words(text)) if got for t in got)
+            return F.lit(self.prior)
+        v = F.least(F.greatest(vote, F.lit(1e-4)), F.lit(1 - 1e-4))
+        return 1 / (1 + F.exp(-self.a - self.b * F.log(v / (1 - v))))
 
 
 def fold(key: Column, n: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % n
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, rows: int = FIT_ROWS) -> tuple[Index, dict[str, int]]:
-    """The index and the numbers of its terms. labels: (doc_id, toxic)."""
+def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, rows: int = FIT_ROWS):
+    """The calibrated index, its broadcast with the hashes of its terms, all terms' (h, idf). labels: (doc_id, toxic)."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("y"))
     if train is not None:
         known = known.where(train)
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sample = materialize(text.join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "y"))  # at most FIT_ROWS labels
-    n = sample.agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg")).first()
-    counted = sample.mapInArrow(_term_counts, "term string, neg long, pos long").groupBy("term").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-    chosen = []
-    if n.pos and n.neg:
-        p, q, m = F.col("pos") / n.pos, F.col("neg") / n.neg, (F.col("pos") + F.col("neg")) / (n.pos + n.neg)
-        z = (p - q) / F.sqrt(m * (1 - m) * (1 / n.pos + 1 / n.neg))
-        lift = p / ((F.col("neg") + 0.5) / n.neg)
-        floor = min(MIN_Z, 0.2 * (n.pos + n.neg) ** 0.5)  # few labelled rows can't reach MIN_Z
-        strong = counted.where(m < 1).withColumn("z", z).where((F.col("z") >= floor) & (lift >= MIN_LIFT))
-        chosen = strong.orderBy(F.desc("z"), "term").limit(TERMS).select("term", (F.col("pos") + F.col("neg")).alias("df")).collect()
-    number = {r.term: i for i, r in enumerate(chosen)}
-    idf = np.log((n.pos + n.neg + 1) / np.array([r.df for r in chosen], dtype=float)) if chosen else np.zeros(0)
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = Lookup(number)
+    sample = text.join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "y")  # at most FIT_ROWS labels
+    sample = materialize(sample.mapInArrow(_example_terms, "doc_id long, y int, h array<long>, c array<int>"))
+    counted = materialize(text.select("text").mapInArrow(_frequencies, "h long, df long").groupBy("h").agg(F.sum("df").alias("df")))
+    n = counted.where("h is null").agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    idf = counted.where("h is not null").select("h", F.log((F.lit(n) + 1) / F.col("df")).alias("idf"))
+    mine = sample.select(F.explode("h").alias("h")).distinct()
+    got = idf.join(mine, "h").toArrow()  # the terms of FIT_ROWS rows
+    vocab, weight = got.column("h").to_numpy().view(np.uint64), got.column("idf").to_numpy()
+    order = np.argsort(vocab)
+    vocab, weight = vocab[order], weight[order]
+    got = sample.orderBy("doc_id").toArrow()  # FIT_ROWS rows
+    t = np.searchsorted(vocab, got.column("h").combine_chunks().flatten().to_numpy().view(np.uint64)).astype(np.int32)
+    size = np.diff(got.column("h").combine_chunks().offsets.to_numpy()).astype(np.int64)
+    index = Index((size, t, got.column("c").combine_chunks().flatten().to_numpy()), got.column("y").to_numpy(), got.column("doc_id").to_numpy(), weight)
+    del got
+    shared = docs.sparkSession.sparkContext.broadcast((index, vocab))  # bounded by FIT_ROWS
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idx, vocab = shared.value
         for batch in batches:
-            found = [look.counts(t) for t in batch.column("text").to_pylist()]
-            size = np.array([len(c) for c in found])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), *(list_array(np.array([x for c in found for x in f(c)], dtype=np.int64), size, pa.int64()) for f in (dict.keys, dict.values))], names=["doc_id", "y", "t", "c"])
+            at = np.searchsorted(idx.ids, batch.column("doc_id").to_numpy())
+            t, c = (np.concatenate([x[idx.first[i] : idx.first[i] + idx.size[i]] for i in at]) if len(at) else x[:0] for x in (idx.t, idx.c))
+            found = idx.search(idx.size[at], t, c, at)
+            v = [idx.vote(list(zip(s / max(idx.norm[i], 1e-300), near, strict=True))) for i, (s, near) in zip(at, found, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(v, pa.float64())], names=["at", "vote"])
 
-    got = sample.mapInArrow(vectors, "doc_id long, y int, t array<long>, c array<long>").orderBy("doc_id").collect()  # FIT_ROWS rows, TERMS terms at most
-    vectors_ = [dict(zip(r.t, r.c, strict=True)) for r in got]
-    index = Index(vectors_, np.array([r.y for r in got]), np.array([r.doc_id for r in got], dtype=np.int64), idf)
-    index.calibrate()
-    return index, number
+    if len(index.ids) and 0 < index.prior < 1:
+        got = sample.select("doc_id").repartition(24).mapInArrow(votes, "at long, vote double").toArrow()  # FIT_ROWS rows
+        v = np.zeros(len(index.ids))
+        v[got.column("at").to_numpy()] = got.column("vote").to_numpy()
+        index.calibrate(v)
+    return index, shared, idf
 
 
-def score(docs: DataFrame, index: Index, number: dict[str, int]) -> DataFrame:
-    """doc_id, score, evidence (array of id and cosine) for every row, in any order."""
-    shared = docs.sparkSession.sparkContext.broadcast((index, number))  # bounded by FIT_ROWS and TERMS
+def score(docs: DataFrame, index: Index, shared, idf: DataFrame) -> DataFrame:
+    """The columns but text, score, evidence (array of id and cosine) for every row, in any order."""
+    rest = [f for f in docs.schema.fields if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idx, num = shared.value
-        look, cache = Lookup(num), {}
-        kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
+        idx, vocab = shared.value
+        row_no = TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in chunks(batch, "text"):
-                scores, why = [], []
-                for text in part.column("text").to_pylist():
-                    c = look.counts(text)
-                    key = tuple(sorted(c.items()))
-                    if key not in cache:
-                        if len(cache) > 50_000:
-                            cache.clear()
-                        near = idx.nearest(c)
-                        cache[key] = idx.score(near), [{"doc_id": int(idx.ids[i]), "cosine": s} for s, i in near[:3]]
-                    scores.append(cache[key][0])
-                    why.append(cache[key][1])
-                rest = [part.column(c) for c in part.schema.names if c != "text"]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(scores, pa.float64()), pa.array(why, kind)], names=[*(c for c in part.schema.names if c != "text"), "score", "evidence"])
-
-    keep = [f for f in docs.schema.fields if f.name != "text"]
-    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "score double", "evidence array<struct<doc_id:long,cosine:double>>"])
-    return docs.mapInArrow(run, out)
+                size, h, tf = terms(part.column("text"))
+                row = np.repeat(np.arange(len(size)), size)
+                at = np.minimum(np.searchsorted(vocab, h), max(0, len(vocab) - 1))
+                hit = vocab[at] == h if len(vocab) else np.zeros(len(h), dtype=bool)
+                known = np.bincount(row[hit], minlength=len(size))
+                t, c = at[hit], tf[hit]
+                square = np.bincount(row[hit], idx.weigh(t, c) ** 2, len(size)) if len(t) else np.zeros(len(size))
+                found = list(idx.search(known, t, c)) if len(idx.ids) else [(np.zeros(0), np.zeros(0, dtype=np.int64))] * len(size)
+                near = np.concatenate([np.zeros(0, dtype=np.int64), *(i for _, i in found)])
+                n = np.array([len(i) for _, i in found])
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(f.name) for f in rest), pa.array(np.arange(len(size)) + row_no), pa.array(square),
+                     list_array(np.concatenate([np.zeros(0), *(s for s, _ in found)]), n, pa.float64()), list_array(idx.labels[near], n, pa.float64()), list_array(idx.ids[near], n, pa.int64()),
+                     list_array(h[~hit].view(np.int64), size - known, pa.int64()), list_array(tf[~hit], size - known, pa.int32())],
+                    names=[*(f.name for f in rest), "_row", "_square", "_s", "_y", "_id", "_h", "_c"],
+                )
+                row_no += len(size)
+
+    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "_row long, _square double, _s array<double>, _y array<double>, _id array<long>, _h array<long>, _c array<int>"])
+    rows = materialize(docs.mapInArrow(run, kinds))
+    new = rows.select("_row", F.explode(F.arrays_zip("_h", "_c")).alias("x")).select("_row", F.col("x._h").alias("h"), F.col("x._c").alias("c"))
+    more = new.join(idf, "h").groupBy("_row").agg(F.sum(F.pow((1 + F.log("c")) * F.col("idf"), 2)).alias("_more"))
+    out = rows.drop("_h", "_c").join(more, "_row", "left")
+    norm = F.greatest(F.sqrt(F.col("_square") + F.coalesce("_more", F.lit(0.0))), F.lit(1e-300))
+    out = out.withColumn("_norm", norm).withColumn("_s", F.transform("_s", lambda x: x / F.col("_norm")))
+    plus = lambda a, x: a + x
+    votes = F.aggregate(F.zip_with("_s", "_y", lambda s, y: s * y), F.lit(0.0), plus) + SHRINK * index.prior
+    vote = votes / (F.aggregate("_s", F.lit(0.0), plus) + SHRINK)
+    evidence = F.slice(F.zip_with("_id", "_s", lambda i, s: F.struct(i.alias("doc_id"), s.alias("cosine"))), 1, 3)
+    return out.select(*[F.col(f"`{f.name}`") for f in rest], index.score(vote).alias("_score"), evidence.alias("_evidence"))
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence; learned from rows not held out."""
-    index, number = fit(docs, labels, fold(F.col("doc_id"), 5) != 0)
-    out = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), index, number)
+    index, shared, idf = fit(docs, labels, fold(F.col("doc_id"), 5) != 0)
+    out = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), index, shared, idf).withColumnsRenamed({"_score": "score", "_evidence": "evidence"})
     return out.select("doc_id", (F.coalesce(fold(F.col("doc_id"), 5), F.lit(-1)) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents whose score is below the threshold."""
-    index, number = fit(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast((index, number))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idx, num = shared.value
-        look = Lookup(num)
-        for batch in batches:
-            for part in chunks(batch, "text"):
-                ok = [not (c := look.counts(t)) or idx.score(idx.nearest(c)) < threshold for t in part.column("text").to_pylist()]
-                yield part.filter(pa.array(ok))
-
-    return docs.mapInArrow(run, docs.schema)
+    index, shared, idf = fit(docs, labels)
+    rid = F.xxhash64("doc_id", "text")
+    toxic = score(docs.select(rid.alias("_rid"), "text"), index, shared, idf).where(F.col("_score") >= threshold).select("_rid").distinct()
+    return docs.withColumn("_rid", rid).join(toxic, "_rid", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -188,6 +188,29 @@ def test_toxicity(spark, docs, none):
     assert toxicity.toxicity_report(docs, labels.where("false")).where("score <> 0").count() == 0
 
 
+def test_toxicity_is_cosine_over_all_words(spark):
+    rng = random.Random(3)
+    plain = ["".join(rng.choices("klmnop", k=rng.randint(3, 7))) for _ in range(300)]
+    texts_ = {i: " ".join(rng.choices(plain, k=rng.randint(5, 40))) for i in range(300)} | {i: f"zzrare {rng.choice(plain)}" for i in range(300, 306)}
+    texts_ |= {1000: "zzrare never seen", 1001: " ".join([*plain, "zzrare", "unseenword"])}
+    d = spark.createDataFrame(list(texts_.items()), "doc_id long, text string")
+    labels = {i: int(i >= 280) for i in range(306)}
+    got = {r.doc_id: r for r in toxicity.toxicity_report(d, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")).collect()}
+    terms = {i: collections.Counter(t for w in toxicity.words(x) for t in ((w, "^" + w[:4]) if len(w) > 4 else (w,))) for i, x in texts_.items()}
+    df = collections.Counter(t for c in terms.values() for t in c)
+    vectors = {}
+    for i, c in terms.items():
+        v = {t: (1 + math.log(n)) * math.log((len(texts_) + 1) / df[t]) for t, n in c.items()}
+        vectors[i] = {t: w / math.sqrt(sum(x * x for x in v.values())) for t, w in v.items()}
+    train = [i for i in labels if zlib.crc32(str(i).encode()) % 5]
+    for q in (1000, 1001, *[i for i in labels if i not in train][:30]):
+        want = sorted(((sum(w * vectors[i].get(t, 0) for t, w in vectors[q].items()), -i) for i in train), reverse=True)[:3]
+        want = [(-i, s) for s, i in want if s > 0]
+        assert [e.doc_id for e in got[q].evidence] == [i for i, _ in want]
+        assert np.allclose([e.cosine for e in got[q].evidence], [s for _, s in want])
+    assert got[1000].score > got[1001].score
+
+
 def test_toxicity_index_is_exact():
     rng = np.random.default_rng(0)
     rows = [{int(t): int(rng.integers(1, 4)) for t in rng.choice(40, rng.integers(1, 6), replace=False)} for _ in range(700)]
