@@ -5,7 +5,9 @@ never touched. Its set holds the hashes of its SHINGLE-character windows (a shor
 itself). Lines are candidates when one of BANDS bands of ROWS minhashes agrees (a pair at
 similarity 0.75 is missed with probability 3e-4; one at 0.05, as unrelated lines of one
 language may have, is met with 2e-4), linked when the exact Jaccard similarity
-of their sets is 0.75 or more, and joined by distributed union-find. Of each component the
+of their sets is 0.75 or more, and joined by distributed union-find. One changed letter
+inside a line changes SHINGLE windows (a link from 39 characters on), a changed word of six
+letters 10 (from 74 characters on). Of each component the
 first occurrence stays, by doc_id, then position; all other occurrences go.
 
 Lines are known by a 64-bit hash of what is compared. A document is known by a hash of
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import chunks, list_array, materialize, mix, release, semi
 from .dedup import PERCENT, cluster, overlap, parity_sketch
 
-SHINGLE, BANDS, ROWS = 10, 22, 4
+SHINGLE, BANDS, ROWS = 5, 22, 4
 #: windows whose minhashes are taken together; what a pass touches stays in a core's cache
 BLOCK = 1 << 16
 _rng = np.random.default_rng(91)
@@ -47,11 +49,10 @@ def line_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     size = np.array([len(x) for x in lines], dtype=np.int64)
     cp = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     count = np.maximum(size - SHINGLE + 1, 1)
-    if len(cp) >= SHINGLE:  # windows of 2, 4, 8 and 10 characters at every position
+    if len(cp) >= SHINGLE:  # windows of 2, 4 and 5 characters at every position
         two = cp[:-1] * _STEP[0] + cp[1:]
         four = two[:-2] * _STEP[1] + two[2:]
-        eight = four[:-4] * _STEP[2] + four[4:]
-        window = mix(eight[:-2] * _STEP[3] + two[8:])
+        window = mix(four[:-1] * _STEP[2] + cp[4:])
         inside = np.ones(len(window), dtype=bool)
         across = (np.cumsum(size)[:, None] - np.arange(1, SHINGLE)).ravel()
         inside[across[(across >= 0) & (across < len(window))]] = False

@@ -99,6 +99,19 @@ def test_lines(docs, none):
     assert lines.line_report(none).count() == 0 and lines.dedup_lines(none).count() == 0
 
 
+def test_lines_with_one_change(spark):
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnop", k=n))
+    rows, want = [], set()
+    for i in range(0, 120, 3):
+        line = " ".join(word(6) for _ in range(rng.randint(12, 16)))  # 83 to 111 characters
+        short = line[:48] + "yz"
+        rows += [(i, f"{line}\n{short}"), (i + 1, line.replace(line.split()[5], word(6))), (i + 2, short[:20] + "#" + short[21:])]
+        want |= {(i + 1, 0), (i + 2, 0)}
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, p) for r in lines.line_report(d).collect() for p in r.removed} == want
+
+
 def test_mixing(docs, none):
     got = mixing.mix_report(docs).collect()
     assert len(got) == len(texts())
