@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,9 +17,11 @@ CHUNK_BYTES = 1 << 21
 
 # ---------------------------------------------------------------- written tables
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is named."""
+    """The folder all executors share; a temporary one only where none is named and all run in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("on a cluster name a shared folder in spark.checkpoint.dir")
         named = tempfile.mkdtemp(prefix="sluice-")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -27,29 +30,36 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, rows: int | None = None, per_file: int = 50_000) -> DataFrame:
     """Write a table in the shared folder and read it back: lineage ends there.
 
-    Where a bound on its rows is known, small tables are written by fewer tasks (8 at
-    least, then one for every per_file rows).
+    Where a bound on its rows is known, small tables are dealt to fewer writers (8 at
+    least, then one for every per_file rows); the joins before keep their own tasks.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sluice-{uuid.uuid4().hex}"
-    (df if rows is None else df.coalesce(max(8, rows // per_file))).write.parquet(path)
+    (df if rows is None or rows > 64 * per_file else df.repartition(max(8, rows // per_file))).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._sluice_path = path
     return out
 
 
 def release(*tables: DataFrame) -> None:
-    """Delete written tables that no later step reads."""
+    """Delete written tables that no later step reads, and let Spark drop the shuffles behind them.
+
+    Spark deletes the files of a shuffle when the driver's garbage collector finds that no
+    plan holds it; without a collection they would stay until the end of the query.
+    """
     for t in tables:
         path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._sluice_path)
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()
 
 
 #: most rows of a written key table that are broadcast (some tens of MB); beyond it, a shuffled join
 BROADCAST_ROWS = 400_000
 
 
-def semi(df: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+def semi(df: DataFrame, keys: DataFrame, on: str | list[str] | Column, how: str = "left_semi") -> DataFrame:
     """Join with a written table of keys, broadcast only if its counted rows are few."""
     return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, on, how)
 

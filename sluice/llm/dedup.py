@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, chunks, connected_components, list_array, materialize, mix, release, semi
@@ -228,29 +228,37 @@ def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, class (hash of the set) for every row."""
     doc = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = materialize(doc.mapInArrow(_sketch, "doc_id long, n long, h1 long, h2 long, a array<long>, b array<long>"))
+    written = []
     full = sketch.where("n > 0 and doc_id is not null")
     reps = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"))
     own = full.join(reps.withColumnRenamed("id", "doc_id"), ["h1", "h2", "doc_id"]).dropDuplicates(["h1", "h2"])
     own = materialize(own.select(F.col("doc_id").alias("id"), "n", "h1", "h2", "a", "b"))
     again = own
     for side in ("a", "b"):
-        keys = own.select("id", F.explode(side).alias("key"))
-        twice = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
-        again = again.join(keys.join(twice, "key").select("id").distinct(), "id", "left_semi")
+        keys = again.select("id", F.explode(side).alias("key"))
+        twice = materialize(keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key"))
+        met = materialize(semi(keys, twice, "key").select("id").distinct())
+        written += [twice, met]
+        again = semi(again, met, "id")
+    again = materialize(again)
     keys = again.select("id", F.explode(F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.xxhash64(x, y))))).alias("key"))
-    size = Window.partitionBy("key")
-    buckets = keys.withColumn("lo", F.min("id").over(size)).withColumn("hi", F.max("id").over(size)).where("lo <> hi").select("key", "id")
-    buckets = materialize(buckets)
+    shared = materialize(keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key"))
+    buckets = materialize(semi(keys, shared, "key"))
+    release(shared)
     wanted = materialize(buckets.select("id").distinct())
     texts = semi(doc.where("doc_id is not null").withColumnRenamed("doc_id", "id"), wanted, "id")
     sets = materialize(texts.mapInArrow(_sets, "id long, h long, n long, odd array<long>, body array<long>").dropDuplicates(["id", "h"]).drop("h"))
     items = sets.select("id", F.explode("body").alias("item"))
     alone = items.groupBy("item").agg(F.count("*").alias("df"), F.min("id").alias("id")).where("df = 1").groupBy("id").agg(F.count("*").alias("own"))
-    found = cluster(buckets, sets, own=alone)
-    release(buckets, sets)
-    classes = own.select("h1", "h2", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("cid"))
-    out = sketch.join(classes, ["h1", "h2"], "left")
-    cid = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("cid")).otherwise(F.col("doc_id"))
+    found = materialize(cluster(buckets, sets, own=alone).withColumnRenamed("node", "id"))
+    release(buckets, sets, wanted, again, *written)
+    #: classes of one document and no link need no row: their documents stand for themselves
+    copied = full.groupBy("h1", "h2").agg(F.count("*").alias("copies"))
+    classes = semi(own.select("h1", "h2", "id"), found, "id", "left").join(copied, ["h1", "h2"]).where("copies > 1 or component is not null")
+    classes = materialize(classes.select("h1", "h2", F.coalesce("component", "id").alias("cid")))
+    release(own, found)
+    out = semi(sketch, classes, ["h1", "h2"], "left")
+    cid = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("cid", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), cid.alias("component_id"), F.coalesce(F.col("doc_id") == cid, F.lit(True)).alias("kept"), "h1", "h2")
 
 
@@ -259,9 +267,12 @@ def dedup_report(docs: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """The documents with one of each group: its least doc_id. Of repeated rows of that id
-    all stay but those that are equal in id and text."""
-    gone = near_groups(docs).where("not kept").select(F.col("doc_id").alias("_id")).distinct()
-    gone = materialize(gone)
-    names = docs.columns
-    return semi(docs.withColumn("_id", F.col("doc_id").cast("long")), gone, "_id", "left_anti").select(*[F.col(f"`{c}`") for c in names])
+    """The documents with one row of each group: of its least doc_id, by its text. Rows without
+    doc_id or text are linked with nothing and all stay, but rows equal in id and text are one."""
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.col("doc_id").cast("long").alias("id"), F.col("text").alias("t"))
+    gone = materialize(near_groups(docs).where("not kept").select(F.col("doc_id").alias("id")).distinct())
+    left = semi(row, gone, "id", "left_anti")
+    twice = materialize(left.groupBy("id", F.xxhash64("t").alias("h")).agg(F.count("*").alias("n")).where("n > 1").select("id", "h"))
+    marked = semi(left.withColumn("h", F.xxhash64("t")), twice.select(F.col("id").alias("ti"), F.col("h").alias("th")), F.col("id").eqNullSafe(F.col("ti")) & (F.col("h") == F.col("th")), "left")
+    copies = marked.where("th is not null").groupBy("id", "h").agg(F.first("d").alias("d")).select("d")
+    return marked.where("th is null").select("d").unionByName(copies).select("d.*")

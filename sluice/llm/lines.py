@@ -1,21 +1,27 @@
 """Fuzzy line deduplication: MinHash over character shingles, banding, exact check, union-find.
 
 A line is compared after Unicode lower-casing and collapsing of white space; blank lines are
-never touched. Its set holds the hashes of its SHINGLE-character windows (a shorter line:
-itself). Lines are candidates when one of BANDS bands of ROWS minhashes agrees (a pair at
-similarity 0.75 is missed with probability 3e-4; one at 0.05, as unrelated lines of one
-language may have, is met with 2e-4), linked when the exact Jaccard similarity
-of their sets is 0.75 or more, and joined by distributed union-find. One changed letter
-inside a line changes SHINGLE windows (a link from 39 characters on), a changed word of six
-letters 10 (from 74 characters on). Of each component the
-first occurrence stays, by doc_id, then position; all other occurrences go.
-
-Lines are known by a 64-bit hash of what is compared. A document is known by a hash of
-doc_id and text, so repeated rows keep the same lines.
+never touched. Its set holds its SHINGLE-character windows (a shorter line: itself). Two lines
+are linked when the exact Jaccard similarity of their sets is 0.75 or more.
+
+Signatures for the banding are taken over wider windows of WIDE characters (a shorter line:
+itself), BANDS bands of ROWS minhashes: unrelated lines of one language share many windows of
+5 characters and hardly one of 8, so they rarely meet in a band and candidates do not grow
+with the square of the lines. What that costs in recall, for pairs exactly at 0.75: one changed
+run of letters leaves 0.675 of the wide windows (missed with 2e-3), scattered single changes
+0.63 (missed with 9e-3); both fall fast above 0.75. Candidates are verified on the full sets,
+links joined by distributed union-find. Of each component the first occurrence stays, by
+doc_id, then position; all other occurrences go. A changed letter inside a line is a link from
+39 characters on, a changed word of six letters from 74 on.
+
+Equal lines are one by a 128-bit hash. Bands are dealt in PASSES: a pass keeps the keys that
+two different lines share (summed before the shuffle, so that a hot key costs one row a task),
+then only the lines at these keys go on.
 
 Defined results: null or empty text has no lines and stays; a null doc_id comes first in
-order; a document all of whose lines go leaves ``dedup_lines``; extra columns pass through;
-an empty table gives an empty result.
+order; repeated rows are one document and keep the same lines; a document all of whose lines
+go leaves ``dedup_lines``; extra columns pass through, whatever their names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,15 +29,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import chunks, list_array, materialize, mix, release, semi
 from .dedup import PERCENT, cluster, overlap, parity_sketch
 
-SHINGLE, BANDS, ROWS = 5, 22, 4
+SHINGLE, WIDE, BANDS, ROWS = 5, 8, 28, 4
+PASSES = 4
 #: windows whose minhashes are taken together; what a pass touches stays in a core's cache
 BLOCK = 1 << 16
 _rng = np.random.default_rng(91)
@@ -44,28 +53,28 @@ def compared(line: str) -> str:
     return " ".join(line.lower().split())
 
 
-def line_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, counts) of the character windows of non-empty lines, not yet distinct."""
+def windows(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of the windows of width (5 or 8) characters of non-empty lines, not yet distinct."""
     size = np.array([len(x) for x in lines], dtype=np.int64)
     cp = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    count = np.maximum(size - SHINGLE + 1, 1)
-    if len(cp) >= SHINGLE:  # windows of 2, 4 and 5 characters at every position
+    count = np.maximum(size - width + 1, 1)
+    if len(cp) >= width:  # windows of 2, 4, then 5 or 8 characters at every position
         two = cp[:-1] * _STEP[0] + cp[1:]
         four = two[:-2] * _STEP[1] + two[2:]
-        window = mix(four[:-1] * _STEP[2] + cp[4:])
+        window = mix(four[:-1] * _STEP[2] + cp[4:]) if width == 5 else mix(four[:-4] * _STEP[3] + four[4:])
         inside = np.ones(len(window), dtype=bool)
-        across = (np.cumsum(size)[:, None] - np.arange(1, SHINGLE)).ravel()
+        across = (np.cumsum(size)[:, None] - np.arange(1, width)).ravel()
         inside[across[(across >= 0) & (across < len(window))]] = False
         window = window[inside]
     else:
         window = np.zeros(0, dtype=np.uint64)
-    short = np.flatnonzero(size < SHINGLE)
+    short = np.flatnonzero(size < width)
     if not len(short):
         return window, count
     hashes = np.empty(int(count.sum()), dtype=np.uint64)
     whole = np.zeros(len(hashes), dtype=bool)
     whole[(np.cumsum(count) - count)[short]] = True
-    hashes[whole] = np.array([line_id(lines[i]) for i in short], dtype=np.uint64)
+    hashes[whole] = np.array([line_id(lines[i])[0] for i in short], dtype=np.uint64)
     hashes[~whole] = window
     return hashes, count
 
@@ -76,7 +85,7 @@ def line_keys(lines: list[str]) -> np.ndarray:
     parts, first = [np.zeros((0, BANDS), dtype=np.uint64)], 0
     while first < len(lines):
         last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + BLOCK, "right")))
-        hashes, count = line_shingles(lines[first:last])
+        hashes, count = windows(lines[first:last], WIDE)
         h = (hashes >> np.uint64(32)).astype(np.uint32)
         at = np.cumsum(count) - count
         least = np.empty((len(count), BANDS * ROWS), dtype=np.uint32)
@@ -93,13 +102,19 @@ def line_keys(lines: list[str]) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def line_id(line: str) -> int:
-    return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
+def line_id(line: str) -> tuple[int, int]:
+    h = xxhash.xxh3_128_intdigest(line.encode("utf-8", "surrogatepass"))
+    return h >> 64, h & ((1 << 64) - 1)
+
+
+def line_ids(lines: list[str]) -> tuple[pa.Array, pa.Array]:
+    ids = np.array([line_id(x) for x in lines], dtype=np.uint64).reshape(-1, 2).view(np.int64)
+    return pa.array(ids[:, 0]), pa.array(ids[:, 1])
 
 
 def line_sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, sizes): the sorted distinct window hashes of every line, end to end."""
-    hashes, count = line_shingles(lines)
+    hashes, count = windows(lines, SHINGLE)
     row = np.repeat(np.arange(len(lines)), count)
     order = np.lexsort((hashes.view(np.int64), row))
     hashes, row = hashes[order], row[order]
@@ -109,7 +124,7 @@ def line_sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each line; its keys stand at its first occurrence in a chunk, else null."""
+    """A row for each line; its keys, by pass, stand at its first occurrence in a chunk, else none."""
     for batch in batches:
         for part in chunks(batch, "text"):
             unique: dict[str, int] = {}
@@ -123,31 +138,30 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not row:
                 continue
             bands = line_keys(list(unique)).view(np.int64)
-            ids = np.array([line_id(x) for x in unique], dtype=np.uint64).view(np.int64)
             which = np.array(which)
             first = np.zeros(len(which), dtype=bool)
             first[np.unique(which, return_index=True)[1]] = True
+            keys = [list_array(bands[:, k::PASSES].ravel(), np.where(first, len(range(k, BANDS, PASSES)), 0), pa.int64()) for k in range(PASSES)]
+            at = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").take(pa.array(row)), part.column("rid").take(pa.array(row)), pa.array(pos, pa.int32()), pa.array(ids[which]),
-                 list_array(bands.ravel(), np.where(first, BANDS, 0), pa.int64())],
-                names=["doc_id", "rid", "pos", "id", "keys"],
+                [part.column("doc").take(at), part.column("rid").take(at), pa.array(pos, pa.int32()), *(x.take(pa.array(which)) for x in line_ids(list(unique))), *keys],
+                names=["doc", "rid", "pos", "h", "g", *(f"k{k}" for k in range(PASSES))],
             )
 
 
 def _wanted_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lines at the positions seats of each text, with their sets' sizes and sketches."""
+    """The lines (position, id) at the seats of each text, with their sets' sizes and sketches."""
     for batch in batches:
         for part in chunks(batch, "text"):
-            found: dict[str, None] = {}
+            found: dict[str, int] = {}
             for text, seats in zip(part.column("text").to_pylist(), part.column("seats").to_pylist(), strict=True):
                 all_lines = (text or "").split("\n")
-                found.update(dict.fromkeys(compared(all_lines[p]) for p in seats))
+                found.update((compared(all_lines[s["pos"]]), s["id"]) for s in seats)
             lines = list(found)
             if not lines:
                 continue
             hashes, sizes = line_sets(lines)
-            ids = np.array([line_id(x) for x in lines], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sizes), parity_sketch(hashes, sizes), pa.array(lines, pa.string())], names=["id", "n", "odd", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array(found.values(), pa.int64()), pa.array(sizes), parity_sketch(hashes, sizes), pa.array(lines, pa.string())], names=["id", "n", "odd", "body"])
 
 
 def _linked_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,49 +173,86 @@ def _linked_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield part.select(["x", "y"]).filter(pa.array(100 * both >= PERCENT * (one[1] + two[1] - both)))
 
 
-def row_id() -> Column:
-    return F.xxhash64("doc_id", "text")
+def _documents(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text"), F.xxhash64("doc_id", "text").alias("rid"))
+
+
+def _near_lines(lines: DataFrame, doc: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(h, g, component) of the lines that are linked with others, and the tables behind it."""
+    hits, written = None, []
+    for k in range(PASSES):
+        keys = lines.where(F.size(f"k{k}") > 0).select("h", "g", F.explode(f"k{k}").alias("key"))
+        shared = materialize(keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key"))
+        hit = materialize(semi(keys, shared, "key").distinct())
+        release(shared)
+        written.append(hit)
+        hits = hit if hits is None else hits.unionByName(hit)
+    wanted = materialize(hits.select("h", "g").distinct().select("h", "g", F.monotonically_increasing_id().alias("id")))
+    few = wanted.count()
+    buckets = materialize(semi(hits, wanted, ["h", "g"], "inner").select("key", "id"))
+    release(*written)
+    #: each wanted line is read at one place
+    places = semi(lines.select("h", "g", "doc", "rid", "pos"), wanted, ["h", "g"], "inner").groupBy("id").agg(F.min(F.struct("doc", "rid", "pos")).alias("at"))
+    seats = places.groupBy("at.doc", "at.rid").agg(F.collect_list(F.struct("at.pos", "id")).alias("seats")).select(F.col("doc").alias("sd"), F.col("rid").alias("sr"), "seats")
+    seats = materialize(seats, few)
+    read = semi(doc, seats, F.col("doc").eqNullSafe(F.col("sd")) & (F.col("rid") == F.col("sr")), "inner").select("text", "seats")
+    sets = materialize(read.mapInArrow(_wanted_lines, "id long, n long, odd array<long>, body string").dropDuplicates(["id"]), few)
+    release(seats)
+    found = cluster(buckets, sets, _linked_lines).withColumnRenamed("node", "id")
+    release(buckets, sets)
+    out = materialize(found.join(wanted, "id").select("h", "g", "component"), few)
+    release(wanted)
+    return out, [out]
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """(rid, removed): for each document that loses lines, their positions in order."""
-    doc = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_id().alias("rid"))
-    lines = materialize(doc.mapInArrow(_lines, "doc_id long, rid long, pos int, id long, keys array<long>"))
-    keys = lines.where(F.size("keys") > 0).select("id", F.explode("keys").alias("key"))
-    shared = materialize(keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key"))
-    buckets = materialize(semi(keys, shared, "key").distinct())
-    wanted = materialize(buckets.select("id").distinct())
-    #: each wanted line is read at one place
-    places = semi(lines.select("id", "rid", "pos"), wanted, "id").groupBy("id").agg(F.min(F.struct("rid", "pos")).alias("at"))
-    seats = materialize(places.groupBy(F.col("at.rid").alias("rid")).agg(F.collect_list("at.pos").alias("seats")))
-    found = semi(doc, seats, "rid", "inner").select("text", "seats").mapInArrow(_wanted_lines, "id long, n long, odd array<long>, body string")
-    sets = materialize(found.dropDuplicates(["id"]))
-    found = cluster(buckets, sets, _linked_lines)
-    release(shared, buckets, wanted, seats, sets)
-    classed = lines.select("doc_id", "rid", "pos", "id").join(found.withColumnRenamed("node", "id"), "id", "left")
-    classed = classed.select(F.coalesce("component", "id").alias("c"), F.struct("doc_id", "rid", "pos").alias("at"))
-    keepers = classed.groupBy("c").agg(F.min("at").alias("keep"), F.max("at").alias("last")).where("not keep <=> last").select("c", "keep")
-    gone = classed.join(keepers, "c").where("not at <=> keep").select("at.rid", "at.pos").distinct()
-    return materialize(gone.groupBy("rid").agg(F.sort_array(F.collect_list("pos")).alias("removed")))
+    """(doc, rid, removed): for each document that loses lines, their positions in order."""
+    doc = _documents(docs)
+    keys = ", ".join(f"k{k} array<long>" for k in range(PASSES))
+    lines = materialize(doc.mapInArrow(_lines, f"doc long, rid long, pos int, h long, g long, {keys}"))
+    near, written = _near_lines(lines, doc)
+    #: a class is a component, or an equal line; components are ids, far below most hashes, and g = null tells them apart
+    classed = semi(lines.select("doc", "rid", "pos", "h", "g"), near, ["h", "g"], "left")
+    classed = classed.select(F.coalesce("component", "h").alias("c"), F.when(F.col("component").isNull(), F.col("g")).alias("d"), F.struct("doc", "rid", "pos").alias("at"))
+    keepers = classed.groupBy("c", "d").agg(F.min("at").alias("keep"), F.max("at").alias("last")).where("not keep <=> last").select(F.col("c").alias("kc"), F.col("d").alias("kd"), "keep")
+    keepers = materialize(keepers)
+    gone = semi(classed, keepers, (F.col("c") == F.col("kc")) & F.col("d").eqNullSafe(F.col("kd")), "inner").where("not at <=> keep").select("at.doc", "at.rid", "at.pos").distinct()
+    out = materialize(gone.groupBy("doc", "rid").agg(F.sort_array(F.collect_list("pos")).alias("removed")))
+    release(lines, keepers, *written)
+    return out
+
+
+def _with_removed(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """(d, a struct of the columns of docs; removed, null where nothing goes)."""
+    gone = gone.select(F.col("doc").alias("gd"), F.col("rid").alias("gr"), "removed")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64("doc_id", "text").alias("rid"))
+    return semi(row, gone, F.col("doc").eqNullSafe(F.col("gd")) & (F.col("rid") == F.col("gr")), "left").select("d", "removed")
 
 
 def line_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines (not blank), n_removed, removed (positions in the text) for every row."""
-    gone = repeated_lines(docs)
-    n = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x) != ""))
-    rows = docs.select("doc_id", row_id().alias("rid"), n.cast("long").alias("n_lines"))
+    docs = docs.select("doc_id", "text")
+    #: the white space that ``compared`` collapses: a line of it alone is blank
+    n = F.size(F.filter(F.split(F.coalesce(F.col("d.text"), F.lit("")), "\n"), lambda x: x.rlike(r"[^\s\p{Z}\x1c-\x1f\x85]")))
     removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return rows.join(gone, "rid", "left").select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+    return _with_removed(docs, repeated_lines(docs)).select("d.doc_id", n.cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+
+
+@F.pandas_udf(StringType())
+def _without(text: pd.Series, removed: pd.Series) -> pd.Series:
+    def kept(t: str | None, gone) -> str | None:
+        if t is None:
+            return None
+        gone = set(gone)
+        return "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone)
+
+    return pd.Series([kept(t, r) for t, r in zip(text, removed, strict=True)], dtype=object)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The documents without their repeated lines; those left without any text go."""
-    gone = repeated_lines(docs)
-    names = docs.columns
-    j = semi(docs.withColumn("_rid", row_id()), gone.withColumnRenamed("rid", "_rid"), "_rid", "left")
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("removed"), i))
-    j = j.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-    j = j.where(F.col("removed").isNull() | F.col("text").rlike(r"\S"))
-    if "n_chars" in names:
-        j = j.withColumn("n_chars", F.when(F.col("removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return j.select(*[F.col(f"`{c}`") for c in names])
+    hit = F.col("removed").isNotNull()
+    j = _with_removed(docs, repeated_lines(docs)).withColumn("t", _without(F.when(hit, F.col("d.text")), "removed"))
+    j = j.where(~hit | F.col("t").rlike(r"[^\s\p{Z}\x1c-\x1f\x85]"))
+    new = {"text": F.when(hit, F.col("t")).otherwise(F.col("d.text")), "n_chars": F.when(hit, F.length("t").cast("long")).otherwise(F.col("d").getField("n_chars").cast("long")) if "n_chars" in docs.columns else None}
+    return j.select(*[(new[c] if c in new else F.col("d").getField(c)).alias(c) for c in docs.columns])
