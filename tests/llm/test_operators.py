@@ -209,7 +209,7 @@ def test_toxicity_is_cosine_over_all_words(spark):
     d = spark.createDataFrame(list(texts_.items()), "doc_id long, text string")
     labels = {i: int(i >= 280) for i in range(306)}
     got = {r.doc_id: r for r in toxicity.toxicity_report(d, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")).collect()}
-    terms = {i: collections.Counter(t for w in toxicity.words(x) for t in ((w, "^" + w[:4]) if len(w) > 4 else (w,))) for i, x in texts_.items()}
+    terms = {i: collections.Counter(w[:4] for w in x.split()) for i, x in texts_.items()}
     df = collections.Counter(t for c in terms.values() for t in c)
     vectors = {}
     for i, c in terms.items():
