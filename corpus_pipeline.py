@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir), gets what its predecessor wrote and returns a
 DataFrame with the columns of documents; the last adds the sampled segmentations.
+
+Defined results: rows with null or empty text pass the first three stages (they have no terms,
+lines or words), have size 0 in the mix and the one empty segmentation; rows with a null doc_id
+are linked with nothing; rows equal in doc_id and text are one after near_dedup; an empty table
+gives an empty result; extra columns pass through, but those named like a column of the last
+stage are replaced by it.
 """
 
 from __future__ import annotations
@@ -9,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sluice.llm import dedup, lines, mixing, pieces, toxicity
-from sluice.llm.common import materialize
+from sluice.llm.common import materialize, release
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +49,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir))
+        release(*before)
+        before = [docs]
     return docs
