@@ -3,9 +3,11 @@
 Every source gets a target of words (``source_targets``): the corpus total shared by
 weight, never above ``max_repeat`` times the source's own size, the excess reshared
 among the others. A source that needs ratio = target / size takes every document
-floor(ratio) times for certain. The rest is an unequal-probability sample of fixed size:
-each document has inclusion probability p = ratio - floor(ratio) (0 for a document
-without words), and documents enter in order of the Pareto ranking
+floor(ratio) times for certain. The words that are left are an unequal-probability sample
+of fixed size: a document of s words has inclusion probability p = min(1, c * m), m being
+the square root of the largest power of two not above s, and c such that the sum of p * s
+over the source is what is left (``_scale``). Longer documents are likelier to enter once
+more; those with p = 1 are certain. Documents enter in order of the Pareto ranking
 [u / (1 - u)] / [p / (1 - p)], u a hash of seed, doc_id and text, until the words that
 are left are filled; the document that crosses that line enters if this brings the
 total nearer.
@@ -62,9 +64,34 @@ def _draw(seed: int) -> Column:
     return (F.shiftrightunsigned(h, 11).cast("double") + 0.5) * F.lit(2.0**-53)
 
 
+def _class(size: Column) -> Column:
+    """Position of the highest bit: documents of one class have one inclusion probability."""
+    return F.length(F.bin(size)) - 1
+
+
+def _inclusion(size: Column, c: Column) -> Column:
+    return F.least(F.lit(1.0), c * F.pow(F.lit(2.0), _class(size) / 2))
+
+
 def _pareto(u: Column, p: Column) -> Column:
-    odds = F.greatest(p, F.lit(1e-12)) / (1 - p)
-    return (u / (1 - u)) / odds
+    odds = F.greatest(p, F.lit(1e-12)) / F.greatest(1 - p, F.lit(1e-12))
+    return F.when(p >= 1, 0.0).otherwise((u / (1 - u)) / odds)
+
+
+def _scale(rows: DataFrame, part: DataFrame) -> DataFrame:
+    """(s, c): for each source of part (s, left) the factor with sum(min(1, c m) size) = left.
+
+    Works on the words of each source and size class, some tens of rows a source. With the
+    classes above one at p = 1, the words that are left over give c; the highest class
+    whose own p is then at most 1 is the right one.
+    """
+    cells = rows.where("size > 0").groupBy("source", _class(F.col("size")).alias("k")).agg(F.sum("size").alias("words"))
+    cells = cells.join(F.broadcast(part), F.col("source").eqNullSafe(F.col("s"))).withColumn("m", F.pow(F.lit(2.0), F.col("k") / 2))  # a row a source
+    down = Window.partitionBy("s").orderBy(F.desc("k"))
+    above = F.sum("words").over(down) - F.col("words")
+    below = F.sum(F.col("words") * F.col("m")).over(Window.partitionBy("s").orderBy("k"))
+    cells = cells.select("s", "k", "m", ((F.col("left") - above) / below).alias("c"))
+    return cells.where("c * m <= 1 + 1e-9").groupBy("s").agg(F.max_by("c", "k").alias("c"))
 
 
 def _sized(docs: DataFrame, seed: int) -> DataFrame:
@@ -77,9 +104,11 @@ def mixing_plan(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), seed: i
     rows = materialize(_sized(docs, seed))
     targets = materialize(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeat))
     part = targets.select("source", "target", "ratio", F.floor(F.col("ratio")).alias("whole"), (F.col("ratio") - F.floor("ratio")).alias("p"), (F.col("target") - F.floor("ratio") * F.col("source_size")).alias("left"))
-    part = part.where("p > 1e-12 and left > 0").select(F.col("source").alias("s"), "p", "left")
+    part = part.where("p > 1e-12 and left > 0").select(F.col("source").alias("s"), "left")
+    scales = materialize(_scale(rows, part).withColumnRenamed("s", "ss"), 1)
+    part = part.join(scales, F.col("s").eqNullSafe(F.col("ss"))).drop("ss")
     ranked = rows.where("size > 0").join(part, F.col("source").eqNullSafe(F.col("s")))
-    ranked = ranked.withColumn("q", _pareto(F.col("u"), F.col("p")))
+    ranked = ranked.withColumn("q", _pareto(F.col("u"), _inclusion(F.col("size"), F.col("c"))))
     #: q / (1 + q) is spread over (0, 1) and keeps the order
     ranked = ranked.withColumn("bin", F.floor(F.col("q") / (1 + F.col("q")) * BINS).cast("int"))
     bins = ranked.groupBy("s", "bin", "left").agg(F.sum("size").alias("words"))
@@ -94,21 +123,22 @@ def mixing_plan(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), seed: i
     lines = taken.groupBy("s").agg(F.max(key).alias("line"))
     full = bins.groupBy("s").agg(F.max(F.when(F.col("before") + F.col("words") < F.col("left"), F.col("bin"))).alias("full_bin"))
     plan = targets.join(full, F.col("source").eqNullSafe(full["s"]), "left").drop("s").join(lines, F.col("source").eqNullSafe(lines["s"]), "left").drop("s")
+    plan = plan.join(scales, F.col("source").eqNullSafe(F.col("ss")), "left").drop("ss")
     return rows, materialize(plan)
 
 
-def _copies(whole: Column, p: Column, u: Column) -> Column:
-    q = _pareto(u, p)
+def _copies(whole: Column, c: Column, u: Column) -> Column:
+    q = _pareto(u, _inclusion(F.col("size"), c))
     key = F.struct(q.alias("q"), F.col("doc_id").alias("doc_id"), F.col("size").alias("size"), F.col("t").alias("t"))
     bin_ = F.floor(q / (1 + q) * BINS).cast("int")
-    extra = (p > 1e-12) & (F.col("size") > 0) & ((bin_ <= F.coalesce(F.col("full_bin"), F.lit(-1))) | F.coalesce(key <= F.col("line"), F.lit(False)))
+    extra = c.isNotNull() & (F.col("size") > 0) & ((bin_ <= F.coalesce(F.col("full_bin"), F.lit(-1))) | F.coalesce(key <= F.col("line"), F.lit(False)))
     return (whole + F.when(extra, 1).otherwise(0)).cast("long")
 
 
 def _with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
     p = plan.withColumnRenamed("source", "p_source")
     j = rows.join(p, F.col("source").eqNullSafe(F.col("p_source")), "left").drop("p_source")
-    return j.withColumn("copies", _copies(F.floor("ratio"), F.col("ratio") - F.floor("ratio"), F.col("u")))
+    return j.withColumn("copies", _copies(F.floor("ratio"), F.col("c"), F.col("u")))
 
 
 def mix_report(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), seed: int = 0) -> DataFrame:
