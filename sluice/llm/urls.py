@@ -7,7 +7,7 @@ Features: lengths of url, host and path; depth (path segments), number of host l
 digit ratio, character entropy of the host, hyphens, number of query parameters, length
 of the longest host label, ``https``, and suffix statistics: the smoothed share of
 blocked urls among labelled ones with the same last host label, and with the same last
-path suffix (the letters after the last dot).
+path suffix (the letters after the last dot); for a labelled url its own row is left out.
 
 Defined results: a null url, or one without ``://``, has empty host and path; no rule
 fits it and it is judged by the trees on its features. Without labelled urls of both
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, semi
 
 #: fixed values: rules of the filter, (host and path prefix, verdict)
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
@@ -78,14 +78,16 @@ def lexical_features(df: DataFrame, url: str = "url") -> DataFrame:
     })
 
 
-def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate: float = 0.2, bins: int = 32, leaf: int = 20, ridge: float = 1.0) -> tuple[float, list[list]]:
+def fit_trees(x: np.ndarray, y: np.ndarray, count: np.ndarray | None = None, rounds: int = 40, depth: int = 3, rate: float = 0.2, bins: int = 32, leaf: int = 20, ridge: float = 1.0) -> tuple[float, list[list]]:
     """Gradient-boosted trees for log loss: (bias, trees), a tree being a list of nodes
     (feature, threshold, left, right) or (value,). Histograms over quantile bins; both
     labels weigh alike, so that their shares among the labelled urls don't decide."""
     if not len(y) or y.min() == y.max():
         return (float(np.sign(y.mean() - 0.5) * 4) if len(y) else -4.0), []
     bias = 0.0
-    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    count = np.ones(len(y)) if count is None else count
+    share = (y * count).sum() / count.sum()
+    weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) * count * len(y) / count.sum()
     cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
     code = np.stack([np.searchsorted(c, x[:, f], "left") for f, c in enumerate(cuts)], 1)
     score, trees = np.full(len(y), bias), []
@@ -139,36 +141,48 @@ def tree_scores(x: np.ndarray, bias: float, trees: list[list]) -> np.ndarray:
     return 1 / (1 + np.exp(-total))
 
 
-def _rates(labelled: DataFrame, key: str, name: str) -> DataFrame:
-    """Smoothed share of blocked urls by key, both labels weighing alike."""
-    all_ = labelled.agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
-    by = labelled.groupBy(key).agg(F.sum("y").alias("b"), F.sum(1 - F.col("y")).alias("g")).crossJoin(F.broadcast(all_))
-    scale = (F.col("bad") + F.col("good")) / 2
-    b, g = F.col("b") * scale / F.greatest("bad", F.lit(1.0)), F.col("g") * scale / F.greatest("good", F.lit(1.0))
-    return by.select(key, ((b + SMOOTHING / 2) / (b + g + SMOOTHING)).alias(name))
+def _counts(labelled: DataFrame, key: str) -> DataFrame:
+    """(key, key_bad, key_good): labelled urls of either kind by key; few rows, one a suffix."""
+    return labelled.groupBy(key).agg(F.sum(F.col("y") * F.col("n")).alias(f"{key}_bad"), F.sum((1 - F.col("y")) * F.col("n")).alias(f"{key}_good"))
+
+
+def _rate(key: str, bad: float, good: float, without: bool) -> Column:
+    """Smoothed share of blocked urls at the key, both kinds weighing alike; for a labelled url
+    without its own row, so that its label is not among its features."""
+    b, g = F.coalesce(f"{key}_bad", F.lit(0.0)), F.coalesce(f"{key}_good", F.lit(0.0))
+    if without:
+        b, g = b - F.col("y") * F.col("n"), g - (1 - F.col("y")) * F.col("n")
+    scale = (bad + good) / 2
+    b, g = b * scale / max(bad, 1.0), g * scale / max(good, 1.0)
+    return (b + SMOOTHING / 2) / (b + g + SMOOTHING)
 
 
 def judge_urls(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, score for every row.
 
     labelled: (url, y), y 1 for a url to block. By default the urls that the rules judge.
-    The fit reads at most FIT_ROWS of them, chosen by a hash of the url; the suffix
+    The fit reads at most FIT_ROWS distinct ones, chosen by a hash of the url; the suffix
     statistics are counted over all labelled urls.
     """
     base = pages.select("page_id", "url")
     if labelled is None:
         host, path = url_parts()
         labelled = base.select("url", F.when(rule_for(host, path, rules)[1] == "block", 1.0).when(rule_for(host, path, rules)[1] == "allow", 0.0).alias("y")).where("y is not null")
-    known = materialize(lexical_features(labelled))
-    suffix, ending = (materialize(_rates(known, f, f"{f}_stat")) for f in ("suffix", "ending"))
-
-    def full(df: DataFrame) -> DataFrame:
-        df = df.join(suffix, "suffix", "left").join(ending, "ending", "left")
-        return df.withColumns({c: F.coalesce(c, F.lit(0.5)) for c in ("suffix_stat", "ending_stat")})
-
-    sample = full(known.orderBy(F.xxhash64("url")).limit(FIT_ROWS)).select(*FEATURES, "y").toPandas()
-    bias, trees = fit_trees(sample[list(FEATURES)].to_numpy(float), sample["y"].to_numpy(float))
-    scored = full(lexical_features(base))
+    #: a url counts once with each label, however often it occurs, and weighs as often
+    distinct = labelled.groupBy("url", "y").agg(F.count("*").cast("double").alias("n"))
+    known = materialize(lexical_features(distinct))
+    total = known.agg(F.coalesce(F.sum(F.col("y") * F.col("n")), F.lit(0.0)).alias("bad"), F.coalesce(F.sum((1 - F.col("y")) * F.col("n")), F.lit(0.0)).alias("good")).first()
+    counts = {k: materialize(_counts(known, k), 1) for k in ("suffix", "ending")}
+
+    def full(df: DataFrame, without: bool) -> DataFrame:
+        for key, table in counts.items():
+            table = table.withColumnRenamed(key, f"{key}_key")
+            df = semi(df, table, F.col(key) == F.col(f"{key}_key"), "left").withColumn(f"{key}_stat", _rate(key, total.bad, total.good, without))
+        return df
+
+    sample = full(known.orderBy(F.xxhash64("url"), "url", "y").limit(FIT_ROWS), True).select(*FEATURES, "y", "n").toPandas()  # FIT_ROWS rows
+    bias, trees = fit_trees(sample[list(FEATURES)].to_numpy(float), sample["y"].to_numpy(float), sample["n"].to_numpy(float))
+    scored = full(lexical_features(base), False)
 
     @F.pandas_udf("double")
     def score(features: pd.DataFrame) -> pd.Series:
