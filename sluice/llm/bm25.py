@@ -16,7 +16,7 @@ tf (K1 + 1) / (tf + K1 (1 - B + B length / mean)), rounded to 9 digits; ties go
 doc_id; only scores above 0 are returned.
 
 Defined results: null and empty texts match nothing and, as queries, give no rows; null
-ids take no part; rows of one id and different texts are rows of their own; other columns
+ids take no part; of a query's texts the least counts; rows of one id and different texts are rows of their own; other columns
 are not read; an empty table gives no rows.
 """
 
@@ -160,7 +160,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     df = materialize(doc.select("text").mapInArrow(_frequencies, "h long, df long, n long").groupBy("h").agg(F.sum("df").alias("df"), F.sum("n").alias("n")))
     total = df.where("h is null").first()
     texts, mean = (total.df, max(total.n / max(total.df, 1), 1e-9)) if total else (0, 1.0)
-    q = queries.where("query_id is not null").select(F.col("query_id").cast("long").alias("query_id"), "text").dropDuplicates(["query_id"])
+    q = queries.where("query_id is not null").select(F.col("query_id").cast("long").alias("query_id"), "text").groupBy("query_id").agg(F.min("text").alias("text"))
     terms = q.mapInArrow(_query_terms, "query_id long, h long, tf long").join(df.select("h", "df"), "h")
     idf = F.log(1 + (F.lit(float(texts)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     terms = materialize(terms.select("query_id", "h", "df", (F.col("tf") * idf).alias("weight")))
@@ -186,7 +186,9 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                     found.add(part.column("doc_id").to_numpy(zero_copy_only=False), Words(part.column("text")))
             yield found.rows()
 
-        hits = doc.mapInArrow(run, "query_id long, doc_id long, score double")
+        #: a block's hits are written before the next block's terms come to the driver
+        hits = materialize(doc.mapInArrow(run, "query_id long, doc_id long, score double"))
+        shared.destroy()
         best = hits if best is None else best.unionByName(hits)
     if best is None:
         best = spark.createDataFrame([], "query_id long, doc_id long, score double")
