@@ -130,6 +130,40 @@ def test_mixing(docs, none):
     assert mixing.mix_report(none).count() == 0
 
 
+def test_mixing_is_a_pareto_sample(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join("w" * rng.randint(1, int(2 ** rng.uniform(0, 9)))), f"s{i % 3}") for i in range(3000)]
+    rows = [(i, t.replace("", " ") if i % 2 else t, s) for i, t, s in rows]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in mixing.mix_report(d).collect()}
+    drawn = collections.defaultdict(list)
+    for r in mixing._sized(d, 0).collect():
+        drawn[r.source].append(r)
+    shares = []
+    for group in drawn.values():
+        target, size = got[group[0].doc_id].target, sum(r.size for r in group)
+        whole = math.floor(target / size)
+        left = target - whole * size
+        m = {r.doc_id: math.sqrt(2 ** (r.size.bit_length() - 1)) for r in group if r.size}
+        lo, hi = 0.0, 10.0
+        for _ in range(200):
+            c = (lo + hi) / 2
+            lo, hi = (c, hi) if sum(min(1, c * m[r.doc_id]) * r.size for r in group if r.size) < left else (lo, c)
+        p = {i: min(1, lo * x) for i, x in m.items()}
+        q = {r.doc_id: 0 if p[r.doc_id] > 1 - 1e-9 else r.u / (1 - r.u) / (p[r.doc_id] / (1 - p[r.doc_id])) for r in group if r.size}
+        extra, sum_ = set(), 0
+        for r in sorted((r for r in group if r.size), key=lambda r: (q[r.doc_id], r.doc_id)):
+            if sum_ + r.size / 2 <= left:
+                extra.add(r.doc_id)
+            sum_ += r.size
+        assert all(got[r.doc_id].copies == whole + (r.doc_id in extra) for r in group)
+        for k in {x for x in p.values() if 0.02 < x < 0.98}:
+            same = [i for i, x in p.items() if x == k]
+            if len(same) > 60:
+                shares.append((sum(i in extra for i in same) / len(same) - k) / math.sqrt(k * (1 - k) / len(same)))
+    assert len(shares) > 3 and max(map(abs, shares)) < 4
+
+
 def test_water_level(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 20), (None, 500), ("d", 0)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.source_targets(sizes).collect()}
@@ -299,6 +333,47 @@ def test_urls(spark):
     assert urls.judge_urls(df.where("false")).count() == 0
 
 
+def test_url_verdicts_against_plain_version(spark):
+    rng = random.Random(4)
+    hosts = [f"{w}{rng.randint(1, 99)}.{t}" for w in ("shop", "news", "cdn") for t in ("com", "org", "net", "example.com") for _ in range(4)]
+    rows = [(i, f"http{'s' * (i % 2)}://{rng.choice(hosts)}/{rng.choice(['en', 'es', 'fr', 'x'])}/{rng.randint(1, 300)}{rng.choice(['', '.html', '.php', '?a=1&b=2'])}") for i in range(400)]
+    rows += [(400 + i, rows[0][1]) for i in range(50)]
+    got = {r.page_id: r for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+
+    def parts(u):
+        rest = u.split("://", 1)[1]
+        cut = min([rest.find(c) for c in "/?#" if c in rest] or [len(rest)])
+        return rest[:cut].lower(), rest[cut:].split("?")[0].split("#")[0]
+
+    def features(u, without):
+        h, p = parts(u)
+        q = u.split("?", 1)[1] if "?" in u else ""
+        share = [h.count(c) / len(h) for c in set(h)]
+        f = [len(u), len(h), len(p), sum(1 for x in p.split("/") if x), h.count(".") + 1, sum(c.isdigit() for c in u) / len(u), -sum(x * math.log2(x) for x in share), h.count("-"), len([x for x in q.split("&") if x]), max(map(len, h.split("."))), float(u.startswith("https:"))]
+        ending = p.rsplit(".", 1)[1] if "." in p and p.rsplit(".", 1)[1].isalpha() else ""
+        for table, key in ((suffix, h.split(".")[-1]), (ends, ending)):
+            b, g = table[key]
+            if without and u in label:
+                b, g = b - label[u] * count[u], g - (1 - label[u]) * count[u]
+            b, g = b * (bad + good) / 2 / max(bad, 1), g * (bad + good) / 2 / max(good, 1)
+            f.append((b + urls.SMOOTHING / 2) / (b + g + urls.SMOOTHING))
+        return f
+
+    label = {u: float(got[i].verdict == "block") for i, u in rows if got[i].rule}
+    count = collections.Counter(u for _, u in rows)
+    suffix, ends = collections.defaultdict(lambda: [0, 0]), collections.defaultdict(lambda: [0, 0])
+    for u, y in label.items():
+        h, p = parts(u)
+        for table, key in ((suffix, h.split(".")[-1]), (ends, p.rsplit(".", 1)[1] if "." in p and p.rsplit(".", 1)[1].isalpha() else "")):
+            table[key][0 if y else 1] += count[u]
+    bad, good = sum(count[u] for u, y in label.items() if y), sum(count[u] for u, y in label.items() if not y)
+    train = sorted(label)
+    bias, trees = urls.fit_trees(np.array([features(u, True) for u in train]), np.array([label[u] for u in train]), np.array([count[u] for u in train], dtype=float))
+    want = urls.tree_scores(np.array([features(u, False) for _, u in rows]), bias, trees)
+    assert np.allclose([got[i].score for i, _ in rows], want, atol=1e-6)
+    assert all(got[i].verdict == ("block" if w >= 0.5 else "allow") for (i, _), w in zip(rows, want, strict=True) if got[i].rule is None)
+
+
 def test_trees_separate():
     rng = np.random.default_rng(2)
     x = rng.random((2000, 3))
