@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 SHARD_NODES = 2048
-QUERY_BLOCK = 2048
+QUERY_BLOCK = 8192
 ALPHA, DEGREE, BUILD_BEAM, BEAM = 1.2, 20, 32, 48
 
 
@@ -141,9 +141,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 def search(df: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", beam: int = BEAM) -> DataFrame:
     """query_id, rank, vec_id, score: k nearest by cosine of each row for which queries holds."""
-    df = df.withColumn("_q", F.coalesce(queries, F.lit(False)))
     clean = _clean(df, id_col, vec_col).distinct()
-    wanted = materialize(_clean(df.where("_q"), id_col, vec_col).distinct().withColumnRenamed("vec_id", "query_id"))
+    wanted = materialize(_clean(df.where(F.coalesce(queries, F.lit(False))), id_col, vec_col).distinct().withColumnRenamed("vec_id", "query_id"))
     clean = clean.withColumn("key", F.concat_ws("", *[F.hex(F.xxhash64(F.lit(s), "v")) for s in (1, 2)]))
     ids = materialize(_least_ids(clean.select("key", "vec_id"), "key", k + 1))
     firsts = ids.groupBy("key").agg(F.min("vec_id").alias("vec_id"))
@@ -151,26 +150,29 @@ def search(df: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", v
     total = nodes.count()
     shards = max(1, -(-total // SHARD_NODES))
     nodes_s = nodes.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
-    every = wanted.select("query_id", F.col("v").alias("qv"), F.size("v").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    blocks = max(1, -(-wanted.count() // QUERY_BLOCK))
     want = k + 1
 
+    def graph(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("key", ignore_index=True)
+        near, start = build(_unit(group["v"]))
+        return pd.DataFrame({"shard": group["shard"], "dim": group["dim"], "key": group["key"], "v": group["v"], "place": np.arange(len(group)), "near": list(near), "start": start})
+
+    graphs = materialize(nodes_s.groupBy("shard", "dim").applyInPandas(graph, "shard int, dim int, key string, v array<double>, place int, near array<int>, start int"))
+    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+    every = wanted.select("query_id", F.col("v").alias("qv"), F.size("v").alias("dim"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "key": pd.Series(dtype="object")})
         if not len(left) or not len(right):
-            return empty
-        left = left.sort_values("key", ignore_index=True)
-        unit = _unit(left["v"])
-        graph, start = build(unit)
-        parts = []
-        for first in range(0, len(right), QUERY_BLOCK):
-            block = right.iloc[first : first + QUERY_BLOCK]
-            found, _ = greedy(unit, graph, start, _unit(block["qv"]), max(beam, want))
-            found = found[:, :want]
-            r, c = np.nonzero(found >= 0)
-            parts.append(pd.DataFrame({"query_id": block["query_id"].to_numpy()[r], "key": left["key"].to_numpy()[found[r, c]]}))
-        return pd.concat(parts) if parts else empty
-
-    hits = nodes_s.groupBy("shard", "dim").cogroup(every.groupBy("shard", "dim")).applyInPandas(run, "query_id long, key string")
+            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "key": pd.Series(dtype="object")})
+        left = left.sort_values("place", ignore_index=True)
+        found, _ = greedy(_unit(left["v"]), np.stack(left["near"].to_numpy()), int(left["start"].iloc[0]), _unit(right["qv"]), max(beam, want))
+        found = found[:, :want]
+        r, c = np.nonzero(found >= 0)
+        return pd.DataFrame({"query_id": right["query_id"].to_numpy()[r], "key": left["key"].to_numpy()[found[r, c]]})
+
+    keys = ("shard", "dim", "block")
+    hits = graphs.select("*", each).groupBy(*keys).cogroup(every.groupBy(*keys)).applyInPandas(run, "query_id long, key string")
     q = wanted.select("query_id", F.col("v").alias("qv"))
     exact = hits.join(nodes.select("key", "v"), "key").join(q, "query_id").select("query_id", "key", cosine(F.col("qv"), F.col("v")).alias("score"))
     #: nodes of a query first, so that a node with many ids is expanded for few queries

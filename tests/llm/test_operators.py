@@ -323,6 +323,23 @@ def test_neighbours(spark):
     assert ann.search(df.where("false"), F.lit(True)).count() == 0
 
 
+def test_neighbours_over_several_shards(spark):
+    rng = np.random.default_rng(6)
+    n = 3 * ann.SHARD_NODES
+    v = rng.normal(size=(n, 24)).astype(np.float32)
+    rows = pa.table({"vec_id": np.arange(n), "embedding": list(v), "_q": ["x"] * n})
+    got = collections.defaultdict(list)
+    for r in ann.search(spark.createDataFrame(rows), F.col("vec_id") % 100 == 0).collect():
+        got[r.query_id].append(r.vec_id)
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    hit = 0
+    for q in range(0, n, 100):
+        s = u @ u[q]
+        s[q] = -9
+        hit += len(set(np.argsort(-s)[:5].tolist()) & set(got[q]))
+    assert all(len(x) == 5 for x in got.values()) and len(got) == len(range(0, n, 100)) and hit >= 0.9 * 5 * len(got)
+
+
 def test_urls(spark):
     rows = [(0, None), (1, "nothing"), (2, "http://A.Com/x?y#z"), (3, "https://www.example.com/en/a"), (4, "https://b.example.com/en/a"), (5, "http://x.net/es/1"), (6, "http://x.net/de/1"), (7, "http://notcom/x"), (8, "http://x.com"), (9, "http://x.org?q=://y")]
     df = spark.createDataFrame([(i, u, "h") for i, u in rows], "page_id long, url string, host string")
