@@ -1,4 +1,4 @@
-"""Scalar text functions as column expressions: normal forms, checksums, requirements."""
+"""Scalar text functions as column expressions: normal forms, checksums, masks, templates."""
 
 from __future__ import annotations
 
@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 # fixed values: characters that a document number may spell a dash with
 DASHES = "\u2010\u2011\u2012\u2013\u2014\u2015\u2212\ufe58\ufe63\uff0d"
 # fixed values: Cyrillic capitals and their Latin look-alikes, for document numbers
-NUMBER_FROM, NUMBER_TO = "АВЕКМНОРСТХУR", "ABEKMHOPCTXYP"
+NUMBER_FROM, NUMBER_TO = "АВЕКМНОРСТХУR", "ABEKMHOPCTXUP"
 # fixed values: the wider table of look-alikes, for names and standards
 NAME_FROM, NAME_TO = "АВЕКМНОРСТХУІЅЈ", "ABEKMHOPCTXYISJ"
+# fixed values: characters that a document number is compared without (spaces, quotes, number sign, soft hyphen, semicolon)
+NUMBER_DROPPED = "\\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff;\u00ad№\"'`«»“”„‘’"
+# fixed values: words after which a database quotes the name of a schema object
+SCHEMA_WORDS = "relation|column|constraint|table|index|type|function|schema|role|database|sequence|view|trigger|operator|extension|policy"
+MESSAGE_LENGTH = 300
 # fixed values: weights of the check digits
 INN10 = (2, 4, 10, 3, 5, 9, 4, 6, 8)
 INN11 = (7, 2, 4, 10, 3, 5, 9, 4, 6, 8)
@@ -20,7 +25,7 @@ INN12 = (3, 7, 2, 4, 10, 3, 5, 9, 4, 6, 8)
 def doc_no(c: Column) -> Column:
     """Upper case, one kind of dash, without spaces, number sign, quotes, semicolons."""
     dashed = F.translate(F.upper(c), DASHES, "-" * len(DASHES))
-    return F.regexp_replace(dashed, "[\\s\u00a0\u00ad№\"'«»“”„;]+", "")
+    return F.regexp_replace(dashed, f"[{NUMBER_DROPPED}]+", "")
 
 
 def doc_no_folded(c: Column) -> Column:
@@ -32,15 +37,29 @@ def fold_homoglyphs(c: Column) -> Column:
 
 
 def standard(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(fold_homoglyphs(c), "[\"'«»]", ""), r"\s*-\s*", "-"), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(fold_homoglyphs(c), "[\"'`«»]", ""), r"[\s\u00a0]+", " "), r"\s*-\s*", "-"))
+
+
+_YEAR = r"-((?:19|20)\d{2})(?:\s*\(.*\))?$"
 
 
 def standard_without_year(c: Column) -> Column:
-    return F.regexp_replace(standard(c), r"-(19|20)\d\d$", "")
+    return F.regexp_replace(standard(c), _YEAR, "")
 
 
 def standard_year(c: Column) -> Column:
-    return F.nullif(F.regexp_extract(standard(c), r"-((19|20)\d\d)$", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(standard(c), _YEAR, 1), F.lit(""))
+
+
+def org_key(c: Column) -> Column:
+    """Comparison form: look-alikes folded, letters and digits only. The legal form stays in it:
+    after the fold it is spelled in Latin letters, which the list of forms is not."""
+    return F.regexp_replace(fold_homoglyphs(c), r"[^\p{L}\p{N}]+", "")
+
+
+def phrase(c: Column) -> Column:
+    """Letters and digits in upper case, Ё as Е."""
+    return F.regexp_replace(F.translate(F.upper(c), "Ё", "Е"), r"[^\p{L}\p{N}]+", "")
 
 
 def org_name(c: Column) -> Column:
@@ -53,7 +72,7 @@ def digits_of(c: Column) -> Column:
 
 
 def mark(c: Column) -> Column:
-    return F.regexp_replace(F.upper(c), r"[\s.\-]", "")
+    return F.regexp_replace(fold_homoglyphs(c), r"[\s.\-]+", "")
 
 
 def line(c: Column) -> Column:
@@ -67,15 +86,28 @@ def lines(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, r"\r?\n"), line), lambda x: x != "")
 
 
-def error_template(c: Column, cap: int = 500) -> Column:
-    """A message with its timestamps, uuids, long hex, key values, quoted values and numbers masked."""
+def error_template(c: Column) -> Column:
+    """A message with timestamps, uuids, long hex, key values, quoted values and numbers masked.
+
+    Quoted names after one of SCHEMA_WORDS stay: other tables are other defects. Their quotes
+    are set aside as control characters while the other quoted values are masked.
+    """
+    held = {"'": ("\x01", "'", "\x01"), '"': ("\x02", '"', "\x02"), "«": ("\x03", "»", "\x04")}
+    # fixed values: the forms that are masked, in this order, and what stands for them
     for pattern, to in (
-        (r"\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:?\d\d)?", "<ts>"),
-        (r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", "<uuid>"),
-        (r"(?i)\b[0-9a-f]{16,}\b", "<hex>"), (r"\)=\([^)]*\)", ")=(<value>)"), (r"'[^']*'", "'<value>'"), (r"\b\d+(\.\d+)?\b", "<n>"),
+        (r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?", "<timestamp>"),
+        (r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", "<uuid>"),
+        (r"(?i)\b[0-9a-f]{16,}\b", "<hex>"),
+        (r"\)=\([^)]*\)", ")=(<value>)"),
     ):
         c = F.regexp_replace(c, pattern, to)
-    return F.substring(c, 1, cap)
+    for opening, (left, closing, right) in held.items():
+        c = F.regexp_replace(c, rf"(?i)\b({SCHEMA_WORDS})(\s+){opening}([A-Za-z_][A-Za-z0-9_]{{0,62}}){closing}", f"$1$2{left}$3{right}")
+    c = F.regexp_replace(c, "'[^']*'|\"[^\"]*\"|«[^»]*»", "<value>")
+    c = F.regexp_replace(c, r"(?<![\w$<])\d+(?:\.\d+)?", "<n>")
+    c = F.translate(c, "\x01\x02\x03\x04", "'\"«»")
+    c = F.trim(F.regexp_replace(c, r"[\s\u00a0]+", " "))
+    return F.when(F.length(c) > MESSAGE_LENGTH, F.concat(F.substring(c, 1, MESSAGE_LENGTH), F.lit("…"))).otherwise(c)
 
 
 def fingerprint(*parts: Column, version: str = "v1") -> Column:
@@ -109,34 +141,100 @@ def kpp_ok(c: Column) -> Column:
     return c.rlike(r"^\d{9}$")
 
 
-def requirement(c: Column) -> Column:
-    """STRUCT(kind, lo, hi) of a norm: a±b, a…b, от a до b, не менее a, не более a, exact; else unparsed."""
-    num = r"(-?\d+(?:[.,]\d+)?)"
-    text = F.regexp_replace(F.lower(c), "\u00a0", " ")
-    value = lambda p, g: F.regexp_replace(F.regexp_extract(text, p, g), ",", ".").try_cast("double")
-    make = lambda kind, lo, hi: F.struct(F.lit(kind).alias("kind"), lo.cast("double").alias("lo"), hi.cast("double").alias("hi"))
-    sym, rng, span = num + r"\s*±\s*" + num, num + r"\s*(?:…|\.\.\.)\s*" + num, r"от\s*" + num + r"\s*до\s*" + num
-    low, high, one = r"(?:не менее|≥)\s*" + num, r"(?:не более|≤)\s*" + num, r"^\s*" + num + r"\s*[^\d]*$"
-    none = F.lit(None)
+def backoff_ms(attempt: Column, base: int = 5_000, cap: int = 600_000) -> Column:
+    return F.least(F.lit(float(cap)), F.lit(float(base)) * F.pow(F.lit(2.0), attempt - 1)).cast("long")
+
+
+def iso_instant(c: Column) -> Column:
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def registry_name(c: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(c, ";+", " "), r"[\s\u00a0]+", " "))
+
+
+def clean_doc_no(c: Column) -> Column:
+    """A number as printed: without number signs before it and punctuation around it."""
+    bare = F.regexp_replace(F.regexp_replace(c, r"^№+\s*", ""), r"^[\s;,:]+|[\s;,:]+$", "")
+    return F.trim(F.regexp_replace(bare, r"\s{2,}", " "))
+
+
+def observed_title(c: Column) -> Column:
+    """What kind of document a title names: no Markdown, numbers, dates, end punctuation; where
+    nothing is left, the title with its number."""
+    tidy = lambda x: F.trim(F.regexp_replace(F.trim(F.regexp_replace(x, r"[\s\u00a0]+", " ")), r"[\s.,;:\-–—]+$", ""))
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"[|>]", " "), r"^[\s#*_-]+", " "), r"[*_`]", " ")
+    upper = F.translate(F.upper(F.regexp_replace(plain, r"^\s*\d+[.)]\s+", " ")), "Ё", "Е")
+    day = r"\d{1,2}[./-]\d{1,2}[./-]\d{2,4}"
+    kind = F.regexp_replace(F.regexp_replace(F.regexp_replace(upper, r"№\s*\S+", " "), rf"(^|\s)ОТ\s+{day}", " "), rf"\b{day}\b", " ")
+    return F.when(tidy(kind) == "", tidy(upper)).otherwise(tidy(kind))
+
+
+def person_key(c: Column) -> Column:
+    """Surname and initials, however the given names are written: ИВАНОВ И П."""
+    words = F.filter(F.split(F.translate(F.upper(c), "Ё.", "Е "), r"\s+"), lambda x: x != "")
+    return F.array_join(F.transform(words, lambda x, i: F.when(i == 0, x).otherwise(F.substring(x, 1, 1))), " ")
+
+
+def sql_template(c: Column) -> Column:
+    """A statement without its literals and numbers, on one line."""
+    x = F.regexp_replace(F.regexp_replace(c, r"'(?:[^']|'')*'", "?"), r"\$\d+|\b\d+(?:\.\d+)?\b", "?")
+    return F.trim(F.regexp_replace(F.regexp_replace(x, r"\s+", " "), r"\(\s*\?(?:\s*,\s*\?)+\s*\)", "(?)"))
+
+
+def sql_verb(c: Column) -> Column:
+    verb = F.lower(F.regexp_extract(c, r"^\s*([A-Za-z]+)", 1))
+    return F.when(verb.isin("select", "insert", "update", "delete", "with"), verb).otherwise("other")
+
+
+def path_template(c: Column) -> Column:
+    """A route without its query and its ids (uuids, numbers)."""
+    x = F.regexp_replace(F.substring_index(c, "?", 1), r"(?i)/[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}(?=/|$)", "/:id")
+    return F.regexp_replace(x, r"/\d+(?=/|$)", "/:id")
+
+
+def redact_urls(c: Column) -> tuple[Column, Column]:
+    """(text without absolute addresses, how many there were)."""
+    url = r"https?://[^\s<>\"')\]]+"
+    return F.regexp_replace(c, url, "[link]"), F.regexp_count(c, F.lit(url))
+
+
+def filled(template: Column, values: Column) -> Column:
+    """{name} place-holders replaced by the map's values; unknown ones stay."""
+    return F.aggregate(F.map_entries(values), template, lambda acc, e: F.replace(acc, F.concat(F.lit("{"), e["key"], F.lit("}")), e["value"]))
+
+
+def clip(c: Column, budget: int) -> Column:
+    return F.when(F.length(c) > budget, F.concat(F.substring(c, 1, budget - 1), F.lit("…"))).otherwise(c)
+
+
+def column_letter(i: Column) -> Column:
+    """Spreadsheet letters of a column number from 0 (up to three letters)."""
+    letter = lambda n: F.char(65 + n)
+    two, three = i - 26, i - 26 - 676
     return (
-        F.when(text.rlike(sym), make("range", value(sym, 1) - value(sym, 2), value(sym, 1) + value(sym, 2)))
-        .when(text.rlike(span), make("range", value(span, 1), value(span, 2)))
-        .when(text.rlike(rng), make("range", value(rng, 1), value(rng, 2)))
-        .when(text.rlike(low), make("min", value(low, 1), none))
-        .when(text.rlike(high), make("max", none, value(high, 1)))
-        .when(text.rlike(one), make("exact", value(one, 1), value(one, 1)))
-        .otherwise(make("unparsed", none, none))
+        F.when(i < 26, letter(i)).when(two < 676, F.concat(letter(F.floor(two / 26)), letter(two % 26)))
+        .otherwise(F.concat(letter(F.floor(three / 676)), letter(F.floor(three / 26) % 26), letter(three % 26)))
     )
 
 
-def iso_date(c: Column) -> Column:
-    """dd.MM.yyyy as a date; an impossible day is null."""
-    return F.try_to_date(c, "d.M.yyyy")
+def escape_xml(c: Column) -> Column:
+    x = F.regexp_replace(c, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
+        x = F.replace(x, F.lit(char), F.lit(name))
+    return x
 
 
-def backoff_ms(attempt: Column, base: int = 5_000, cap: int = 600_000) -> Column:
-    return F.least(F.lit(float(cap)), F.lit(float(base)) * F.pow(F.lit(2.0), attempt - 1)).cast("long")
+def six_decimals(c: Column) -> Column:
+    """Fixed text of a coordinate; zero has no sign."""
+    x = F.format_string("%.6f", c)
+    return F.when(x == "-0.000000", "0.000000").otherwise(x)
 
 
-def iso_instant(c: Column) -> Column:
-    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+def elapsed_ms(end: Column, start: Column) -> Column:
+    return F.greatest(F.lit(0), F.unix_millis(end.cast("timestamp")) - F.unix_millis(start.cast("timestamp")))
+
+
+def digits_verdict(c: Column) -> Column:
+    """Why a taxpayer number is no such number: empty, not_digits, length, checksum; null if it is one."""
+    return F.when(F.coalesce(F.trim(c), F.lit("")) == "", "empty").when(~c.rlike(r"^\d+$"), "not_digits").when(~F.length(c).isin(10, 12), "length").when(~inn_ok(c), "checksum")

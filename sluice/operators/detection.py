@@ -21,10 +21,16 @@ def plan_tiles(pages: DataFrame, page: str, width: str, height: str, tile: int,
     return both.select(page, "x", "y", F.least(F.lit(tile), width).alias("w"), F.least(F.lit(tile), height).alias("h"))
 
 
+def _with(value: Column, f) -> Column:
+    """f(value), value being computed once."""
+    return F.transform(F.array(value), f)[0]
+
+
 def softmax(scores: Column) -> Column:
     """Probabilities of an array of logits, shifted by their maximum."""
-    grown = F.transform(scores, lambda v: F.exp(v.cast("double") - F.array_max(scores).cast("double")))
-    return F.transform(grown, lambda v: v / F.aggregate(grown, F.lit(0.0), lambda a, b: a + b))
+    grown = _with(F.array_max(scores).cast("double"), lambda top: F.transform(scores, lambda v: F.exp(v.cast("double") - top)))
+    both = _with(grown, lambda g: F.struct(g.alias("g"), F.aggregate(g, F.lit(0.0), lambda a, b: a + b).alias("t")))
+    return _with(both, lambda x: F.transform(x["g"], lambda v: v / x["t"]))
 
 
 def sigmoid(v: Column) -> Column:

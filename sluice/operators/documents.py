@@ -89,10 +89,12 @@ def match_types(df: DataFrame, key: str, text: str, types: Sequence[DocType]) ->
 
 
 def resolve_types(matches: DataFrame, key: str) -> DataFrame:
-    """(key, code, state): the highest priority wins; several at the top are ambiguous."""
-    best = matches.groupBy(key).agg(F.max("priority").alias("priority"))
-    top = matches.join(best, [key, "priority"]).groupBy(key).agg(F.count("*").alias("n"), F.min("code").alias("code"))
-    return top.select(key, F.when(F.col("n") == 1, F.col("code")).alias("code"), F.when(F.col("n") == 1, "resolved").otherwise("ambiguous").alias("state"))
+    """(key, code, state, alternatives): the highest priority wins, by name among equals; several
+    at the top are ambiguous, and the others there are the alternatives."""
+    best = F.reverse(F.array_sort(F.collect_list(F.struct("priority", "code"))))
+    g = matches.groupBy(key).agg(best.alias("all"))
+    top = F.array_sort(F.transform(F.filter("all", lambda x: x["priority"] == F.col("all")[0]["priority"]), lambda x: x["code"]))
+    return g.select(key, top.alias("top")).select(key, F.col("top")[0].alias("code"), F.when(F.size("top") == 1, "resolved").otherwise("ambiguous").alias("state"), F.slice("top", 2, 1000).alias("alternatives"))
 
 
 @dataclass(frozen=True)

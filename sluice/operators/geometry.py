@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,24 +23,17 @@ def iou(a: Column, b: Column) -> Column:
 
 
 def suppress(df: DataFrame, page: str, kind: str, threshold: float = 0.5) -> DataFrame:
-    """Greedy suppression per page and class: columns x0, y0, x1, y1, score; ties by row id."""
+    """Greedy suppression per page and class: columns x0, y0, x1, y1, score; ties by row id.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "id"], ascending=[False, True])
-        kept: list = []
-        for r in pdf.itertuples():
-            if all(_iou(r, k) < threshold for k in kept):
-                kept.append(r)
-        return pdf.loc[[k.Index for k in kept]]
-
-    return df.groupBy(page, kind).applyInPandas(run, df.schema)
-
-
-def _iou(a, b) -> float:
-    w, h = min(a.x1, b.x1) - max(a.x0, b.x0), min(a.y1, b.y1) - max(a.y0, b.y0)
-    both = max(0.0, w) * max(0.0, h)
-    union = (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - both
-    return both / union if union > 0 else 0.0
+    The boxes of a page and class are folded in order of their scores; a box stays unless one
+    that stayed overlaps it. A page holds a bounded number of boxes.
+    """
+    row = F.struct((-F.col("score")).alias("by"), F.col("id"), F.struct(*df.columns).alias("r"))
+    boxes = F.array_sort(F.collect_list(row))
+    grouped = df.groupBy(page, kind).agg(boxes.alias("b"))
+    alone = F.size("b") == 1
+    kept = F.aggregate("b", F.slice("b", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda k: iou(k["r"], x["r"]) >= threshold), acc).otherwise(F.concat(acc, F.array(x))))
+    return grouped.select(F.explode(F.when(alone, F.col("b")).otherwise(kept)).alias("k")).select("k.r.*")
 
 
 def union_area(df: DataFrame, page: str) -> DataFrame:
@@ -54,10 +46,3 @@ def union_area(df: DataFrame, page: str) -> DataFrame:
     cells = xs.join(df, page).where("x0 <= x and x1 >= xb").join(ys, page).where("y0 <= y and y1 >= yb")
     cells = cells.select(page, "x", "xb", "y", "yb").distinct()
     return cells.groupBy(page).agg(F.sum((F.col("xb") - F.col("x")) * (F.col("yb") - F.col("y"))).alias("covered"))
-
-
-def tiles(df: DataFrame, size: int, overlap: int) -> DataFrame:
-    """Tiles of a page (width, height): origins by step, the last flush with the edge."""
-    step = size - overlap
-    starts = lambda n: F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.col(n) - size) / step).cast("int"))), lambda i: F.greatest(F.lit(0), F.least(i * step, F.col(n) - size))))
-    return df.withColumn("tx", F.explode(starts("width"))).withColumn("ty", F.explode(starts("height")))

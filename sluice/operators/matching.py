@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.functions.text import doc_no, doc_no_folded
+from sluice.functions.text import doc_no, doc_no_folded, org_key, phrase
 
 
 def match_rows(rows: DataFrame, documents: DataFrame) -> DataFrame:
@@ -41,3 +41,42 @@ def confusion(pairs: DataFrame) -> DataFrame:
     j = gold.join(said, "label", "full").na.fill(0, ["support", "tp", "said"])
     p, r = F.when(F.col("said") > 0, F.col("tp") / F.col("said")), F.when(F.col("support") > 0, F.col("tp") / F.col("support"))
     return j.select("label", "support", "tp", (F.col("said") - F.col("tp")).alias("fp"), (F.col("support") - F.col("tp")).alias("fn"), p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"))
+
+
+def overall(classes: DataFrame) -> DataFrame:
+    """One row from ``confusion``: micro and macro figures; macro F1 over classes with three or
+    more expected rows; phantom classes are only predicted, rare ones have one or two rows."""
+    share = lambda a, b: F.when(F.sum(b) > 0, F.sum(a) / F.sum(b))
+    return classes.agg(
+        F.round(share("tp", "support"), 9).alias("micro_recall"), F.round(share("tp", F.col("tp") + F.col("fp")), 9).alias("micro_precision"), F.round(F.avg("recall"), 9).alias("macro_recall"),
+        F.round(F.avg(F.when(F.col("support") >= 3, F.coalesce("f1", F.lit(0.0)))), 9).alias("macro_f1"), F.count_if(F.col("support") == 0).alias("phantom"), F.count_if(F.col("support").between(1, 2)).alias("rare"),
+    )
+
+
+def match_groups(groups: DataFrame, documents: DataFrame) -> DataFrame:
+    """groups (group_id, act, title, org), documents (doc_id, number, title, org) -> state, score, doc_id.
+
+    Rungs: act number exact 1.0, folded 0.85, title 0.9; the first rung with any candidate
+    counts. Several candidates are narrowed to those whose organisation contains the group's
+    or is contained in it: one left matches with 0.8, else the group is ambiguous. Candidates
+    are summed by organisation before the join, so a number that many documents share costs
+    as many rows as it has organisations.
+    """
+    g = groups.select("group_id", F.col("org").alias("g_org"), doc_no(F.col("act")).alias("k1"), doc_no_folded(F.col("act")).alias("k2"), phrase(F.col("title")).alias("k3"))
+    d = documents.select("doc_id", F.col("org").alias("d_org"), doc_no(F.col("number")).alias("k1"), doc_no_folded(F.col("number")).alias("k2"), phrase(F.col("title")).alias("k3"))
+    a, b = org_key(F.col("g_org")), org_key(F.col("d_org"))
+    same = F.coalesce((a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a)), F.lit(False))
+    found = None
+    for k in ("k1", "k2", "k3"):
+        by = d.where(F.col(k) != "").groupBy(k, "d_org").agg(F.count("*").alias("n"), F.min("doc_id").alias("one"))
+        hit = g.join(by, k).groupBy("group_id").agg(F.sum("n").alias("n"), F.min("one").alias("one"), F.sum(F.when(same, F.col("n")).otherwise(0)).alias("m"), F.min(F.when(same, F.col("one"))).alias("own"))
+        hit = hit.select("group_id", F.lit(int(k[1])).alias("rung"), "n", "one", "m", "own")
+        found = hit if found is None else found.unionByName(hit)
+    best = found.groupBy("group_id").agg(F.min(F.struct("rung", "n", "one", "m", "own")).alias("b")).select("group_id", "b.*")
+    j = groups.select("group_id").join(best, "group_id", "left")
+    rung = F.when(F.col("rung") == 1, 1.0).when(F.col("rung") == 2, 0.85).otherwise(0.9)
+    alone, narrowed = F.col("n") == 1, F.col("m") == 1
+    return j.select(
+        "group_id", F.when(alone | narrowed, "matched").when(F.col("n") > 1, "ambiguous").otherwise("missing").alias("state"),
+        F.when(alone, rung).when(narrowed, 0.8).alias("score"), F.when(alone, F.col("one")).when(narrowed, F.col("own")).alias("doc_id"),
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -97,8 +98,9 @@ def with_counts(parent: DataFrame, key: str, **children: DataFrame) -> DataFrame
     return parent
 
 
-def ancestor_chain(df: DataFrame, node: str, parent: str, view: str = "chain_nodes") -> DataFrame:
+def ancestor_chain(df: DataFrame, node: str, parent: str) -> DataFrame:
     """(node, ancestor, depth) for every row by recursion, the node itself at depth 0."""
+    view = f"chain_{uuid.uuid4().hex}"
     df.select(F.col(node).alias("node"), F.col(parent).alias("parent")).createOrReplaceTempView(view)
     return df.sparkSession.sql(f"""
         WITH RECURSIVE chain(node, ancestor, up, depth) AS (
@@ -118,3 +120,80 @@ def accumulate(target: DataFrame, delta: DataFrame, keys: Sequence[str], sums: S
 
 def insert_absent(target: DataFrame, delta: DataFrame, keys: Sequence[str]) -> DataFrame:
     return target.unionByName(delta.dropDuplicates(list(keys)).join(target.select(*keys), list(keys), "left_anti"))
+
+
+def in_month(ts: str, month: Column) -> Column:
+    """Half-open calendar month: from its first instant up to the next month's."""
+    start = F.date_trunc("month", month)
+    return (F.col(ts) >= start) & (F.col(ts) < F.add_months(start, 1))
+
+
+def with_sets(parent: DataFrame, key: str, **children: tuple[DataFrame, str]) -> DataFrame:
+    """The sorted distinct values of each child's column, aggregated before its join; none is empty.
+
+    Four left joins of unaggregated children would multiply their rows.
+    """
+    for name, (child, column) in children.items():
+        got = child.groupBy(key).agg(F.sort_array(F.collect_set(column)).alias(name))
+        kind = got.schema[name].dataType
+        parent = parent.join(got, key, "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))
+    return parent
+
+
+def positional_match(left: DataFrame, right: DataFrame, page: str, edges: Sequence[str], order: str) -> DataFrame:
+    """(page, left_id, right_id): blocks of equal rounded geometry, by rank among equals; a full
+    join, so blocks without a partner stay. Both sides have page, id, the edges and order."""
+
+    def ranked(df: DataFrame, name: str) -> DataFrame:
+        place = F.concat_ws("|", *[F.format_string("%.6f", F.col(e)) for e in edges])
+        w = Window.partitionBy(page, "place").orderBy(order)
+        return df.withColumn("place", place).select(page, "place", F.row_number().over(w).alias("rank"), F.col("id").alias(name))
+
+    return ranked(left, "left_id").join(ranked(right, "right_id"), [page, "place", "rank"], "full").select(page, "left_id", "right_id")
+
+
+def differences(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """(key, side): keys that only one side has, missing or unknown."""
+    e, f = expected.select(key).distinct(), found.select(key).distinct()
+    return e.join(f, key, "left_anti").withColumn("side", F.lit("missing")).unionByName(f.join(e, key, "left_anti").withColumn("side", F.lit("unknown")))
+
+
+def first_spelling(df: DataFrame, group: Sequence[str], value: str, order: str) -> DataFrame:
+    """Of values equal after folding case and white space the first in order."""
+    norm = F.upper(F.trim(F.regexp_replace(value, r"\s+", " ")))
+    return df.withColumn("_k", norm).groupBy(*group, "_k").agg(F.min_by(value, order).alias(value), F.min(order).alias(order)).drop("_k")
+
+
+def partition_faults(whole: DataFrame, parts: Sequence[DataFrame], key: str) -> DataFrame:
+    """(key, fault) where parts are no partition of the whole: lost, foreign or doubled."""
+    placed = reduce(DataFrame.union, [p.select(key) for p in parts]).groupBy(key).agg(F.count("*").alias("n"))
+    j = whole.select(key, F.lit(True).alias("own")).join(placed, key, "full")
+    fault = F.when(F.col("own").isNull(), "foreign").when(F.col("n").isNull(), "lost").when(F.col("n") > 1, "doubled")
+    return j.select(key, fault.alias("fault")).where("fault is not null")
+
+
+def reference_counts(keys: DataFrame, key: str, **children: DataFrame) -> DataFrame:
+    """(key, source, n): how many rows of each child still name a key, before a delete."""
+    named = [c.groupBy(key).agg(F.count("*").alias("n")).withColumn("source", F.lit(name)) for name, c in children.items()]
+    return keys.select(key).join(reduce(DataFrame.unionByName, named), key).select(key, "source", "n")
+
+
+def named_either_way(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
+    """Pairs whose names contain each other, either way. right is a directory, broadcast while
+    it has at most 10,000 rows; blank names match nothing."""
+    small = right.where(F.trim(b) != "")
+    if small.limit(10_001).count() <= 10_000:
+        small = F.broadcast(small)
+    return left.where(F.trim(a) != "").join(small, F.contains(F.col(a), F.col(b)) | F.contains(F.col(b), F.col(a)))
+
+
+def safe_number(c: Column) -> Column:
+    """A number only where the whole text is one."""
+    return F.when(c.rlike(r"^-?\d+(\.\d+)?$"), c.try_cast("double"))
+
+
+def counted_upsert(target: DataFrame, delta: DataFrame, key: str, count: str, sample: str) -> DataFrame:
+    """(key, count, sample, created): counters added; created tells that the target had no such key."""
+    new = delta.groupBy(key).agg(F.count("*").alias("_n"), F.min(sample).alias("_s"))
+    j = target.select(key, count, sample).join(new, key, "full")
+    return j.select(key, (F.coalesce(count, F.lit(0)) + F.coalesce("_n", F.lit(0))).alias(count), F.coalesce(sample, "_s").alias(sample), F.col(count).isNull().alias("created"))

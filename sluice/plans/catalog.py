@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluice.functions import text as tx
-from sluice.operators import geometry, matching, relational as rel, rules
+from sluice.operators import geometry, matching, relational as rel
 from sluice.sources.tables import table
 from sluice.streaming import journal
 
@@ -54,9 +54,10 @@ def optional_filters(spark, d):
     return rel.where_given(table(spark, d, "customer"), name=rel.contains_text("c_name", "R#000"), segment=F.col("c_mktsegment") == "BUILDING", balance=None).select("c_custkey", "c_name")
 
 
-@query("""SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)""")
+@query("""SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o_orderpriority = '1-URGENT')""")
 def anti_join_customers(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    urgent = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'")
+    return table(spark, d, "customer").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("""SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o_orderpriority = '1-URGENT')
@@ -193,15 +194,16 @@ def taxpayer_checksum(spark, d):
     return table(spark, d, "orders").select("o_orderkey", tx.inn_ok(inn).alias("ok"))
 
 
-@query("""WITH d AS (SELECT o_orderkey AS document_id, 'a-' || (o_orderkey % 400) AS number FROM orders WHERE o_orderkey % 3 = 0),
-  g AS (SELECT upper(number) AS e, count(*) n, min(document_id) id FROM d GROUP BY 1)
-  SELECT l_orderkey AS row_id, CASE WHEN n = 1 THEN 'matched' WHEN n > 1 THEN 'ambiguous' ELSE 'missing' END AS state, CASE WHEN n = 1 THEN 1.0::DOUBLE END AS score,
-  CASE WHEN n = 1 THEN id END AS document_id FROM (SELECT DISTINCT l_orderkey FROM lineitem) LEFT JOIN g ON e = 'A-' || (l_orderkey % 900)""")
+@query("""WITH d AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'A-' ELSE 'А-' END || (o_orderkey % 5000) AS e, 'A-' || (o_orderkey % 5000) AS f FROM orders),
+  ge AS (SELECT e, count(*) n, min(id) id FROM d GROUP BY 1), gf AS (SELECT f, count(*) n, min(id) id FROM d GROUP BY 1)
+  SELECT l_orderkey AS row_id, CASE WHEN ge.n = 1 THEN 'matched' WHEN ge.n > 1 THEN 'ambiguous' WHEN gf.n = 1 THEN 'matched' WHEN gf.n > 1 THEN 'ambiguous' ELSE 'missing' END AS state,
+  CASE WHEN ge.n = 1 THEN 1.0::DOUBLE WHEN ge.n > 1 THEN NULL WHEN gf.n = 1 THEN 0.85::DOUBLE END AS score, CASE WHEN ge.n = 1 THEN ge.id WHEN ge.n > 1 THEN NULL WHEN gf.n = 1 THEN gf.id END AS document_id
+  FROM (SELECT DISTINCT l_orderkey FROM lineitem) LEFT JOIN ge ON ge.e = 'А-' || (l_orderkey % 9000) LEFT JOIN gf ON gf.f = 'A-' || (l_orderkey % 9000)""")
 def match_ladder(spark, d):
-    docs = table(spark, d, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("document_id"), F.concat(F.lit("a-"), F.col("o_orderkey") % 400).alias("number"))
-    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("row_id")).distinct().withColumn("number", F.concat(F.lit("№ А-"), F.col("row_id") % 900))
-    exact = rows.withColumn("number", F.translate("number", "А", "A"))
-    return matching.match_rows(exact, docs)
+    even = F.when(F.col("o_orderkey") % 2 == 0, "a-").otherwise("а-")
+    docs = table(spark, d, "orders").select(F.col("o_orderkey").alias("document_id"), F.concat(even, F.col("o_orderkey") % 5000).alias("number"))
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("row_id")).distinct().withColumn("number", F.concat(F.lit("№ А-"), F.col("row_id") % 9000))
+    return matching.match_rows(rows, docs)
 
 
 @query("""WITH p AS (SELECT o_orderstatus AS expected, CASE WHEN o_orderkey % 5 = 0 THEN 'F' ELSE o_orderstatus END AS predicted FROM orders),
@@ -232,7 +234,12 @@ def box_overlaps(spark, d):
     return j.select("page", "id1", "id2", F.round(geometry.iou(F.col("a"), F.col("c")), 6).alias("iou"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_BOXES.replace(" FROM lineitem", ", l_returnflag AS kind, l_extendedprice AS score FROM lineitem")}, o AS (SELECT b.*, row_number() OVER (PARTITION BY page, kind ORDER BY score DESC, id) AS r FROM b),
+  w AS (SELECT page, kind, 1::BIGINT AS r, [r] AS kept FROM o WHERE r = 1 UNION ALL SELECT w.page, w.kind, o.r, CASE WHEN EXISTS (SELECT 1 FROM o k WHERE k.page = o.page AND k.kind = o.kind AND list_contains(w.kept, k.r)
+    AND greatest(0, least(k.x1, o.x1) - greatest(k.x0, o.x0)) * greatest(0, least(k.y1, o.y1) - greatest(k.y0, o.y0)) >= 0.5 * ((k.x1 - k.x0) * (k.y1 - k.y0) + (o.x1 - o.x0) * (o.y1 - o.y0)
+    - greatest(0, least(k.x1, o.x1) - greatest(k.x0, o.x0)) * greatest(0, least(k.y1, o.y1) - greatest(k.y0, o.y0)))) THEN w.kept ELSE list_append(w.kept, o.r) END
+  FROM w JOIN o ON o.page = w.page AND o.kind = w.kind AND o.r = w.r + 1)
+  SELECT o.page, o.id, o.kind, o.score FROM (SELECT page, kind, arg_max(kept, r) AS kept FROM w GROUP BY 1, 2) f JOIN o ON o.page = f.page AND o.kind = f.kind AND list_contains(f.kept, o.r)""")
 def box_suppression(spark, d):
     return geometry.suppress(_boxes(spark, d), "page", "kind").select("page", "id", "kind", "score")
 
@@ -245,32 +252,6 @@ def page_coverage(spark, d):
     return geometry.union_area(_boxes(spark, d), "page").select("page", F.round("covered", 6).alias("covered"))
 
 
-def _graph(spark, d):
-    o = table(spark, d, "orders")
-    day = F.col("o_orderdate").cast("date")
-    acts = o.select(F.col("o_orderkey").alias("act_id"), F.concat(F.lit("А-"), F.col("o_orderkey") % 1400).alias("number"), day.alias("starts"), F.date_add(day, (F.col("o_orderkey") % 11 - 1).cast("int")).alias("ends"), F.date_add(day, 10).alias("act_date"))
-    l = table(spark, d, "lineitem")
-    ship = F.col("l_shipdate").cast("date")
-    certs = l.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("cert_id"), F.col("l_orderkey").alias("act_id"), ship.alias("issued_at"), F.date_sub(ship, 30).alias("valid_from"), F.date_add(ship, 60).alias("valid_to"))
-    inn = F.lpad(((F.col("s_suppkey") * 7919 + 1234567890) % 10000000000).cast("string"), 10, "0")
-    parties = table(spark, d, "supplier").select(F.col("s_suppkey").alias("party_id"), inn.alias("inn"), F.concat(inn, F.lit("123")).alias("ogrn"))
-    return {"acts": acts, "certificates": certs, "parties": parties}
-
-
-@query("""WITH acts AS (SELECT o_orderkey AS id, o_orderkey % 1400 AS k, o_orderdate::DATE AS s, o_orderdate::DATE + (o_orderkey % 11 - 1)::INT AS e, o_orderdate::DATE + 10 AS a FROM orders),
-  certs AS (SELECT l_orderkey AS id, l_shipdate::DATE AS i FROM lineitem), f AS (
-  SELECT 'ORDER.DATES' AS code, NOT (s <= e AND e <= a) AS bad FROM acts
-  UNION ALL SELECT 'ACT.DUPLICATE', id <> min(id) OVER (PARTITION BY k) FROM acts
-  UNION ALL SELECT 'DATE.VALID', NOT (a >= i - 30 AND a <= i + 60) FROM certs JOIN acts USING (id)
-  UNION ALL SELECT 'MATERIAL.EVIDENCE', NOT EXISTS (SELECT 1 FROM certs c WHERE c.id = acts.id) FROM acts
-  UNION ALL SELECT 'BATCH.BEFORE_USE', i > a FROM certs JOIN acts USING (id))
-  SELECT code, CASE WHEN count(*) FILTER (WHERE bad) > 0 THEN 'fail' ELSE 'pass' END AS verdict, count(*) AS checked, count(*) FILTER (WHERE bad) AS open, 0 AS undetermined, count(*) FILTER (WHERE bad) AS blocking FROM f GROUP BY 1""")
-def rule_verdicts(spark, d):
-    codes = ["ORDER.DATES", "ACT.DUPLICATE", "DATE.VALID", "MATERIAL.EVIDENCE", "BATCH.BEFORE_USE"]
-    snapshot = spark.createDataFrame([(c, True, "error", True) for c in codes], "code string, enabled boolean, severity string, deterministic boolean")
-    return rules.run_rules(_graph(spark, d), snapshot, codes=codes)[1]
-
-
 @query("""SELECT 'lineitem.l_orderkey' AS broken, count(*) AS n FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey)
   UNION ALL SELECT 'lineitem.quantity', count(*) FROM lineitem WHERE NOT (l_quantity BETWEEN 1 AND 49)
   UNION ALL SELECT 'lineitem.unique', count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)""")
@@ -293,4 +274,4 @@ def document_lines(spark, d):
     return table(spark, d, "documents").select("doc_id", F.explode(tx.lines(F.col("text"))).alias("x")).groupBy("doc_id").agg(F.count("*").alias("lines"))
 
 
-from sluice.plans import intake  # noqa: E402,F401
+from sluice.plans import checks, intake, ledger, scalars, states  # noqa: E402,F401

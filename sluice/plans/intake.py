@@ -32,9 +32,10 @@ def type_matches(spark, d):
 
 
 @query(f"""WITH {_MATCHED}, t AS (SELECT *, max(priority) OVER (PARTITION BY doc_id) AS top FROM m)
-  SELECT doc_id, CASE WHEN count(*) = 1 THEN min(code) END AS code, CASE WHEN count(*) = 1 THEN 'resolved' ELSE 'ambiguous' END AS state FROM t WHERE priority = top GROUP BY 1""")
+  SELECT doc_id, min(code) AS code, CASE WHEN count(*) = 1 THEN 'resolved' ELSE 'ambiguous' END AS state, CASE WHEN count(*) > 1 THEN max(code) ELSE '' END AS alternatives FROM t WHERE priority = top GROUP BY 1""")
 def type_resolution(spark, d):
-    return documents.resolve_types(documents.match_types(table(spark, d, "documents"), "doc_id", "text", _TYPES), "doc_id")
+    found = documents.resolve_types(documents.match_types(table(spark, d, "documents"), "doc_id", "text", _TYPES), "doc_id")
+    return found.withColumn("alternatives", F.array_join("alternatives", ","))
 
 
 _MARKDOWN = "'Intro ' || o_orderkey || chr(10) || '| a | b |' || chr(10) || CASE WHEN o_orderkey % 2 = 0 THEN '| --- | :-: |' || chr(10) ELSE '' END || repeat('| x | ' || o_custkey || ' |' || chr(10), (o_orderkey % 4)::INT) || 'end' || chr(10) || '| c |'"

@@ -22,18 +22,23 @@ def hourly_stream(events: DataFrame, keys: Sequence[str], value: str, ts: str =
 
 
 def thinned(events: DataFrame, keys: Sequence[str], seconds: int, ts: str = "ts", order: str = "event_id") -> DataFrame:
-    """At most one row per key and period; a kept row starts the period anew."""
-
-    def keep(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        pdf = batches.sort_values([ts, order])
-        last, kept = None, []
-        for t in pdf[ts]:
-            ok = last is None or (t - last).total_seconds() >= seconds
-            last = t if ok else last
-            kept.append(ok)
-        return pdf[kept]
-
-    return events.groupBy(*keys).applyInPandas(keep, events.schema)
+    """At most one row per key and period; a kept row starts the period anew.
+
+    Rows are dealt by key and sorted inside their partitions; a task holds one batch and the
+    last kept time, however many rows a key has.
+    """
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, last = None, None
+        for pdf in batches:
+            kept = []
+            for key, t in zip(zip(*[pdf[k] for k in keys], strict=True), pdf[ts], strict=True):
+                ok = key != current or (t - last).total_seconds() >= seconds
+                current, last = key, t if ok else last
+                kept.append(ok)
+            yield pdf[kept]
+
+    return events.where(F.col(ts).isNotNull()).repartition(*keys).sortWithinPartitions(*keys, ts, order).mapInPandas(keep, events.schema)
 
 
 def pruned(df: DataFrame, key: str, ts: str, tie: str, now: Column, days: int, most: int) -> DataFrame:
