@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.functions.text import lines, phrase, redact_urls
+
 TRAILING = 80
 HEADING_LINES = 20
 
@@ -17,39 +21,65 @@ def text_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.posexplode(F.split(text, r"\r?\n")).alias("pos", "line"))
 
 
-def table_runs(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Runs of consecutive |...| lines: (key, start, n_lines, n_columns, has_header, n_rows).
+def row_cells(line: Column) -> Column:
+    """Cells of a |...| line without bold marks; null for other lines."""
+    inner = F.regexp_extract(line, r"^\s*\|(.*)\|\s*$", 1)
+    return F.when(line.rlike(r"^\s*\|.*\|\s*$"), F.transform(F.split(inner, r"\|"), lambda c: F.trim(F.replace(c, F.lit("**"), F.lit("")))))
+
+
+def is_separator(cells: Column) -> Column:
+    return (F.size(cells) > 0) & F.forall(cells, lambda c: c.rlike(r"^:?-+:?$"))
+
+
+def table_rows(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, start, row_no, kind, cells) of all lines of Markdown tables; kind header, separator or data.
 
-    A run has a header if its second line is a separator; n_rows are its data lines. Runs
-    are found per document (gaps and islands), so a window never crosses a text.
+    A table is a run of |...| lines. If its first line is a separator it has no header, if its
+    second is one the first is the header; later separators are data. Runs are found per
+    document (gaps and islands), so a window never crosses a text.
     """
-    row = text_lines(df, key, text).withColumn("line", F.trim("line")).where(F.col("line").rlike(r"^\|.*\|$"))
+    row = text_lines(df, key, text).withColumn("cells", row_cells(F.col("line"))).where("cells is not null")
     by = Window.partitionBy(key).orderBy("pos")
-    row = row.withColumn("run", F.col("pos") - F.row_number().over(by))
-    rule = F.col("line").rlike(r"^\|(\s*:?-+:?\s*\|)+$")
-    runs = row.groupBy(key, "run").agg(
-        F.min("pos").alias("start"), F.count("*").alias("n_lines"), F.min_by("line", "pos").alias("top"), F.min(F.when(rule, F.col("pos"))).alias("rule_at")
+    run = Window.partitionBy(key, "run")
+    row = row.withColumn("run", F.col("pos") - F.row_number().over(by)).withColumn("start", F.min("pos").over(run))
+    row = row.withColumn("row_no", F.col("pos") - F.col("start")).withColumn("sep", is_separator(F.col("cells")))
+    at = lambda i: F.coalesce(F.max(F.when(F.col("row_no") == i, F.col("sep"))).over(run), F.lit(False))
+    row = row.withColumns({"first": at(0), "second": at(1)})
+    below = ~F.col("first") & F.col("second")
+    kind = F.when(F.col("first") & (F.col("row_no") == 0), "separator").when(below & (F.col("row_no") == 0), "header").when(below & (F.col("row_no") == 1), "separator").otherwise("data")
+    return row.select(key, "start", "row_no", kind.alias("kind"), "cells")
+
+
+def table_runs(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Tables: (key, start, n_lines, n_columns, has_header, n_rows)."""
+    return table_rows(df, key, text).groupBy(key, "start").agg(
+        F.count("*").alias("n_lines"), F.min_by(F.size("cells"), "row_no").alias("n_columns"), F.bool_or(F.col("kind") == "header").alias("has_header"), F.count_if(F.col("kind") == "data").alias("n_rows")
     )
-    header = F.coalesce(F.col("rule_at") == F.col("start") + 1, F.lit(False))
-    columns = F.size(F.split("top", r"\|")) - 2
-    return runs.select(key, "start", "n_lines", columns.alias("n_columns"), header.alias("has_header"), (F.col("n_lines") - F.when(header, 2).otherwise(0)).alias("n_rows"))
+
+
+def bold_lines(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, pos, title) of lines that are bold as a whole: section titles between tables."""
+    bold = r"^\s*\*\*(.+?)\*\*\s*$"
+    return text_lines(df, key, text).where(F.col("line").rlike(bold)).select(key, "pos", F.trim(F.regexp_extract("line", bold, 1)).alias("title"))
 
 
 def export_blocks(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, page_no, ordinal, kind, block_id, body) of an export: ``## Page N`` headings hold
-    ``### BLOCK #i [KIND]: id`` blocks; lines up to the next heading are the block's body."""
-    block = r"^### BLOCK #(\d+) \[([A-Z_]+)\]: (\S+)\s*$"
-    line = F.col("line")
-    part = lambda g: F.when(line.rlike(block), F.regexp_extract(line, block, g))
-    by = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = text_lines(df, key, text).select(
-        key, "pos", "line", F.last(F.regexp_extract(line, r"^## Page (\d+)\s*$", 1).try_cast("int"), ignorenulls=True).over(by).alias("page_no"),
-        F.last(F.when(line.rlike(block) | line.rlike(r"^## Page \d+\s*$"), F.col("pos")), ignorenulls=True).over(by).alias("head"),
-        part(1).cast("int").alias("ordinal"), part(2).alias("kind"), part(3).alias("block_id"),
-    )
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("pos") > F.col("head"), F.struct("pos", "line")))), lambda x: x.line), "\n")
-    grouped = rows.where("head is not null").groupBy(key, "head").agg(*[F.max(c).alias(c) for c in ("page_no", "ordinal", "kind", "block_id")], F.btrim(body, F.lit(" \n")).alias("body"))
-    return grouped.where("block_id is not null").drop("head")
+    """(key, page_index, ordinal, kind, block_id, body) of an export: ``## Page N`` headings, N from
+    1, hold ``### BLOCK #i [KIND]: id`` blocks; the lines up to the next heading are the block's
+    body, without absolute links. Blocks before the first page are none.
+
+    The text is split at its headings inside its row: no shuffle.
+    """
+    # fixed values: the headings of the export format
+    page, block = r"(?m)^## Page (\d+)[ \t]*$", r"(?m)^### BLOCK #(\d+) \[([A-Z]+)\]: (\S+)[ \t]*$"
+    sections = df.select(key, F.explode(F.split(F.replace(F.col(text), F.lit("\r"), F.lit("")), r"(?m)^(?=## Page \d+[ \t]*$)")).alias("section"))
+    no = F.regexp_extract("section", r"\A## Page (\d+)[ \t]*$(?s:.*)".replace("$", r"(?=\n|\z)"), 1).try_cast("int")
+    sections = sections.withColumn("page_index", no - 1).where("page_index >= 0")
+    parts = sections.select(key, "page_index", F.explode(F.split("section", r"(?m)^(?=### BLOCK #\d+ \[[A-Z]+\]: \S+[ \t]*$)")).alias("part")).where(F.col("part").startswith("### BLOCK #"))
+    head = F.substring_index("part", "\n", 1)
+    of = lambda g: F.regexp_extract(head, block, g)
+    body = F.btrim(F.substring(F.col("part"), F.length(head) + 1, F.length("part")), F.lit(" \n"))
+    return parts.select(key, "page_index", of(1).cast("int").alias("ordinal"), F.lower(of(2)).alias("kind"), of(3).alias("block_id"), redact_urls(body)[0].alias("body"))
 
 
 @dataclass(frozen=True)
@@ -58,34 +88,85 @@ class DocType:
     priority: int
     anchors: tuple[str, ...]
     negatives: tuple[str, ...] = ()
+    hints: tuple[str, ...] = ()
+    heading_lines: int = HEADING_LINES
 
 
-def heading_lines(text: Column, n: int = HEADING_LINES) -> Column:
-    """The first n non-blank lines without those that follow a line ending in a colon."""
-    rows = F.filter(F.transform(F.split(text, r"\r?\n"), F.trim), lambda x: x != "")
-    return F.slice(F.filter(rows, lambda x, i: (i == 0) | ~F.coalesce(F.get(rows, i - 1), F.lit("")).endswith(":")), 1, n)
+def _headings(zone: str, pattern: str, n: int) -> Column:
+    """Indexes of those of the first n lines that the pattern begins, with at most TRAILING more
+    characters; lines after one that ends in a colon are items of a list, no headings."""
+    at = F.sequence(F.lit(0), F.least(F.size(zone), F.lit(n)) - 1)
+    after_colon = lambda i: (i > 0) & F.coalesce(F.endswith(F.get(F.col(zone), i - 1), F.lit(":")), F.lit(False))
+    return F.filter(F.when(F.size(zone) > 0, at).otherwise(F.array().cast("array<int>")), lambda i: F.get(F.col(zone), i).rlike(f"(?iu)^(?:{pattern}).{{0,{TRAILING}}}$") & ~after_colon(i))
 
 
-def any_line(lines: str, pattern: str) -> Column:
-    return F.exists(lines, lambda x: x.rlike(pattern))
+def _any(zone: str, pattern: str) -> Column:
+    return F.exists(zone, lambda x: x.rlike(f"(?iu){pattern}"))
 
 
 def match_types(df: DataFrame, key: str, text: str, types: Sequence[DocType]) -> DataFrame:
-    """(key, code, priority): types one of whose anchors begins a heading line with at most
-    TRAILING more characters, unless a negative anchor occurs in a heading line.
+    """(key, code, priority, line, line_index, body_hits): types one of whose anchors is a heading,
+    unless a negative anchor is one. The first anchor with a heading names the line.
 
     The types are few and known when the plan is made: each is one built-in expression
     over the lines, in one pass without a join.
     """
-    rows = df.select(key, heading_lines(F.col(text)).alias("zone"))
+    rows = df.select(key, lines(F.col(text)).alias("zone"))
     found = []
     for t in types:
-        begins = "^(" + "|".join(t.anchors) + ").{0," + str(TRAILING) + "}$"
-        hit = any_line("zone", begins)
-        if t.negatives:
-            hit = hit & ~any_line("zone", "|".join(t.negatives))
-        found.append(F.when(hit, F.struct(F.lit(t.code).alias("code"), F.lit(t.priority).alias("priority"))))
-    return rows.select(key, F.explode(F.array_compact(F.array(*found))).alias("t")).select(key, "t.code", "t.priority")
+        hit = F.coalesce(*[F.get(_headings("zone", a, t.heading_lines), F.lit(0)) for a in t.anchors])
+        ok = hit.isNotNull()
+        for n in t.negatives:
+            ok = ok & (F.size(_headings("zone", n, t.heading_lines)) == 0)
+        hints = F.lit(0)
+        for h in t.hints:
+            hints = hints + _any("zone", h).cast("int")
+        found.append(F.when(ok, F.struct(F.lit(t.code).alias("code"), F.lit(t.priority).alias("priority"), F.get(F.col("zone"), hit).alias("line"), hit.alias("line_index"), hints.alias("body_hits"))))
+    return rows.select(key, F.explode(F.array_compact(F.array(*found))).alias("t")).select(key, "t.*")
+
+
+@dataclass(frozen=True)
+class PageRole:
+    code: str
+    anchors: tuple[str, ...]
+    negatives: tuple[str, ...] = ()
+
+
+def match_roles(df: DataFrame, key: str, text: str, roles: Sequence[PageRole]) -> DataFrame:
+    """(key, code, line, parent): roles with an anchor anywhere on the page and no negative one; the
+    first group of the anchor, if it has one, names the parent document."""
+    rows = df.select(key, lines(F.col(text)).alias("zone"))
+    found = []
+    for r in roles:
+        on = lambda p: F.get(F.filter("zone", lambda x: x.rlike(f"(?iu){p}")), F.lit(0))
+        said = [F.when(on(a).isNotNull(), F.struct(on(a).alias("line"), (F.nullif(F.trim(F.regexp_extract(on(a), f"(?iu){a}", 1)), F.lit("")) if re.compile(a).groups else F.lit(None).cast("string")).alias("parent"))) for a in r.anchors]
+        veto = reduce(lambda a, b: a | b, [_any("zone", n) for n in r.negatives], F.lit(False))
+        hit = F.coalesce(*said)
+        found.append(F.when(hit.isNotNull() & ~veto, F.struct(F.lit(r.code).alias("code"), hit["line"].alias("line"), hit["parent"].alias("parent"))))
+    return rows.select(key, F.explode(F.array_compact(F.array(*found))).alias("r")).select(key, "r.*")
+
+
+def fallback_types(df: DataFrame, code: str, group: str, fallbacks: dict[str, str], default: str = "unknown_document") -> DataFrame:
+    """Documents without a type get the general type of their group, else the default."""
+    named = F.try_element_at(F.create_map(*[F.lit(x) for kv in fallbacks.items() for x in kv]), F.coalesce(group, F.lit("")))
+    return df.withColumn("is_fallback", F.col(code).isNull()).withColumn(code, F.coalesce(code, named, F.lit(default)))
+
+
+def page_texts(blocks: DataFrame, page: str, ordinal: str, kind: str, body: str) -> DataFrame:
+    """(page, text): a page's blocks in order, unnumbered ones last, stamps left out."""
+    part = F.struct(F.col(ordinal).isNull(), F.col(ordinal), F.col(body))
+    shown = F.array_sort(F.collect_list(F.when((F.col(kind) != "stamp") & (F.trim(body) != ""), part)))
+    return blocks.groupBy(page).agg(F.array_join(F.transform(shown, lambda x: x[body]), "\n\n").alias("text"))
+
+
+def materials(documents: DataFrame, categories: Sequence[tuple[str, str]]) -> DataFrame:
+    """(product_key, category, documents, batches) of documents (document_id, product, batch_no, heat_no,
+    made_at): equal product names are one material, its batches the distinct numbers and dates."""
+    key = phrase(F.col("product"))
+    kind = F.coalesce(*[F.when(F.col("product").rlike(f"(?iu){p}"), F.lit(c)) for c, p in categories], F.lit(None).cast("string"))
+    batch = F.when(F.coalesce("batch_no", "heat_no").isNotNull(), F.struct("batch_no", "heat_no", "made_at"))
+    named = documents.withColumn("product_key", key).where("product_key <> ''")
+    return named.groupBy("product_key").agg(F.min_by(kind, "document_id").alias("category"), F.array_sort(F.collect_set("document_id")).alias("documents"), F.array_sort(F.collect_set(batch)).alias("batches"))
 
 
 def resolve_types(matches: DataFrame, key: str) -> DataFrame:

@@ -23,11 +23,19 @@ def import_verdicts(rows: DataFrame, catalog: DataFrame, key: str, order: str, c
     return j.withColumn("verdict", verdict).drop("_first", "_known", "sound")
 
 
-def retention(decided: Column, hold: Column, days: int, today: Column) -> Column:
-    """STRUCT(due, deletable, reasons): decided + days have passed and nothing holds."""
-    due = F.date_add(decided, days)
-    reasons = F.array_compact(F.array(F.when(decided.isNull(), "undecided"), F.when(F.coalesce(hold, F.lit(False)), "legal_hold"), F.when(due > today, "not_due")))
-    return F.struct(due.alias("due"), (F.size(reasons) == 0).alias("deletable"), reasons.alias("reasons"))
+def retention(status: Column, decided: Column, holds: Column, days: int, now: Column, hold_counts: bool = True) -> Column:
+    """STRUCT(due, deletable, blocks, hold_overridden) of a revision: its status must be a decision and
+    dated (decided: text or date), the days must have passed, and no hold may stand where holds count."""
+    held = F.coalesce(holds > 0, F.lit(False))
+    # fixed values: the statuses that are decisions
+    final = status.isin("returned", "approved", "superseded") & decided.isNotNull()
+    day = decided.try_cast("timestamp")
+    due = F.when(F.coalesce(final, F.lit(False)), day + F.make_interval(days=F.lit(days)))
+    pending = ~F.coalesce(final, F.lit(False))
+    blocks = F.array_compact(F.array(
+        F.when(held & F.lit(hold_counts), "legal_hold"), F.when(pending, "decision_pending"), F.when(~pending & day.isNull(), "invalid_decision_date"), F.when(due > now, "retention_not_expired"),
+    ))
+    return F.struct(due.alias("due"), (F.size(blocks) == 0).alias("deletable"), blocks.alias("blocks"), (held & F.lit(not hold_counts)).alias("hold_overridden"))
 
 
 def merged(base: Column, patch: Column) -> Column:

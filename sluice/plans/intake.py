@@ -13,22 +13,26 @@ _TYPES = (
     documents.DocType("german", 2, ("der", "die", "ein"), ("\\|",)),
     documents.DocType("opening", 1, ("the ", "The ")),
 )
-_NO_COLON = "list_filter(rows, lambda x, i: i = 1 OR NOT ends_with(rows[i - 1], ':'))[1:20]"
-_ZONE = f"""z AS (SELECT doc_id, {_NO_COLON} AS zone FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\r?\\n'), lambda x: trim(x, ' ')), lambda x: x <> '') AS rows FROM documents WHERE text IS NOT NULL))"""
+_LINE = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(x), '^(#{1,6}\\s+|[-*+]\\s+|\\d+[.)]\\s+)', ''), '[*_`]', '', 'g'), '^\\|\\s*|\\s*\\|$', '', 'g'), '\\s+', ' ', 'g'))"
+_ZONE = f"""z AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\r?\\n'), lambda x: {_LINE}), lambda x: x <> '') AS zone FROM documents WHERE text IS NOT NULL)"""
+
+
+def _headings(pattern: str) -> str:
+    return f"list_filter(range(1, least(20, len(zone)) + 1), lambda i: regexp_matches(zone[i], '(?i)^(?:{pattern}).{{0,80}}$') AND (i = 1 OR NOT ends_with(zone[i - 1], ':')))"
 
 
 def _hit(t: documents.DocType) -> str:
-    begins = "^(" + "|".join(t.anchors) + ").{0,80}$"
-    no = f" AND len(list_filter(zone, lambda x: regexp_matches(x, '{'|'.join(t.negatives)}'))) = 0" if t.negatives else ""
-    return f"SELECT doc_id, '{t.code}' AS code, {t.priority} AS priority FROM z WHERE len(list_filter(zone, lambda x: regexp_matches(x, '{begins}'))) > 0{no}"
+    at = f"coalesce({', '.join(f'{_headings(a)}[1]' for a in t.anchors)})"
+    no = "".join(f" AND len({_headings(n)}) = 0" for n in t.negatives)
+    return f"SELECT doc_id, '{t.code}' AS code, {t.priority} AS priority, {at} - 1 AS line_index FROM z WHERE {at} IS NOT NULL{no}"
 
 
 _MATCHED = f"{_ZONE}, m AS ({' UNION ALL '.join(_hit(t) for t in _TYPES)})"
 
 
-@query(f"WITH {_MATCHED} SELECT doc_id, code, priority FROM m")
+@query(f"WITH {_MATCHED} SELECT doc_id, code, priority, line_index FROM m")
 def type_matches(spark, d):
-    return documents.match_types(table(spark, d, "documents"), "doc_id", "text", _TYPES)
+    return documents.match_types(table(spark, d, "documents"), "doc_id", "text", _TYPES).select("doc_id", "code", "priority", "line_index")
 
 
 @query(f"""WITH {_MATCHED}, t AS (SELECT *, max(priority) OVER (PARTITION BY doc_id) AS top FROM m)
@@ -49,8 +53,8 @@ def markdown_tables(spark, d):
     return documents.table_runs(table(spark, d, "orders").select("o_orderkey", md.alias("md")), "o_orderkey", "md")
 
 
-@query("""SELECT o_orderkey, 1 AS page_no, 1 AS ordinal, 'TEXT' AS kind, 'b' || o_custkey AS block_id, 'status ' || o_orderstatus || chr(10) || o_orderpriority AS body FROM orders
-  UNION ALL SELECT o_orderkey, 2, 2, 'STAMP', 's' || o_orderkey, 'seal' FROM orders WHERE o_orderkey % 3 = 0""")
+@query("""SELECT o_orderkey, 0 AS page_index, 1 AS ordinal, 'text' AS kind, 'b' || o_custkey AS block_id, 'status ' || o_orderstatus || chr(10) || o_orderpriority AS body FROM orders
+  UNION ALL SELECT o_orderkey, 1, 2, 'stamp', 's' || o_orderkey, 'seal' FROM orders WHERE o_orderkey % 3 = 0""")
 def export_blocks(spark, d):
     text = F.expr("""'# Title' || chr(10) || '## Page 1' || chr(10) || '### BLOCK #1 [TEXT]: b' || o_custkey || chr(10) || 'status ' || o_orderstatus || chr(10) || o_orderpriority || chr(10)
       || CASE WHEN o_orderkey % 3 = 0 THEN '## Page 2' || chr(10) || '### BLOCK #2 [STAMP]: s' || o_orderkey || chr(10) || 'seal' ELSE '' END""")
@@ -77,12 +81,16 @@ def import_verdicts(spark, d):
     return out.select("row_no", F.array_join("reasons", ",").alias("reasons"), "verdict")
 
 
-@query("""SELECT o_orderkey, o_orderdate::DATE + 900 AS due, o_orderstatus <> 'P' AND o_orderkey % 9 <> 0 AND o_orderdate::DATE + 900 <= DATE '1999-01-01' AS deletable FROM (SELECT * FROM orders WHERE o_orderstatus <> 'P')
-  UNION ALL SELECT o_orderkey, NULL, false FROM orders WHERE o_orderstatus = 'P'""")
+@query("""WITH o AS (SELECT o_orderkey AS k, CASE o_orderstatus WHEN 'F' THEN 'approved' WHEN 'O' THEN 'returned' ELSE 'draft' END AS status, CASE WHEN o_orderkey % 8 = 0 THEN NULL WHEN o_orderkey % 7 <> 0 THEN o_orderdate END AS day, o_orderkey % 8 <> 0 AS named, o_orderkey % 9 = 0 AS held FROM orders)
+  SELECT k AS o_orderkey, CASE WHEN status <> 'draft' AND named THEN day + INTERVAL 900 DAY END AS due, NOT held AND status <> 'draft' AND named AND day IS NOT NULL AND day + INTERVAL 900 DAY <= TIMESTAMP '1999-01-01' AS deletable,
+  array_to_string(list_filter([CASE WHEN held THEN 'legal_hold' END, CASE WHEN status = 'draft' OR NOT named THEN 'decision_pending' END, CASE WHEN status <> 'draft' AND named AND day IS NULL THEN 'invalid_decision_date' END,
+    CASE WHEN status <> 'draft' AND named AND day + INTERVAL 900 DAY > TIMESTAMP '1999-01-01' THEN 'retention_not_expired' END], lambda x: x IS NOT NULL), ',') AS blocks FROM o""")
 def retention_decisions(spark, d):
-    decided = F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate").cast("date"))
-    r = imports.retention(decided, F.col("o_orderkey") % 9 == 0, 900, F.lit("1999-01-01").cast("date"))
-    return table(spark, d, "orders").select("o_orderkey", r.alias("r")).select("o_orderkey", "r.due", "r.deletable")
+    k, s = F.col("o_orderkey"), F.col("o_orderstatus")
+    status = F.when(s == "F", "approved").when(s == "O", "returned").otherwise("draft")
+    decided = F.when(k % 8 == 0, None).when(k % 7 != 0, F.col("o_orderdate").cast("string")).otherwise("вчера")
+    r = imports.retention(status, decided, (k % 9 == 0).cast("int"), 900, F.lit("1999-01-01").cast("timestamp"))
+    return table(spark, d, "orders").select("o_orderkey", r.alias("r")).select("o_orderkey", F.col("r.due").cast("timestamp_ntz").alias("due"), "r.deletable", F.array_join("r.blocks", ",").alias("blocks"))
 
 
 @query("""SELECT l_orderkey, min(l_linenumber) AS first, max(l_linenumber) AS last, count(*) AS n, max(l_linenumber) - min(l_linenumber) + 1 = count(*) AS whole FROM lineitem GROUP BY 1""")

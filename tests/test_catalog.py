@@ -63,13 +63,42 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == want
 
 
-def test_scalars(spark):
-    from sluice.functions import text as tx
-    from pyspark.sql import functions as F
+def test_outbox_is_drained_once(spark, tmp_path):
+    from sluice.operators.states import drain_outbox
+
+    rows = spark.range(20).selectExpr("id AS event_id", "'x' AS body")
+    rows.where("event_id < 12").union(rows.where("event_id < 3")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    sent = []
+
+    def run(checkpoint):
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        drain_outbox(stream, lambda df: sent.extend(r.event_id for r in df.collect()), str(tmp_path / "seen"), "event_id", str(tmp_path / checkpoint)).awaitTermination(120)
+
+    run("a")
+    rows.where("event_id >= 9").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run("b")  # a new checkpoint reads all rows again
+    assert sent == list(range(20))
+
+
+def test_positions(spark):
+    from sluice.operators import matching, relational as rel
+
+    p = spark.createDataFrame([(1, 1), (1, 1), (1, 3)], "g int, p int")
+    assert [tuple(r) for r in rel.doubled_positions(p, "g", "p").collect()] == [(1, 1, 2)]
+    docs = spark.createDataFrame([(1, "A-1"), (2, "B-2"), (3, "C-3")], "document_id int, number string")
+    named = spark.createDataFrame([(1, "A-1"), (2, "В-2")], "row_id int, number string")
+    assert [r.document_id for r in matching.never_named(named, docs).collect()] == [3]
+    kept = rel.insert_absent(p, spark.createDataFrame([(1, 3), (2, 5), (2, 5)], "g int, p int"), ["g", "p"])
+    assert kept.count() == 4
+
+
+def test_rate_limit_carries_state_over_batches(spark):
+    from sluice.operators.states import rate_limited
 
-    df = spark.createDataFrame([("7707083893", "1027700132195", "не менее 2,5", "31.02.2024"), ("7707083894", "1027700132196", "10±2", "01.03.2024"), (None, None, "от 1 до 3", None)], "inn string, ogrn string, norm string, day string")
-    got = df.select(tx.inn_ok(F.col("inn")), tx.ogrn_ok(F.col("ogrn")), tx.requirement(F.col("norm")), tx.iso_date(F.col("day"))).collect()
-    assert [r[0] for r in got] == [True, False, None]
-    assert [r[1] for r in got] == [True, False, None]
-    assert [tuple(r[2]) for r in got] == [("min", 2.5, None), ("range", 8.0, 12.0), ("range", 1.0, 3.0)]
-    assert got[0][3] is None and str(got[1][3]) == "2024-03-01"
+    rows = spark.createDataFrame([(1, i) for i in range(50)], "k int, i int").selectExpr("k", "i", "timestamp_seconds(i) AS ts")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        ok = [r.i for r in rate_limited(rows, ["k"], "ts", "i", limit=2, window_s=10).collect() if r.accepted]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert ok == [i for i in range(50) if i % 10 in (0, 1)]
