@@ -194,3 +194,30 @@ def rule_verdicts(spark, d):
     graph["evidence"] = graph["materials"].where("split(material_id, '-')[2] % 3 <> 0")
     codes = ["AOSR.ACT.031", "XS.130", "AOSR.P3.070"]
     return rules.run_rules(graph, _snapshot(spark, codes), codes=codes)[1]
+
+
+def _literal(spark: SparkSession) -> dict[str, DataFrame]:
+    made = spark.createDataFrame
+    return {
+        "documents": made([(1, "aosr", True, "A-1", None, None, None, None), (2, "declaration", True, "Д-2", "2024-01-01", "2024-02-01", None, None), (3, "declaration", True, "Д-3", "2024-03-01", "2024-02-01", None, None), (4, "refusal_letter", True, "п 4", None, None, "2024-01-01", None), (5, "scheme", True, "с", None, None, None, "A-1"), (6, "scheme", True, "с", None, None, None, None)],
+                          "document_id int, doc_type string, is_known boolean, number string, valid_from string, valid_to string, issued_at string, act_ref string"),
+        "parties": made([(1, "ООО «Вектор»", "7707083893", "1027700132195"), (2, "вектор", "7707083893", "1"), (3, "Никто", None, None), (4, "ооо вектор", None, "1027700132195")], "party_id int, name string, inn string, ogrn string"),
+        "directory": made([("ООО Вектор", "7707083893", "1027700132195")], "name string, inn string, ogrn string"),
+        "annexes": made([(1, "д-2"), (2, "A-1"), (3, "А-1"), (4, "нет")], "annex_id int, number string"),
+        "objects": made([(1, True), (2, False), (3, None)], "object_id int, is_active boolean"),
+        "external": made([("sched", True)], "registry string, available boolean"),
+        "external_numbers": made([(1, "sched", "Ш-1", "2024-05-01"), (2, "sched", "Ш-9", "2024-05-01")], "number_id int, registry string, number string, day string").withColumn("day", F.col("day").cast("date")),
+        "external_records": made([("sched", "ш-1", "2024-01-01", None)], "registry string, number string, valid_from string, valid_to string").withColumns({c: F.col(c).cast("date") for c in ("valid_from", "valid_to")}),
+        "mill_certificates": made([(1, 1, "А240С"), (2, 1, "A400"), (3, 2, "A400"), (4, 1, " ")], "cert_id int, act_id int, mark string"),
+        "design_marks": made([(1, "A240C")], "act_id int, mark string"),
+        "acts": made([(1, "бетон В7,5 и B25 F150"), (2, "кладка")], "act_id int, works string"),
+        "mixes": made([(1, 1, "B7,5"), (2, 1, "В30"), (3, 2, "B25")], "mix_id int, act_id int, mix_class string"),
+        "stamps": made([(1, 5)], "stamp_id int, document_id int"),
+    }
+
+
+@query("""SELECT * FROM (VALUES ('AOSR.HDR.023', 'fail', 4, 1, 2, 1), ('AOSR.P4.080', 'fail', 4, 1, 0, 1), ('DECL.601', 'fail', 2, 1, 0, 1), ('REFUS.670', 'pass', 1, 0, 0, 0), ('REF.120', 'fail', 3, 1, 1, 1), ('EXT.SCHED.142', 'fail', 2, 1, 0, 1),
+  ('MILL.630', 'fail', 4, 1, 2, 1), ('MIX.640', 'fail', 3, 1, 1, 1), ('SCH.680', 'fail', 2, 1, 0, 1)) t(code, verdict, checked, open, undetermined, blocking)""")
+def literal_rules(spark, d):
+    codes = ["AOSR.HDR.023", "AOSR.P4.080", "DECL.601", "REFUS.670", "REF.120", "EXT.SCHED.142", "MILL.630", "MIX.640", "SCH.680"]
+    return rules.run_rules(_literal(spark), _snapshot(spark, codes), codes=codes)[1]
