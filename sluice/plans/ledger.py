@@ -62,9 +62,9 @@ def positional_blocks(spark, d):
     return rel.positional_match(b, b.where("id % 2 = 0"), "page", ["x", "y"], "id")
 
 
-@query("""SELECT s_suppkey, r_name FROM supplier JOIN region ON contains(s_name, substr(r_name, 1, 1)) OR contains(substr(r_name, 1, 1), s_name)""")
+@query("""SELECT s_suppkey, r_name FROM supplier JOIN region ON contains(s_name, lower(substr(r_name, 1, 1))) OR contains(lower(substr(r_name, 1, 1)), s_name)""")
 def substring_names(spark, d):
-    r = table(spark, d, "region").select("r_name", F.substring("r_name", 1, 1).alias("part"))
+    r = table(spark, d, "region").select("r_name", F.lower(F.substring("r_name", 1, 1)).alias("part"))
     return rel.named_either_way(table(spark, d, "supplier").select("s_suppkey", "s_name"), r, "s_name", "part").select("s_suppkey", "r_name")
 
 
