@@ -84,10 +84,13 @@ def assign_shards(docs: DataFrame, shards: int = 24) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 24) -> None:
-    """The table as one folder per shard, in slot order within each file."""
-    place = assign_shards(docs.select("doc_id", "text"), shards).select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), "shard", "slot").distinct()
-    place = place.groupBy("_id", "_crc").agg(F.min(F.struct("shard", "slot")).alias("at"))
-    keyed = docs.withColumn("_c", F.crc32(F.col("text").cast("binary")))
-    out = keyed.join(place, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_c").eqNullSafe(F.col("_crc")))
-    out = out.withColumns({"shard": F.col("at.shard"), "slot": F.col("at.slot")}).drop("_id", "_crc", "_c", "at")
-    out.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """The table as one folder per shard, each file a run of slots in order; columns of docs named
+    shard or slot are replaced, rows equal in doc_id and text share a slot.
+
+    Rows are dealt by ranges of (shard, slot), as many tasks as there are shuffle partitions.
+    """
+    place = assign_shards(docs.select("doc_id", "text"), shards).groupBy(F.col("doc_id").alias("pk"), F.col("text_crc32").alias("pc")).agg(F.min(F.struct("shard", "slot")).alias("at"))
+    kept = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("d"), F.col("doc_id").alias("k"), F.crc32(F.col("text").cast("binary")).alias("c"))
+    out = row.join(place, F.col("k").eqNullSafe(F.col("pk")) & F.col("c").eqNullSafe(F.col("pc"))).select("d.*", "at.shard", "at.slot")
+    out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -193,6 +193,21 @@ def test_sharding(docs, none):
     assert sharding.assign_shards(none).count() == 0
 
 
+def test_shards_hold_equal_bytes(spark, tmp_path):
+    rng = random.Random(12)
+    rows = [(i, "".join(rng.choices("abcdef ", k=int(2 ** rng.uniform(3, 9)))), "s", i) for i in range(4000)] + [(5000 + i, "the same text again " * 6, "s", i) for i in range(1500)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, slot string, _c long")
+    size = collections.Counter()
+    for r in sharding.assign_shards(d, 8).collect():
+        size[r.shard] += r.size
+    mean = sum(size.values()) / 8
+    assert len(size) == 8 and all(abs(x - mean) < 0.02 * mean for x in size.values())
+    sharding.write_shards(d, str(tmp_path / "out"), 8)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == len(rows) and sorted(back.columns) == ["_c", "doc_id", "shard", "slot", "text"]
+    assert {r.shard for r in back.select("shard").distinct().collect()} == set(range(8))
+
+
 def test_language_model(docs, none):
     rows = texts()
     count = collections.Counter()
