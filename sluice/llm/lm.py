@@ -4,16 +4,21 @@ Tokens are ASCII-lowered words and one end per text. Counts of all training toke
 exact and distributed; the COMMON most frequent ones (a fixed bound) travel to the tasks,
 rarer ones are looked up by a shuffled join on a 64-bit word hash.
 
-Every token has a symbol: one of the HEADS most frequent words, the end, or one of TAILS
-classes by a hash of the word's last two bytes. The neural model predicts the next symbol
-from two contexts, the previous symbol and the last of the KEYS most frequent words seen
-(which tells languages apart): r = c1[previous] + c2[key], score(w) = r . t[w] + b[w]. Its
-training set is the table of counts (previous, key, next) over all training tokens, summed
-by Spark: its size is bounded by the symbols, its contents grow with the corpus. The NCE
-objective (unigram noise, NOISE samples a token, in expectation) is maximised by Adam in
-numpy. Scores are normalised over all symbols by batched matrix products. Within a class a
-word has probability (c + 1) / (class tokens + class words + 1), so that with one unseen
-word per class the model is a distribution.
+Every token has a symbol: the end, one of the VOCABULARY most frequent words, each with
+vectors of its own, or, for rarer words, one of TAILS endings (a hash of the last two bytes).
+Symbols by falling count form classes of CLASS. The model is log-bilinear in the two symbols
+before: r = a[w1] + b[w2]; P(w) = P(class | r) P(w | class, r), either part a softmax of
+r . t + bias, so that batched products over one class normalise it. Within an ending a word
+has probability (c + 1) / (its tokens + its words + 1): with one unseen word for each ending
+the model is a distribution.
+
+Both parts are fitted by noise-contrastive estimation on sampled noise: CLASS_NOISE classes a
+batch and WORD_NOISE words of the same class a token, by their counts. All training tokens
+take part once, in ROUNDS parts of the documents: in a round every task starts from the same
+vectors and makes steps of BATCH tokens on what it reads; Spark sums the tasks' changes by
+row, weighted by the tokens that touched it, and the means are the next round's start. Sums
+are of integers, so reruns over the same partitions agree. The vectors are bounded by
+the symbols; what they are fitted on is the whole corpus.
 
 Defined results: null and empty texts have one token, the end; without training rows all
 counts are 0 (base_score is then -n log10(1)); null doc_id: neither held out nor trained
@@ -23,7 +28,9 @@ empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +42,15 @@ from .common import Words, chunks, list_array, materialize, mix
 from .toxicity import fold
 
 COMMON = 200_000
-HEADS, TAILS, KEYS = 63, 64, 15
-END = HEADS
-SYMBOLS = HEADS + 1 + TAILS
-DIM, NOISE, STEPS, RATE = 24, 8, 300, 0.05
+VOCABULARY, TAILS, CLASS = 16_319, 64, 128
+#: symbols: the end is 0, then the endings, then words by falling count
+FIRST_WORD = 1 + TAILS
+SYMBOLS = FIRST_WORD + VOCABULARY
+CLASSES = SYMBOLS // CLASS
+DIM, CLASS_NOISE, WORD_NOISE = 16, 32, 4
+ROUNDS, BATCH, RATE = 4, 2048, 0.15
+#: bytes of text that a task turns to tokens, and tokens that it scores, at a time
+PART_BYTES, SLICE = 1 << 20, 1 << 15
 #: the hash that stands for the end
 END_HASH = 0x3C6EF372FE94F82B
 _MERGE_AT = 400_000
@@ -98,115 +110,195 @@ class Symbols:
         order = np.argsort(hashes)
         self.hash, self.count = hashes[order], counts[order]
         symbol = np.full(len(hashes), -1)
-        symbol[:HEADS] = np.arange(min(HEADS, len(hashes)))
+        symbol[:VOCABULARY] = FIRST_WORD + np.arange(min(VOCABULARY, len(hashes)))
         self.symbol = symbol[order]
 
-    def of(self, k: Tokens, ends: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Per token: symbol, count, whether common; and the key (0: none yet) before it."""
+    def of(self, k: Tokens, ends: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per token: symbol, count, whether common."""
         n = len(k.token)
         at = np.minimum(np.searchsorted(self.hash, k.token), max(0, len(self.hash) - 1))
         known = self.hash[at] == k.token if len(self.hash) else np.zeros(n, dtype=bool)
         count = np.where(known, self.count[at], 0) if len(self.hash) else np.zeros(n, dtype=np.int64)
-        head = np.where(known, self.symbol[at], -1) if len(self.hash) else np.full(n, -1)
+        word = np.where(known, self.symbol[at], -1) if len(self.hash) else np.full(n, -1)
         end = k.token == np.uint64(END_HASH)
-        symbol = np.where(end, END, np.where(head >= 0, head, HEADS + 1 + k.tail))
-        count = np.where(end, ends, count)
-        #: the last key word before each token of the same text
-        place = np.arange(n)
-        seen = np.where((head >= 0) & (head < KEYS), place, -1)
-        seen = np.maximum.accumulate(seen) if n else seen
-        prior = np.concatenate([[-1], seen[:-1]]) if n else seen
-        begin = np.repeat(k.at, k.size)
-        key = np.where(prior >= begin, head[np.maximum(prior, 0)] + 1, 0)
-        return symbol, count, known | end, key
-
-
-def contexts(k: Tokens, symbol: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """(previous, key) as one number; before the first token the previous symbol is the end."""
-    previous = np.concatenate([[END], symbol[:-1]]) if len(symbol) else symbol
-    previous[k.at] = END
-    return previous * (KEYS + 1) + key
-
-
-def fit_nce(table: np.ndarray, dim: int = DIM, noise: int = NOISE, steps: int = STEPS, rate: float = RATE, seed: int = 0) -> np.ndarray:
-    """log10 P(next | previous, key), normalised, from counts[previous, key, next].
-
-    The expectation of the NCE objective over noise is exact here: for every context and
-    symbol, data weight n(context, w) and noise weight k n(context) q(w).
-    """
-    p, keys, s = table.shape
-    n = table.reshape(p * keys, s).astype(np.float64)
-    total = max(n.sum(), 1.0)
-    unigram = (n.sum(0) + 1) / (total + s)
-    rng = np.random.default_rng(seed)
-    theta = [rng.normal(0, 0.1, (p, dim)), rng.normal(0, 0.1, (keys, dim)), rng.normal(0, 0.1, (s, dim)), np.log(unigram)]
-    m, v = [np.zeros_like(x) for x in theta], [np.zeros_like(x) for x in theta]
-    rows = np.flatnonzero(n.sum(1))
-    a, b = rows // keys, rows % keys
-    data = n[rows] / total
-    fake = noise * data.sum(1, keepdims=True) * unigram
-    shift = np.log(noise * unigram)
-    for step in range(1, steps + 1):
-        r = theta[0][a] + theta[1][b]
-        sigma = 1 / (1 + np.exp(-np.clip(r @ theta[2].T + theta[3] - shift, -50, 50)))
-        g = data * (1 - sigma) - fake * sigma
-        gr = g @ theta[2]
-        grads = [np.zeros_like(theta[0]), np.zeros_like(theta[1]), g.T @ r, g.sum(0)]
-        np.add.at(grads[0], a, gr)
-        np.add.at(grads[1], b, gr)
-        for i, d in enumerate(grads):
-            m[i] = 0.9 * m[i] + 0.1 * d
-            v[i] = 0.99 * v[i] + 0.01 * d * d
-            theta[i] += rate * (1 - 0.9 * step / steps) * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.99**step)) + 1e-9)
-    logits = (theta[0][:, None] + theta[1][None]).reshape(-1, dim) @ theta[2].T + theta[3]
-    logits -= logits.max(1, keepdims=True)
-    return (logits - np.log(np.exp(logits).sum(1, keepdims=True))) / np.log(10)
+        symbol = np.where(end, 0, np.where(word >= 0, word, 1 + k.tail))
+        return symbol, np.where(end, ends, count), known | end
 
 
-def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
-    spark = docs.sparkSession
-    doc = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.coalesce(fold(F.col("doc_id"), folds), F.lit(-1)) == held).alias("held_out"))
-    train = doc.where("not held_out and doc_id is not null").select("text")
-    counts = materialize(train.mapInArrow(_counts, "h long, tail int, c long").groupBy("h", "tail").agg(F.sum("c").alias("c")))
+def before(k: Tokens, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols one and two before each token; the end stands before a text."""
+    one, two = np.zeros_like(symbol), np.zeros_like(symbol)
+    one[1:], two[2:] = symbol[:-1], symbol[:-2]
+    one[k.at] = two[k.at] = 0
+    two[(k.at + 1)[k.size > 1]] = 0
+    return one, two
+
+
+class Model:
+    """Rows of theta: contexts one before, contexts two before, symbols, classes; the last column is the bias."""
+
+    def __init__(self, counts: np.ndarray, dim: int = DIM, seed: int = 0):
+        """counts: training tokens of each symbol, the end first; those past the last are not in the model."""
+        self.symbols = len(counts)
+        n = np.zeros(SYMBOLS)
+        n[: len(counts)] = counts + 1.0
+        of_class = n.reshape(CLASSES, CLASS).sum(1)
+        self.class_share = of_class / of_class.sum()
+        with np.errstate(divide="ignore", invalid="ignore"):
+            self.log_class = np.log(self.class_share).astype(np.float32)
+            self.log_share = np.log(n / np.repeat(of_class, CLASS)).astype(np.float32)
+        self.cumulative = np.concatenate([[0.0], np.cumsum(n)])
+        theta = np.random.default_rng(seed).normal(0, 0.1, (3 * SYMBOLS + CLASSES, dim + 1)).astype(np.float32)
+        theta[: 2 * SYMBOLS, -1] = 0
+        theta[2 * SYMBOLS : 3 * SYMBOLS, -1] = np.where(n > 0, self.log_share, -np.inf)
+        theta[3 * SYMBOLS :, -1] = np.where(of_class > 0, self.log_class, -np.inf)
+        self.theta, self.squares = theta, np.full(len(theta), 1e-2, dtype=np.float32)
+
+    def hidden(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        r = self.theta[one] + self.theta[SYMBOLS + two]
+        r[:, -1] = 1
+        return r
+
+    def step(self, one: np.ndarray, two: np.ndarray, symbol: np.ndarray, rng: np.random.Generator, touched: np.ndarray, rate: float = RATE) -> None:
+        """One step of the objective on a batch; touched counts the tokens of each row."""
+        theta, n = self.theta, len(symbol)
+        r = self.hidden(one, two)
+        c = symbol // CLASS
+        noise_c = rng.choice(CLASSES, CLASS_NOISE, p=self.class_share)
+        low, high = self.cumulative[c * CLASS], self.cumulative[np.minimum((c + 1) * CLASS, SYMBOLS)]
+        noise = np.searchsorted(self.cumulative, low + rng.random((WORD_NOISE, n)) * (high - low), "right") - 1
+        noise = np.clip(noise, c * CLASS, np.minimum((c + 1) * CLASS, self.symbols) - 1)
+        sigma = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+        #: classes: a token's own, and the batch's noise
+        own, fake = theta[3 * SYMBOLS + c], theta[3 * SYMBOLS + noise_c]
+        g_own = 1 - sigma((r * own).sum(1) - self.log_class[c] - math.log(CLASS_NOISE))
+        g_fake = -sigma(r @ fake.T - self.log_class[noise_c] - math.log(CLASS_NOISE))
+        g_r = g_own[:, None] * own + g_fake @ fake
+        #: words of the class: the token's, and noise of its own
+        word, others = theta[2 * SYMBOLS + symbol], theta[2 * SYMBOLS + noise]
+        h_own = 1 - sigma((r * word).sum(1) - self.log_share[symbol] - math.log(WORD_NOISE))
+        h_fake = -sigma(np.einsum("nd,knd->kn", r, others) - self.log_share[noise] - math.log(WORD_NOISE))
+        g_r += h_own[:, None] * word + np.einsum("kn,knd->nd", h_fake, others)
+        g_r[:, -1] = 0
+        rows = np.concatenate([one, SYMBOLS + two, 2 * SYMBOLS + symbol, 2 * SYMBOLS + noise.ravel(), 3 * SYMBOLS + c, 3 * SYMBOLS + noise_c])
+        grads = np.concatenate([g_r, g_r, h_own[:, None] * r, (h_fake[:, :, None] * r).reshape(-1, r.shape[1]), g_own[:, None] * r, g_fake.T @ r])
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        at = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        grad, rows = np.add.reduceat(grads[order], at), rows[at]
+        self.squares[rows] += (grad * grad).mean(1)
+        theta[rows] += rate * grad / np.sqrt(self.squares[rows])[:, None]
+        touched[rows] += np.diff(np.append(at, len(order)))
+
+    def log10(self, one: np.ndarray, two: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """log10 P(symbol | one, two), normalised over classes and then within the class."""
+        out = np.empty(len(symbol))
+        words, classes = self.theta[2 * SYMBOLS : 3 * SYMBOLS], self.theta[3 * SYMBOLS :]
+        for lo in range(0, len(symbol), SLICE):
+            part = symbol[lo : lo + SLICE]
+            r = self.hidden(one[lo : lo + SLICE], two[lo : lo + SLICE])
+            c = part // CLASS
+            p = _log_softmax_at(r @ classes.T, c)
+            order = np.argsort(c, kind="stable")
+            first = np.searchsorted(c[order], np.arange(CLASSES + 1))
+            for i in np.flatnonzero(np.diff(first)):
+                mine = order[first[i] : first[i + 1]]
+                p[mine] += _log_softmax_at(r[mine] @ words[i * CLASS : (i + 1) * CLASS].T, part[mine] - i * CLASS)
+            out[lo : lo + SLICE] = p
+        return out / np.log(10)
+
+
+def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    top = x.max(1)
+    return (x[np.arange(len(x)), at] - top).astype(np.float64) - np.log(np.exp(x - top[:, None]).sum(1, dtype=np.float64))
+
+
+#: changes are summed as integers of this fraction
+_UNIT = float(1 << 24)
+
+
+@dataclass
+class Fitted:
+    symbols: Symbols
+    model: Model
+    #: tokens and words of each ending
+    size: np.ndarray
+    ends: int
+    tokens: int
+    types: int
+    counts: DataFrame
+
+
+def fit(train: DataFrame) -> Fitted:
+    """Count and fit the training texts: (doc_id, text)."""
+    spark = train.sparkSession
+    counts = materialize(train.select("text").mapInArrow(_counts, "h long, tail int, c long").groupBy("h", "tail").agg(F.sum("c").alias("c")))
     n = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count("*").alias("types")).first()
     ends = counts.where(F.col("tail") < 0).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     top = counts.where("tail >= 0").orderBy(F.desc("c"), "h").limit(COMMON).select("h", "c").toPandas()  # COMMON rows of 16 bytes
     symbols = Symbols(top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64))
-    heads = spark.createDataFrame([(int(h),) for h in top["h"][:HEADS]], "h long")
-    classes = counts.where("tail >= 0").join(F.broadcast(heads), "h", "left_anti").groupBy("tail").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
-    size = np.zeros(TAILS)
-    for r in classes:
-        size[r.tail] = r.c + r.v
-    shared = spark.sparkContext.broadcast(symbols)  # COMMON entries
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(SYMBOLS * (KEYS + 1) * SYMBOLS, dtype=np.int64)
-        for batch in batches:
-            for part in chunks(batch, "text"):
-                k = Tokens(part.column("text"))
-                symbol, _, _, key = shared.value.of(k, 0)
-                table += np.bincount(contexts(k, symbol, key) * SYMBOLS + symbol, minlength=len(table))
-        at = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(table[at], pa.int64())], names=["cell", "c"])
+    words = spark.createDataFrame(top[["h"]][:VOCABULARY], "h long")
+    tails = counts.where("tail >= 0").join(F.broadcast(words), "h", "left_anti").groupBy("tail").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
+    size, of_tail = np.zeros(TAILS), np.zeros(TAILS)
+    for r in tails:
+        size[r.tail], of_tail[r.tail] = r.c + r.v, r.c
+    model = Model(np.concatenate([[ends], of_tail, top["c"].to_numpy(float)[:VOCABULARY]]))
+    for turn in range(ROUNDS):
+        shared = spark.sparkContext.broadcast((symbols, model))  # COMMON entries, and the vectors of SYMBOLS
+
+        def changes(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
+            symbols, start = shared.value
+            mine = Model.__new__(Model)
+            mine.__dict__.update(start.__dict__, theta=start.theta.copy(), squares=start.squares.copy())
+            touched = np.zeros(len(mine.theta), dtype=np.int64)
+            rng = np.random.default_rng([turn, TaskContext.get().partitionId()])
+            for batch in batches:
+                for part in chunks(batch, "text", PART_BYTES):
+                    k = Tokens(part.column("text"))
+                    symbol, _, _ = symbols.of(k, 0)
+                    one, two = before(k, symbol)
+                    order = rng.permutation(len(symbol))
+                    for lo in range(0, len(order), BATCH):
+                        i = order[lo : lo + BATCH]
+                        mine.step(one[i], two[i], symbol[i], rng, touched)
+            rows = np.flatnonzero(touched)
+            w = touched[rows].astype(np.float64)
+            change = (mine.theta[rows].astype(np.float64) - start.theta[rows]) * w[:, None]
+            more = (mine.squares[rows].astype(np.float64) - start.squares[rows]) * w
+            columns = [np.rint(x * _UNIT).astype(np.int64) for x in (*change.T, more)]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(touched[rows]), *map(pa.array, columns)], names=["row", "n", *_COLUMNS])
+
+        of_round = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == turn).select("text")
+        schema = "row int, n long, " + ", ".join(f"{c} long" for c in _COLUMNS)
+        mean = [(F.sum(F.col(c).cast("decimal(38,0)")).cast("double") / F.sum("n")).alias(c) for c in _COLUMNS]
+        merged = of_round.mapInArrow(changes, schema).groupBy("row").agg(*mean).toArrow()  # one row for each of theta, at most
+        rows = merged.column("row").to_numpy()
+        change = np.stack([merged.column(c).to_numpy() for c in _COLUMNS], 1) / _UNIT
+        model.theta[rows] += change[:, :-1].astype(np.float32)
+        model.squares[rows] += change[:, -1].astype(np.float32)
+        shared.destroy()
+    return Fitted(symbols, model, size, ends, n.tokens, n.types, counts)
 
-    grid = train.mapInArrow(cells, "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c")).toPandas()  # SYMBOLS**2 * (KEYS + 1) cells at most
-    table = np.zeros(SYMBOLS * (KEYS + 1) * SYMBOLS)
-    table[grid["cell"].to_numpy(np.int64)] = grid["c"].to_numpy(float)
-    model = spark.sparkContext.broadcast((fit_nce(table.reshape(SYMBOLS, KEYS + 1, SYMBOLS)), size))
+
+_COLUMNS = [f"d{i}" for i in range(DIM + 1)] + ["squares"]
+
+
+def score(doc: DataFrame, fitted: Fitted) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of (doc_id, text, held_out)."""
+    shared = doc.sparkSession.sparkContext.broadcast((fitted.symbols, fitted.model, fitted.size, fitted.ends))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log_p, size = model.value
+        symbols, model, size, ends = shared.value
         inside = np.log10(size + 1)
         row_no = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", PART_BYTES):
                 k = Tokens(part.column("text"))
-                symbol, count, common, key = shared.value.of(k, ends)
+                symbol, count, common = symbols.of(k, ends)
                 text = np.repeat(np.arange(len(k.size)), k.size)
                 add = lambda w: np.bincount(text, w, len(k.size))
-                tail = symbol > END
-                s = log_p[contexts(k, symbol, key), symbol] - np.where(tail, inside[np.maximum(symbol - END - 1, 0)], 0)
+                tail = (symbol > 0) & (symbol < FIRST_WORD)
+                s = model.log10(*before(k, symbol), symbol) - np.where(tail, inside[np.clip(symbol - 1, 0, TAILS - 1)], 0)
                 logc = np.where(common, np.log10(count + 1), 0)
                 rare = ~common
                 yield pa.RecordBatch.from_arrays(
@@ -218,10 +310,15 @@ def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
 
     rows = materialize(doc.mapInArrow(sums, "row long, doc_id long, held_out boolean, n_tokens long, known long, logc double, s double, rare array<long>"))
     rare = rows.select("row", F.explode("rare").alias("h"))
-    found = rare.join(counts.select("h", F.log10(F.col("c") + 1).alias("l")), "h").groupBy("row").agg(F.sum("l").alias("more"), F.count("*").alias("k"))
-    out = rows.drop("rare").join(found, "row", "left")
+    found = rare.join(fitted.counts.select("h", F.log10(F.col("c") + 1).alias("l")), "h").groupBy("row").agg(F.sum("l").alias("more"), F.count("*").alias("k"))
     more = F.coalesce("more", F.lit(0.0))
-    return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(n.tokens).cast("long").alias("train_tokens"),
-        (F.col("logc") + more - F.col("n_tokens") * float(np.log10(n.tokens + n.types + 1))).alias("base_score"), (F.col("s") + more).alias("score"),
+    return rows.drop("rare").join(found, "row", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(fitted.tokens).cast("long").alias("train_tokens"),
+        (F.col("logc") + more - F.col("n_tokens") * float(np.log10(fitted.tokens + fitted.types + 1))).alias("base_score"), (F.col("s") + more).alias("score"),
     )
+
+
+def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
+    """Fit on the rows outside the held fold and score every row."""
+    doc = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.coalesce(fold(F.col("doc_id"), folds), F.lit(-1)) == held).alias("held_out"))
+    return score(doc, fit(doc.where("not held_out and doc_id is not null")))

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sluice.llm import ann, bm25, dedup, lines, lm, mixing, pieces, sharding, toxicity, urls
+from sluice.llm import ann, bm25, common, dedup, lines, lm, mixing, pieces, sharding, toxicity, urls
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rid string, id string, component string"
 
@@ -226,13 +226,64 @@ def test_language_model(docs, none):
     assert lm.lm_scores(none).count() == 0
 
 
-def test_nce_learns_a_conditional():
-    table = np.zeros((3, 1, 3))
-    table[0, 0] = [900, 90, 10]
-    table[1, 0] = [10, 100, 890]
-    table[2, 0] = [300, 300, 400]
-    p = 10 ** lm.fit_nce(table, dim=6, steps=800)
-    assert np.allclose(p.sum(1), 1) and np.abs(p - table[:, 0] / 1000).max() < 0.05
+def _symbol_of(fitted, word):
+    """Symbol of a word (None: the end), and what its ending takes off its probability."""
+    if word is None:
+        return 0, 0.0
+    at = {int(h): int(i) for h, i in zip(fitted.symbols.hash, fitted.symbols.symbol, strict=True)}.get(common.string_hash(word), -1)
+    if at >= 0:
+        return at, 0.0
+    raw = word
+    tail = int(common.mix(np.array([raw[-1] * 257 + (raw[-2] if len(raw) > 1 else 0)], dtype=np.uint64))[0] % lm.TAILS)
+    return 1 + tail, math.log10(fitted.size[tail] + 1)
+
+
+def test_language_model_scores_against_plain_version(spark, monkeypatch):
+    monkeypatch.setattr(lm, "VOCABULARY", 40)
+    rng = random.Random(5)
+    pool = [f"w{i}x{i * 7 % 11}" for i in range(90)]
+    texts_ = {i: " ".join(rng.choices(pool, weights=range(90, 0, -1), k=rng.randint(0, 30))) for i in range(60)} | {60: None, 61: "", 62: "unseen w1x7 UNSEEN"}
+    train = spark.createDataFrame([(i, t) for i, t in texts_.items() if i < 50], "doc_id long, text string")
+    fitted = lm.fit(train)
+    count = collections.Counter(w for i, t in texts_.items() if i < 50 for w in words(t))
+    theta = fitted.model.theta.astype(float)
+    a, b, t, u = theta[: lm.SYMBOLS], theta[lm.SYMBOLS : 2 * lm.SYMBOLS], theta[2 * lm.SYMBOLS : 3 * lm.SYMBOLS], theta[3 * lm.SYMBOLS :]
+
+    def dist(one, two):
+        r = a[one] + b[two]
+        r[-1] = 1
+        p = np.exp(t @ r).reshape(-1, lm.CLASS)
+        c = np.exp(u @ r)
+        share = p / np.maximum(p.sum(1, keepdims=True), 1e-300)
+        return (share * (c / c.sum())[:, None]).ravel()
+
+    assert abs(dist(0, 0).sum() - 1) < 1e-6 and abs(dist(66, 3).sum() - 1) < 1e-6
+    doc = spark.createDataFrame(list(texts_.items()), "doc_id long, text string").withColumn("held_out", F.lit(False))
+    for r in lm.score(doc, fitted).collect():
+        one = two = 0
+        plain = 0.0
+        for w in [*words(texts_[r.doc_id]), None]:
+            s, inside = _symbol_of(fitted, w)
+            plain += math.log10(dist(one, two)[s]) - inside + (math.log10(count[w] + 1) if 0 < s <= lm.TAILS else 0)
+            one, two = s, one
+        assert abs(plain - r.score) < 1e-3 * max(1, r.n_tokens), (r.doc_id, plain, r.score)
+
+
+def test_sampled_nce_learns_a_conditional():
+    rng = np.random.default_rng(1)
+    table = np.array([[0.9, 0.09, 0.01], [0.01, 0.1, 0.89], [0.3, 0.3, 0.4]])
+    at = lm.FIRST_WORD + np.array([0, 100, 101])  # in two classes
+    one = rng.integers(0, 3, 60_000)
+    nxt = (rng.random(len(one))[:, None] > table[one].cumsum(1)).sum(1)
+    counts = np.zeros(lm.FIRST_WORD + 102)
+    counts[at] = np.bincount(nxt)
+    model, touched = lm.Model(counts), np.zeros(3 * lm.SYMBOLS + lm.CLASSES, dtype=np.int64)
+    zero = np.zeros(len(one), dtype=np.int64)
+    for lo in range(0, len(one), 500):
+        i = slice(lo, lo + 500)
+        model.step(at[one[i]], zero[i], at[nxt[i]], rng, touched)
+    p = np.array([[10 ** model.log10(at[[x]], zero[:1], at[[y]])[0] for y in range(3)] for x in range(3)])
+    assert np.abs(p - table).max() < 0.08, p
 
 
 def test_toxicity(spark, docs, none):
