@@ -16,8 +16,9 @@ Both parts are fitted by noise-contrastive estimation on sampled noise: CLASS_NO
 batch and WORD_NOISE words of the same class a token, by their counts. All training tokens
 take part once, in ROUNDS parts of the documents: in a round every task starts from the same
 vectors and makes steps of BATCH tokens on what it reads; Spark sums the tasks' changes by
-row, weighted by the tokens that touched it, and the means are the next round's start. Sums
-are of integers, so reruns over the same partitions agree. The vectors are bounded by
+row, weighted by the root of the tokens that touched it (so that no sum outgrows a long), and
+the means are the next round's start. Sums are of integers, so reruns over the same
+partitions agree. The vectors are bounded by
 the symbols; what they are fitted on is the whole corpus.
 
 Defined results: null and empty texts have one token, the end; without training rows all
@@ -216,7 +217,7 @@ def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mine - np.log(np.exp(x, out=x).sum(1))
 
 
-#: changes, times their tokens, are summed as integers of this fraction
+#: changes, times their weights, are summed as integers of this fraction
 _UNIT = float(1 << 16)
 
 
@@ -265,11 +266,13 @@ def fit(train: DataFrame) -> Fitted:
                         i = order[lo : lo + BATCH]
                         mine.step(one[i], two[i], symbol[i], rng, touched)
             rows = np.flatnonzero(touched)
-            w = touched[rows].astype(np.float64)
-            change = (mine.theta[rows].astype(np.float64) - start.theta[rows]) * w[:, None]
-            more = (mine.squares[rows].astype(np.float64) - start.squares[rows]) * w
-            columns = [np.rint(x * _UNIT).astype(np.int64) for x in (*change.T, more)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(touched[rows]), *map(pa.array, columns)], names=["row", "n", *_COLUMNS])
+            w = np.ceil(np.sqrt(touched[rows]))
+            change = mine.theta[rows].astype(np.float64) - start.theta[rows]
+            change = np.column_stack([change, np.log(mine.squares[rows].astype(np.float64) / start.squares[rows])])
+            if not (np.abs(change) < 1e4).all():
+                raise ValueError("the fit diverged")
+            columns = np.rint(change * w[:, None] * _UNIT).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(w.astype(np.int64)), *map(pa.array, columns.T.copy())], names=["row", "n", *_COLUMNS])
 
         of_round = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == turn).select("text")
         schema = "row int, n long, " + ", ".join(f"{c} long" for c in _COLUMNS)
@@ -278,7 +281,7 @@ def fit(train: DataFrame) -> Fitted:
         rows = merged.column("row").to_numpy()
         change = np.stack([merged.column(c).to_numpy() for c in _COLUMNS], 1) / _UNIT
         model.theta[rows] += change[:, :-1].astype(np.float32)
-        model.squares[rows] += change[:, -1].astype(np.float32)
+        model.squares[rows] *= np.exp(change[:, -1]).astype(np.float32)
         shared.destroy()
     return Fitted(symbols, model, size, ends, n.tokens, n.types, counts)
 
