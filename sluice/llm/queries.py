@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bm25, dedup, lines, lm, mixing, pieces, sharding, toxicity, urls
+from . import ann, bm25, centroids, dedup, langid, lines, lm, manifest, mixing, oracles, pieces, sharding, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,5 +55,23 @@ def op10_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.search(docs, docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pieces, op2_minhash, op3_lm, op4_toxicity, op5_mixing, op6_sharding, op7_lines, op8_neighbours, op9_urls, op10_bm25)}
-SQL: dict[str, str] = {}
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_report(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest_report(_table(spark, sf_dir, "documents"))
+
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_report(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_pieces, op2_minhash, op3_lm, op4_toxicity, op5_mixing, op6_sharding, op7_lines, op8_neighbours, op9_urls, op10_bm25,
+        op11_centroids, op12_manifest, op13_language,
+    )
+}
+SQL: dict[str, str] = {"op11_centroids": oracles.centroids(), "op12_manifest": oracles.manifest()}
