@@ -14,6 +14,7 @@ AT_LEAST = r"не\s+менее|не\s+ниже|не\s+меньше|≥|>="
 AT_MOST = r"не\s+более|не\s+выше|не\s+больше|не\s+превыша\p{L}*|≤|<="
 _NUM = r"([-+]?\d+(?:[.,]\d+)?)"
 _BARE = r"(\d+(?:[.,]\d+)?)"
+# fixed values: how cells print a day, a term and a day of issue
 _DAY = r"(\d{1,2})\.(\d{1,2})\.(\d{4})"
 
 
@@ -36,11 +37,12 @@ def requirement(c: Column) -> Column:
     two numbers around dots or a long dash, bounds in words (both make a range), one number.
     """
     text = _spaced(c)
+    # fixed values: the forms in which norms are printed; after a bound the rest may run over lines
     both = rf"(?iu){_NUM}\s*(?:±|\+/-|\+-)\s*{_NUM}(.*)$"
     each = rf"(?iu){_NUM}\s*\+\s*{_BARE}\s*/\s*-\s*{_BARE}(.*)$"
     span = rf"(?iu)от\s*{_NUM}\s*до\s*{_NUM}(.*)$"
     dots = rf"(?iu){_NUM}\s*(?:\.\.\.|…|―|—)\s*{_NUM}(.*)$"
-    low, high = rf"(?iu)(?:{AT_LEAST})\s*{_NUM}(.*)$", rf"(?iu)(?:{AT_MOST})\s*{_NUM}(.*)$"
+    low, high = rf"(?iu)(?:{AT_LEAST})\s*{_NUM}((?s:.*))$", rf"(?iu)(?:{AT_MOST})\s*{_NUM}((?s:.*))$"
     one = rf"(?iu)^\s*{_NUM}\s*(.*)$"
     null = F.lit(None).cast("double")
 
@@ -102,6 +104,7 @@ def printed_date(c: Column) -> Column:
     return F.coalesce(F.when(text.rlike(rf"^{_DAY}$"), _date(text, rf"^{_DAY}$")), F.when(text.rlike(words), spelled))
 
 
+# fixed values: a term and a day of issue behind a number
 _RANGE = rf"(?iu)(?:^|[\s;,(])[сc]\s*[;,]?\s*{_DAY}\s*[;,]?\s*по\s*[;,]?\s*{_DAY}"
 _ISSUED = rf"(?iu)(?:^|[\s;,(])от\s*[;,]?\s*{_DAY}"
 

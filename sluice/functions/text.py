@@ -10,7 +10,7 @@ DASHES = "\u2010\u2011\u2012\u2013\u2014\u2015\u2212\ufe58\ufe63\uff0d"
 # fixed values: Cyrillic capitals and their Latin look-alikes, for document numbers
 NUMBER_FROM, NUMBER_TO = "АВЕКМНОРСТХУR", "ABEKMHOPCTXUP"
 # fixed values: the wider table of look-alikes, for names and standards
-NAME_FROM, NAME_TO = "АВЕКМНОРСТХУІЅЈ", "ABEKMHOPCTXYISJ"
+NAME_FROM, NAME_TO = "АВЕКМНОРСТХУІЅЈ", "ABEKMHOPCTXUISJ"
 # fixed values: characters that a document number is compared without (spaces, quotes, number sign, soft hyphen, semicolon)
 NUMBER_DROPPED = "\\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff;\u00ad№\"'`«»“”„‘’"
 # fixed values: words after which a database quotes the name of a schema object
@@ -76,10 +76,11 @@ def mark(c: Column) -> Column:
 
 
 def line(c: Column) -> Column:
-    """A line without heading, list and emphasis marks, outer pipes and double spaces."""
-    x = F.regexp_replace(F.trim(c), r"^(#{1,6}\s+|[-*+]\s+|\d+[.)]\s+)", "")
-    x = F.regexp_replace(F.regexp_replace(x, r"[*_`]", ""), r"^\|\s*|\s*\|$", "")
-    return F.trim(F.regexp_replace(x, r"\s+", " "))
+    """A line without heading, list, quote and emphasis marks, outer pipes and double spaces."""
+    # fixed values: the marks that may lead a line, and its outer pipes
+    for mark_ in (r"^[\s>]*#{1,6}\s*", r"^[\s>*+-]+", r"[*_`]", r"^\s*\|\s*", r"\s*\|\s*$"):
+        c = F.regexp_replace(c, mark_, "")
+    return F.trim(F.regexp_replace(c, r"[\s\u00a0]+", " "))
 
 
 def lines(c: Column) -> Column:
@@ -171,9 +172,9 @@ def observed_title(c: Column) -> Column:
 
 
 def person_key(c: Column) -> Column:
-    """Surname and initials, however the given names are written: ИВАНОВ И П."""
-    words = F.filter(F.split(F.translate(F.upper(c), "Ё.", "Е "), r"\s+"), lambda x: x != "")
-    return F.array_join(F.transform(words, lambda x, i: F.when(i == 0, x).otherwise(F.substring(x, 1, 1))), " ")
+    """Surname and initials in one word, however the given names are written: ИВАНОВИП."""
+    words = F.filter(F.split(F.translate(F.upper(c), "Ё", "Е"), r"[^\p{L}]+"), lambda x: x != "")
+    return F.array_join(F.transform(words, lambda x, i: F.when(i == 0, x).otherwise(F.substring(x, 1, 1))), "")
 
 
 def sql_template(c: Column) -> Column:

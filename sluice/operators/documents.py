@@ -89,13 +89,15 @@ class DocType:
     anchors: tuple[str, ...]
     negatives: tuple[str, ...] = ()
     hints: tuple[str, ...] = ()
-    heading_lines: int = HEADING_LINES
+    heading_lines: int = 0
+    group: str | None = None
+    fallback: bool = False
 
 
-def _headings(zone: str, pattern: str, n: int) -> Column:
+def _headings(zone: str, pattern: str, n: Column) -> Column:
     """Indexes of those of the first n lines that the pattern begins, with at most TRAILING more
     characters; lines after one that ends in a colon are items of a list, no headings."""
-    at = F.sequence(F.lit(0), F.least(F.size(zone), F.lit(n)) - 1)
+    at = F.sequence(F.lit(0), F.least(F.size(zone), n) - 1)
     after_colon = lambda i: (i > 0) & F.coalesce(F.endswith(F.get(F.col(zone), i - 1), F.lit(":")), F.lit(False))
     return F.filter(F.when(F.size(zone) > 0, at).otherwise(F.array().cast("array<int>")), lambda i: F.get(F.col(zone), i).rlike(f"(?iu)^(?:{pattern}).{{0,{TRAILING}}}$") & ~after_colon(i))
 
@@ -104,25 +106,35 @@ def _any(zone: str, pattern: str) -> Column:
     return F.exists(zone, lambda x: x.rlike(f"(?iu){pattern}"))
 
 
-def match_types(df: DataFrame, key: str, text: str, types: Sequence[DocType]) -> DataFrame:
-    """(key, code, priority, line, line_index, body_hits): types one of whose anchors is a heading,
-    unless a negative anchor is one. The first anchor with a heading names the line.
+def type_matches(zone: str, types: Sequence[DocType], base: Column | int = HEADING_LINES) -> Column:
+    """ARRAY<STRUCT(code, priority, rank, line, line_index, body_hits)> over an array column of lines:
+    types one of whose anchors is a heading, unless a negative anchor is one.
 
-    The types are few and known when the plan is made: each is one built-in expression
-    over the lines, in one pass without a join.
+    Headings stand in the first base lines; a type that asks for a longer window gets it. The
+    first anchor with a heading names the line; rank is the type's place in the catalogue.
+    General types are never matched. The types are few and known when the plan is made:
+    each is one built-in expression over the lines, in one pass without a join.
     """
-    rows = df.select(key, lines(F.col(text)).alias("zone"))
     found = []
-    for t in types:
-        hit = F.coalesce(*[F.get(_headings("zone", a, t.heading_lines), F.lit(0)) for a in t.anchors])
+    for rank, t in enumerate(types):
+        if t.fallback:
+            continue
+        window = F.greatest(F.lit(base) if isinstance(base, int) else base, F.lit(t.heading_lines))
+        hit = F.coalesce(*[F.get(_headings(zone, a, window), F.lit(0)) for a in t.anchors])
         ok = hit.isNotNull()
         for n in t.negatives:
-            ok = ok & (F.size(_headings("zone", n, t.heading_lines)) == 0)
+            ok = ok & (F.size(_headings(zone, n, window)) == 0)
         hints = F.lit(0)
         for h in t.hints:
-            hints = hints + _any("zone", h).cast("int")
-        found.append(F.when(ok, F.struct(F.lit(t.code).alias("code"), F.lit(t.priority).alias("priority"), F.get(F.col("zone"), hit).alias("line"), hit.alias("line_index"), hints.alias("body_hits"))))
-    return rows.select(key, F.explode(F.array_compact(F.array(*found))).alias("t")).select(key, "t.*")
+            hints = hints + _any(zone, h).cast("int")
+        found.append(F.when(ok, F.struct(F.lit(t.code).alias("code"), F.lit(t.priority).alias("priority"), F.lit(rank).alias("rank"), F.get(F.col(zone), hit).alias("line"), hit.alias("line_index"), hints.alias("body_hits"))))
+    return F.array_compact(F.array(*found))
+
+
+def match_types(df: DataFrame, key: str, text: str, types: Sequence[DocType], base: int = HEADING_LINES) -> DataFrame:
+    """(key, code, priority, rank, line, line_index, body_hits): the types that a text's headings name."""
+    rows = df.select(key, lines(F.col(text)).alias("zone"))
+    return rows.select(key, F.explode(type_matches("zone", types, base)).alias("t")).select(key, "t.*")
 
 
 @dataclass(frozen=True)
@@ -130,20 +142,27 @@ class PageRole:
     code: str
     anchors: tuple[str, ...]
     negatives: tuple[str, ...] = ()
+    attaches: bool = False
 
 
-def match_roles(df: DataFrame, key: str, text: str, roles: Sequence[PageRole]) -> DataFrame:
-    """(key, code, line, parent): roles with an anchor anywhere on the page and no negative one; the
-    first group of the anchor, if it has one, names the parent document."""
-    rows = df.select(key, lines(F.col(text)).alias("zone"))
+def role_matches(zone: str, roles: Sequence[PageRole]) -> Column:
+    """ARRAY<STRUCT(code, line, parent)> over an array column of lines: roles with an anchor anywhere on
+    the page and no negative one; the first group of the anchor, if it has one, names the parent document."""
     found = []
     for r in roles:
-        on = lambda p: F.get(F.filter("zone", lambda x: x.rlike(f"(?iu){p}")), F.lit(0))
-        said = [F.when(on(a).isNotNull(), F.struct(on(a).alias("line"), (F.nullif(F.trim(F.regexp_extract(on(a), f"(?iu){a}", 1)), F.lit("")) if re.compile(a).groups else F.lit(None).cast("string")).alias("parent"))) for a in r.anchors]
-        veto = reduce(lambda a, b: a | b, [_any("zone", n) for n in r.negatives], F.lit(False))
+        on = lambda p: F.get(F.filter(zone, lambda x: x.rlike(f"(?iu){p}")), F.lit(0))
+        parent = lambda a: F.nullif(F.trim(F.regexp_extract(on(a), f"(?iu){a}", 1)), F.lit("")) if re.compile(a).groups else F.lit(None).cast("string")
+        said = [F.when(on(a).isNotNull(), F.struct(on(a).alias("line"), parent(a).alias("parent"))) for a in r.anchors]
+        veto = reduce(lambda a, b: a | b, [_any(zone, n) for n in r.negatives], F.lit(False))
         hit = F.coalesce(*said)
         found.append(F.when(hit.isNotNull() & ~veto, F.struct(F.lit(r.code).alias("code"), hit["line"].alias("line"), hit["parent"].alias("parent"))))
-    return rows.select(key, F.explode(F.array_compact(F.array(*found))).alias("r")).select(key, "r.*")
+    return F.array_compact(F.array(*found))
+
+
+def match_roles(df: DataFrame, key: str, text: str, roles: Sequence[PageRole]) -> DataFrame:
+    """(key, code, line, parent): the roles that a page's lines name."""
+    rows = df.select(key, lines(F.col(text)).alias("zone"))
+    return rows.select(key, F.explode(role_matches("zone", roles)).alias("r")).select(key, "r.*")
 
 
 def fallback_types(df: DataFrame, code: str, group: str, fallbacks: dict[str, str], default: str = "unknown_document") -> DataFrame:
@@ -169,13 +188,19 @@ def materials(documents: DataFrame, categories: Sequence[tuple[str, str]]) -> Da
     return named.groupBy("product_key").agg(F.min_by(kind, "document_id").alias("category"), F.array_sort(F.collect_set("document_id")).alias("documents"), F.array_sort(F.collect_set(batch)).alias("batches"))
 
 
+def ranked(matches: Column) -> Column:
+    """Matches from the highest priority down, in catalogue order among equals."""
+    keyed = F.array_sort(F.transform(matches, lambda m: F.struct((-m["priority"]).alias("p"), m["rank"].alias("r"), m.alias("m"))))
+    return F.transform(keyed, lambda k: k["m"])
+
+
 def resolve_types(matches: DataFrame, key: str) -> DataFrame:
-    """(key, code, state, alternatives): the highest priority wins, by name among equals; several
-    at the top are ambiguous, and the others there are the alternatives."""
-    best = F.reverse(F.array_sort(F.collect_list(F.struct("priority", "code"))))
-    g = matches.groupBy(key).agg(best.alias("all"))
-    top = F.array_sort(F.transform(F.filter("all", lambda x: x["priority"] == F.col("all")[0]["priority"]), lambda x: x["code"]))
-    return g.select(key, top.alias("top")).select(key, F.col("top")[0].alias("code"), F.when(F.size("top") == 1, "resolved").otherwise("ambiguous").alias("state"), F.slice("top", 2, 1000).alias("alternatives"))
+    """(key, code, state, alternatives): the highest priority wins, the first of the catalogue among
+    equals; all others are alternatives. Several at the top are ambiguous."""
+    all_ = ranked(F.collect_list(F.struct("code", "priority", "rank")))  # one entry a type at most
+    g = matches.groupBy(key).agg(all_.alias("all"))
+    tied = F.size(F.filter("all", lambda x: x["priority"] == F.col("all")[0]["priority"]))
+    return g.select(key, F.col("all")[0]["code"].alias("code"), F.when(tied == 1, "resolved").otherwise("ambiguous").alias("state"), F.transform(F.slice("all", 2, 1000), lambda x: x["code"]).alias("alternatives"))
 
 
 @dataclass(frozen=True)

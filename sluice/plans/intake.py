@@ -11,23 +11,25 @@ from sluice.sources.tables import table
 _TYPES = (
     documents.DocType("english", 2, ("th", "of", "an"), ("\\|",)),
     documents.DocType("german", 2, ("der", "die", "ein"), ("\\|",)),
-    documents.DocType("opening", 1, ("the ", "The ")),
+    documents.DocType("opening", 1, ("the ", "The "), heading_lines=5),
+    documents.DocType("late", 1, ("el ",), heading_lines=40),
+    documents.DocType("general", 9, (".",), fallback=True),
 )
-_LINE = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(x), '^(#{1,6}\\s+|[-*+]\\s+|\\d+[.)]\\s+)', ''), '[*_`]', '', 'g'), '^\\|\\s*|\\s*\\|$', '', 'g'), '\\s+', ' ', 'g'))"
+_LINE = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '^[\\s>]*#{1,6}\\s*', ''), '^[\\s>*+-]+', ''), '[*_`]', '', 'g'), '^\\s*\\|\\s*', ''), '\\s*\\|\\s*$', ''), '[\\s\\x{a0}]+', ' ', 'g'))"
 _ZONE = f"""z AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\r?\\n'), lambda x: {_LINE}), lambda x: x <> '') AS zone FROM documents WHERE text IS NOT NULL)"""
 
 
-def _headings(pattern: str) -> str:
-    return f"list_filter(range(1, least(20, len(zone)) + 1), lambda i: regexp_matches(zone[i], '(?i)^(?:{pattern}).{{0,80}}$') AND (i = 1 OR NOT ends_with(zone[i - 1], ':')))"
+def _headings(pattern: str, t: documents.DocType) -> str:
+    return f"list_filter(range(1, least({max(20, t.heading_lines)}, len(zone)) + 1), lambda i: regexp_matches(zone[i], '(?i)^(?:{pattern}).{{0,80}}$') AND (i = 1 OR NOT ends_with(zone[i - 1], ':')))"
 
 
-def _hit(t: documents.DocType) -> str:
-    at = f"coalesce({', '.join(f'{_headings(a)}[1]' for a in t.anchors)})"
-    no = "".join(f" AND len({_headings(n)}) = 0" for n in t.negatives)
-    return f"SELECT doc_id, '{t.code}' AS code, {t.priority} AS priority, {at} - 1 AS line_index FROM z WHERE {at} IS NOT NULL{no}"
+def _hit(rank: int, t: documents.DocType) -> str:
+    at = f"coalesce({', '.join(f'{_headings(a, t)}[1]' for a in t.anchors)})"
+    no = "".join(f" AND len({_headings(n, t)}) = 0" for n in t.negatives)
+    return f"SELECT doc_id, '{t.code}' AS code, {t.priority} AS priority, {rank} AS rank, {at} - 1 AS line_index FROM z WHERE {at} IS NOT NULL{no}"
 
 
-_MATCHED = f"{_ZONE}, m AS ({' UNION ALL '.join(_hit(t) for t in _TYPES)})"
+_MATCHED = f"{_ZONE}, m AS ({' UNION ALL '.join(_hit(i, t) for i, t in enumerate(_TYPES) if not t.fallback)})"
 
 
 @query(f"WITH {_MATCHED} SELECT doc_id, code, priority, line_index FROM m")
@@ -36,7 +38,8 @@ def type_matches(spark, d):
 
 
 @query(f"""WITH {_MATCHED}, t AS (SELECT *, max(priority) OVER (PARTITION BY doc_id) AS top FROM m)
-  SELECT doc_id, min(code) AS code, CASE WHEN count(*) = 1 THEN 'resolved' ELSE 'ambiguous' END AS state, CASE WHEN count(*) > 1 THEN max(code) ELSE '' END AS alternatives FROM t WHERE priority = top GROUP BY 1""")
+  SELECT doc_id, arg_min(code, (-priority, rank)) AS code, CASE WHEN count(*) FILTER (priority = top) = 1 THEN 'resolved' ELSE 'ambiguous' END AS state,
+  array_to_string(list(code ORDER BY -priority, rank)[2:], ',') AS alternatives FROM t GROUP BY 1""")
 def type_resolution(spark, d):
     found = documents.resolve_types(documents.match_types(table(spark, d, "documents"), "doc_id", "text", _TYPES), "doc_id")
     return found.withColumn("alternatives", F.array_join("alternatives", ","))
