@@ -15,7 +15,7 @@ AT_MOST = r"не\s+более|не\s+выше|не\s+больше|не\s+пре
 _NUM = r"([-+]?\d+(?:[.,]\d+)?)"
 _BARE = r"(\d+(?:[.,]\d+)?)"
 # fixed values: how cells print a day, a term and a day of issue
-_DAY = r"(\d{1,2})\.(\d{1,2})\.(\d{4})"
+DAY = r"(\d{1,2})\.(\d{1,2})\.(\d{4})"
 
 
 def _spaced(c: Column) -> Column:
@@ -101,12 +101,12 @@ def printed_date(c: Column) -> Column:
     words = rf"(?iu)(\d{{1,2}})\D+?({'|'.join(MONTHS)})[а-я]*\D+?(\d{{4}})"
     month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(_group(text, words, 2)))
     spelled = F.try_to_date(F.concat_ws(".", _group(text, words, 1), month.cast("string"), _group(text, words, 3)), "d.M.yyyy")
-    return F.coalesce(F.when(text.rlike(rf"^{_DAY}$"), _date(text, rf"^{_DAY}$")), F.when(text.rlike(words), spelled))
+    return F.coalesce(F.when(text.rlike(rf"^{DAY}$"), _date(text, rf"^{DAY}$")), F.when(text.rlike(words), spelled))
 
 
 # fixed values: a term and a day of issue behind a number
-_RANGE = rf"(?iu)(?:^|[\s;,(])[сc]\s*[;,]?\s*{_DAY}\s*[;,]?\s*по\s*[;,]?\s*{_DAY}"
-_ISSUED = rf"(?iu)(?:^|[\s;,(])от\s*[;,]?\s*{_DAY}"
+_RANGE = rf"(?iu)(?:^|[\s;,(])[сc]\s*[;,]?\s*{DAY}\s*[;,]?\s*по\s*[;,]?\s*{DAY}"
+_ISSUED = rf"(?iu)(?:^|[\s;,(])от\s*[;,]?\s*{DAY}"
 
 
 def number_cell(c: Column) -> Column:
@@ -127,11 +127,25 @@ def number_cell(c: Column) -> Column:
 def date_cell(c: Column) -> Column:
     """STRUCT(valid_from, valid_to, issued_at): a term, two dates as a term, one date as the issue."""
     term = c.rlike(_RANGE)
-    two = rf"{_DAY}(?s:.*?){_DAY}"
+    two = rf"{DAY}(?s:.*?){DAY}"
     pair = ~term & c.rlike(two)
     return F.struct(
         F.when(term, _date(c, _RANGE, 1)).when(pair, _date(c, two, 1)).alias("valid_from"), F.when(term, _date(c, _RANGE, 4)).when(pair, _date(c, two, 4)).alias("valid_to"),
-        F.when(~term & ~pair & c.rlike(_DAY), _date(c, _DAY)).alias("issued_at"),
+        F.when(~term & ~pair & c.rlike(DAY), _date(c, DAY)).alias("issued_at"),
+    )
+
+
+def transfer_date_cell(c: Column) -> Column:
+    """STRUCT(valid_from, valid_to, issued_at, month_only): as date_cell, «до d» as the end of a term; a month
+    without its day is no date, but is told apart from an empty cell."""
+    # fixed values: an end alone, a month in figures, a month in words
+    until, figures = rf"(?iu)(?:^|[\s;,(])(?:действ[а-яё]*\s+)?до\s*[;,]?\s*{DAY}", r"(?:^|[^\d.])(\d{1,2})\.(\d{4})(?!\s*\d)"
+    words = r"(?iu)(январ|феврал|март|апрел|ма[йя]|июн|июл|август|сентябр|октябр|ноябр|декабр)[а-яё]*\.?\s*\.?\s*(\d{4})"
+    plain, none = date_cell(c), F.lit(None).cast("date")
+    end = ~c.rlike(_RANGE) & c.rlike(until)
+    return F.struct(
+        F.when(end, none).otherwise(plain["valid_from"]).alias("valid_from"), F.when(end, _date(c, until)).otherwise(plain["valid_to"]).alias("valid_to"),
+        F.when(end, none).otherwise(plain["issued_at"]).alias("issued_at"), (~end & ~c.rlike(DAY) & (c.rlike(figures) | c.rlike(words))).alias("month_only"),
     )
 
 

@@ -2,27 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.functions.text import doc_no, doc_no_folded, org_key, phrase
+from sluice.functions.text import doc_no, doc_no_folded, registry_name
 
 
-def match_rows(rows: DataFrame, documents: DataFrame) -> DataFrame:
-    """rows (row_id, number), documents (document_id, number) -> state, score, document.
+def match_rows(rows: DataFrame, documents: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """rows (row_id, number), documents (document_id, number) -> state, score, document; within equal scope columns.
 
     Exact key: one hit matches with 1.0, more are ambiguous; else the folded key: 0.85.
     Counted per key before the join, so a hot key costs one row.
     """
+    at = list(scope)
     d = documents.withColumns({"e": doc_no(F.col("number")), "f": doc_no_folded(F.col("number"))})
-    by = lambda k, p: d.where(F.col(k) != "").groupBy(k).agg(F.count("*").alias(f"{p}_n"), F.min("document_id").alias(f"{p}_id"))
+    by = lambda k, p: d.where(F.col(k) != "").groupBy(*at, k).agg(F.count("*").alias(f"{p}_n"), F.min("document_id").alias(f"{p}_id"))
     r = rows.withColumns({"e": doc_no(F.col("number")), "f": doc_no_folded(F.col("number"))})
-    j = r.join(by("e", "exact"), "e", "left").join(by("f", "fold"), "f", "left")
+    j = r.join(by("e", "exact"), [*at, "e"], "left").join(by("f", "fold"), [*at, "f"], "left")
     one, two = F.col("exact_n") == 1, F.col("fold_n") == 1
     state = F.when(one, "matched").when(F.col("exact_n") > 1, "ambiguous").when(two, "matched").when(F.col("fold_n") > 1, "ambiguous").otherwise("missing")
     score = F.when(one, 1.0).when(F.col("exact_n") > 1, None).when(two, 0.85)
     doc = F.when(one, F.col("exact_id")).when(F.col("exact_n") > 1, None).when(two, F.col("fold_id"))
-    return j.select("row_id", state.alias("state"), score.alias("score"), doc.alias("document_id"))
+    return j.select(*at, "row_id", state.alias("state"), score.alias("score"), doc.alias("document_id"))
 
 
 def never_named(rows: DataFrame, documents: DataFrame) -> DataFrame:
@@ -53,30 +56,60 @@ def overall(classes: DataFrame) -> DataFrame:
     )
 
 
-def match_groups(groups: DataFrame, documents: DataFrame) -> DataFrame:
-    """groups (group_id, act, title, org), documents (doc_id, number, title, org) -> state, score, doc_id.
+#: rungs of groups in order: key and score
+_RUNGS = (("k1", 1.0), ("k2", 0.85), ("k3", 0.9))
+
+
+def _title(c: Column) -> Column:
+    return F.lower(registry_name(c))
+
+
+def _candidate_keys(candidates: DataFrame) -> DataFrame:
+    """(doc, rung, key, work, contractor), once for each key that a candidate has."""
+    keys = lambda f: F.transform("numbers", f)
+    each = lambda rung, c: candidates.select("doc", F.lit(rung).alias("rung"), F.explode(F.array_distinct(c)).alias("key"), "work", "contractor")
+    return each(1, keys(doc_no)).unionByName(each(2, keys(doc_no_folded))).unionByName(each(3, F.array(_title(F.col("title"))))).where("key <> ''")
+
+
+def _group_keys(groups: DataFrame) -> DataFrame:
+    """(doc, ord, rung, key): the keys of a group by rung."""
+    keys = F.array(F.struct(F.lit(1).alias("rung"), F.col("act_norm").alias("key")), F.struct(F.lit(2).alias("rung"), F.col("act_folded").alias("key")), F.struct(F.lit(3).alias("rung"), _title(F.col("title")).alias("key")))
+    return groups.select("doc", "ord", F.inline(keys)).where("key <> ''")
 
-    Rungs: act number exact 1.0, folded 0.85, title 0.9; the first rung with any candidate
-    counts. Several candidates are narrowed to those whose organisation contains the group's
-    or is contained in it: one left matches with 0.8, else the group is ambiguous. Candidates
-    are summed by organisation before the join, so a number that many documents share costs
-    as many rows as it has organisations.
+
+def _decided(groups: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(doc, ord, rung, key): each group's first rung with any candidate."""
+    known = _candidate_keys(candidates).select("doc", "rung", "key").distinct()
+    hit = _group_keys(groups).join(known, ["doc", "rung", "key"])
+    return hit.groupBy("doc", "ord").agg(F.min(F.struct("rung", "key")).alias("b")).select("doc", "ord", "b.rung", "b.key")
+
+
+def match_groups(groups: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(doc, ord, state, score, work): groups (doc, ord, act_norm, act_folded, title, contractor) against
+    candidates (doc, work, contractor, title, numbers) of the same doc.
+
+    Rungs: act number exact 1.0, folded 0.85, title (lower case, as it stands) 0.9; the first rung
+    with any candidate counts. Several candidates are narrowed to those whose contractor's name
+    contains the group's or is contained in it: one left matches with 0.8; more, or none, leave the
+    group ambiguous. Candidates are summed by contractor before the join, so a number that many
+    works share costs as many rows as it has contractors.
     """
-    g = groups.select("group_id", F.col("org").alias("g_org"), doc_no(F.col("act")).alias("k1"), doc_no_folded(F.col("act")).alias("k2"), phrase(F.col("title")).alias("k3"))
-    d = documents.select("doc_id", F.col("org").alias("d_org"), doc_no(F.col("number")).alias("k1"), doc_no_folded(F.col("number")).alias("k2"), phrase(F.col("title")).alias("k3"))
-    a, b = org_key(F.col("g_org")), org_key(F.col("d_org"))
+    by = _candidate_keys(candidates).groupBy("doc", "rung", "key", "contractor").agg(F.count("*").alias("n"), F.min("work").alias("one"))
+    own = groups.select("doc", "ord", _title(F.col("contractor")).alias("needle"))
+    a, b = F.col("needle"), F.lower("contractor")
     same = F.coalesce((a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a)), F.lit(False))
-    found = None
-    for k in ("k1", "k2", "k3"):
-        by = d.where(F.col(k) != "").groupBy(k, "d_org").agg(F.count("*").alias("n"), F.min("doc_id").alias("one"))
-        hit = g.join(by, k).groupBy("group_id").agg(F.sum("n").alias("n"), F.min("one").alias("one"), F.sum(F.when(same, F.col("n")).otherwise(0)).alias("m"), F.min(F.when(same, F.col("one"))).alias("own"))
-        hit = hit.select("group_id", F.lit(int(k[1])).alias("rung"), "n", "one", "m", "own")
-        found = hit if found is None else found.unionByName(hit)
-    best = found.groupBy("group_id").agg(F.min(F.struct("rung", "n", "one", "m", "own")).alias("b")).select("group_id", "b.*")
-    j = groups.select("group_id").join(best, "group_id", "left")
-    rung = F.when(F.col("rung") == 1, 1.0).when(F.col("rung") == 2, 0.85).otherwise(0.9)
+    pairs = _decided(groups, candidates).join(by, ["doc", "rung", "key"]).join(own, ["doc", "ord"])
+    best = pairs.groupBy("doc", "ord").agg(F.first("rung").alias("rung"), F.sum("n").alias("n"), F.min("one").alias("one"), F.sum(F.when(same, F.col("n")).otherwise(0)).alias("m"), F.min(F.when(same, F.col("one"))).alias("own"))
+    j = groups.select("doc", "ord").join(best, ["doc", "ord"], "left")
     alone, narrowed = F.col("n") == 1, F.col("m") == 1
+    rung = F.coalesce(*[F.when(F.col("rung") == i, F.lit(score)) for i, (_, score) in enumerate(_RUNGS, 1)])
     return j.select(
-        "group_id", F.when(alone | narrowed, "matched").when(F.col("n") > 1, "ambiguous").otherwise("missing").alias("state"),
-        F.when(alone, rung).when(narrowed, 0.8).alias("score"), F.when(alone, F.col("one")).when(narrowed, F.col("own")).alias("doc_id"),
+        "doc", "ord", F.when(alone | narrowed, "matched").when(F.col("n") > 1, "ambiguous").otherwise("missing").alias("state"),
+        F.when(alone, rung).when(narrowed, 0.8).alias("score"), F.when(alone, F.col("one")).when(narrowed, F.col("own")).alias("work"),
     )
+
+
+def named_works(groups: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(doc, work) of candidates that stood to choose for any group; all others are extra."""
+    named = _decided(groups, candidates).select("doc", "rung", "key").distinct()
+    return _candidate_keys(candidates).join(named, ["doc", "rung", "key"], "left_semi").select("doc", "work").distinct()

@@ -223,13 +223,18 @@ def log_after(spark, d):
     return rel.newest(e, ["user_id"], [F.col("event_id").asc()], 10).join(ends, "user_id").select("user_id", "event_id", "ts", "lo", "hi")
 
 
-@query("""WITH g AS (SELECT o_orderkey AS group_id, 'a-' || (o_orderkey % 300) AS act, 't' || (o_orderkey % 70) AS title, 'org ' || (o_orderkey % 3) AS org FROM orders), c AS (SELECT s_suppkey AS doc_id, CASE WHEN s_suppkey % 2 = 0 THEN 'A-' ELSE 'А-' END || (s_suppkey % 150) AS no, 't' || (s_suppkey % 50) AS title, 'org ' || (s_suppkey % 3) AS org FROM supplier),
-  h AS (SELECT group_id, doc_id, 1 AS rung, 1.0 AS score, g.org = c.org AS same FROM g JOIN c ON upper(act) = no UNION ALL SELECT group_id, doc_id, 2, 0.85, g.org = c.org FROM g JOIN c ON upper(act) = replace(no, 'А', 'A') UNION ALL SELECT group_id, doc_id, 3, 0.9, g.org = c.org FROM g JOIN c USING (title)),
-  t AS (SELECT group_id, min(rung) AS rung FROM h GROUP BY 1), x AS (SELECT group_id, rung, max(score) AS score, count(*) AS n, count(*) FILTER (WHERE same) AS m, min(doc_id) AS one, min(doc_id) FILTER (WHERE same) AS own FROM h JOIN t USING (group_id, rung) GROUP BY 1, 2)
-  SELECT group_id, CASE WHEN n = 1 OR m = 1 THEN 'matched' WHEN n > 1 THEN 'ambiguous' ELSE 'missing' END AS state, CASE WHEN n = 1 THEN score::DOUBLE WHEN m = 1 THEN 0.8::DOUBLE END AS score, CASE WHEN n = 1 THEN one WHEN m = 1 THEN own END AS doc_id FROM g LEFT JOIN x USING (group_id)""")
+@query("""WITH g AS (SELECT o_orderkey AS ord, 'A-' || (o_orderkey % 300) AS act, 'Работа; ' || (o_orderkey % 70) AS title, CASE WHEN o_orderkey % 4 < 3 THEN 'ООО «Org ' || (o_orderkey % 4) || '»' END AS org FROM orders),
+  c AS (SELECT s_suppkey AS work, unnest([CASE WHEN s_suppkey % 2 = 0 THEN 'A-' ELSE 'А-' END || (s_suppkey % 150), 'B-' || s_suppkey]) AS no, 'РАБОТА ' || (s_suppkey % 50) AS title, 'Org ' || (s_suppkey % 3) AS org FROM supplier),
+  h AS (SELECT ord, work, 1 AS rung, 1.0 AS score, g.org LIKE '%' || c.org || '%' AS same FROM g JOIN c ON act = no UNION SELECT ord, work, 2, 0.85, g.org LIKE '%' || c.org || '%' FROM g JOIN c ON act = replace(no, 'А', 'A')
+    UNION SELECT ord, work, 3, 0.9, g.org LIKE '%' || c.org || '%' FROM g JOIN c ON lower(replace(g.title, '; ', ' ')) = lower(c.title)),
+  t AS (SELECT ord, min(rung) AS rung FROM h GROUP BY 1), x AS (SELECT ord, rung, max(score) AS score, count(*) AS n, count(*) FILTER (WHERE same) AS m, min(work) AS one, min(work) FILTER (WHERE same) AS own FROM h JOIN t USING (ord, rung) GROUP BY 1, 2)
+  SELECT ord, CASE WHEN n = 1 OR m = 1 THEN 'matched' WHEN n > 1 THEN 'ambiguous' ELSE 'missing' END AS state, CASE WHEN n = 1 THEN score::DOUBLE WHEN m = 1 THEN 0.8::DOUBLE END AS score, CASE WHEN n = 1 THEN one WHEN m = 1 THEN own END AS work FROM g LEFT JOIN x USING (ord)""")
 def transfer_groups(spark, d):
-    k = F.col("o_orderkey")
-    g = table(spark, d, "orders").select(k.alias("group_id"), F.concat(F.lit("a-"), k % 300).alias("act"), F.concat(F.lit("t"), k % 70).alias("title"), F.concat(F.lit("org "), k % 3).alias("org"))
+    k, one = F.col("o_orderkey"), F.lit(1).alias("doc")
+    act = F.concat(F.lit("A-"), k % 300)
+    org = F.when(k % 4 < 3, F.concat(F.lit("ООО «Org "), k % 4, F.lit("»")))
+    g = table(spark, d, "orders").select(one, k.alias("ord"), tx.doc_no(act).alias("act_norm"), tx.doc_no_folded(act).alias("act_folded"), F.concat(F.lit("Работа; "), k % 70).alias("title"), org.alias("contractor"))
     s = F.col("s_suppkey")
-    c = table(spark, d, "supplier").select(s.alias("doc_id"), F.concat(F.when(s % 2 == 0, "a-").otherwise("а-"), s % 150).alias("number"), F.concat(F.lit("t"), s % 50).alias("title"), F.concat(F.lit("org "), s % 3).alias("org"))
-    return matching.match_groups(g, c)
+    numbers = F.array(F.concat(F.when(s % 2 == 0, "a-").otherwise("а-"), s % 150), F.concat(F.lit("B-"), s))
+    c = table(spark, d, "supplier").select(one, s.alias("work"), F.concat(F.lit("Org "), s % 3).alias("contractor"), F.concat(F.lit("РАБОТА "), s % 50).alias("title"), numbers.alias("numbers"))
+    return matching.match_groups(g, c).drop("doc")

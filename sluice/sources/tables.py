@@ -2,8 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows of a plan that several others read, computed once: a reliable checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
+    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
+        if not sc.master.startswith("local"):
+            raise ValueError("on a cluster name a shared folder in spark.checkpoint.dir")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sluice-"))
+    return df.checkpoint()
