@@ -222,7 +222,7 @@ def reconciled_registers(spark, d):
 
 @query(f"""WITH {_RECONCILED}, bad AS (SELECT doc FROM d WHERE gstate <> 'matched' UNION SELECT doc FROM v WHERE state <> 'matched' OR mismatches <> '' UNION SELECT doc FROM per WHERE NOT found UNION SELECT doc FROM extra),
   reg AS (SELECT doc, bool_or(doc IN (SELECT doc FROM r)) AS has_rows, bool_or(doc IN (SELECT doc FROM works)) AS has_works FROM l GROUP BY 1)
-  SELECT doc, doc % 7 = 0 AS header_mismatch, CASE WHEN NOT has_rows AND has_works THEN 'unparsed' WHEN doc IN (SELECT doc FROM bad) OR doc % 7 = 0 THEN 'mismatch' ELSE 'clean' END AS verdict FROM reg""")
+  SELECT doc, doc > 0 AND doc % 7 = 0 AS header_mismatch, CASE WHEN NOT has_rows AND has_works THEN 'unparsed' WHEN doc IN (SELECT doc FROM bad) OR (doc > 0 AND doc % 7 = 0) THEN 'mismatch' ELSE 'clean' END AS verdict FROM reg""")
 def register_verdicts(spark, d):
     return _reconciled(spark, d)["verdicts"]
 
