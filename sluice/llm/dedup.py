@@ -266,13 +266,22 @@ def dedup_report(docs: DataFrame) -> DataFrame:
     return near_groups(docs).drop("h1", "h2")
 
 
+#: nodes of an id's further texts stand above all ids
+_FURTHER = 1 << 62
+
+
 def near_dedup(docs: DataFrame) -> DataFrame:
     """The documents with one row of each group: of its least doc_id, by its text. Rows without
-    doc_id or text are linked with nothing and all stay, but rows equal in id and text are one."""
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.col("doc_id").cast("long").alias("id"), F.col("text").alias("t"))
-    gone = materialize(near_groups(docs).where("not kept").select(F.col("doc_id").alias("id")).distinct())
-    left = semi(row, gone, "id", "left_anti")
-    twice = materialize(left.groupBy("id", F.xxhash64("t").alias("h")).agg(F.count("*").alias("n")).where("n > 1").select("id", "h"))
-    marked = semi(left.withColumn("h", F.xxhash64("t")), twice.select(F.col("id").alias("ti"), F.col("h").alias("th")), F.col("id").eqNullSafe(F.col("ti")) & (F.col("h") == F.col("th")), "left")
+    doc_id or text are linked with nothing and all stay, but rows equal in id and text are one.
+    An id with unlike texts is a document for each of them."""
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.col("doc_id").cast("long").alias("id"), F.col("text").alias("t"), F.xxhash64("text").alias("h"))
+    several = row.where("id is not null").groupBy("id").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi")
+    several = materialize(several.select(F.col("id").alias("si"), "lo"))
+    further = F.col("si").isNotNull() & (F.col("h") != F.col("lo"))
+    row = semi(row, several, F.col("id") == F.col("si"), "left").withColumn("node", F.when(further, F.lit(_FURTHER) + F.pmod("h", F.lit(_FURTHER >> 1))).otherwise(F.col("id"))).drop("si", "lo")
+    gone = materialize(near_groups(row.select(F.col("node").alias("doc_id"), F.col("t").alias("text"))).where("not kept").select(F.col("doc_id").alias("node")).distinct())
+    left = semi(row, gone, "node", "left_anti")
+    twice = materialize(left.groupBy("id", "h").agg(F.count("*").alias("n")).where("n > 1").select("id", "h"))
+    marked = semi(left, twice.select(F.col("id").alias("ti"), F.col("h").alias("th")), F.col("id").eqNullSafe(F.col("ti")) & (F.col("h") == F.col("th")), "left")
     copies = marked.where("th is not null").groupBy("id", "h").agg(F.first("d").alias("d")).select("d")
     return marked.where("th is null").select("d").unionByName(copies).select("d.*")

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from sluice.llm import centroids, common, langid, manifest
+from sluice.llm import centroids, common, dedup, langid, manifest
 
 
 # ---------------------------------------------------------------- centroids
@@ -247,3 +247,20 @@ def test_no_language_to_learn(spark):
     assert langid.language_report(spark.createDataFrame([], schema)).count() == 0
     assert {(r.lang_pred, r.score) for r in langid.language_report(spark.createDataFrame([(1, "abc", None), (2, None, "x")], schema)).collect()} == {("und", 0.0)}
     assert {r.lang_pred for r in langid.language_report(spark.createDataFrame([(i, "abc def", "only") for i in range(9)], schema)).collect()} == {"only"}
+
+
+# ---------------------------------------------------------------- near copies of one id
+def test_near_dedup_loses_no_text_of_a_repeated_id(spark):
+    rng = random.Random(2)
+    text = lambda: " ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=40))
+    a, b, c, d = (text() for _ in range(4))
+    rows = [(3, a), (5, a), (5, b), (6, b), (7, c), (7, d), (7, c), (8, d), (None, a), (9, None), (2, c)]
+    left = dedup.near_dedup(spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, node string"))
+    assert sorted((r.doc_id or -1, r.text or "") for r in left.collect()) == sorted([(3, a), (2, c), (-1, a), (9, ""), *((i, t) for i, t in [(6, b), (8, d)])])
+
+
+def test_near_dedup_keeps_one_row_of_each_text(spark):
+    texts = [" ".join(str(j * i) for j in range(30)) for i in range(1, 4)]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[2]), (1, texts[1])]
+    left = dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.text for r in left.collect()) == sorted(texts)
