@@ -239,3 +239,12 @@ def elapsed_ms(end: Column, start: Column) -> Column:
 def digits_verdict(c: Column) -> Column:
     """Why a taxpayer number is no such number: empty, not_digits, length, checksum; null if it is one."""
     return F.when(F.coalesce(F.trim(c), F.lit("")) == "", "empty").when(~c.rlike(r"^\d+$"), "not_digits").when(~F.length(c).isin(10, 12), "length").when(~inn_ok(c), "checksum")
+
+
+def canonical_json(c: Column) -> Column:
+    """A JSON value with its keys in order at every depth, without spaces; decimals without trailing zeros.
+
+    Null where the text is no JSON or an object has a key twice. Numbers written with an exponent
+    come out as doubles do.
+    """
+    return F.to_json(F.try_parse_json(c))

@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.sources.tables import written
+
 
 def scope_predicate(kind: str, user_key: object = None, object_keys: Sequence | None = None, owner: str = "contractor_id", obj: str = "object_id") -> Column:
     """Row-level visibility: admin and manager see all, a contractor its own rows, others listed objects.
@@ -99,15 +101,23 @@ def with_counts(parent: DataFrame, key: str, **children: DataFrame) -> DataFrame
 
 
 def ancestor_chain(df: DataFrame, node: str, parent: str) -> DataFrame:
-    """(node, ancestor, depth) for every row by recursion, the node itself at depth 0."""
-    view = f"chain_{uuid.uuid4().hex}"
-    df.select(F.col(node).alias("node"), F.col(parent).alias("parent")).createOrReplaceTempView(view)
-    return df.sparkSession.sql(f"""
-        WITH RECURSIVE chain(node, ancestor, up, depth) AS (
-          SELECT node, node, parent, 0 FROM {view}
-          UNION ALL
-          SELECT c.node, v.node, v.parent, c.depth + 1 FROM chain c JOIN {view} v ON v.node = c.up)
-        SELECT node, ancestor, depth FROM chain""")
+    """(node, ancestor, depth) for every row, the node itself at depth 0.
+
+    By doubling: a round joins all pairs below depth 2**k with the jumps of that length, so a
+    chain of depth n takes log2(n) written rounds and no recursion limit. A cycle raises.
+    """
+    rows = df.select(F.col(node).alias("node"), F.col(parent).alias("up"))
+    jumps = written(rows.join(rows.select(F.col("node").alias("up")).distinct(), "up", "left_semi").select("node", "up"))
+    pairs = written(rows.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")))
+    most, step = rows.count(), 1
+    while jumps.limit(1).count():
+        if step > most:
+            raise ValueError("the parents form a cycle")
+        further = jumps.join(pairs.withColumnRenamed("node", "up"), "up").select("node", "ancestor", (F.col("depth") + step).alias("depth"))
+        pairs = written(pairs.unionByName(further))
+        jumps = written(jumps.join(jumps.select(F.col("node").alias("up"), F.col("up").alias("over")), "up").select("node", F.col("over").alias("up")))
+        step *= 2
+    return pairs
 
 
 def accumulate(target: DataFrame, delta: DataFrame, keys: Sequence[str], sums: Sequence[str] = (), maxima: Sequence[str] = (), firsts: Sequence[str] = ()) -> DataFrame:

@@ -215,7 +215,7 @@ def page_numbers(text: Column) -> Column:
 
 def _rows(text: Column) -> Column:
     """ARRAY<STRUCT(columns, separator, empty)> of the table lines of a page."""
-    table = F.filter(F.transform(F.split(text, r"\r?\n"), F.trim), lambda x: x.rlike(r"^\|.+\|$"))
+    table = F.filter(F.transform(F.split(text, r"\r?\n"), lambda c: F.trim(c)), lambda x: x.rlike(r"^\|.+\|$"))
     cells = F.transform(table, lambda x: F.split(F.substring(x, F.lit(2), F.length(x) - 2), r"\|"))
     return F.transform(cells, lambda c: F.struct(F.size(c).alias("columns"), F.forall(c, lambda x: x.rlike(r"^\s*:?-{2,}:?\s*$")).alias("separator"), F.forall(c, lambda x: F.trim(x) == "").alias("empty")))
 

@@ -115,20 +115,30 @@ def outbox_pending(outbox: DataFrame, published: DataFrame, key: str) -> DataFra
     return outbox.dropDuplicates([key]).join(published.select(key), key, "left_anti")
 
 
+#: folders that the keys of published rows are dealt to
+SEEN_BUCKETS = 256
+
+
 def drain_outbox(stream: DataFrame, publish: Callable[[DataFrame], None], seen_path: str, key: str, checkpoint: str):
-    """A stream that publishes each outbox row once: a replayed batch finds its keys among those written."""
+    """A stream that publishes each outbox row once: a replayed batch finds its keys among those written.
+
+    Keys are written in folders by hash, and a batch reads those of its own keys only. A stop
+    between publishing and writing publishes that batch again: receivers must bear a repetition.
+    """
 
     def batch(df: DataFrame, _: int) -> None:
         spark = df.sparkSession
-        seen = spark.createDataFrame([], df.select(key).schema)
+        df = df.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(SEEN_BUCKETS)).cast("int"))
+        seen = spark.createDataFrame([], df.select(key, "_bucket").schema)
+        own = [r._bucket for r in df.select("_bucket").distinct().collect()]  # SEEN_BUCKETS numbers at most
         try:
-            seen = spark.read.parquet(seen_path)
+            seen = spark.read.schema(seen.schema).parquet(seen_path).where(F.col("_bucket").isin(own))
         except Exception as e:  # the first batch has no table yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
         new = outbox_pending(df, seen, key).persist()
-        publish(new.orderBy(key))
-        new.select(key).write.mode("append").parquet(seen_path)
+        publish(new.drop("_bucket").orderBy(key))
+        new.select(key, "_bucket").write.mode("append").partitionBy("_bucket").parquet(seen_path)
         new.unpersist()
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
