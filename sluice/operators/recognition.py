@@ -9,7 +9,7 @@ from sluice.functions.text import six_decimals
 
 # fixed values: the headings and marked lines of an archive's Markdown
 PAGE, BLOCK = r"## Page (\d+)\s*", r"### BLOCK #(\d+) \[([A-Z]+)\]: (\S+)\s*"
-STAMP_LINE, DOC_STAMP, IMAGE_HEAD, SECTION = r"^> \*\*Stamp:\*\*\s*(.+)$", r"^\*\*Stamp:\*\*\s*(.+)$", r"^\*\*\[IMAGE\]\*\*\s*(.*)$", r"^\*\*(Summary|Description|Entities|Verification):\*\*\s*(.*)$"
+STAMP_LINE, DOC_STAMP = r"^> \*\*Stamp:\*\*\s*(.+)$", r"^\*\*Stamp:\*\*\s*(.+)$"
 # fixed values: the named fields of a stamp and of an image's first line
 STAMP_FIELDS = ("code", "stage", "sheet", "object", "name", "organization", "revisions")
 IMAGE_FIELDS = {"type": "image_type", "axes": "axes", "zone": "zone", "level": "level"}
@@ -43,22 +43,20 @@ def image_fields(lines: Column) -> Column:
     A section runs from its head to the next head; blank lines fall out. Later heads of a kind add to it; of
     entities the last head counts.
     """
-    none = F.array().cast("array<string>")
-    is_head = lambda x: x.rlike(IMAGE_HEAD) | x.rlike(SECTION)
-    heads = F.filter(lines, lambda x: x.rlike(IMAGE_HEAD))
-    said = F.flatten(F.transform(heads, lambda x: _pairs(F.regexp_extract(x, IMAGE_HEAD, 1))))
-    #: the head above every line: its section, or none behind the first line of an image or entities
-    at = F.transform(lines, lambda x, i: F.when(is_head(x), i))
-    above = lambda i: F.array_max(F.slice(at, 1, i + 1))
+    heads = {"image": r"\*\*\[IMAGE\]\*\*", **{n: rf"\*\*{n.title()}:\*\*" for n in ("summary", "description", "entities", "verification")}}
+    pieces = F.split(F.array_join(lines, "\n"), rf"(?m)^(?={'|'.join(heads.values())})")
+    #: the pieces below heads of a kind, without the head's own mark
+    below = lambda n: F.transform(F.filter(pieces, lambda p: p.rlike(rf"\A{heads[n]}")), lambda p: F.regexp_replace(p, rf"\A{heads[n]}[^\S\n]*", ""))
+    first = lambda p: F.substring_index(p, "\n", 1)
+    said = F.flatten(F.transform(below("image"), lambda p: _pairs(first(p))))
 
     def section(name: str) -> Column:
-        of = lambda x: F.lower(F.regexp_extract(x, SECTION, 1)) == name
-        mine = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), above(i).alias("h"), i.alias("i"))), lambda r: r["h"].isNotNull() & of(F.get(lines, r["h"])))
-        text = F.transform(mine, lambda r: F.when(r["i"] == r["h"], F.regexp_extract(r["x"], SECTION, 2)).otherwise(r["x"]))
-        return F.nullif(F.trim(F.array_join(F.filter(text, lambda x: F.trim(x) != ""), "\n")), F.lit(""))
+        text = F.filter(F.split(F.array_join(below(name), "\n"), "\n"), lambda x: F.trim(x) != "")
+        return F.nullif(F.trim(F.array_join(text, "\n")), F.lit(""))
 
-    named = F.try_element_at(F.filter(lines, lambda x: F.lower(F.regexp_extract(x, SECTION, 1)) == "entities"), F.lit(-1))
-    entities = F.filter(F.transform(F.split(F.regexp_extract(named, SECTION, 2), ","), lambda c: F.trim(c)), lambda x: x != "")
+    named = F.try_element_at(below("entities"), F.lit(-1))
+    entities = F.filter(F.transform(F.split(first(named), ","), lambda c: F.trim(c)), lambda x: x != "")
+    none = F.array().cast("array<string>")
     return F.struct(*[_last(said, k).alias(v) for k, v in IMAGE_FIELDS.items()], section("summary").alias("summary"), section("description").alias("description"), F.coalesce(entities, none).alias("entities"), section("verification").alias("verification"))
 
 

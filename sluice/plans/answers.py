@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sluice.functions import text as tx
 from sluice.operators import detection, privacy, recognition
 from sluice.plans.catalog import query
-from sluice.sources.tables import table, written
+from sluice.sources.tables import spread, table, written
 
 # ---------------------------------------------------------------- detection
 _NUMBERED = "SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS n FROM lineitem"
@@ -85,7 +85,7 @@ def _archives(spark, d) -> DataFrame:
         F.lit('","ordinal":1,"page_index":0,"block_type":"text","coords_norm":[0,0,0.5,1]},{"block_id":null,"ordinal":2,"page_index":0,"block_type":"image","coords_norm":[1,2]},{"block_id":"s1","ordinal":null,"page_index":0,"block_type":"stamp"},{"block_id":"x","ordinal":7,"page_index":0,"block_type":"other"},'),
         F.lit('{"block_id":"p3","ordinal":3,"page_index":1,"block_type":"text"},{"block_id":"s2","ordinal":8,"page_index":1,"block_type":"stamp"},{"block_id":"s3","ordinal":9,"page_index":1,"block_type":"stamp"}]}'),
     )
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("doc"), F.concat(page_1, F.when(form == 4, "").otherwise(page_2), page_9).alias("markdown"), F.when(form != 0, layout).alias("layout"))
+    return spread(table(spark, d, "orders"), "o_orderkey").select(F.col("o_orderkey").alias("doc"), F.concat(page_1, F.when(form == 4, "").otherwise(page_2), page_9).alias("markdown"), F.when(form != 0, layout).alias("layout"))
 
 
 @query("""WITH o AS (SELECT o_orderkey AS doc, o_orderkey % 5 AS form, 'line ' || o_orderkey || chr(10) || chr(10) || 'end' AS a, '**[IMAGE]** Type: plan | Zone: ' || o_orderstatus || ' | Level:' || chr(10) || 'lost line' || chr(10) || '**Summary:** short' || chr(10) || chr(10) || 'and long' || chr(10) || '**Entities:** wall, , ' || o_orderpriority || ',door' || chr(10) || 'after' || chr(10) || '**Verification:**' || chr(10) || 'seen' AS b FROM orders)
@@ -175,7 +175,7 @@ def _marked_texts(spark, d) -> DataFrame:
     """Texts of orders with a number, a certificate and a surname derived from their keys."""
     k = F.col("o_orderkey").cast("string")
     text = F.concat(F.lit("ИНН 77"), F.lpad(k, 8, "0"), F.lit(", счёт 4"), F.lpad(k, 12, "0"), F.lit("; сертификат "), F.upper(F.translate(F.md5(k), "0123456789", "abcdefabcd")), F.lit(", подписал ИВАНОВ"), F.when(F.col("o_orderkey") % 2 == 0, "ИЧ").otherwise(""), F.lit(" А. А. ООО Мост-"), F.col("o_custkey") % 10)
-    return table(spark, d, "orders").select("o_orderkey", text.alias("text"))
+    return spread(table(spark, d, "orders"), "o_orderkey").select("o_orderkey", text.alias("text"))
 
 
 @query(f"""WITH o AS (SELECT o_orderkey AS k, o_custkey % 10 AS c, '77' || lpad(o_orderkey::VARCHAR, 8, '0') AS inn, '4' || lpad(o_orderkey::VARCHAR, 12, '0') AS acc, translate(md5(o_orderkey::VARCHAR), '0123456789', 'abcdefabcd') AS cert FROM orders),

@@ -274,4 +274,4 @@ def document_lines(spark, d):
     return table(spark, d, "documents").select("doc_id", F.explode(tx.lines(F.col("text"))).alias("x")).groupBy("doc_id").agg(F.count("*").alias("lines"))
 
 
-from sluice.plans import answers, checks, intake, layout, ledger, registers, scalars, segments, states  # noqa: E402,F401
+from sluice.plans import answers, checks, intake, layout, ledger, registers, requisites, scalars, segments, states  # noqa: E402,F401

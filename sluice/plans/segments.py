@@ -12,7 +12,7 @@ from sluice.functions import text as tx
 from sluice.operators import segmentation
 from sluice.operators.documents import DocType, PageRole
 from sluice.plans.catalog import query
-from sluice.sources.tables import table
+from sluice.sources.tables import spread, table
 
 TYPES = (
     DocType("act", 5, ("акт",), ("акт сверки",), ("освидетельств",), group="works"),
@@ -103,7 +103,7 @@ def pages(spark, d):
     manual = F.when(kind == 15, F.struct(F.lit("B-DOC").alias("label"), F.lit("passport").alias("doc_type"), F.lit(None).cast("string").alias("role"))).when(
         kind == 21, F.struct(F.lit("U").alias("label"), F.lit(None).cast("string").alias("doc_type"), F.lit("signature_visual").alias("role"))
     )
-    return table(spark, d, "orders").select(
+    return spread(table(spark, d, "orders"), "o_orderkey").select(
         F.col("o_custkey").alias("revision"), F.col("o_orderkey").alias("ordinal"), F.col("o_orderkey").alias("page"), F.expr("o_orderkey % 3").alias("file"), F.expr("o_orderkey % 2 * 90").alias("rotation"),
         F.expr(_TEXT).alias("text"), F.split(F.expr(_BLOCKS), ",").alias("blocks"), manual.alias("manual"),
     )

@@ -19,3 +19,8 @@ def written(df: DataFrame) -> DataFrame:
             raise ValueError("on a cluster name a shared folder in spark.checkpoint.dir")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="sluice-"))
     return df.checkpoint()
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by key to as many tasks as there are cores: for few rows that take long each."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
