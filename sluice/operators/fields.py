@@ -96,6 +96,12 @@ TYPED = (
     _one("registry_number", r"(?iu)ОГРН(?:ИП)?\s*[:;]?\s*(\d{11,16})"),
 )
 FIELDS = {f.code: f for f in BASE + TYPED}
+#: small letters that stand in every hit of a field: texts without any of them are not searched
+_SIGNS = {
+    "blank_number": ("бланк",), "valid_to": ("по", "до"), "issuer_accreditation": ("ra.", "ра."), "issuer_accreditation_valid_to": ("аккредитаци",), "manufacturer_inn": ("инн",), "gost_tu": ("гост", "сто", "ту"), "nd_reference": ("гост", "сто", "ту"), "nd_requirements": ("гост", "сто", "ту"),
+    "okpd2": ("окпд", "034-2014"), "tnved": ("вэд",), "batch_no": ("парти",), "batch_number": ("парти",), "heat_no": ("плавк",), "manufactured_at": ("изготовлен",), "order_number": ("приказ",), "order_date": ("приказ",), "act_date": ("акт",), "tested_at": ("испытан",), "sampled_at": ("отбора",),
+    "made_at": ("образцов",), "measured_at": ("измерени",), "shipped_at": ("отгру",), "valid_until": ("действи",), "age_days": ("возраст",), "test_pressure": ("давлени",), "registry_number": ("огрн",),
+}
 _CHECKS = {"manufacturer_inn": inn_ok, "registry_number": ogrn_ok}
 
 
@@ -141,8 +147,13 @@ def field_hits(pages: DataFrame, fields: Sequence[Field]) -> DataFrame:
     def first(stages: Sequence[Column]) -> Column:
         return stages[0] if len(stages) == 1 else once(stages[0], lambda a: F.when(F.size(a) > 0, a).otherwise(first(stages[1:])))
 
-    every = F.array(*[F.struct(F.lit(f.code).alias("code"), first([hits(text, s) for s in f.stages]).alias("hits")) for f in fields])
-    return pages.select("doc", "page", F.inline(every)).select("doc", "page", "code", F.posexplode("hits").alias("place", "h")).select("doc", "page", "code", "place", "h.*")
+    def found(f: Field) -> Column:
+        whole = first([hits(F.col("text"), s) for s in f.stages])
+        signs = [F.contains(F.col("low"), F.lit(w)) for w in _SIGNS.get(f.code, ())]
+        return F.when(reduce(lambda a, b: a | b, signs), whole).otherwise(F.array().cast(_HITS)) if signs else whole
+
+    every = F.array(*[F.struct(F.lit(f.code).alias("code"), found(f).alias("hits")) for f in fields])
+    return pages.select("doc", "page", text.alias("text"), F.lower(text).alias("low")).select("doc", "page", F.inline(every)).select("doc", "page", "code", F.posexplode("hits").alias("place", "h")).select("doc", "page", "code", "place", "h.*")
 
 
 def _iso(c: Column) -> Column:

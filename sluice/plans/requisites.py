@@ -1,4 +1,4 @@
-"""Registered query on requisites: every field over texts built from orders, and the SQL of what each must be."""
+"""Registered query on requisites: every field over texts built from customers, and the SQL of what each must be."""
 
 from __future__ import annotations
 
@@ -8,14 +8,14 @@ from sluice.operators import fields
 from sluice.plans.catalog import query
 from sluice.sources.tables import spread, table
 
-#: lines of the first page; {k} the order, {d} and {m} a day and a month of two digits
+#: lines of the first page; {k} the customer, {d} and {m} a day and a month of two digits
 _LINES = (
     "Сертификат{first}", "Бланк № 00{k}77", "Срок действия с 01.02.2024 по 03.04.2026", "Аттестат RA.RU.21НВ{k}", "аккредитация действует до 31.12.2027", "ИНН {inn}", "ГОСТ 34028-2016 и гост  34028-2016, СТО 5{k}-2011",
     "ОКПД2: 24.10.6", "ТН ВЭД 7214 20 000", "Партия № 5{k}, плавка 7{k}", "Дата изготовления: {d}.{m}.2023", "Дата испытания 05.{m}.2024", "дата отбора 04.{m}.2024", "дата изготовления образцов 03.{m}.2024", "дата измерения 06.{m}.2024",
     "отгружено 07.{m}.2024", "приказ № П-{k} от 08.{m}.2024", "акт осмотра от «9» мая 2024", "срок действия до 10.{m}.2025", "бетон В25 F150 W6 сталь А500С, в возрасте 28 сут", "давление 1,5 МПа", "ОГРН 1027700132195",
 )
 _PAGE_2 = "ГОСТ 1-1\nДата испытания 25.12.2024\nподписано ЭЛЕКТРОННОЙ ПОДПИСЬЮ с 11.11.2021 по 12.12.2022\nN W-{k}"
-#: what the fields of every document are; {first} only for three of four orders
+#: what the fields of every document are; {first} only for three of four
 _BASE = {
     "number": "CASE WHEN k % 4 = 0 THEN '00' || k || '77' ELSE 'РОСС-' || k END", "blank_number": "'00' || k || '77'", "issued_at": "CASE WHEN k % 4 = 0 THEN '2024-' || m || '-08' ELSE '2024-' || m || '-' || d END", "valid_from": "'2024-02-01'", "valid_to": "'2026-04-03'",
     "issuer_accreditation": "'RA.RU.21НВ' || k", "issuer_accreditation_valid_to": "'2027-12-31'", "manufacturer_inn": "CASE WHEN k % 2 = 0 THEN '7707083893' ELSE '7707083894' END", "gost_tu": "'ГОСТ 34028-2016; СТО 5' || k || '-2011; ГОСТ 1-1'",
@@ -33,10 +33,10 @@ def _each(codes: dict[str, str], where: str) -> str:
     return " UNION ALL ".join(f"SELECT k, '{c}' AS code, {v} AS value FROM o WHERE {where}" for c, v in codes.items())
 
 
-@query(f"""WITH o AS (SELECT o_orderkey AS k, lpad((1 + o_orderkey % 12)::VARCHAR, 2, '0') AS m, lpad((1 + o_orderkey % 28)::VARCHAR, 2, '0') AS d FROM orders), f AS ({_each(_BASE, 'true')} UNION ALL {_each(_OWN, 'k % 3 = 0')})
+@query(f"""WITH o AS (SELECT c_custkey AS k, lpad((1 + c_custkey % 12)::VARCHAR, 2, '0') AS m, lpad((1 + c_custkey % 28)::VARCHAR, 2, '0') AS d FROM customer), f AS ({_each(_BASE, 'true')} UNION ALL {_each(_OWN, 'k % 3 = 0')})
   SELECT k AS doc, code, value, CASE WHEN code = 'manufacturer_inn' AND k % 2 = 1 THEN 0.45 WHEN code IN {_SHAPED} THEN 0.8 ELSE 0.9 END::DOUBLE AS confidence, 1 AS page, true AS placed FROM f""")
 def requisites(spark, d):
-    k = F.col("o_orderkey")
+    k = F.col("c_custkey")
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
     held = {"{first}": F.when(k % 4 == 0, "").otherwise(F.concat(F.lit(" № РОСС-"), k, F.lit(" от "), two(1 + k % 28), F.lit("."), two(1 + k % 12), F.lit(".2024"))), "{inn}": F.when(k % 2 == 0, "7707083893").otherwise("7707083894"), "{k}": k.cast("string"), "{d}": two(1 + k % 28), "{m}": two(1 + k % 12)}
 
@@ -45,7 +45,7 @@ def requisites(spark, d):
             c = F.replace(c, F.lit(name), v)
         return c
 
-    o = spread(table(spark, d, "orders"), "o_orderkey")
+    o = spread(table(spark, d, "customer"), "c_custkey")
     pages = o.select(k.alias("doc"), F.inline(F.array(F.struct(F.lit(1).alias("page"), shown(F.lit("\n".join(_LINES))).alias("text")), F.struct(F.lit(2).alias("page"), shown(F.lit(_PAGE_2)).alias("text")))))
     typed = o.select(k.alias("doc"), F.lit("all").alias("doc_type"), (k % 3 == 0).alias("confident"))
     out = fields.extract(pages, typed, {"all": tuple(_OWN)})
