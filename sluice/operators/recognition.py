@@ -186,3 +186,78 @@ def assemble(pages: DataFrame, frozen: DataFrame, results: DataFrame) -> tuple[D
     place = F.row_number().over(Window.partitionBy("doc", "page").orderBy("sort_order", "block"))
     laid = j.where("has").join(faults.select("doc").distinct(), "doc", "left_anti").select("doc", "page", place.alias("place"), "block", "kind", "result")
     return laid, faults
+
+
+# ---------------------------------------------------------------- answers of models
+# fixed values: limits beyond which a document code is prose, and the fields of a stamp answer
+CODE_MOST, PROSE_CHARS, PROSE_WORDS, PROSE_LOWER = 160, 60, 6, 3
+STAMP_SCALARS = ("document_code", "project_name", "sheet_name", "stage", "sheet_number", "total_sheets", "organization")
+
+
+def strip_noise(c: Column) -> Column:
+    """An answer without its thoughts and without the fence around it."""
+    # fixed values: the forms of thoughts and fences
+    bare = F.regexp_replace(F.regexp_replace(c, r"(?iu)<think\b[^>]*>[\s\S]*?</think>", ""), r"^\s+|\s+$", "")
+    fence = r"^```[a-zA-Z0-9_-]*[ \t]*\r?\n([\s\S]*?)\r?\n?```\z"
+    return F.when(bare.rlike(fence), F.regexp_replace(F.regexp_extract(bare, fence, 1), r"^\s+|\s+$", "")).otherwise(bare)
+
+
+def _object(c: Column) -> Column:
+    """A JSON object as text with its keys in order; null for anything else."""
+    j = F.to_json(F.try_parse_json(c))
+    return F.when(F.startswith(j, F.lit("{")), j)
+
+
+def _balanced(c: Column) -> Column:
+    """From the first { to the } that closes it, braces inside strings aside; null if none does."""
+    tail = F.substring(c, F.nullif(F.instr(c, F.lit("{")), F.lit(0)), F.length(c))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(0).alias("i"), F.lit(0).alias("end"))
+
+    def step(s: Column, ch: Column) -> Column:
+        quoted, escaped = s["quoted"], s["escaped"]
+        depth = s["depth"] + F.when(~quoted & (ch == "{"), 1).when(~quoted & (ch == "}"), -1).otherwise(0)
+        i = s["i"] + 1
+        over = F.when(s["end"] > 0, s["end"]).when(~quoted & (ch == "}") & (depth == 0), i).otherwise(0)
+        return F.struct(depth.alias("depth"), F.when(ch == '"', ~quoted | escaped).otherwise(quoted).alias("quoted"), (quoted & ~escaped & (ch == "\\")).alias("escaped"), i.alias("i"), over.alias("end"))
+
+    end = F.aggregate(F.split(tail, ""), start, step, lambda s: s["end"])
+    return F.when(end > 0, F.substring(tail, F.lit(1), end))
+
+
+def extract_json(c: Column) -> Column:
+    """The JSON object that an answer is, or the first balanced one inside it, with its keys in order; else null."""
+    text = F.regexp_replace(c, r"^\s+|\s+$", "")
+    parsed = F.to_json(F.try_parse_json(text))
+    return F.when(parsed.isNotNull(), F.when(F.startswith(parsed, F.lit("{")), parsed)).otherwise(_object(_balanced(text)))
+
+
+def looks_like_prose(c: Column) -> Column:
+    words = F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
+    lower = F.regexp_count(c, F.lit(r"(?<![\p{L}\p{N}_])[а-яё]{5,}(?![\p{L}\p{N}_])"))
+    return (F.length(c) > CODE_MOST) | ((F.length(c) > PROSE_CHARS) & (words > PROSE_WORDS) & (lower >= PROSE_LOWER))
+
+
+def text_warnings(answer: Column) -> Column:
+    """Warnings of a text answer (JSON): no fragments; a table whose rows differ in length."""
+    found = F.coalesce(F.from_json(answer, "fragments array<struct<kind:string,rows:array<array<string>>>>")["fragments"], F.array().cast("array<struct<kind:string,rows:array<array<string>>>>"))
+    ragged = F.exists(found, lambda f: (f["kind"] == "table") & (F.size(F.array_distinct(F.transform(f["rows"], lambda r: F.size(r)))) > 1))
+    return F.array_compact(F.array(F.when(F.size(found) == 0, "empty_fragments"), F.when(F.coalesce(ragged, F.lit(False)), "table_ragged_rows")))
+
+
+def stamp_verdict(answer: Column) -> Column:
+    """STRUCT(warnings, invalid) of a stamp answer (JSON): a code that is prose makes it useless, nothing read is a warning."""
+    s = F.from_json(answer, ", ".join(f"{c} string" for c in STAMP_SCALARS) + ", signatures array<string>, revisions array<string>")
+    empty = (F.coalesce(F.size(s["signatures"]), F.lit(0)) <= 0) & (F.coalesce(F.size(s["revisions"]), F.lit(0)) <= 0)
+    for c in STAMP_SCALARS:
+        empty = empty & (F.trim(F.coalesce(s[c], F.lit(""))) == "")
+    code = F.trim(F.coalesce(s["document_code"], F.lit("")))
+    prose = (code != "") & looks_like_prose(code)
+    return F.struct(F.when(~prose & empty, F.array(F.lit("stamp_all_fields_blank"))).otherwise(F.array().cast("array<string>")).alias("warnings"), F.when(prose, "stamp_prose_document_code").alias("invalid"))
+
+
+def failure_class(raw: Column, missing: Column) -> Column:
+    """fixable_genre where an answer holds no object, or lacks one of the fields that a check missed; else invalid."""
+    found = extract_json(strip_noise(raw))
+    keys = F.map_keys(F.from_json(found, "map<string,string>"))
+    lacks = F.exists(missing, lambda m: ~F.array_contains(keys, m))
+    return F.when(found.isNull() | F.coalesce(lacks, F.lit(False)), "fixable_genre").otherwise("invalid")

@@ -213,3 +213,41 @@ def canonical_props(spark, d):
     one, two = _orders_of_keys(F.col("event_type"), F.col("value"), F.col("props"))
     e = table(spark, d, "events").select("event_id", tx.canonical_json(one).alias("canon"), tx.canonical_json(two).alias("other"))
     return e.select("event_id", "canon", F.sha2("canon", 256).alias("digest"), (F.col("canon") == F.col("other")).alias("same"))
+
+
+# ---------------------------------------------------------------- answers of models
+#: an answer's forms by the key {k}: what it says, the object in it, its failure class when "b" was missed
+_ANSWERS = (
+    ('{"b": {k}, "a": "x"}', '{"a":"x","b":{k}}', "invalid"), ('<think>{"no": 1}</think>\n```json\n{"a": {k}}\n```', '{"a":{k}}', "fixable_genre"), ('Answer: {"b": "}{\\"", "c": [{k}, {"d": null}]} and {"e": 1}', '{"b":"}{\\"","c":[{k},{"d":null}]}', "invalid"),
+    ("no object {k}", None, "fixable_genre"), ("[{k}, 2]", None, "fixable_genre"), ("text {k} { not closed", None, "fixable_genre"), ("``` \n{k}\n```", None, "fixable_genre"), ("{bad {k}} {\"b\": 1}", None, "fixable_genre"),
+)
+
+
+def _said(i: int) -> str:
+    def one(x: str | None) -> str:
+        if x is None:
+            return "NULL"
+        out = "'" + x.replace("\\", "' || chr(92) || '").replace("\n", "' || chr(10) || '").replace("{k}", "' || CAST(o_orderkey AS STRING) || '") + "'"
+        return out
+
+    return f"CASE o_orderkey % {len(_ANSWERS)} {' '.join(f'WHEN {n} THEN {one(a[i])}' for n, a in enumerate(_ANSWERS))} END"
+
+
+@query(f"SELECT o_orderkey, {_said(1)} AS object, {_said(2)} AS failure FROM orders")
+def model_answers(spark, d):
+    raw = F.expr(_said(0))
+    given = spread(table(spark, d, "orders"), "o_orderkey").select("o_orderkey", raw.alias("raw"))
+    return given.select("o_orderkey", recognition.extract_json(recognition.strip_noise(F.col("raw"))).alias("object"), recognition.failure_class(F.col("raw"), F.array(F.lit("b"))).alias("failure"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'empty_fragments' WHEN 1 THEN 'table_ragged_rows' ELSE '' END AS text_warnings, CASE WHEN o_orderkey % 5 = 0 THEN 'stamp_all_fields_blank' ELSE '' END AS stamp_warnings,
+  CASE o_orderkey % 5 WHEN 1 THEN 'stamp_prose_document_code' WHEN 2 THEN 'stamp_prose_document_code' END AS invalid FROM orders""")
+def answer_verdicts(spark, d):
+    k, key = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    ragged = F.concat(F.lit('{"fragments":[{"kind":"paragraph","text":"x"},{"kind":"table","rows":[["'), key, F.lit('","b"],["c"]]}]}'))
+    text = F.when(k % 4 == 0, '{"fragments":[]}').when(k % 4 == 1, ragged).otherwise('{"fragments":[{"kind":"table","rows":[["a"],["b"]]}]}')
+    prose = "настоящий документ описывает порядок приёмки работ на этом большом объекте"
+    code = F.when(k % 5 == 0, " ").when(k % 5 == 1, F.lit(prose)).when(k % 5 == 2, F.repeat(F.lit("А"), 161)).when(k % 5 == 3, F.lit("НАСТОЯЩИЙ ДОКУМЕНТ ОПИСЫВАЕТ ПОРЯДОК ПРИЁМКИ РАБОТ НА ЭТОМ БОЛЬШОМ ОБЪЕКТЕ")).otherwise(F.concat(F.lit("ИД-"), key))
+    stamp = F.concat(F.lit('{"document_code":"'), code, F.lit('","stage":null,"signatures":[],"revisions":[]}'))
+    v = recognition.stamp_verdict(stamp)
+    return table(spark, d, "orders").select("o_orderkey", F.array_join(recognition.text_warnings(text), ",").alias("text_warnings"), F.array_join(v["warnings"], ",").alias("stamp_warnings"), v["invalid"].alias("invalid"))
