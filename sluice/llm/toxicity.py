@@ -133,40 +133,51 @@ class Index:
         w = self.weigh(t, np.array([row[x] for x in t.tolist()], dtype=float)) if len(t) else np.zeros(0)
         return t, w / np.linalg.norm(w) if len(t) else w
 
+    def slices(self, n: int = 1024) -> Iterator[tuple[int, int, slice, np.ndarray]]:
+        """Examples lo to hi, their cells and each cell's example: what is made of cells is held for a slice at a time."""
+        for lo in range(0, len(self.ids), n):
+            hi = min(lo + n, len(self.ids))
+            yield lo, hi, slice(int(self.first[lo]), int(self.first[hi - 1] + self.size[hi - 1])), np.repeat(np.arange(lo, hi, dtype=np.int32), self.size[lo:hi])
+
     def build(self) -> None:
         """The lists, once in every process that searches."""
         n = len(self.ids)
-        row = np.repeat(np.arange(n, dtype=np.int32), self.size)
         df = np.bincount(self.t, minlength=len(self.idf))
         top = np.argsort(-df, kind="stable")[:HEADS]
         self.head = np.full(len(self.idf), -1, dtype=np.int16)
         self.head[top] = np.arange(len(top))
         #: each example's most frequent term, the commoner one of equals
-        best = self.c.astype(np.int64) * (len(row) + 1) + df[self.t]
-        full = np.flatnonzero(self.size > 0)
-        largest = np.zeros(n, dtype=np.int64)
-        if len(full):
-            largest[full] = np.maximum.reduceat(best, self.first[full])
         favourite = np.full(n, -1)
-        hit = np.flatnonzero(best == largest[row])
-        favourite[row[hit]] = self.t[hit]
-        del best, hit
+        for lo, hi, cells, row in self.slices():
+            best = self.c[cells].astype(np.int64) * (len(self.t) + 1) + df[self.t[cells]]
+            full = np.flatnonzero(self.size[lo:hi] > 0)
+            largest = np.zeros(hi - lo, dtype=np.int64)
+            if len(full):
+                largest[full] = np.maximum.reduceat(best, self.first[lo:hi][full] - cells.start)
+            hit = np.flatnonzero(best == largest[row - lo])
+            favourite[row[hit]] = self.t[cells][hit]
         self.by = np.lexsort((np.arange(n), favourite))
         place = np.empty(n, dtype=np.int32)
         place[self.by] = np.arange(n)
         blocks = max(1, -(-n // BLOCK))
-        w = np.log(self.c).astype(np.float32) + np.float32(1)
-        w *= self.idf.astype(np.float32)[self.t]
-        w /= np.maximum(self.norm, 1e-300).astype(np.float32)[row]
-        h = self.head[self.t]
-        heads = np.flatnonzero(h >= 0)
+        w = np.empty(len(self.t), dtype=np.float32)
+        at = np.empty(len(self.t), dtype=np.int32)
         dense = np.zeros((blocks * BLOCK, len(top)), dtype=np.float32)
-        dense[place[row[heads]], h[heads]] = w[heads]
+        idf, norm = self.idf.astype(np.float32), np.maximum(self.norm, 1e-300).astype(np.float32)
+        for _, _, cells, row in self.slices():
+            v = np.log(self.c[cells]).astype(np.float32) + np.float32(1)
+            v *= idf[self.t[cells]]
+            v /= norm[row]
+            h = self.head[self.t[cells]]
+            heads = np.flatnonzero(h >= 0)
+            w[cells], at[cells] = v, place[row]
+            dense[at[cells][heads], h[heads]] = v[heads]
         self.dense = dense.reshape(blocks, BLOCK, -1)
         self.top = self.dense.max(1)
-        rest = np.flatnonzero(h < 0)
+        rest = np.flatnonzero(self.head[self.t] < 0).astype(np.int32)
         rest = rest[np.argsort(self.t[rest], kind="stable")]
-        self.at, self.weight = place[row[rest]], w[rest]
+        self.at, self.weight = at[rest], w[rest]
+        del w, at
         self.list = np.searchsorted(self.t[rest], np.arange(len(self.idf) + 1))
         self.scratch = np.zeros(len(self.idf))
         self.ready = True
