@@ -113,21 +113,28 @@ def once(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def hits(text: Column, stage: Stage) -> Column:
-    """ARRAY<STRUCT(value, confidence, char_start, char_end)> of a stage in the order of the text.
+def unmarked(text: Column) -> Column:
+    """The text with the marks of ``hits`` as another control character, so that its characters keep their places."""
+    return F.when(text.rlike("[\x01-\x03]"), F.translate(text, "\x01\x02\x03", "\x04\x04\x04")).otherwise(text)
 
-    Places: matches and the pieces between them add up to the text; the value stands where it first occurs in
-    its match.
+
+def hits(text: Column, stage: Stage, safe: Column | None = None) -> Column:
+    """ARRAY<STRUCT(value, confidence, char_start, char_end)> of a stage in the order of the text; safe is its ``unmarked``.
+
+    Places: one scan writes marks around every match and its value; the parts between the marks
+    add up to the text, and the value stands where it first occurs in its match.
     """
-    p = F.lit(stage.pattern)
-    seen = F.struct(F.regexp_extract_all(text, p, F.lit(0)).alias("whole"), F.regexp_extract_all(text, p, F.lit(1)).alias("value"), F.split(text, stage.pattern, -1).alias("pieces"))
-    length = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda acc, x: acc + F.length(x))
+    marked = F.regexp_replace(unmarked(text) if safe is None else safe, stage.pattern, "\x01$0\x02$1\x03")
+    value = lambda x: F.substring_index(F.substring_index(x, "\x03", 1), "\x02", -1)
+    size = lambda x: F.length(x) - F.length(value(x)) - 2
 
-    def placed(s: Column) -> Column:
-        at = F.transform(s["whole"], lambda m, i: F.struct(F.get(s["value"], i).alias("v"), (length(s["pieces"], i + 1) + length(s["whole"], i) + F.instr(m, F.get(s["value"], i)) - 1).cast("int").alias("a")))
-        return F.transform(at, lambda x: F.struct(F.trim(F.regexp_replace(x["v"], r"^\s+|\s+$", "")).alias("value"), F.lit(stage.confidence).alias("confidence"), x["a"].alias("char_start"), (x["a"] + F.length(x["v"])).alias("char_end")))
+    def placed(parts: Column) -> Column:
+        before = lambda i: F.aggregate(F.slice(parts, 2, i), F.length(F.get(parts, F.lit(0))), lambda acc, x: acc + size(x))
+        at = F.transform(F.slice(parts, 2, F.size(parts)), lambda x, i: F.struct(F.length(value(x)).alias("n"), (before(i) + F.instr(F.substring_index(x, "\x02", 1), value(x)) - 1).alias("a")))
+        of = lambda x: F.substring(text, x["a"] + 1, x["n"])
+        return F.transform(at, lambda x: F.struct(F.trim(F.regexp_replace(of(x), r"^\s+|\s+$", "")).alias("value"), F.lit(stage.confidence).alias("confidence"), x["a"].alias("char_start"), (x["a"] + x["n"]).alias("char_end")))
 
-    made = F.when(text.rlike(stage.pattern), once(seen, placed)).otherwise(F.array().cast(_HITS))
+    made = once(F.split(marked, "\x01", -1), placed)
     if stage.only == "number":
         bare = lambda v: F.trim(F.regexp_replace(F.regexp_replace(v, "^[«»\"'‚„]+", ""), "[«»\"'‚„.,;:]+$", ""))
         first = lambda v: F.lower(F.regexp_replace(F.regexp_extract(bare(v), r"^\S+", 0), "[.:]+$", ""))
@@ -148,12 +155,12 @@ def field_hits(pages: DataFrame, fields: Sequence[Field]) -> DataFrame:
         return stages[0] if len(stages) == 1 else once(stages[0], lambda a: F.when(F.size(a) > 0, a).otherwise(first(stages[1:])))
 
     def found(f: Field) -> Column:
-        whole = first([hits(F.col("text"), s) for s in f.stages])
+        whole = first([hits(F.col("text"), s, F.col("safe")) for s in f.stages])
         signs = [F.contains(F.col("low"), F.lit(w)) for w in _SIGNS.get(f.code, ())]
         return F.when(reduce(lambda a, b: a | b, signs), whole).otherwise(F.array().cast(_HITS)) if signs else whole
 
     every = F.array(*[F.struct(F.lit(f.code).alias("code"), found(f).alias("hits")) for f in fields])
-    return pages.select("doc", "page", text.alias("text"), F.lower(text).alias("low")).select("doc", "page", F.inline(every)).select("doc", "page", "code", F.posexplode("hits").alias("place", "h")).select("doc", "page", "code", "place", "h.*")
+    return pages.select("doc", "page", text.alias("text"), F.lower(text).alias("low"), unmarked(text).alias("safe")).select("doc", "page", F.inline(every)).select("doc", "page", "code", F.posexplode("hits").alias("place", "h")).select("doc", "page", "code", "place", "h.*")
 
 
 def _iso(c: Column) -> Column:

@@ -1,0 +1,33 @@
+"""Faults that only larger tables or odd texts show."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sluice.functions import cells, text as tx
+
+DIR = "/root/testdata/sf0.001"
+
+
+def test_large_numbers_have_no_exponent(spark):
+    given = [10000000.0, 18999999.0, 12345678.25, -10000000.0, 0.00001, 3.8, 1.0]
+    df = spark.createDataFrame([(x,) for x in given], "x double")
+    assert [r[0] for r in df.select(tx.plain_number(F.col("x"))).collect()] == ["10000000.0", "18999999.0", "12345678.25", "-10000000.0", "0.00001", "3.8", "1.0"]
+    norm = spark.createDataFrame([("12345678,25", "12345678,5"), ("12345678,25", "12345678,254")], "norm string, fact string")
+    assert [r[0] for r in norm.select(cells.compared(cells.requirement(F.col("norm")), cells.measured(F.col("fact")))).collect()] == ["violated", "ok"]
+
+
+def test_requisites_do_not_join_page_texts(spark):
+    from sluice.plans.catalog import QUERIES
+
+    plan = QUERIES["requisites"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Join " in x and "page#" in x]
+
+
+def test_marks_in_texts_are_no_hits(spark):
+    from sluice.operators import fields
+
+    text = "№ 5\x01\x02 от 01.02.2024; ГОСТ 1-\x012 ГОСТ 1"
+    df = spark.createDataFrame([(1, 1, text)], "doc int, page int, text string")
+    got = {(r.code, r.value, text[r.char_start : r.char_end]) for r in fields.field_hits(df, fields.BASE).collect()}
+    assert {("number", "5\x01\x02", "5\x01\x02"), ("gost_tu", "ГОСТ 1-", "ГОСТ 1-"), ("gost_tu", "ГОСТ 1", "ГОСТ 1")} <= got
