@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sluice.functions.text import clean_doc_no
+from sluice.functions.text import clean_doc_no, plain_number
 
 # fixed values: stems of the months in order, as dates spell them out
 MONTHS = ("январ", "феврал", "март", "апрел", "ма", "июн", "июл", "август", "сентябр", "октябр", "ноябр", "декабр")
@@ -73,7 +73,7 @@ def measured(c: Column) -> Column:
 def compared(norm: Column, value: Column) -> Column:
     """ok, violated or undecidable. An exact norm allows half a unit of its last printed digit."""
     exact = norm["lo"]
-    decimals = F.length(F.regexp_extract(exact.cast("string"), r"\.(?!0$)(\d+)$", 1))
+    decimals = F.length(F.regexp_extract(plain_number(exact), r"\.(?!0$)(\d+)$", 1))
     slack = F.greatest(F.abs(exact) * 1e-9, 0.5 * F.pow(F.lit(10.0), -decimals))
     inside = (
         F.when(norm["kind"] == "exact", F.abs(value - exact) <= slack)

@@ -226,6 +226,13 @@ def escape_xml(c: Column) -> Column:
     return x
 
 
+def plain_number(c: Column) -> Column:
+    """A double in its shortest digits, never with an exponent (up to 20 digits before and 18 behind the point)."""
+    said = c.cast("string")
+    digits = F.regexp_replace(c.try_cast("decimal(38,18)").cast("string"), r"(\.\d+?)0+$", "$1")
+    return F.when(F.contains(said, F.lit("E")) & (F.abs(c) >= 1e-18), F.coalesce(digits, said)).otherwise(said)
+
+
 def six_decimals(c: Column) -> Column:
     """Fixed text of a coordinate; zero has no sign."""
     x = F.format_string("%.6f", c)

@@ -49,19 +49,19 @@ def golden(name: str, f: Callable[[Column], Column], *cases: tuple[str | None, s
 GOLDEN: dict[str, tuple[Callable[[Column], Column], tuple]] = {}
 
 
-def _parts(c: Column, *names: str) -> Column:
-    return F.concat_ws("|", *[F.coalesce(c[n].cast("string"), F.lit("-")) for n in names])
+def _parts(c: Column, *names: str, doubles: tuple[str, ...] = ()) -> Column:
+    return F.concat_ws("|", *[F.coalesce(tx.plain_number(c[n]) if n in doubles else c[n].cast("string"), F.lit("-")) for n in names])
 
 
 golden("doc_numbers_plain", tx.doc_no, ("№ {k}–а/7", "{k}-А/7"), ("‘RU’ .MCC;\u20091`", "RU.MCC1"), ("Д-RU.\u00adPA01", "Д-RU.PA01"), (None, None), ("", ""))
 golden("doc_numbers_folded", tx.doc_no_folded, ("РОСС RU Д-RU.PA01.B.{k}/23", "POCCPUД-PU.PA01.B.{k}/23"), ("РОСС RU Д-РУ.РА01.В.{k}/23", "POCCPUД-PU.PA01.B.{k}/23"))
 golden(
-    "requirements", lambda c: _parts(cells.requirement(c), "kind", "lo", "hi", "unit"),
+    "requirements", lambda c: _parts(cells.requirement(c), "kind", "lo", "hi", "unit", doubles=("lo", "hi")),
     ("4 ± 0,2 мм", "range|3.8|4.2|мм"), ("не менее {k}\nпо ГОСТ", "min|{k}.0|-|по"), ("до 3, не более {k}\n", "max|-|{k}.0|-"), ("4 +/- 0,2", "range|3.8|4.2|-"), ("800 +200/-100", "range|700.0|1000.0|-"), ("от {d} до 1{k} МПа", "range|{d}.0|1{k}.0|МПа"), ("3…5", "range|3.0|5.0|-"), ("3 — 5", "range|3.0|5.0|-"),
     ("не менее 3, не более 5 %", "range|3.0|5.0|%"), ("не ниже {k}", "min|{k}.0|-|-"), ("≤ 0,5 мм", "max|-|0.5|мм"), ("не превышает 2", "max|-|2.0|-"), ("4,25 кг", "exact|4.25|4.25|кг"), ("по проекту", "unparsed|-|-|-"), ("", "unparsed|-|-|-"),
     ("М-150", "unparsed|-|-|-"),
 )
-golden("measured_values", cells.measured, ("факт {k},5 мм", "{k}.5"), ("({k})", "{k}.0"), ("соответствует", None), ("М150", None), ("-3", "-3.0"))
+golden("measured_values", lambda c: tx.plain_number(cells.measured(c)), ("факт {k},5 мм", "{k}.5"), ("({k})", "{k}.0"), ("соответствует", None), ("М150", None), ("-3", "-3.0"))
 golden(
     "norms_against_facts", lambda c: cells.compared(cells.requirement(F.substring_index(c, ";", 1)), cells.measured(F.substring_index(c, ";", -1))),
     ("{k};{k}.4", "ok"), ("{k};{k}.6", "violated"), ("4,25;4,254", "ok"), ("4,25;4,26", "violated"), ("не менее 3;2,9", "violated"), ("3…5;5", "ok"), ("по проекту;5", "undecidable"), ("3;нет", "undecidable"),
