@@ -78,7 +78,7 @@ def mark(c: Column) -> Column:
 def line(c: Column) -> Column:
     """A line without heading, list, quote and emphasis marks, outer pipes and double spaces."""
     # fixed values: the marks that may lead a line, and its outer pipes
-    for mark_ in (r"^[\s>]*#{1,6}\s*", r"^[\s>*+-]+", r"[*_`]", r"^\s*\|\s*", r"\s*\|\s*$"):
+    for mark_ in (r"^[\s>]*#{1,6}\s*", r"^[\s>*+-]+", r"[*_`]", r"^\s*\|\s*", r"\s*\|\s*\z"):
         c = F.regexp_replace(c, mark_, "")
     return F.trim(F.regexp_replace(c, r"[\s\u00a0]+", " "))
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions.text import line
 from sluice.operators.documents import HEADING_LINES, DocType, PageRole, ranked, role_matches, type_matches
+from sluice.operators.fields import once
 
 # fixed values: how sure a decision of each rung is
 SURE = {"manual": 1.0, "anchor": 0.9, "ambiguous": 0.5, "glued": 0.6, "counter": 0.7, "role": 0.75, "blocks": 0.35, "unknown_heading": 0.65, "none": 0.0}
@@ -341,16 +342,16 @@ def locate_quote(text: Column, quote: Column) -> Column:
     The text is projected: leading and trailing marks of a line, emphasis marks and all but the
     first of several spaces fall out; every kept character keeps its place in the raw text.
     """
-    raws = F.split(text, "\n")
-    inner = lambda x: F.regexp_replace(_core(F.regexp_replace(x, "\r$", "")), r"[\s |*_`]+$", "")
-    spans = F.transform(raws, lambda x: F.struct((F.length(x) - F.length(_core(x))).alias("lead"), F.length(inner(x)).alias("size"), F.length(x).alias("raw")))
-    #: raw text with everything that is not content blanked out by a mark (\x01), line feeds as spaces; its characters keep their places
-    blank = lambda x, s: F.concat(F.repeat(F.lit("\x01"), s["lead"]), F.substring(x, s["lead"] + 1, s["size"]), F.repeat(F.lit("\x01"), s["raw"] - s["lead"] - s["size"]))
-    shown = F.translate(F.array_join(F.zip_with(raws, spans, blank), " "), "*_`", "\x01\x01\x01")
-    #: a needle's words in order, with marks allowed inside words and any spaces and marks between them
-    words = F.filter(F.split(F.array_join(F.filter(F.transform(F.split(quote, r"\r?\n"), line), lambda x: x != ""), " "), " "), lambda w: w != "")
+    pad = lambda n: F.repeat(F.lit("\x01"), n)
+    #: raw lines with everything that is not content blanked out by a mark (\x01); their characters keep their places
+    bare = lambda x, core, kept: F.concat(pad(F.length(x) - F.length(core)), kept, pad(F.length(core) - F.length(kept)))
+    blank = lambda x: once(_core(x), lambda core: once(F.regexp_replace(core, r"[\s |*_`]+\z", ""), lambda kept: bare(x, core, kept)))
+    shown = F.regexp_replace(F.array_join(F.transform(F.split(text, "\n"), blank), " "), "[*_`]", "\x01")
+    #: a needle's words in order, with marks allowed inside words and any spaces and marks between them; pipes that end its lines are none of them
+    lines = F.transform(F.split(quote, r"\r?\n"), lambda x: F.regexp_replace(line(x), "[\\s |]+\\z", ""))
+    words = F.filter(F.split(F.array_join(F.filter(lines, lambda x: x != ""), " "), " "), lambda w: w != "")
     one = lambda w: F.array_join(F.transform(F.split(w, ""), lambda ch: F.concat(F.lit("\\Q"), ch, F.lit("\\E"))), "\x01*")
     pattern = F.array_join(F.transform(words, one), "[\\s \x01]*[\\s ][\\s \x01]*")
-    hit = F.when(F.size(words) > 0, F.nullif(F.regexp_substr(shown, pattern), F.lit("")))
-    start = F.instr(shown, hit)
-    return F.when(hit.isNotNull(), F.struct((start - 1).alias("char_start"), (start - 1 + F.length(hit)).alias("char_end")))
+    at = lambda s, hit: F.when(hit != "", once(F.instr(s, hit) - 1, lambda a: F.struct(a.alias("char_start"), (a + F.length(hit)).alias("char_end"))))
+    found = lambda p: once(shown, lambda s: once(F.call_function("regexp_extract", s, p, F.lit(0)), lambda hit: at(s, hit)))
+    return once(pattern, lambda p: F.when(p != "", found(p)))

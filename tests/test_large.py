@@ -31,3 +31,20 @@ def test_marks_in_texts_are_no_hits(spark):
     df = spark.createDataFrame([(1, 1, text)], "doc int, page int, text string")
     got = {(r.code, r.value, text[r.char_start : r.char_end]) for r in fields.field_hits(df, fields.BASE).collect()}
     assert {("number", "5\x01\x02", "5\x01\x02"), ("gost_tu", "ГОСТ 1-", "ГОСТ 1-"), ("gost_tu", "ГОСТ 1", "ГОСТ 1")} <= got
+
+
+def test_quotes_of_doubled_marks(spark):
+    from sluice.operators.segmentation import locate_quote
+
+    given = [("a\nfoo ||\nb", "foo ||\nb"), ("x foo |_|", "foo |_|"), ("foo |\u00a0\nbar", "foo |\u00a0\nbar"), ("foo|\u2028\nbar", "foo|\u2028\nbar"), ("x", None), (None, "x"), ("a b", "  ")]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(given)], "i int, text string, quote string").select("i", locate_quote(F.col("text"), F.col("quote")).alias("s")).orderBy("i")
+    assert [r.s and given[r.i][0][r.s.char_start : r.s.char_end] for r in df.collect()] == ["foo ||\nb", "foo", "foo |\u00a0\nbar", "foo|\u2028\nbar", None, None, None]
+
+
+def test_located_quotes_of_odd_texts(spark, tmp_path):
+    from sluice.plans.catalog import QUERIES
+
+    texts = ["| - foo bar", "x|---|---| a", "`#tag and", "foo ||", None, "", "> | > foo"]
+    rows = [(7 * i if i else None, t) for i, t in enumerate(texts)] + [(50 * i, t) for i, t in enumerate(texts, 9)] + [(50 * i + 1, t) for i, t in enumerate(texts, 9)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.same for r in QUERIES["located_quotes"](spark, str(tmp_path)).collect()} == {True}
