@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sluice.functions.text import clean_doc_no, plain_number
+from sluice.functions.text import clean_doc_no, once, plain_number
 
 # fixed values: stems of the months in order, as dates spell them out
 MONTHS = ("январ", "феврал", "март", "апрел", "ма", "июн", "июл", "август", "сентябр", "октябр", "ноябр", "декабр")
@@ -15,7 +15,7 @@ AT_MOST = r"не\s+более|не\s+выше|не\s+больше|не\s+пре
 _NUM = r"([-+]?\d+(?:[.,]\d+)?)"
 _BARE = r"(\d+(?:[.,]\d+)?)"
 # fixed values: how cells print a day, a term and a day of issue
-DAY = r"(\d{1,2})\.(\d{1,2})\.(\d{4})"
+DAY = r"(\d{1,2}\.\d{1,2}\.\d{4})"
 
 
 def _spaced(c: Column) -> Column:
@@ -92,7 +92,7 @@ def norm_rows(c: Column) -> Column:
 
 
 def _date(c: Column, pattern: str, at: int = 1) -> Column:
-    return F.try_to_date(F.concat_ws(".", *[F.nullif(_group(c, pattern, at + i), F.lit("")) for i in range(3)]), "d.M.yyyy")
+    return F.try_to_date(F.nullif(_group(c, pattern, at), F.lit("")), "d.M.yyyy")
 
 
 def printed_date(c: Column) -> Column:
@@ -109,30 +109,46 @@ _RANGE = rf"(?iu)(?:^|[\s;,(])[сc]\s*[;,]?\s*{DAY}\s*[;,]?\s*по\s*[;,]?\s*{DA
 _ISSUED = rf"(?iu)(?:^|[\s;,(])от\s*[;,]?\s*{DAY}"
 
 
+def _days(c: Column) -> Column:
+    return F.regexp_extract_all(c, F.lit(DAY), F.lit(0))
+
+
+def _is_term(c: Column, days: Column) -> Column:
+    """Whether a cell with these days prints a term; fewer than two days never do."""
+    return (F.size(days) > 1) & c.rlike(_RANGE)
+
+
 def number_cell(c: Column) -> Column:
     """STRUCT(number, valid_from, valid_to, issued_at, comparable) of «№ … с d1 по d2» or «№ … от d».
 
     «б/н» is a number that compares with none.
     """
-    term, once = c.rlike(_RANGE), c.rlike(_ISSUED)
-    head = F.when(term, F.regexp_replace(c, rf"{_RANGE}(?s:.*)$", "")).when(once, F.regexp_replace(c, rf"{_ISSUED}(?s:.*)$", "")).otherwise(c)
-    no = clean_doc_no(head)
-    without = no.rlike(r"(?iu)^б\s*[/\\.]?\s*н\.?$")
-    return F.struct(
-        F.when(without, "б/н").otherwise(F.nullif(no, F.lit(""))).alias("number"), F.when(term, _date(c, _RANGE, 1)).alias("valid_from"), F.when(term, _date(c, _RANGE, 4)).alias("valid_to"),
-        F.when(~term & once, _date(c, _ISSUED)).alias("issued_at"), (~without & (no != "")).alias("comparable"),
-    )
+    known = once(_days(c), lambda days: F.struct(c.alias("c"), _is_term(c, days).alias("term"), ((F.size(days) > 0) & c.rlike(_ISSUED)).alias("issued")))
+
+    def read(k: Column) -> Column:
+        head = F.when(k["term"], F.regexp_replace(k["c"], rf"{_RANGE}(?s:.*)$", "")).when(k["issued"], F.regexp_replace(k["c"], rf"{_ISSUED}(?s:.*)$", "")).otherwise(k["c"])
+        return once(clean_doc_no(head), lambda no: once(F.struct(no.alias("no"), no.rlike(r"(?iu)^б\s*[/\\.]?\s*н\.?$").alias("without")), lambda n: made(k, n["no"], n["without"])))
+
+    def made(k: Column, no: Column, without: Column) -> Column:
+        return F.struct(
+            F.when(without, "б/н").otherwise(F.nullif(no, F.lit(""))).alias("number"), F.when(k["term"], _date(k["c"], _RANGE, 1)).alias("valid_from"), F.when(k["term"], _date(k["c"], _RANGE, 2)).alias("valid_to"),
+            F.when(~k["term"] & k["issued"], _date(k["c"], _ISSUED)).alias("issued_at"), (~without & (no != "")).alias("comparable"),
+        )
+
+    return once(known, read)
 
 
 def date_cell(c: Column) -> Column:
     """STRUCT(valid_from, valid_to, issued_at): a term, two dates as a term, one date as the issue."""
-    term = c.rlike(_RANGE)
-    two = rf"{DAY}(?s:.*?){DAY}"
-    pair = ~term & c.rlike(two)
-    return F.struct(
-        F.when(term, _date(c, _RANGE, 1)).when(pair, _date(c, two, 1)).alias("valid_from"), F.when(term, _date(c, _RANGE, 4)).when(pair, _date(c, two, 4)).alias("valid_to"),
-        F.when(~term & ~pair & c.rlike(DAY), _date(c, DAY)).alias("issued_at"),
-    )
+    return once(_days(c), lambda days: _dates(c, days))
+
+
+def _dates(c: Column, days: Column) -> Column:
+    """The dates of a cell whose days are known."""
+    none = F.lit(None).cast("date")
+    day = lambda i: F.try_to_date(days[i], "d.M.yyyy")
+    made = lambda a, b, i: F.struct(a.alias("valid_from"), b.alias("valid_to"), i.alias("issued_at"))
+    return F.when(_is_term(c, days), made(_date(c, _RANGE, 1), _date(c, _RANGE, 2), none)).when(F.size(days) > 1, made(day(0), day(1), none)).when(F.size(days) == 1, made(none, none, day(0))).otherwise(made(none, none, none))
 
 
 def transfer_date_cell(c: Column) -> Column:
@@ -141,12 +157,15 @@ def transfer_date_cell(c: Column) -> Column:
     # fixed values: an end alone, a month in figures, a month in words
     until, figures = rf"(?iu)(?:^|[\s;,(])(?:действ[а-яё]*\s+)?до\s*[;,]?\s*{DAY}", r"(?:^|[^\d.])(\d{1,2})\.(\d{4})(?!\s*\d)"
     words = r"(?iu)(январ|феврал|март|апрел|ма[йя]|июн|июл|август|сентябр|октябр|ноябр|декабр)[а-яё]*\.?\s*\.?\s*(\d{4})"
-    plain, none = date_cell(c), F.lit(None).cast("date")
-    end = ~c.rlike(_RANGE) & c.rlike(until)
-    return F.struct(
-        F.when(end, none).otherwise(plain["valid_from"]).alias("valid_from"), F.when(end, _date(c, until)).otherwise(plain["valid_to"]).alias("valid_to"),
-        F.when(end, none).otherwise(plain["issued_at"]).alias("issued_at"), (~end & ~c.rlike(DAY) & (c.rlike(figures) | c.rlike(words))).alias("month_only"),
-    )
+    none = F.lit(None).cast("date")
+    made = lambda a, b, i, m: F.struct(a.alias("valid_from"), b.alias("valid_to"), i.alias("issued_at"), m.alias("month_only"))
+
+    def read(days: Column) -> Column:
+        end = (F.size(days) > 0) & ~_is_term(c, days) & c.rlike(until)
+        dated = once(_dates(c, days), lambda p: made(p["valid_from"], p["valid_to"], p["issued_at"], F.lit(False)))
+        return F.when(end, made(none, _date(c, until), none, F.lit(False))).when(F.size(days) > 0, dated).otherwise(made(none, none, none, c.rlike(figures) | c.rlike(words)))
+
+    return once(_days(c), read)
 
 
 def count_cell(c: Column) -> Column:

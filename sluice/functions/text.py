@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,8 +13,12 @@ DASHES = "\u2010\u2011\u2012\u2013\u2014\u2015\u2212\ufe58\ufe63\uff0d"
 NUMBER_FROM, NUMBER_TO = "АВЕКМНОРСТХУR", "ABEKMHOPCTXUP"
 # fixed values: the wider table of look-alikes, for names and standards
 NAME_FROM, NAME_TO = "АВЕКМНОРСТХУІЅЈ", "ABEKMHOPCTXUISJ"
+# fixed values: any character but those that most numbers are made of, which are their own capitals (capitals cost more than a look)
+MAY_BE_LOWER = "[^A-ZА-ЯЁ0-9 №/.-]"
+# fixed values: white space in patterns
+SPACES = " \t\n\x0b\f\r"
 # fixed values: characters that a document number is compared without (spaces, quotes, number sign, soft hyphen, semicolon)
-NUMBER_DROPPED = "\\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff;\u00ad№\"'`«»“”„‘’"
+NUMBER_DROPPED = SPACES + "\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff;\u00ad№\"'`«»“”„‘’"
 # fixed values: words after which a database quotes the name of a schema object
 SCHEMA_WORDS = "relation|column|constraint|table|index|type|function|schema|role|database|sequence|view|trigger|operator|extension|policy"
 MESSAGE_LENGTH = 300
@@ -22,14 +28,24 @@ INN11 = (7, 2, 4, 10, 3, 5, 9, 4, 6, 8)
 INN12 = (3, 7, 2, 4, 10, 3, 5, 9, 4, 6, 8)
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), value being computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def doc_no(c: Column) -> Column:
     """Upper case, one kind of dash, without spaces, number sign, quotes, semicolons."""
-    dashed = F.translate(F.upper(c), DASHES, "-" * len(DASHES))
-    return F.regexp_replace(dashed, f"[{NUMBER_DROPPED}]+", "")
+    upper = F.when(c.rlike(MAY_BE_LOWER), F.upper(c)).otherwise(c)
+    return F.translate(upper, DASHES + NUMBER_DROPPED, "-" * len(DASHES))
 
 
 def doc_no_folded(c: Column) -> Column:
-    return F.translate(doc_no(c), NUMBER_FROM, NUMBER_TO)
+    return folded(doc_no(c))
+
+
+def folded(key: Column) -> Column:
+    """A comparison key with Latin letters for their look-alikes."""
+    return F.translate(key, NUMBER_FROM, NUMBER_TO)
 
 
 def fold_homoglyphs(c: Column) -> Column:
@@ -156,7 +172,7 @@ def registry_name(c: Column) -> Column:
 
 def clean_doc_no(c: Column) -> Column:
     """A number as printed: without number signs before it and punctuation around it."""
-    bare = F.regexp_replace(F.regexp_replace(c, r"^№+\s*", ""), r"^[\s;,:]+|[\s;,:]+$", "")
+    bare = F.btrim(F.ltrim(F.ltrim(c, F.lit("№")), F.lit(SPACES)), F.lit(SPACES + ";,:"))
     return F.trim(F.regexp_replace(bare, r"\s{2,}", " "))
 
 

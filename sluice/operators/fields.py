@@ -7,7 +7,7 @@ a page is read inside its row; only hits are shuffled, by document and field.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions.cells import MONTHS
-from sluice.functions.text import inn_ok, ogrn_ok
+from sluice.functions.text import inn_ok, ogrn_ok, once
 
 # fixed values: how sure a hit is that stands behind its label, has a shape of its own, is a weak sign, or fails its check digits
 LABELLED, SHAPED, WEAK, FAILED = 0.9, 0.8, 0.35, 0.45
@@ -108,11 +108,6 @@ _CHECKS = {"manufacturer_inn": inn_ok, "registry_number": ogrn_ok}
 _HITS = "array<struct<value:string,confidence:double,char_start:int,char_end:int>>"
 
 
-def once(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value), value being computed once."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def unmarked(text: Column) -> Column:
     """The text with the marks of ``hits`` as another control character, so that its characters keep their places."""
     return F.when(text.rlike("[\x01-\x03]"), F.translate(text, "\x01\x02\x03", "\x04\x04\x04")).otherwise(text)

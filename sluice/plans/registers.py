@@ -35,9 +35,9 @@ def _lines(spark, d) -> DataFrame:
 
 def _pages(rows: DataFrame, printed: Column, before: Column, after: Column) -> DataFrame:
     """Pages (doc, page, text): what stands before the rows, the rows in order, what stands after."""
-    lines = F.array_sort(F.collect_list(F.struct("n", printed.alias("x"))))  # lines of one order
+    lines = F.sort_array(F.collect_list(F.struct("n", printed.alias("x"))))  # lines of one order
     g = rows.groupBy("doc", "page", "p").agg(lines.alias("lines"))
-    body = F.array_join(F.transform("lines", lambda r: r["x"]), "\n")
+    body = F.array_join(F.col("lines.x"), "\n")
     return g.select("doc", "page", F.concat_ws("\n", before, body, after).alias("text"))
 
 

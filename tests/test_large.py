@@ -48,3 +48,28 @@ def test_located_quotes_of_odd_texts(spark, tmp_path):
     rows = [(7 * i if i else None, t) for i, t in enumerate(texts)] + [(50 * i, t) for i, t in enumerate(texts, 9)] + [(50 * i + 1, t) for i, t in enumerate(texts, 9)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert {r.same for r in QUERIES["located_quotes"](spark, str(tmp_path)).collect()} == {True}
+
+
+def test_cells_of_registers_are_read_once(spark):
+    from sluice.operators import registries
+
+    pages = spark.createDataFrame([(1, 1, "x")], "doc int, page int, text string")
+    for rows in (registries.transfer_rows(registries.transfer_records(pages)), registries.annex_rows(registries.annex_records(pages))):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_replace(") <= 4 and plan.count("translate(") <= 4
+
+
+def test_odd_cells_read_as_before(spark):
+    given = ["№№ 5; ", " №5", "№ №5", "б/н", "Б.Н.", "", ";:", "a  b", "5 с 01.02.2024 по 30.02.2024", "5 от 1.2.2024", "по 1.2.2024 по 2.2.2024", None]
+    df = spark.createDataFrame([(x,) for x in given], "x string").select(cells.number_cell(F.col("x")).alias("n"), cells.transfer_date_cell(F.col("x")).alias("d"), tx.doc_no(F.lower("x")).alias("k")).collect()
+    assert [r.n.number for r in df] == ["5", "№5", "№5", "б/н", "б/н", None, None, "a b", "5", "5", "по 1.2.2024 по 2.2.2024", None]
+    assert [r.n.comparable for r in df] == [True, True, True, False, False, False, False, True, True, True, True, None]
+    assert [str(r.d.valid_from) for r in df][8:11] == ["2024-02-01", "None", "2024-02-01"] and str(df[9].d.issued_at) == "2024-02-01"
+    assert [r.k for r in df] == ["5", "5", "5", "Б/Н", "Б.Н.", "", ":", "AB", "5С01.02.2024ПО30.02.2024", "5ОТ1.2.2024", "ПО1.2.2024ПО2.2.2024", None]
+
+
+def test_register_pages_end_lines_in_two_ways(spark):
+    from sluice.operators import registries
+
+    got = [list(registries.blocks(text)) for text in (" | **a** | b |\r\n|---|:-:|\n|x| ", "|\n||\n**T**")]
+    assert got == [[("table", (["a", "b"], [["x"]]))], [("table", (None, [[""]])), ("bold", "T")]]
