@@ -7,25 +7,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.functions.text import doc_no, doc_no_folded, registry_name
+from sluice.functions.text import doc_no, doc_no_folded, folded, registry_name
 
 
-def match_rows(rows: DataFrame, documents: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+def match_rows(rows: DataFrame, documents: DataFrame, scope: Sequence[str] = (), kept: Sequence[str] = (), facts: Sequence[str] = ()) -> DataFrame:
     """rows (row_id, number), documents (document_id, number) -> state, score, document; within equal scope columns.
 
     Exact key: one hit matches with 1.0, more are ambiguous; else the folded key: 0.85.
-    Counted per key before the join, so a hot key costs one row.
+    Counted per key before the join, so a hot key costs one row. Equal keys are equal when folded: the rows
+    are joined once, by the folded key, with its spellings. kept: more columns of rows; facts: of the matched document.
     """
     at = list(scope)
-    d = documents.withColumns({"e": doc_no(F.col("number")), "f": doc_no_folded(F.col("number"))})
-    by = lambda k, p: d.where(F.col(k) != "").groupBy(*at, k).agg(F.count("*").alias(f"{p}_n"), F.min("document_id").alias(f"{p}_id"))
-    r = rows.withColumns({"e": doc_no(F.col("number")), "f": doc_no_folded(F.col("number"))})
-    j = r.join(by("e", "exact"), [*at, "e"], "left").join(by("f", "fold"), [*at, "f"], "left")
-    one, two = F.col("exact_n") == 1, F.col("fold_n") == 1
-    state = F.when(one, "matched").when(F.col("exact_n") > 1, "ambiguous").when(two, "matched").when(F.col("fold_n") > 1, "ambiguous").otherwise("missing")
-    score = F.when(one, 1.0).when(F.col("exact_n") > 1, None).when(two, 0.85)
-    doc = F.when(one, F.col("exact_id")).when(F.col("exact_n") > 1, None).when(two, F.col("fold_id"))
-    return j.select(*at, "row_id", state.alias("state"), score.alias("score"), doc.alias("document_id"))
+    d = documents.withColumn("e", doc_no(F.col("number"))).withColumn("f", folded(F.col("e"))).where("e <> ''")
+    spelled = d.groupBy(*at, "f", "e").agg(F.count("*").alias("n"), F.min(F.struct("document_id", *facts)).alias("one"))
+    keys = spelled.groupBy(*at, "f").agg(F.collect_list(F.struct("e", "n", "one")).alias("spellings"), F.sum("n").alias("fold_n"), F.min("one").alias("fold"))
+    r = rows.withColumn("e", doc_no(F.col("number"))).withColumn("f", folded(F.col("e")))
+    j = r.join(keys, [*at, "f"], "left").withColumn("exact", F.get(F.filter("spellings", lambda s: s["e"] == F.col("e")), F.lit(0)))
+    n, two = F.col("exact.n"), F.col("fold_n") == 1
+    state = F.when(n == 1, "matched").when(n > 1, "ambiguous").when(two, "matched").when(F.col("fold_n") > 1, "ambiguous").otherwise("missing")
+    score = F.when(n == 1, 1.0).when(n > 1, None).when(two, 0.85)
+    doc = F.when(n == 1, F.col("exact.one")).when(n > 1, None).when(two, F.col("fold"))
+    return j.select(*at, "row_id", *kept, state.alias("state"), score.alias("score"), doc.alias("_d")).select(*at, "row_id", *kept, "state", "score", "_d.document_id", *(f"_d.{c}" for c in facts))
 
 
 def never_named(rows: DataFrame, documents: DataFrame) -> DataFrame:

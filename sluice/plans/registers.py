@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sluice.functions import cells
 from sluice.operators import registries
 from sluice.plans.catalog import query
-from sluice.sources.tables import table, written
+from sluice.sources.tables import stored, table, written
 
 #: lines of customers of every kind; a line's number is n within its customer
 _LINES = """SELECT o_custkey AS doc, o_orderkey AS page, l_linenumber AS line, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS n,
@@ -164,17 +164,21 @@ _FILED = """works AS (SELECT doc, grp AS work, 'Мост ' || (supp % 2) AS cont
     CASE WHEN part % 9 = 0 THEN '2024-01-01' ELSE '2024-08-07' END AS issued, CASE WHEN supp % 8 = 0 THEN 'Иной' WHEN supp % 8 = 1 THEN '' ELSE 'ООО «Завод ' || (supp % 7) || '»' END AS org, CASE WHEN supp % 10 = 0 THEN 5 ELSE 3 END AS sheets FROM r JOIN works ON works.doc = r.doc AND works.work = r.grp WHERE part % 6 <> 1)"""
 
 
-def _reconciled(spark, d) -> dict[str, DataFrame]:
-    records = written(registries.transfer_records(transfer_pages(spark, d)))
-    groups, rows = written(registries.transfer_groups(records)), written(registries.transfer_rows(records))
-    _lines(spark, d)
-    given = f"WITH {_TRANSFER}, {_FILED}".replace("lineitem JOIN orders", "registers_lineitem JOIN registers_orders")
-    given = given.replace("count(*) FILTER (WHERE kind = 0) OVER", "count(CASE WHEN kind = 0 THEN 1 END) OVER")
-    works = written(spark.sql(f"{given} SELECT * FROM works"))
-    documents = written(spark.sql(f"{given} SELECT *, CAST(NULL AS STRING) AS title, CAST(issued AS DATE) AS issued_at, array(org) AS organisations FROM documents"))
-    out = registries.reconcile(groups, rows, works, documents)
-    expected = spark.sql(f"{given} SELECT DISTINCT doc, CASE WHEN doc % 7 = 0 THEN 'R-0' ELSE 'r-' || doc END AS number, CASE WHEN doc % 2 = 1 THEN '4/2' WHEN doc % 5 = 0 THEN NULL ELSE '7' END AS folder_no FROM l")
-    return out | {"verdicts": registries.register_verdicts(out["registers"], registries.transfer_heads(records), expected)}
+def _reconciled(spark, d, name: str) -> DataFrame:
+    """One table of the reconciliation, without the work that only others need."""
+    records = stored(registries.transfer_records(transfer_pages(spark, d)))
+    groups, rows = written(registries.transfer_groups(records)), registries.transfer_rows(records)
+    given = _TRANSFER.replace("lineitem JOIN orders", "registers_lineitem JOIN registers_orders").replace("count(*) FILTER (WHERE kind = 0) OVER", "count(CASE WHEN kind = 0 THEN 1 END) OVER")
+    #: the numbered lines once, for works and documents
+    stored(spark.sql(f"WITH {given} SELECT doc, ord, grp, kind, a, part, supp FROM r")).createOrReplaceTempView("registers_filed")
+    filed = "WITH " + _FILED.replace("FROM r ", "FROM registers_filed AS r ")
+    works = spark.sql(f"{filed} SELECT * FROM works")
+    documents = spark.sql(f"{filed} SELECT *, CAST(NULL AS STRING) AS title, CAST(issued AS DATE) AS issued_at, array(org) AS organisations FROM documents")
+    out = registries.reconcile(groups, rows, works, documents, "registers" if name == "verdicts" else name)
+    if name != "verdicts":
+        return out[name]
+    expected = spark.sql("SELECT DISTINCT o_custkey AS doc, CASE WHEN o_custkey % 7 = 0 THEN 'R-0' ELSE 'r-' || o_custkey END AS number, CASE WHEN o_custkey % 2 = 1 THEN '4/2' WHEN o_custkey % 5 = 0 THEN NULL ELSE '7' END AS folder_no FROM registers_lineitem JOIN registers_orders ON o_orderkey = l_orderkey")
+    return registries.register_verdicts(out["registers"], registries.transfer_heads(records), expected)
 
 
 _RECONCILED = f"""{_TRANSFER}, {_FILED}, acts AS (SELECT doc, grp, arg_min(part || '/А', ord) AS act FROM r WHERE NOT a AND kind = 7 GROUP BY 1, 2),
@@ -199,17 +203,17 @@ _COUNTERS = "rows_total, rows_matched, rows_missing, rows_ambiguous, rows_field_
 
 @query(f"WITH {_RECONCILED} SELECT doc, ord::INTEGER AS ord, grp::INTEGER AS grp, work, row_no, state, score, document, mismatches FROM v")
 def reconciled_rows(spark, d):
-    return _reconciled(spark, d)["rows"].select("doc", "ord", "grp", "work", "row_no", "state", "score", "document", F.array_join("mismatches", ",").alias("mismatches"))
+    return _reconciled(spark, d, "rows").select("doc", "ord", "grp", "work", "row_no", "state", "score", "document", F.array_join("mismatches", ",").alias("mismatches"))
 
 
 @query(f"""WITH {_RECONCILED} SELECT doc, work, title, CASE WHEN found THEN 'matched' ELSE 'extra' END AS state, CASE WHEN found AND rows_missing + rows_ambiguous + rows_field_mismatch + extra_documents = 0 THEN 'clean' ELSE 'mismatch' END AS verdict, {_COUNTERS}, extra_documents FROM per""")
 def reconciled_works(spark, d):
-    return _reconciled(spark, d)["works"]
+    return _reconciled(spark, d, "works")
 
 
 @query(f"WITH {_RECONCILED} SELECT doc, work, document, doc_type, number FROM extra")
 def extra_documents(spark, d):
-    return _reconciled(spark, d)["extra"].drop("title")
+    return _reconciled(spark, d, "extra").drop("title")
 
 
 @query(f"""WITH {_RECONCILED}, gs AS (SELECT doc, count(*) AS groups_total, count(*) FILTER (gstate = 'matched') AS groups_matched, count(*) FILTER (gstate = 'missing') AS groups_missing, count(*) FILTER (gstate = 'ambiguous') AS groups_ambiguous FROM d GROUP BY 1),
@@ -217,16 +221,16 @@ def extra_documents(spark, d):
   ws AS (SELECT doc, count(*) AS works_total, count(*) FILTER (NOT found) AS works_extra, sum(extra_documents)::BIGINT AS extra_documents FROM per GROUP BY 1)
   SELECT gs.doc, groups_total, groups_matched, groups_missing, groups_ambiguous, {_COUNTERS}, coalesce(works_total, 0) AS works_total, coalesce(works_extra, 0) AS works_extra, coalesce(extra_documents, 0) AS extra_documents FROM gs JOIN rs USING (doc) LEFT JOIN ws USING (doc)""")
 def reconciled_registers(spark, d):
-    return _reconciled(spark, d)["registers"].drop("sound")
+    return _reconciled(spark, d, "registers").drop("sound")
 
 
 @query(f"""WITH {_RECONCILED}, bad AS (SELECT doc FROM d WHERE gstate <> 'matched' UNION SELECT doc FROM v WHERE state <> 'matched' OR mismatches <> '' UNION SELECT doc FROM per WHERE NOT found UNION SELECT doc FROM extra),
   reg AS (SELECT doc, bool_or(doc IN (SELECT doc FROM r)) AS has_rows, bool_or(doc IN (SELECT doc FROM works)) AS has_works FROM l GROUP BY 1)
   SELECT doc, doc > 0 AND doc % 7 = 0 AS header_mismatch, CASE WHEN NOT has_rows AND has_works THEN 'unparsed' WHEN doc IN (SELECT doc FROM bad) OR (doc > 0 AND doc % 7 = 0) THEN 'mismatch' ELSE 'clean' END AS verdict FROM reg""")
 def register_verdicts(spark, d):
-    return _reconciled(spark, d)["verdicts"]
+    return _reconciled(spark, d, "verdicts")
 
 
 @query(f"WITH {_RECONCILED} SELECT DISTINCT h.doc, h.work FROM h JOIN t ON t.doc = h.doc AND t.grp = h.grp AND t.rung = h.rung")
 def named_works(spark, d):
-    return _reconciled(spark, d)["named"]
+    return _reconciled(spark, d, "named")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,16 +12,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows of a plan that several others read, computed once: a reliable checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
+def _shared(spark: SparkSession) -> str:
+    """The shared folder for what is computed once."""
+    sc = spark.sparkContext
+    if not (spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
         if not sc.master.startswith("local"):
             raise ValueError("on a cluster name a shared folder in spark.checkpoint.dir")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="sluice-"))
+    return sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows of a plan that several others read, computed once: a reliable checkpoint in the shared folder."""
+    _shared(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """As ``written``, for wide rows of which each reader wants a few columns: by column, compressed; in no order."""
+    path = f"{_shared(df.sparkSession)}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Rows dealt by key to as many tasks as there are cores: for few rows that take long each."""
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)

@@ -73,3 +73,13 @@ def test_register_pages_end_lines_in_two_ways(spark):
 
     got = [list(registries.blocks(text)) for text in (" | **a** | b |\r\n|---|:-:|\n|x| ", "|\n||\n**T**")]
     assert got == [[("table", (["a", "b"], [["x"]]))], [("table", (None, [[""]])), ("bold", "T")]]
+
+
+def test_rows_are_joined_once_with_their_spellings(spark):
+    from sluice.operators import matching
+
+    rows = spark.createDataFrame([(1, "A-1"), (2, "А-1"), (3, "A-2"), (4, "x"), (5, None), (6, "№")], "row_id int, number string")
+    docs = spark.createDataFrame([(10, "A-1"), (11, "А-2"), (12, "Х"), (13, "Х"), (14, "")], "document_id int, number string")
+    out = matching.match_rows(rows, docs)
+    assert sum(x.lstrip(" :+-").startswith("Join ") for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines()) == 1
+    assert [tuple(r) for r in out.orderBy("row_id").collect()] == [(1, "matched", 1.0, 10), (2, "matched", 0.85, 10), (3, "matched", 0.85, 11), (4, "ambiguous", None, None), (5, "missing", None, None), (6, "missing", None, None)]
