@@ -31,20 +31,27 @@ def is_separator(cells: Column) -> Column:
     return (F.size(cells) > 0) & F.forall(cells, lambda c: c.rlike(r"^:?-+:?$"))
 
 
+def _tables(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, start, rows, first, second): every run of |...| lines, and whether its first and second rows are separators.
+
+    Runs are cut from the array of a text's lines at its edges, inside its row: no shuffle, no window.
+    """
+    held = df.select(key, F.inline(F.array(F.struct(F.transform(F.split(text, r"\r?\n"), row_cells).alias("_cells")))))
+    has = lambda i: F.get("_cells", i).isNotNull()
+    edges = lambda step: F.filter(F.sequence(F.lit(0), F.size("_cells") - 1), lambda i: has(i) & ~has(i + step))
+    held = held.select(key, "_cells", F.inline(F.array(F.struct(edges(-1).alias("a"), edges(1).alias("b")))))
+    cut = F.transform(F.arrays_zip("a", "b"), lambda z: F.struct(z["a"].alias("start"), F.slice("_cells", z["a"] + 1, z["b"] - z["a"] + 1).alias("rows")))
+    sep = lambda i: F.coalesce(is_separator(F.get("rows", F.lit(i))), F.lit(False))
+    return held.select(key, F.inline(cut)).select(key, "start", "rows", sep(0).alias("first"), sep(1).alias("second"))
+
+
 def table_rows(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, start, row_no, kind, cells) of all lines of Markdown tables; kind header, separator or data.
 
     A table is a run of |...| lines. If its first line is a separator it has no header, if its
-    second is one the first is the header; later separators are data. Runs are found per
-    document (gaps and islands), so a window never crosses a text.
+    second is one the first is the header; later separators are data.
     """
-    row = text_lines(df, key, text).withColumn("cells", row_cells(F.col("line"))).where("cells is not null")
-    by = Window.partitionBy(key).orderBy("pos")
-    run = Window.partitionBy(key, "run")
-    row = row.withColumn("run", F.col("pos") - F.row_number().over(by)).withColumn("start", F.min("pos").over(run))
-    row = row.withColumn("row_no", F.col("pos") - F.col("start")).withColumn("sep", is_separator(F.col("cells")))
-    at = lambda i: F.coalesce(F.max(F.when(F.col("row_no") == i, F.col("sep"))).over(run), F.lit(False))
-    row = row.withColumns({"first": at(0), "second": at(1)})
+    row = _tables(df, key, text).select(key, "start", "first", "second", F.posexplode("rows").alias("row_no", "cells"))
     below = ~F.col("first") & F.col("second")
     kind = F.when(F.col("first") & (F.col("row_no") == 0), "separator").when(below & (F.col("row_no") == 0), "header").when(below & (F.col("row_no") == 1), "separator").otherwise("data")
     return row.select(key, "start", "row_no", kind.alias("kind"), "cells")
@@ -52,9 +59,9 @@ def table_rows(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def table_runs(df: DataFrame, key: str, text: str) -> DataFrame:
     """Tables: (key, start, n_lines, n_columns, has_header, n_rows)."""
-    return table_rows(df, key, text).groupBy(key, "start").agg(
-        F.count("*").alias("n_lines"), F.min_by(F.size("cells"), "row_no").alias("n_columns"), F.bool_or(F.col("kind") == "header").alias("has_header"), F.count_if(F.col("kind") == "data").alias("n_rows")
-    )
+    n, header = F.size("rows").cast("long"), ~F.col("first") & F.col("second")
+    marks = F.when(F.col("first"), 1).when(F.col("second"), 2).otherwise(0)  # lines that are no data
+    return _tables(df, key, text).select(key, "start", n.alias("n_lines"), F.size(F.get("rows", F.lit(0))).alias("n_columns"), header.alias("has_header"), (n - marks).alias("n_rows"))
 
 
 def bold_lines(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -83,3 +83,16 @@ def test_rows_are_joined_once_with_their_spellings(spark):
     out = matching.match_rows(rows, docs)
     assert sum(x.lstrip(" :+-").startswith("Join ") for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines()) == 1
     assert [tuple(r) for r in out.orderBy("row_id").collect()] == [(1, "matched", 1.0, 10), (2, "matched", 0.85, 10), (3, "matched", 0.85, 11), (4, "ambiguous", None, None), (5, "missing", None, None), (6, "missing", None, None)]
+
+
+def test_tables_are_cut_inside_their_row(spark):
+    from sluice.operators import documents
+
+    texts = ["|a|\n|-|\n|x|\n\n|--|\n|y|\n|-|", "no", "", None, "|z|\r\n|b|", "||", "|a|b|\n|-|-|\n|c|\ntext\n|d|"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    rows, runs = documents.table_rows(df, "id", "text"), documents.table_runs(df, "id", "text")
+    for out in (rows, runs):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "Aggregate" not in plan
+    assert [r.kind[0] for r in rows.where("id = 0").orderBy("start", "row_no").collect()] == list("hsdsdd")
+    assert sorted(tuple(r) for r in runs.collect()) == [(0, 0, 3, 1, True, 1), (0, 4, 3, 1, False, 2), (4, 0, 2, 1, False, 2), (5, 0, 1, 1, False, 1), (6, 0, 3, 2, True, 1), (6, 4, 1, 1, False, 1)]
