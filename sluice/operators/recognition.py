@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.functions.text import six_decimals
+from sluice.functions.text import once, six_decimals
+from sluice.operators.segmentation import with_values
 
 # fixed values: the headings and marked lines of an archive's Markdown
 PAGE, BLOCK = r"## Page (\d+)\s*", r"### BLOCK #(\d+) \[([A-Z]+)\]: (\S+)\s*"
@@ -14,27 +15,33 @@ STAMP_LINE, DOC_STAMP = r"^> \*\*Stamp:\*\*\s*(.+)$", r"^\*\*Stamp:\*\*\s*(.+)$"
 STAMP_FIELDS = ("code", "stage", "sheet", "object", "name", "organization", "revisions")
 IMAGE_FIELDS = {"type": "image_type", "axes": "axes", "zone": "zone", "level": "level"}
 _LAYOUT = "generated_at string, pages array<struct<page_index:int,width_px:int,height_px:int,rotation:int>>, blocks array<struct<block_id:string,ordinal:int,page_index:int,block_type:string,coords_norm:array<double>>>"
+_GIVEN = "array<struct<block_id:string,ordinal:int,page_index:int,block_type:string,coords:array<double>>>"
+_WRITTEN = "array<struct<place:int,ordinal:int,kind:string,block_id:string,lines:array<string>>>"
 
 
 def _pairs(line: Column) -> Column:
-    """ARRAY<STRUCT(k, v)> of `Key: value | Key: value`, without empty keys and values."""
+    """ARRAY<STRUCT(k, low, v)> of `Key: value | Key: value`, without empty keys and values; low is the key in lower case."""
     parts = F.filter(F.split(line, r"\|"), lambda x: F.contains(x, F.lit(":")))
-    made = F.transform(parts, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("k"), F.trim(F.regexp_replace(x, r"^[^:]*:", "")).alias("v")))
+    value = lambda x: F.trim(F.substring(x, F.instr(x, F.lit(":")) + 1, F.length(x)))
+    made = F.transform(parts, lambda x: once(F.trim(F.substring_index(x, ":", 1)), lambda k: F.struct(k.alias("k"), F.lower(k).alias("low"), value(x).alias("v"))))
     return F.filter(made, lambda p: (p["k"] != "") & (p["v"] != ""))
 
 
 def _last(pairs: Column, key: str) -> Column:
     """The value of the last pair of a key, case aside."""
-    return F.try_element_at(F.filter(pairs, lambda p: F.lower(p["k"]) == key), F.lit(-1))["v"]
+    return F.try_element_at(F.filter(pairs, lambda p: p["low"] == key), F.lit(-1))["v"]
 
 
 def stamp_fields(line: Column) -> Column:
     """STRUCT of a stamp line's named fields and a map of all others; the last of a key counts. All null for a null line."""
-    pairs = F.coalesce(_pairs(line), F.array().cast("array<struct<k:string,v:string>>"))
-    other = F.filter(pairs, lambda p: ~F.lower(p["k"]).isin(*STAMP_FIELDS))
-    keys = F.array_distinct(F.transform(other, lambda p: p["k"]))
-    extra = F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(other, lambda p: p["k"] == k), -1)["v"]))
-    return F.struct(*[_last(pairs, f).alias(f) for f in STAMP_FIELDS], extra.alias("extra"))
+
+    def extra(pairs: Column) -> Column:
+        value = lambda other, k: F.element_at(F.filter(other, lambda p: p["k"] == k), -1)["v"]
+        found = lambda other: once(F.array_distinct(F.transform(other, lambda p: p["k"])), lambda keys: F.map_from_arrays(keys, F.transform(keys, lambda k: value(other, k))))
+        return once(F.filter(pairs, lambda p: ~p["low"].isin(*STAMP_FIELDS)), found)
+
+    pairs = F.coalesce(_pairs(line), F.array().cast("array<struct<k:string,low:string,v:string>>"))
+    return once(pairs, lambda p: F.struct(*[_last(p, f).alias(f) for f in STAMP_FIELDS], extra(p).alias("extra")))
 
 
 def image_fields(lines: Column) -> Column:
@@ -44,20 +51,24 @@ def image_fields(lines: Column) -> Column:
     entities the last head counts.
     """
     heads = {"image": r"\*\*\[IMAGE\]\*\*", **{n: rf"\*\*{n.title()}:\*\*" for n in ("summary", "description", "entities", "verification")}}
-    pieces = F.split(F.array_join(lines, "\n"), rf"(?m)^(?={'|'.join(heads.values())})")
-    #: the pieces below heads of a kind, without the head's own mark
-    below = lambda n: F.transform(F.filter(pieces, lambda p: p.rlike(rf"\A{heads[n]}")), lambda p: F.regexp_replace(p, rf"\A{heads[n]}[^\S\n]*", ""))
     first = lambda p: F.substring_index(p, "\n", 1)
-    said = F.flatten(F.transform(below("image"), lambda p: _pairs(first(p))))
+    none = F.array().cast("array<string>")
 
-    def section(name: str) -> Column:
-        text = F.filter(F.split(F.array_join(below(name), "\n"), "\n"), lambda x: F.trim(x) != "")
-        return F.nullif(F.trim(F.array_join(text, "\n")), F.lit(""))
+    def fields(pieces: Column) -> Column:
+        #: the pieces below heads of a kind, without the head's own mark
+        below = lambda n: F.transform(F.filter(pieces, lambda p: F.startswith(p, F.lit(heads[n].replace("\\", "")))), lambda p: F.regexp_replace(p, rf"\A{heads[n]}[^\S\n]*", ""))
 
-    named = F.try_element_at(below("entities"), F.lit(-1))
-    entities = F.filter(F.transform(F.split(first(named), ","), lambda c: F.trim(c)), lambda x: x != "")
-    none = F.array().cast("array<string>")
-    return F.struct(*[_last(said, k).alias(v) for k, v in IMAGE_FIELDS.items()], section("summary").alias("summary"), section("description").alias("description"), F.coalesce(entities, none).alias("entities"), section("verification").alias("verification"))
+        def section(name: str) -> Column:
+            text = F.filter(F.split(F.array_join(below(name), "\n"), "\n"), lambda x: F.trim(x) != "")
+            return F.nullif(F.trim(F.array_join(text, "\n")), F.lit(""))
+
+        named = F.try_element_at(below("entities"), F.lit(-1))
+        entities = F.filter(F.transform(F.split(first(named), ","), lambda c: F.trim(c)), lambda x: x != "")
+        rest = [section("summary").alias("summary"), section("description").alias("description"), F.coalesce(entities, none).alias("entities"), section("verification").alias("verification")]
+        said = F.flatten(F.transform(below("image"), lambda p: _pairs(first(p))))
+        return once(said, lambda x: F.struct(*[_last(x, k).alias(v) for k, v in IMAGE_FIELDS.items()], *rest))
+
+    return once(F.split(F.array_join(lines, "\n"), rf"(?m)^(?={'|'.join(heads.values())})"), fields)
 
 
 def _collapsed(lines: Column) -> Column:
@@ -65,25 +76,51 @@ def _collapsed(lines: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+def _sections(markdown: Column) -> Column:
+    """ARRAY<STRUCT(page_index, section)> of a text: from each page heading to the next."""
+    pieces = F.filter(F.split(markdown, rf"(?m)^(?={PAGE}$)"), lambda x: x.rlike(rf"\A{PAGE}(\n|\z)"))
+    no = lambda x: F.regexp_extract(F.substring_index(x, "\n", 1), rf"^{PAGE}$", 1).try_cast("int")
+    return F.transform(pieces, lambda x: F.struct((no(x) - 1).alias("page_index"), x.alias("section")))
+
+
+def _plain(rows: Column) -> Column:
+    """Lines without headings of blocks and provenance."""
+    return F.filter(rows, lambda r: ~(F.startswith(r, F.lit("### BLOCK #")) & r.rlike(rf"^{BLOCK}$")) & ~F.startswith(r, F.lit("> **")))
+
+
+def _page_lines(section: Column) -> Column:
+    return _plain(F.slice(F.split(section, "\n"), 2, 1_000_000))
+
+
+def _page_stamps(section: Column) -> Column:
+    """The stamp lines of a page."""
+    found = F.filter(F.split(section, "\n"), lambda r: F.startswith(r, F.lit("> **Stamp:**")) & r.rlike(STAMP_LINE))
+    return F.transform(found, lambda r: F.trim(F.regexp_extract(r, STAMP_LINE, 1)))
+
+
+def _page_blocks(section: Column) -> Column:
+    """ARRAY<STRUCT(place, ordinal, kind, block_id, lines)> of a page."""
+    parts = F.filter(F.split(section, rf"(?m)^(?={BLOCK}$)"), lambda x: x.rlike(rf"\A{BLOCK}(\n|\z)"))
+
+    def made(rows: Column, i: Column) -> Column:
+        head = lambda g: F.regexp_extract(F.get(rows, F.lit(0)), rf"^{BLOCK}$", g)
+        return F.struct(i.alias("place"), head(1).try_cast("int").alias("ordinal"), F.when(head(2) == "IMAGE", "image").otherwise("text").alias("kind"), head(3).alias("block_id"), _plain(F.slice(rows, 2, 1_000_000)).alias("lines"))
+
+    return F.transform(parts, lambda x, i: once(F.split(x, "\n"), lambda rows: made(rows, i)))
+
+
 def archive_sections(archives: DataFrame) -> DataFrame:
     """(doc, page_index, lines, blocks, stamps) of the Markdown of archives (doc, markdown): one row a page heading.
 
     blocks is an ARRAY<STRUCT(place, ordinal, kind, block_id, lines)>; lines are those without headings and provenance.
     The text is split at its headings inside its row: no shuffle.
     """
-    pages = archives.select("doc", F.explode(F.split(F.col("markdown"), rf"(?m)^(?={PAGE}$)")).alias("section")).where(F.col("section").rlike(rf"\A{PAGE}(\n|\z)"))
-    rows = F.split(F.col("section"), "\n")
-    plain = lambda x: F.filter(x, lambda r: ~r.rlike(rf"^{BLOCK}$") & ~r.rlike(r"^> \*\*"))
-    stamps = F.transform(F.filter(rows, lambda r: r.rlike(STAMP_LINE)), lambda r: F.trim(F.regexp_extract(r, STAMP_LINE, 1)))
-    parts = F.filter(F.split(F.col("section"), rf"(?m)^(?={BLOCK}$)"), lambda x: x.rlike(rf"\A{BLOCK}(\n|\z)"))
-    head = lambda x, g: F.regexp_extract(F.substring_index(x, "\n", 1), rf"^{BLOCK}$", g)
-    made = F.transform(parts, lambda x, i: F.struct(i.alias("place"), head(x, 1).try_cast("int").alias("ordinal"), F.when(head(x, 2) == "IMAGE", "image").otherwise("text").alias("kind"), head(x, 3).alias("block_id"), plain(F.slice(F.split(x, "\n"), 2, 1_000_000)).alias("lines")))
-    no = F.regexp_extract(F.get(rows, F.lit(0)), rf"^{PAGE}$", 1).try_cast("int")
-    return pages.select("doc", (no - 1).alias("page_index"), plain(F.slice(rows, 2, 1_000_000)).alias("lines"), made.alias("blocks"), stamps.alias("stamps"))
+    pages = archives.select("doc", F.inline(_sections(F.col("markdown"))))
+    return pages.select("doc", "page_index", _page_lines(F.col("section")).alias("lines"), _page_blocks(F.col("section")).alias("blocks"), _page_stamps(F.col("section")).alias("stamps"))
 
 
 def canonical_pages(archives: DataFrame) -> dict[str, DataFrame]:
-    """Tables pages, blocks and faults of archives (doc, markdown, layout); layout is JSON or null.
+    """Tables pages, blocks and faults of archives (doc, markdown, layout), one row an archive; layout is JSON or null.
 
     pages: (doc, page_index, rotation, width, height, text), from the layout where there is one, else from the
     Markdown. blocks: (doc, page_index, kind, place, block_id, ordinal, coords, text, image, stamp): text and image blocks of the
@@ -91,48 +128,80 @@ def canonical_pages(archives: DataFrame) -> dict[str, DataFrame]:
     lines of the page are dealt to them in order, the document's own stamp stands in for one that is
     missing. faults: (doc, page_index, code, n): pages that stand twice, are not in the layout or
     lack in the Markdown though blocks are on them, and stamp lines without a block.
+    An archive's text and layout are matched inside its row: no shuffle.
     """
-    md = archive_sections(archives)
-    layout = archives.select("doc", F.from_json("layout", _LAYOUT).alias("l"), "markdown")
     before = F.split(F.get(F.split(F.col("markdown"), rf"(?m)^(?={PAGE}$)"), F.lit(0)), "\n")
     own = F.try_element_at(F.filter(before, lambda r: r.rlike(DOC_STAMP)), F.lit(-1))
     starts_with_page = F.col("markdown").rlike(rf"\A{PAGE}(\n|\z)")
-    doc_stamp = F.when(~starts_with_page, F.trim(F.regexp_extract(own, DOC_STAMP, 1)))
-    laid = layout.select("doc", "l", F.coalesce(F.size("l.pages") > 0, F.lit(False)).alias("has"), doc_stamp.alias("doc_stamp"))
-    sheets = laid.where("has").select("doc", F.inline("l.pages")).select("doc", "page_index", F.col("rotation").alias("rotation"), F.col("width_px").alias("width"), F.col("height_px").alias("height"))
-    given = laid.select("doc", F.inline("l.blocks")).where(F.col("block_type").isin("text", "image", "stamp")).withColumn("coords", F.when(F.size("coords_norm") == 4, F.col("coords_norm")))
-    flags = laid.select("doc", "has", "doc_stamp")
-    text = md.select("doc", "page_index", _collapsed(F.col("lines")).alias("text"))
-    bare = text.join(flags.where("not has").select("doc"), "doc").select("doc", "page_index", F.lit(0).alias("rotation"), F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"), "text")
-    full = sheets.join(text, ["doc", "page_index"], "left").select("doc", "page_index", "rotation", "width", "height", F.coalesce("text", F.lit("")).alias("text"))
+    laid = with_values(archives.select("doc", "markdown", "layout"), {"l": F.from_json("layout", _LAYOUT)})
+    block = lambda b: F.struct(*[b[c].alias(c) for c in ("block_id", "ordinal", "page_index", "block_type")], F.when(F.size(b["coords_norm"]) == 4, b["coords_norm"]).alias("coords"))
+    laid = with_values(laid, {
+        "sections": F.coalesce(_sections(F.col("markdown")), F.array().cast("array<struct<page_index:int,section:string>>")), "has": F.coalesce(F.size("l.pages") > 0, F.lit(False)),
+        "doc_stamp": F.when(~starts_with_page, F.trim(F.regexp_extract(own, DOC_STAMP, 1))),
+        "given": F.coalesce(F.transform(F.filter("l.blocks", lambda b: b["block_type"].isin("text", "image", "stamp")), block), F.array().cast(_GIVEN)),
+    }).select("doc", "sections", "has", "doc_stamp", "given", F.when(F.col("has"), F.col("l.pages")).alias("sheets"))
+    return {"pages": _canonical_pages(laid), "blocks": _canonical_blocks(laid), "faults": _canonical_faults(laid)}
+
+
+def _on(page: Column, rows: Column) -> Column:
+    """Those of an array's rows that are on a page; no row is on a page without a number."""
+    return F.filter(rows, lambda r: F.coalesce(r["page_index"] == page, F.lit(False)))
+
+
+def _canonical_pages(laid: DataFrame) -> DataFrame:
+    text = lambda s: _collapsed(_page_lines(s["section"]))
+    row = lambda page, rotation, width, height, text: F.struct(page.alias("page_index"), rotation.alias("rotation"), width.alias("width"), height.alias("height"), text.alias("text"))
+    no = F.lit(None).cast("int")
+    sheet = lambda p, text: row(p["page_index"], p["rotation"], p["width_px"], p["height_px"], text)
+    written = lambda p: once(_on(p["page_index"], F.col("sections")), lambda found: F.when(F.size(found) == 0, F.array(sheet(p, F.lit("")))).otherwise(F.transform(found, lambda s: sheet(p, text(s)))))
+    full = F.flatten(F.transform("sheets", written))
+    bare = F.transform("sections", lambda s: row(s["page_index"], F.lit(0), no, no, text(s)))
+    return laid.select("doc", F.inline(F.when(F.col("has"), full).otherwise(bare)))
+
+
+def _canonical_blocks(laid: DataFrame) -> DataFrame:
+    stamp_blocks = F.filter("given", lambda b: b["block_type"] == "stamp")
+    df = with_values(laid, {"stamped": stamp_blocks})
+    #: pages of the text, and those that only the layout lists stamps on
+    known = lambda p: F.coalesce(F.exists("sections", lambda s: s["page_index"] == p), F.lit(False))
+    apart = F.filter(F.array_distinct(F.transform("stamped", lambda b: b["page_index"])), lambda p: ~known(p))
+    each = F.concat(F.col("sections"), F.transform(apart, lambda p: F.struct(p.alias("page_index"), F.lit(None).cast("string").alias("section"))))
+    df = df.select("doc", "doc_stamp", "given", "stamped", F.inline(each))
+    page, section = F.col("page_index"), F.col("section")
+    alone = section.isNull()
+    none = F.array().cast("array<string>")
+    here = F.when(alone, F.filter("stamped", lambda b: b["page_index"].eqNullSafe(page))).otherwise(_on(page, F.col("stamped")))
+    df = with_values(df, {"written": F.coalesce(_page_blocks(section), F.array().cast(_WRITTEN)), "stamp_lines": F.coalesce(_page_stamps(section), none), "here": here, "placed": _on(page, F.col("given"))})
+    n = F.size("stamp_lines")
     #: of layout blocks with one ordinal the last counts
-    by_ordinal = given.where("ordinal is not null").withColumn("_n", F.monotonically_increasing_id()).groupBy("doc", "page_index", "ordinal").agg(F.max_by(F.struct("block_id", "coords"), "_n").alias("j"))
-    body = md.select("doc", "page_index", F.inline("blocks")).join(by_ordinal, ["doc", "page_index", "ordinal"], "left")
-    image = F.col("kind") == "image"
-    stamp_type = "struct<code:string,stage:string,sheet:string,object:string,name:string,organization:string,revisions:string,extra:map<string,string>>"
-    written = body.select(
-        "doc", "page_index", "kind", "place", F.coalesce("j.block_id", "block_id").alias("block_id"), "ordinal", F.col("j.coords").alias("coords"), F.when(~image, _collapsed(F.col("lines"))).alias("text"),
-        F.when(image, image_fields(F.col("lines"))).alias("image"), F.lit(None).cast(stamp_type).alias("stamp"),
-    )
+    of = lambda b: F.try_element_at(F.filter("placed", lambda g: F.coalesce(g["ordinal"] == b["ordinal"], F.lit(False))), F.lit(-1))
+    raw = lambda kind, place, block_id, ordinal, coords, lines, source: F.struct(kind.alias("kind"), place.cast("int").alias("place"), block_id.alias("block_id"), ordinal.alias("ordinal"), coords.alias("coords"), lines.alias("lines"), source.alias("source"))
+    body = F.transform("written", lambda b: once(of(b), lambda j: raw(b["kind"], b["place"], F.coalesce(j["block_id"], b["block_id"]), b["ordinal"], j["coords"], b["lines"], F.lit(None).cast("string"))))
     #: stamps in the order in which the layout lists them
-    listed = laid.select("doc", F.posexplode("l.blocks").alias("_at", "b")).where("b.block_type = 'stamp'").select("doc", F.col("b.page_index").alias("page_index"), "_at", F.col("b.block_id").alias("block_id"), F.col("b.ordinal").alias("ordinal"), F.when(F.size("b.coords_norm") == 4, F.col("b.coords_norm")).alias("coords"))
-    on_page = Window.partitionBy("doc", "page_index")
-    listed = listed.withColumns({"i": F.row_number().over(on_page.orderBy("_at")) - 1, "n": F.count("*").over(on_page)}).join(md.select("doc", "page_index", "stamps"), ["doc", "page_index"], "left").join(flags, "doc")
-    lines = F.coalesce("stamps", F.array().cast("array<string>"))
-    source = F.coalesce(F.get(lines, F.col("i")), F.when((F.col("i") == F.size(lines)) & (F.size(lines) < F.col("n")), F.col("doc_stamp")))
-    stamps = listed.select(
-        "doc", "page_index", F.lit("stamp").alias("kind"), (F.col("i") + 1_000_000).alias("place"), "block_id", "ordinal", "coords", F.lit(None).cast("string").alias("text"),
-        F.lit(None).cast(dict(written.dtypes)["image"]).alias("image"), stamp_fields(source).alias("stamp"),
+    source = lambda i: F.coalesce(F.get(F.col("stamp_lines"), i), F.when((i == n) & (n < F.size("here")), F.col("doc_stamp")))
+    stamps = F.transform("here", lambda b, i: raw(F.lit("stamp"), i + 1_000_000, b["block_id"], b["ordinal"], b["coords"], none, source(i)))
+    out = df.select("doc", "page_index", F.inline(F.concat(body, stamps)))
+    is_ = lambda kind, value: F.when(F.col("kind") == kind, value)
+    return out.select(
+        "doc", "page_index", "kind", "place", "block_id", "ordinal", "coords", is_("text", _collapsed(F.col("lines"))).alias("text"),
+        is_("image", image_fields(F.col("lines"))).alias("image"), is_("stamp", stamp_fields(F.col("source"))).alias("stamp"),
     )
-    fault = lambda df, code, n: df.select("doc", "page_index", F.lit(code).alias("code"), n.cast("int").alias("n"))
-    twice = md.groupBy("doc", "page_index").agg(F.count("*").alias("n")).where("n > 1")
-    alien = md.join(flags.where("has"), "doc").join(sheets, ["doc", "page_index"], "left_anti")
-    on = given.where("block_type <> 'stamp'").groupBy("doc", "page_index").agg(F.count("*").alias("n"))
-    lost = sheets.select("doc", "page_index").join(md, ["doc", "page_index"], "left_anti").join(on, ["doc", "page_index"])
-    held = given.where("block_type = 'stamp'").groupBy("doc", "page_index").agg(F.count("*").alias("k"))
-    loose = md.select("doc", "page_index", F.size("stamps").alias("n")).join(held, ["doc", "page_index"], "left").where("n > coalesce(k, 0)")
-    faults = fault(twice, "page_twice", F.col("n")).unionByName(fault(alien, "page_not_in_layout", F.lit(1))).unionByName(fault(lost, "page_missing", F.col("n"))).unionByName(fault(loose, "stamp_lines_dropped", F.col("n") - F.coalesce("k", F.lit(0))))
-    return {"pages": full.unionByName(bare), "blocks": written.unionByName(stamps), "faults": faults}
+
+
+def _canonical_faults(laid: DataFrame) -> DataFrame:
+    row = lambda page, code, n: F.struct(page.alias("page_index"), F.lit(code).alias("code"), n.cast("int").alias("n"))
+    at = F.transform("sections", lambda s: F.struct(s["page_index"].alias("page_index"), F.size(_page_stamps(s["section"])).alias("n")))
+    df = with_values(laid, {"at": at, "bodies": F.filter("given", lambda b: b["block_type"] != "stamp"), "stamped": F.filter("given", lambda b: b["block_type"] == "stamp")})
+    numbers = F.transform("at", lambda s: s["page_index"])
+    times = F.transform(F.array_distinct(numbers), lambda p: row(p, "page_twice", F.size(F.filter("at", lambda s: s["page_index"].eqNullSafe(p)))))
+    twice = F.filter(times, lambda r: r["n"] > 1)
+    alien = F.transform(F.filter("at", lambda s: F.size(_on(s["page_index"], F.col("sheets"))) == 0), lambda s: row(s["page_index"], "page_not_in_layout", F.lit(1)))
+    absent = F.filter("sheets", lambda p: F.size(_on(p["page_index"], F.col("at"))) == 0)
+    lost = F.filter(F.transform(absent, lambda p: row(p["page_index"], "page_missing", F.size(_on(p["page_index"], F.col("bodies"))))), lambda r: r["n"] > 0)
+    loose = F.filter(F.transform("at", lambda s: row(s["page_index"], "stamp_lines_dropped", s["n"] - F.size(_on(s["page_index"], F.col("stamped"))))), lambda r: r["n"] > 0)
+    none = F.array().cast("array<struct<page_index:int,code:string,n:int>>")
+    by_sheet = F.when(F.col("has"), F.concat(alien, lost)).otherwise(none)
+    return df.select("doc", F.inline(F.concat(twice, by_sheet, loose)))
 
 
 # ---------------------------------------------------------------- places

@@ -96,3 +96,24 @@ def test_tables_are_cut_inside_their_row(spark):
         assert "Window" not in plan and "Aggregate" not in plan
     assert [r.kind[0] for r in rows.where("id = 0").orderBy("start", "row_no").collect()] == list("hsdsdd")
     assert sorted(tuple(r) for r in runs.collect()) == [(0, 0, 3, 1, True, 1), (0, 4, 3, 1, False, 2), (4, 0, 2, 1, False, 2), (5, 0, 1, 1, False, 1), (6, 0, 3, 2, True, 1), (6, 4, 1, 1, False, 1)]
+
+
+def test_archives_are_matched_inside_their_row(spark):
+    from sluice.operators import recognition
+
+    layout = '{"pages":[{"page_index":0,"width_px":1,"height_px":2,"rotation":0},{"page_index":2,"width_px":3,"height_px":4,"rotation":0}],"blocks":[{"block_id":"a","ordinal":1,"page_index":0,"block_type":"text"},{"block_id":"b","ordinal":1,"page_index":0,"block_type":"image","coords_norm":[0,0,1,1]},{"block_id":"s","page_index":0,"block_type":"stamp"},{"block_id":"t","page_index":2,"block_type":"stamp"},{"block_id":"u","ordinal":5,"page_index":2,"block_type":"text"}]}'
+    md = "**Stamp:** Code: own\n## Page 1\n### BLOCK #1 [TEXT]: m\none\n### BLOCK #2 [TEXT]: n\ntwo\n> **Stamp:** Code: x\n## Page 1\nagain\n## Page 99999999999\n> **Stamp:** Code: y"
+    given = spark.createDataFrame([(1, md, layout), (2, md, None), (3, None, layout), (4, "", "no json"), (5, "## Page 1", '{"pages":[]}')], "doc int, markdown string, layout string")
+    out = recognition.canonical_pages(given)
+    for df in out.values():
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Window" not in plan and "Aggregate" not in plan
+    pages = sorted(((r.doc, r.page_index, r.width, r.text) for r in out["pages"].collect()), key=str)
+    assert pages == sorted([(1, 0, 1, "one\ntwo"), (1, 0, 1, "again"), (1, 2, 3, ""), (2, 0, None, "one\ntwo"), (2, 0, None, "again"), (2, None, None, ""), (3, 0, 1, ""), (3, 2, 3, ""), (5, 0, None, "")], key=str)
+    blocks = sorted(((r.doc, r.page_index, r.kind, r.place, r.block_id, r.coords, r.text, r.stamp and r.stamp.code) for r in out["blocks"].collect()), key=str)
+    assert blocks == sorted([
+        (1, 0, "text", 0, "b", [0.0, 0.0, 1.0, 1.0], "one", None), (1, 0, "text", 1, "n", None, "two", None), (1, 0, "stamp", 1_000_000, "s", None, None, "x"), (1, 0, "stamp", 1_000_000, "s", None, None, "own"), (1, 2, "stamp", 1_000_000, "t", None, None, "own"),
+        (2, 0, "text", 0, "m", None, "one", None), (2, 0, "text", 1, "n", None, "two", None), (3, 0, "stamp", 1_000_000, "s", None, None, None), (3, 2, "stamp", 1_000_000, "t", None, None, None),
+    ], key=str)
+    faults = sorted(((r.doc, r.page_index, r.code, r.n) for r in out["faults"].collect()), key=str)
+    assert faults == sorted([(1, 0, "page_twice", 2), (1, None, "page_not_in_layout", 1), (1, 2, "page_missing", 1), (1, None, "stamp_lines_dropped", 1), (2, 0, "page_twice", 2), (2, 0, "stamp_lines_dropped", 1), (2, None, "stamp_lines_dropped", 1), (3, 0, "page_missing", 2), (3, 2, "page_missing", 1)], key=str)
