@@ -185,9 +185,9 @@ def _marked_texts(spark, d) -> DataFrame:
 def marked_values(spark, d):
     texts = _marked_texts(spark, d)
     fixed = spark.createDataFrame([(x,) for x in ("иванов", "ванов", "ванович", "сидоров")], "value string").select(F.lit("surname").alias("kind"), "value")
-    known = privacy.candidates(texts, "o_orderkey", "text").where("kind <> 'surname'").select("kind", "value").distinct()
     digest = F.sha2(F.concat(F.lit(_SALT), F.col("value")), 256)
-    markers = known.withColumn("digest", digest).where(F.col("digest").endswith("0")).unionByName(fixed.withColumn("digest", digest)).select("kind", "digest")
+    known = privacy.candidates(texts, "o_orderkey", "text", ("id", "cert")).select("kind", digest.alias("digest")).where(F.col("digest").endswith("0")).distinct()
+    markers = known.unionByName(fixed.select("kind", digest.alias("digest")))
     return privacy.scan(texts, "o_orderkey", "text", written(markers), _SALT, slow=False, names=("ООО Мост-3",))
 
 
@@ -196,7 +196,7 @@ def marked_values(spark, d):
 def marked_documents(spark, d):
     docs = table(spark, d, "documents")
     digest = F.sha2(F.concat(F.lit(_SALT), F.col("value")), 256)
-    markers = written(privacy.candidates(docs, "doc_id", "text").where("kind = 'id'").select("kind", digest.alias("digest")).where(F.col("digest").endswith("0")).distinct())
+    markers = written(privacy.candidates(docs, "doc_id", "text", ("id",)).select("kind", digest.alias("digest")).where(F.col("digest").endswith("0")).distinct())
     return privacy.scan(docs, "doc_id", "text", markers, _SALT, slow=False).select("doc_id", "value")
 
 

@@ -117,3 +117,36 @@ def test_archives_are_matched_inside_their_row(spark):
     ], key=str)
     faults = sorted(((r.doc, r.page_index, r.code, r.n) for r in out["faults"].collect()), key=str)
     assert faults == sorted([(1, 0, "page_twice", 2), (1, None, "page_not_in_layout", 1), (1, 2, "page_missing", 1), (1, None, "stamp_lines_dropped", 1), (2, 0, "page_twice", 2), (2, 0, "stamp_lines_dropped", 1), (2, None, "stamp_lines_dropped", 1), (3, 0, "page_missing", 2), (3, 2, "page_missing", 1)], key=str)
+
+
+def test_marked_values_of_kinds_without_markers_are_not_cut(spark):
+    from sluice.operators import privacy
+
+    df = spark.createDataFrame([(1, "ИНН 7712345678, подписал ИВАНОВ"), (2, None)], "id int, text string")
+    digest = F.sha2(F.concat(F.lit("s"), F.col("value")), 256)
+    marked = lambda *rows: spark.createDataFrame(rows, "kind string, value string").select("kind", digest.alias("digest"))
+    out = privacy.scan(df, "id", "text", marked(("id", "7712345678"), ("other", "x")), "s", slow=False)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "surname" not in plan and "strategy=broadcast" in plan
+    assert [tuple(r) for r in out.collect()] == [(1, "id", "7712345678")]
+    assert privacy.scan(df, "id", "text", marked(("other", "x")), "s").collect() == []
+    assert [tuple(r) for r in privacy.scan(df, "id", "text", marked(("surname", "ванов")), "s").collect()] == [(1, "surname", "ванов")]
+
+
+def test_kinds_with_many_markers_are_found_too(spark, monkeypatch):
+    from sluice.operators import privacy
+
+    monkeypatch.setattr(privacy, "FEW", 1)
+    df = spark.createDataFrame([(1, "7712345678 1234567890 ИВАНОВ")], "id int, text string")
+    digest = F.sha2(F.concat(F.lit("s"), F.col("value")), 256)
+    markers = spark.createDataFrame([("id", "7712345678"), ("id", "1234567890"), ("surname", "иванов")], "kind string, value string").select("kind", digest.alias("digest"))
+    assert sorted(r.value for r in privacy.scan(df, "id", "text", markers, "s", slow=False).collect()) == ["1234567890", "7712345678", "иванов"]
+
+
+def test_pieces_are_cut_from_runs_in_lower_case(spark):
+    from sluice.operators import privacy
+
+    df = spark.createDataFrame([("ab ABCD abcd ABCDE", "abc"), (None, None), ("x", "")], "t string, u string")
+    got = df.select(F.sort_array(privacy.windows(F.col("t"), "[a-zA-Z]+", (3, 5))).alias("w"), privacy.windows(F.col("t"), "[a-zA-Z]+", (3, 5)).alias("x"))
+    assert [r.w for r in got.collect()] == [["abc", "abcde", "bcd", "cde"], None, []]
+    assert got.select("x")._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
