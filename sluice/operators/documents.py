@@ -5,12 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.functions.text import lines, phrase, redact_urls
+from sluice.functions.text import lines, once, phrase, redact_urls
 
 TRAILING = 80
 HEADING_LINES = 20
@@ -113,6 +113,10 @@ def _any(zone: str, pattern: str) -> Column:
     return F.exists(zone, lambda x: x.rlike(f"(?iu){pattern}"))
 
 
+def _type_said(zone: str, t: DocType, rank: int, hints: Column, at: Column) -> Column:
+    return F.struct(F.lit(t.code).alias("code"), F.lit(t.priority).alias("priority"), F.lit(rank).alias("rank"), F.get(F.col(zone), at).alias("line"), at.alias("line_index"), hints.alias("body_hits"))
+
+
 def type_matches(zone: str, types: Sequence[DocType], base: Column | int = HEADING_LINES) -> Column:
     """ARRAY<STRUCT(code, priority, rank, line, line_index, body_hits)> over an array column of lines:
     types one of whose anchors is a heading, unless a negative anchor is one.
@@ -134,7 +138,8 @@ def type_matches(zone: str, types: Sequence[DocType], base: Column | int = HEADI
         hints = F.lit(0)
         for h in t.hints:
             hints = hints + _any(zone, h).cast("int")
-        found.append(F.when(ok, F.struct(F.lit(t.code).alias("code"), F.lit(t.priority).alias("priority"), F.lit(rank).alias("rank"), F.get(F.col(zone), hit).alias("line"), hit.alias("line_index"), hints.alias("body_hits"))))
+        said = partial(_type_said, zone, t, rank, hints)
+        found.append(F.when(ok, once(hit, said)))
     return F.array_compact(F.array(*found))
 
 
@@ -152,17 +157,24 @@ class PageRole:
     attaches: bool = False
 
 
+def _role_said(r: PageRole, anchor: str, x: Column) -> Column:
+    parent = once(F.trim(F.regexp_extract(x, f"(?iu){anchor}", 1)), lambda p: F.nullif(p, F.lit(""))) if re.compile(anchor).groups else F.lit(None).cast("string")
+    return F.when(x.isNotNull(), F.struct(F.lit(r.code).alias("code"), x.alias("line"), parent.alias("parent")))
+
+
+def _unless(veto: Column, hit: Column) -> Column:
+    return F.when(hit.isNotNull() & ~veto, hit)
+
+
 def role_matches(zone: str, roles: Sequence[PageRole]) -> Column:
     """ARRAY<STRUCT(code, line, parent)> over an array column of lines: roles with an anchor anywhere on
     the page and no negative one; the first group of the anchor, if it has one, names the parent document."""
     found = []
     for r in roles:
         on = lambda p: F.get(F.filter(zone, lambda x: x.rlike(f"(?iu){p}")), F.lit(0))
-        parent = lambda a: F.nullif(F.trim(F.regexp_extract(on(a), f"(?iu){a}", 1)), F.lit("")) if re.compile(a).groups else F.lit(None).cast("string")
-        said = [F.when(on(a).isNotNull(), F.struct(on(a).alias("line"), parent(a).alias("parent"))) for a in r.anchors]
+        said = [once(on(a), partial(_role_said, r, a)) for a in r.anchors]
         veto = reduce(lambda a, b: a | b, [_any(zone, n) for n in r.negatives], F.lit(False))
-        hit = F.coalesce(*said)
-        found.append(F.when(hit.isNotNull() & ~veto, F.struct(F.lit(r.code).alias("code"), hit["line"].alias("line"), hit["parent"].alias("parent"))))
+        found.append(once(F.coalesce(*said), partial(_unless, veto)))
     return F.array_compact(F.array(*found))
 
 

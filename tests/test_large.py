@@ -150,3 +150,10 @@ def test_pieces_are_cut_from_runs_in_lower_case(spark):
     got = df.select(F.sort_array(privacy.windows(F.col("t"), "[a-zA-Z]+", (3, 5))).alias("w"), privacy.windows(F.col("t"), "[a-zA-Z]+", (3, 5)).alias("x"))
     assert [r.w for r in got.collect()] == [["abc", "abcde", "bcd", "cde"], None, []]
     assert got.select("x")._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+
+
+def test_documents_classify_their_pages_once(spark):
+    from sluice.plans.catalog import QUERIES
+
+    plan = QUERIES["decoded_documents"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "копия верна" not in plan
