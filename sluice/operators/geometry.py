@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.functions.text import once
+
 
 def area(b: Column) -> Column:
     return F.greatest(F.lit(0.0), b["x1"] - b["x0"]) * F.greatest(F.lit(0.0), b["y1"] - b["y0"])
@@ -36,14 +38,22 @@ def suppress(df: DataFrame, page: str, kind: str, threshold: float = 0.5) -> Dat
     return grouped.select(F.explode(F.when(alone, F.col("b")).otherwise(kept)).alias("k")).select("k.r.*")
 
 
+def covered(boxes: Column) -> Column:
+    """Area covered by an array of boxes: between neighbouring edges, how much of the height they cover in order of their tops."""
+    whole = F.filter(boxes, lambda r: r["x0"].isNotNull() & r["y0"].isNotNull() & r["x1"].isNotNull() & r["y1"].isNotNull())
+    by_top = F.array_sort(F.transform(whole, lambda r: F.struct(r["y0"].alias("y0"), r["y1"].alias("y1"), r["x0"].alias("x0"), r["x1"].alias("x1"))))
+    edges = lambda b: F.array_sort(F.array_distinct(F.concat(F.transform(b, lambda r: r["x0"]), F.transform(b, lambda r: r["x1"]))))
+    more = lambda acc, r: F.struct((acc["sum"] + F.greatest(F.lit(0.0), r["y1"] - F.greatest(acc["end"], r["y0"]))).alias("sum"), F.greatest(acc["end"], r["y1"]).alias("end"))
+    none = F.struct(F.lit(0.0).alias("sum"), F.lit(float("-inf")).alias("end"))
+    height = lambda b, x, xb: F.aggregate(F.filter(b, lambda r: (r["x0"] <= x) & (r["x1"] >= xb)), none, more, lambda acc: acc["sum"])
+    strips = lambda b, xs: F.zip_with(F.slice(xs, 1, F.greatest(F.size(xs) - 1, F.lit(0))), F.slice(xs, 2, F.greatest(F.size(xs), F.lit(1))), lambda x, xb: (xb - x) * height(b, x, xb))
+    return once(by_top, lambda b: once(edges(b), lambda xs: F.aggregate(strips(b, xs), F.lit(0.0), lambda acc, v: acc + v)))
+
+
 def union_area(df: DataFrame, page: str) -> DataFrame:
-    """Area covered by a page's boxes: the grid of their edges, cell by cell."""
-    edge = lambda a, b, n: df.select(page, F.explode(F.array(a, b)).alias(n)).distinct()
-    strips = lambda e, n: e.withColumn(f"{n}b", F.lead(n).over(Window.partitionBy(page).orderBy(n))).where(f"{n}b is not null")
-    xs, ys = strips(edge("x0", "x1", "x"), "x"), strips(edge("y0", "y1", "y"), "y")
-    cells = xs.join(df, page).where("x0 <= x and x1 >= xb").join(ys, page).where("y0 <= y and y1 >= yb")
-    cells = cells.select(page, "x", "xb", "y", "yb").distinct()
-    return cells.groupBy(page).agg(F.sum((F.col("xb") - F.col("x")) * (F.col("yb") - F.col("y"))).alias("covered"))
+    """(page, covered): area covered by a page's boxes, a bounded number; pages without any area are left out."""
+    boxes = df.where(F.col(page).isNotNull()).groupBy(page).agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("b"))
+    return boxes.select(page, covered(F.col("b")).alias("covered")).where("covered > 0")
 
 
 def from_centre(cx: Column, cy: Column, w: Column, h: Column) -> Column:
@@ -96,10 +106,12 @@ def page_flags(pages: DataFrame, blocks: DataFrame, part: str, page: str, t: dic
     neighbours (least mean), change (relative); stamp: whether pages with images have one.
     """
     keys = [part, page]
-    covered = union_area(blocks.withColumn("_page", F.struct(*keys)).select("_page", "x0", "y0", "x1", "y1"), "_page").select(F.col(f"_page.{part}").alias(part), F.col(f"_page.{page}").alias(page), F.least("covered", F.lit(1.0)).alias("coverage"))
-    listed = blocks.groupBy(*keys).agg(F.collect_list(F.struct("kind", "x0", "y0", "x1", "y1")).alias("b"), F.sort_array(F.collect_set("kind")).alias("kinds"))
-    p = pages.select(*keys).join(listed, keys, "left").join(covered, keys, "left")
-    p = p.select(*keys, F.coalesce("b", F.array().cast(listed.schema["b"].dataType)).alias("b"), F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"), F.coalesce("coverage", F.lit(0.0)).alias("coverage")).withColumn("n", F.size("b"))
+    of_blocks = blocks.where(F.col(part).isNotNull() & F.col(page).isNotNull()).select(*keys, F.struct("kind", "x0", "y0", "x1", "y1").alias("r"))
+    of_pages = pages.select(*keys, F.lit(None).cast(of_blocks.schema["r"].dataType).alias("r"))
+    #: a page's row and its blocks' meet where the part's pages are put in order: one shuffle
+    both = of_pages.withColumn("given", F.lit(1)).unionByName(of_blocks.withColumn("given", F.lit(0))).repartition(part)
+    p = both.groupBy(*keys).agg(F.collect_list("r").alias("b"), F.sum("given").cast("int").alias("given")).where("given > 0")
+    p = p.select(*keys, "b", F.explode(F.sequence(F.lit(1), "given"))).select(*keys, "b", F.sort_array(F.array_compact(F.array_distinct(F.transform("b", lambda r: r["kind"])))).alias("kinds"), F.least(covered(F.col("b")), F.lit(1.0)).alias("coverage"), F.size("b").alias("n"))
     w = Window.partitionBy(part).orderBy(page)
     for name, f in (("before", F.lag), ("after", F.lead)):
         p = p.withColumns({f"n_{name}": f("n").over(w), f"kinds_{name}": f("kinds").over(w)})

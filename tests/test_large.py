@@ -157,3 +157,23 @@ def test_documents_classify_their_pages_once(spark):
 
     plan = QUERIES["decoded_documents"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
     assert "копия верна" not in plan
+
+
+def test_flags_need_one_shuffle(spark):
+    from sluice.operators import geometry
+
+    t = {"side": 0.001, "tiny": 0.01, "overlap": 0.5, "blank": 0.05, "low": 0.2, "neighbours": 2, "change": 0.5, "stamp": 1}
+    pages = spark.createDataFrame([(1, 0), (1, 1), (1, 1), (None, 5), (2, None)], "doc int, page int")
+    blocks = spark.createDataFrame([(1, 0, "text", 0.0, 0.0, 0.5, 0.5), (1, 0, "text", 0.25, 0.25, 0.5, 1.0), (1, 0, None, 0.9, 0.9, 0.9, 1.0), (1, 7, "text", 0.0, 0.0, 1.0, 1.0), (None, 5, "text", 0.0, 0.0, 1.0, 1.0)], "doc int, page int, kind string, x0 double, y0 double, x1 double, y1 double")
+    out = geometry.page_flags(pages, blocks, "doc", "page", t)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert sorted(((r.doc, r.page, r.coverage, r.n_blocks) for r in out.collect()), key=str) == sorted([(1, 0, 0.375, 3), (1, 1, 0.0, 0), (1, 1, 0.0, 0), (None, 5, 0.0, 0), (2, None, 0.0, 0)], key=str)
+
+
+def test_covered_area_of_odd_boxes(spark):
+    from sluice.operators import geometry
+
+    boxes = [(1, 0.0, 0.0, 2.0, 1.0), (1, 1.0, 0.0, 3.0, 2.0), (1, 0.5, 0.0, 1.5, 0.5), (2, 1.0, 0.0, 1.0, 5.0), (3, 2.0, 0.0, 1.0, 1.0), (4, None, 0.0, 1.0, 1.0), (5, 0.0, 3.0, 1.0, 2.0), (5, 0.0, 2.5, 1.0, 4.0), (None, 0.0, 0.0, 1.0, 1.0)]
+    out = geometry.union_area(spark.createDataFrame(boxes, "page int, x0 double, y0 double, x1 double, y1 double"), "page")
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 5.0), (5, 1.5)]
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
