@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sluice.functions import text as tx
 from sluice.operators import detection, privacy, recognition
 from sluice.plans.catalog import query
-from sluice.sources.tables import spread, table, written
+from sluice.sources.tables import dealt, spread, table, written
 
 # ---------------------------------------------------------------- detection
 _NUMBERED = "SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS n FROM lineitem"
@@ -22,7 +22,8 @@ _TALL = 560 * 40
 
 def _detected(spark, d) -> tuple[DataFrame, DataFrame]:
     """Pages of one tile or several, and their boxes; every third page has its first box twice."""
-    table(spark, d, "lineitem").createOrReplaceTempView("answers_lineitem")
+    #: numbering, pages, verdicts and counts go by page, and stay where the rows are dealt to
+    dealt(table(spark, d, "lineitem"), 500_000, "l_orderkey").createOrReplaceTempView("answers_lineitem")
     rows = spark.sql(_NUMBERED.replace("FROM lineitem", "FROM answers_lineitem"))
     n, k = F.col("n"), F.col("page")
     of = lambda i, other: F.coalesce(*[F.when(n == m, F.lit(b[i])) for m, b in _BOXES.items()], F.lit(other))

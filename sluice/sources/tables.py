@@ -35,6 +35,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """Rows of a table dealt by key to tasks of about so many rows each: what a task holds doesn't grow with the table."""
+    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+    return df.repartition(n, *keys)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Rows dealt by key to as many tasks as there are cores: for few rows that take long each."""
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)

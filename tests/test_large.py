@@ -159,6 +159,15 @@ def test_documents_classify_their_pages_once(spark):
     assert "копия верна" not in plan
 
 
+def test_detections_stay_where_their_pages_are_dealt_to(spark):
+    from sluice.plans.catalog import QUERIES
+    from sluice.sources.tables import dealt
+
+    plan = QUERIES["detection_counts"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == plan.count("Exchange hashpartitioning") > 0
+    assert dealt(spark.range(1000), 10, "id").rdd.getNumPartitions() == 100
+
+
 def test_flags_need_one_shuffle(spark):
     from sluice.operators import geometry
 
