@@ -51,7 +51,7 @@ CLASSES = SYMBOLS // CLASS
 DIM, CLASS_NOISE, WORD_NOISE = 16, 32, 4
 ROUNDS, BATCH, RATE = 2, 2048, 0.15
 #: bytes of text that a task turns to tokens, and tokens that it scores, at a time
-PART_BYTES, SLICE = 1 << 20, 1 << 15
+PART_BYTES, SLICE = 1 << 20, 1 << 11
 #: the hash that stands for the end
 END_HASH = 0x3C6EF372FE94F82B
 _MERGE_AT = 400_000
@@ -156,10 +156,20 @@ class Model:
         self.theta, self.squares = theta, np.full(len(theta), 1e-2, dtype=np.float32)
 
     def hidden(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        r = self.theta[one] + self.theta[SYMBOLS + two]
+        r = _rows(self.theta, one)
+        r += _rows(self.theta, SYMBOLS + two)
         r[:, -1] = 1
         return r
 
+    def within(self, c: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """The last symbol of class c whose cumulative count is x at most, by halving the class."""
+        at = np.broadcast_to(c * CLASS, x.shape).copy()
+        half = CLASS // 2
+        while half:
+            at += half * (self.cumulative[at + half] <= x)
+            half //= 2
+        return at
+
     def step(self, one: np.ndarray, two: np.ndarray, symbol: np.ndarray, rng: np.random.Generator, touched: np.ndarray, rate: float = RATE) -> None:
         """One step of the objective on a batch; touched counts the tokens of each row."""
         theta, n = self.theta, len(symbol)
@@ -167,54 +177,72 @@ class Model:
         c = symbol // CLASS
         noise_c = rng.choice(CLASSES, CLASS_NOISE, p=self.class_share)
         low, high = self.cumulative[c * CLASS], self.cumulative[np.minimum((c + 1) * CLASS, SYMBOLS)]
-        noise = np.searchsorted(self.cumulative, low + rng.random((WORD_NOISE, n)) * (high - low), "right") - 1
+        noise = self.within(c, low + rng.random((WORD_NOISE, n)) * (high - low))
         noise = np.clip(noise, c * CLASS, np.minimum((c + 1) * CLASS, self.symbols) - 1)
         sigma = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
         #: classes: a token's own, and the batch's noise
-        own, fake = theta[3 * SYMBOLS + c], theta[3 * SYMBOLS + noise_c]
+        own, fake = _rows(theta, 3 * SYMBOLS + c), theta[3 * SYMBOLS + noise_c]
         g_own = 1 - sigma((r * own).sum(1) - self.log_class[c] - math.log(CLASS_NOISE))
         g_fake = -sigma(r @ fake.T - self.log_class[noise_c] - math.log(CLASS_NOISE))
         g_r = g_own[:, None] * own + g_fake @ fake
         #: words of the class: the token's, and noise of its own
-        word, others = theta[2 * SYMBOLS + symbol], theta[2 * SYMBOLS + noise]
+        word, others = _rows(theta, 2 * SYMBOLS + symbol), _rows(theta, 2 * SYMBOLS + noise)
         h_own = 1 - sigma((r * word).sum(1) - self.log_share[symbol] - math.log(WORD_NOISE))
         h_fake = -sigma(np.einsum("nd,knd->kn", r, others) - self.log_share[noise] - math.log(WORD_NOISE))
         g_r += h_own[:, None] * word + np.einsum("kn,knd->nd", h_fake, others)
         g_r[:, -1] = 0
         small = np.min_scalar_type(len(theta))  # small integers sort by radix
         rows = np.concatenate([one, SYMBOLS + two, 2 * SYMBOLS + symbol, 2 * SYMBOLS + noise.ravel(), 3 * SYMBOLS + c, 3 * SYMBOLS + noise_c])
-        grads = np.concatenate([g_r, g_r, h_own[:, None] * r, (h_fake[:, :, None] * r).reshape(-1, r.shape[1]), g_own[:, None] * r, g_fake.T @ r])
+        grads = np.empty((len(rows), r.shape[1]), dtype=np.float32)
+        grads[:n], grads[n : 2 * n], low = g_r, g_r, (3 + WORD_NOISE) * n
+        np.multiply(h_own[:, None], r, out=grads[2 * n : 3 * n])
+        np.multiply(h_fake[:, :, None], r, out=grads[3 * n : low].reshape(WORD_NOISE, n, -1))
+        np.multiply(g_own[:, None], r, out=grads[low : low + n])
+        grads[low + n :] = g_fake.T @ r
         order = np.argsort(rows.astype(small), kind="stable")
         rows = rows[order]
         at = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        grad, rows = np.add.reduceat(grads[order], at), rows[at]
-        self.squares[rows] += (grad * grad).mean(1)
-        theta[rows] += rate * grad / np.sqrt(self.squares[rows])[:, None]
+        grad, rows = np.add.reduceat(_rows(grads, order), at), rows[at]
+        squares = self.squares[rows] + (grad * grad).mean(1)
+        self.squares[rows] = squares
+        grad *= (rate / np.sqrt(squares))[:, None]
+        theta[rows] = _rows(theta, rows) + grad
         touched[rows] += np.diff(np.append(at, len(order)))
 
     def log10(self, one: np.ndarray, two: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """log10 P(symbol | one, two), normalised over classes and then within the class."""
-        out = np.empty(len(symbol))
         words, classes = self.theta[2 * SYMBOLS : 3 * SYMBOLS], self.theta[3 * SYMBOLS :]
-        for lo in range(0, len(symbol), SLICE):
-            part = symbol[lo : lo + SLICE]
-            r = self.hidden(one[lo : lo + SLICE], two[lo : lo + SLICE])
-            c = part // CLASS
-            p = _log_softmax_at(r @ classes.T, c)
-            order = np.argsort(c, kind="stable")
-            first = np.searchsorted(c[order], np.arange(CLASSES + 1))
-            for i in np.flatnonzero(np.diff(first)):
-                mine = order[first[i] : first[i + 1]]
-                p[mine] += _log_softmax_at(r[mine] @ words[i * CLASS : (i + 1) * CLASS].T, part[mine] - i * CLASS)
-            out[lo : lo + SLICE] = p
+        #: what a context says of the classes is computed once for all tokens behind it
+        context, of = np.unique(one * SYMBOLS + two, return_inverse=True)
+        hidden = self.hidden(context // SYMBOLS, context % SYMBOLS)
+        total = np.concatenate([_log_sum(hidden[lo : lo + SLICE] @ classes.T) for lo in range(0, len(hidden), SLICE)] or [np.zeros(0)])
+        c = symbol // CLASS
+        out = np.empty(len(symbol))
+        order = np.argsort(c.astype(np.min_scalar_type(CLASSES)), kind="stable")
+        first = np.searchsorted(c[order], np.arange(CLASSES + 1))
+        for i in np.flatnonzero(np.diff(first)).tolist():
+            for lo in range(first[i], first[i + 1], SLICE):
+                mine = order[lo : min(lo + SLICE, first[i + 1])]
+                r = _rows(hidden, of[mine])
+                x = r @ words[i * CLASS : (i + 1) * CLASS].T
+                own = x[np.arange(len(mine)), symbol[mine] - i * CLASS] + r @ classes[i]
+                out[mine] = own - _log_sum(x) - total[of[mine]]
         return out / np.log(10)
 
 
-def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Of every row the normalised logarithm at one column; x is overwritten."""
-    x -= x.max(1, keepdims=True)
-    mine = x[np.arange(len(x)), at]
-    return mine - np.log(np.exp(x, out=x).sum(1))
+def _rows(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """x[at]; every index is a row of x."""
+    return np.take(x, at, axis=0, mode="clip")
+
+
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    """The logarithm of each row's sum of exponentials; x is overwritten."""
+    top = x.max(1)
+    if len(top) and not (np.abs(top) < 60).all():
+        x -= top[:, None]
+    else:
+        top = 0
+    return top + np.log(np.exp(x, out=x) @ np.ones(x.shape[1], dtype=x.dtype))
 
 
 #: changes, times their weights, are summed as integers of this fraction

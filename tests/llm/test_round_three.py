@@ -264,3 +264,20 @@ def test_near_dedup_keeps_one_row_of_each_text(spark):
     rows = [(1, texts[0]), (1, texts[1]), (1, texts[2]), (1, texts[1])]
     left = dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.text for r in left.collect()) == sorted(texts)
+
+
+def test_model_noise_and_normalisers():
+    import numpy as np
+
+    from sluice.llm import lm
+
+    rng = np.random.default_rng(0)
+    model = lm.Model(rng.integers(1, 50, 1000).astype(float))
+    c = rng.integers(0, 7, 500)
+    x = model.cumulative[c * lm.CLASS] + rng.random((4, 500)) * (model.cumulative[(c + 1) * lm.CLASS] - model.cumulative[c * lm.CLASS])
+    assert (model.within(c, x) == np.searchsorted(model.cumulative, x, "right") - 1).all()
+    logits = np.array([[500.0, 500.0], [-500.0, -np.inf], [1.0, 1.0]], dtype=np.float32)
+    assert np.allclose(lm._log_sum(logits), [500 + np.log(2), -500, 1 + np.log(2)])
+    one, two, symbol = (rng.integers(0, 1000, 3000) for _ in range(3))
+    one[1500:], two[1500:] = one[:1500], two[:1500]
+    assert np.allclose(model.log10(one, two, symbol)[:5], [model.log10(one[[i]], two[[i]], symbol[[i]])[0] for i in range(5)], atol=1e-5)
