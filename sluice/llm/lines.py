@@ -14,9 +14,12 @@ links joined by distributed union-find. Of each component the first occurrence s
 doc_id, then position; all other occurrences go. A changed letter inside a line is a link from
 39 characters on, a changed word of six letters from 74 on.
 
-Equal lines are one by a 128-bit hash. Bands are dealt in PASSES: a pass keeps the keys that
-two different lines share (summed before the shuffle, so that a hot key costs one row a task),
-then only the lines at these keys go on.
+Equal lines are one by a 128-bit hash. Bands are dealt in PASSES, each a scan of the texts:
+the keys of many lines are shuffled as one binary row for each partition, and the partition
+that owns a key meets the lines that share it. A key of at most PAIRED different lines gives
+all their pairs, which are verified one by one; the lines of larger keys are clustered by
+leaders (``dedup.cluster``), without a cap. Links of both are joined. Where two texts of
+lines agree in 64 bits of their hash, the second is compared by equality only.
 
 Defined results: null or empty text has no lines and stays; a null doc_id comes first in
 order; repeated rows are one document and keep the same lines; a document all of whose lines
@@ -36,11 +39,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import chunks, list_array, materialize, mix, release, semi
-from .dedup import PERCENT, cluster, overlap, parity_sketch
+from .common import chunks, connected_components, drop_shuffles, materialize, mix, release, semi
+from .dedup import PERCENT, VERIFIED_ROWS, cluster, parity_sketch, verified
 
 SHINGLE, WIDE, BANDS, ROWS = 5, 8, 28, 4
-PASSES = 4
+PASSES, PAIRED = 2, 16
+#: keys of lines that a task holds before it deals them out
+HELD = 1 << 19
+#: rows whose windows are sorted together: their number takes 12 of 64 bits, a window 51
+SORTED = 1 << 12
+#: white space but the space itself and the end of a line
+_BLANK = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 #: windows whose minhashes are taken together; what a pass touches stays in a core's cache
 BLOCK = 1 << 16
 _rng = np.random.default_rng(91)
@@ -53,6 +62,14 @@ def compared(line: str) -> str:
     return " ".join(line.lower().split())
 
 
+def compared_lines(text: str) -> list[str]:
+    """``compared`` of every line; a text that has no white space but single spaces is not split into words."""
+    low = text.lower()
+    if "  " in low or any(c in low for c in _BLANK):
+        return [" ".join(x.split()) for x in low.split("\n")]
+    return [x.strip(" ") for x in low.split("\n")]
+
+
 def windows(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, counts) of the windows of width (5 or 8) characters of non-empty lines, not yet distinct."""
     size = np.array([len(x) for x in lines], dtype=np.int64)
@@ -79,23 +96,23 @@ def windows(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes, count
 
 
-def line_keys(lines: list[str]) -> np.ndarray:
-    """BANDS keys of ROWS 32-bit minhashes each, a row for every line."""
+def line_keys(lines: list[str], bands: range = range(BANDS)) -> np.ndarray:
+    """Keys of the bands, of ROWS 32-bit minhashes each, a row for every line."""
     ends = np.cumsum([len(x) for x in lines])
-    parts, first = [np.zeros((0, BANDS), dtype=np.uint64)], 0
+    parts, first = [np.zeros((0, len(bands)), dtype=np.uint64)], 0
     while first < len(lines):
         last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + BLOCK, "right")))
         hashes, count = windows(lines[first:last], WIDE)
         h = (hashes >> np.uint64(32)).astype(np.uint32)
         at = np.cumsum(count) - count
-        least = np.empty((len(count), BANDS * ROWS), dtype=np.uint32)
+        least = np.empty((len(count), len(bands) * ROWS), dtype=np.uint32)
         work = np.empty_like(h)
-        for k in range(BANDS * ROWS):
+        for i, k in enumerate(b * ROWS + r for b in bands for r in range(ROWS)):
             np.multiply(h, _MULT[k], out=work)
             np.add(work, _ADD[k], out=work)
-            least[:, k] = np.minimum.reduceat(work, at)
-        key = np.arange(BANDS, dtype=np.uint64)[None, :]
-        for pair in np.moveaxis(least.view(np.uint64).reshape(len(count), BANDS, ROWS // 2), 2, 0):
+            least[:, i] = np.minimum.reduceat(work, at)
+        key = np.array(bands, dtype=np.uint64)[None, :]
+        for pair in np.moveaxis(least.view(np.uint64).reshape(len(count), len(bands), ROWS // 2), 2, 0):
             key = mix(key * _STEP[0] + pair)
         parts.append(key)
         first = last
@@ -112,113 +129,214 @@ def line_ids(lines: list[str]) -> tuple[pa.Array, pa.Array]:
     return pa.array(ids[:, 0]), pa.array(ids[:, 1])
 
 
-def line_sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, sizes): the sorted distinct window hashes of every line, end to end."""
+def _cells(lines: list[str], side: int = 0) -> np.ndarray:
+    """At most SORTED lines' windows, not yet distinct: 12 bits of the line's number, 51 of the window, one of the side."""
     hashes, count = windows(lines, SHINGLE)
-    row = np.repeat(np.arange(len(lines)), count)
-    order = np.lexsort((hashes.view(np.int64), row))
-    hashes, row = hashes[order], row[order]
-    keep = np.ones(len(row), dtype=bool)
-    keep[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
-    return hashes[keep], np.bincount(row[keep], minlength=len(lines))
+    return (np.repeat(np.arange(len(lines), dtype=np.uint64), count) << np.uint64(52)) | (hashes >> np.uint64(13) << np.uint64(1)) | np.uint64(side)
+
+
+def _distinct(cells: np.ndarray) -> np.ndarray:
+    cells.sort()
+    new = np.ones(len(cells), dtype=bool)
+    np.not_equal(cells[1:], cells[:-1], out=new[1:])
+    return cells[new]
+
+
+def line_sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, sizes): the sorted distinct window hashes (51 bits) of every line, end to end."""
+    parts, sizes = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+    for first in range(0, len(lines), SORTED):
+        part = lines[first : first + SORTED]
+        cell = _distinct(_cells(part))
+        parts.append((cell & np.uint64((1 << 52) - 1)) >> np.uint64(1))
+        sizes.append(np.bincount((cell >> np.uint64(52)).astype(np.int64), minlength=len(part)))
+    return np.concatenate(parts), np.concatenate(sizes)
+
+
+def similar(one: list[str], two: list[str]) -> np.ndarray:
+    """Whether the sets of one[i] and two[i], of at most SORTED lines each, reach the similarity."""
+    cell = _distinct(np.concatenate([_cells(one), _cells(two, 1)]))
+    row = (cell >> np.uint64(52)).astype(np.int64)
+    both = np.bincount(row[1:][cell[1:] >> np.uint64(1) == cell[:-1] >> np.uint64(1)], minlength=len(one))
+    return 100 * both >= PERCENT * (np.bincount(row, minlength=len(one)) - both)
+
+
+def _of_part(part: pa.RecordBatch) -> Iterator[tuple[int, int, str]]:
+    """(row, position, compared text) of the lines that are not blank."""
+    for i, text in enumerate(part.column("text").to_pylist()):
+        for p, c in enumerate(compared_lines(text) if text else ()):
+            if c:
+                yield i, p, c
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each line; its keys, by pass, stand at its first occurrence in a chunk, else none."""
+    """A row for each line."""
     for batch in batches:
         for part in chunks(batch, "text"):
-            unique: dict[str, int] = {}
-            row, pos, which = [], [], []
-            for i, text in enumerate(part.column("text").to_pylist()):
-                for p, line in enumerate((text or "").split("\n")):
-                    if c := compared(line):
-                        row.append(i)
-                        pos.append(p)
-                        which.append(unique.setdefault(c, len(unique)))
-            if not row:
+            found = list(_of_part(part))
+            if not found:
                 continue
-            bands = line_keys(list(unique)).view(np.int64)
-            which = np.array(which)
-            first = np.zeros(len(which), dtype=bool)
-            first[np.unique(which, return_index=True)[1]] = True
-            keys = [list_array(bands[:, k::PASSES].ravel(), np.where(first, len(range(k, BANDS, PASSES)), 0), pa.int64()) for k in range(PASSES)]
+            row, pos, line = zip(*found, strict=True)
             at = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc").take(at), part.column("rid").take(at), pa.array(pos, pa.int32()), *(x.take(pa.array(which)) for x in line_ids(list(unique))), *keys],
-                names=["doc", "rid", "pos", "h", "g", *(f"k{k}" for k in range(PASSES))],
-            )
+            yield pa.RecordBatch.from_arrays([part.column("doc").take(at), part.column("rid").take(at), pa.array(pos, pa.int32()), *line_ids(line)], names=["doc", "rid", "pos", "h", "g"])
+
+
+def _dealt(key: np.ndarray, h: np.ndarray, parts: int) -> pa.RecordBatch:
+    """A row (b, keys, lines) for each partition b that owns some of the keys."""
+    b = (key % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
+    order = np.argsort(b, kind="stable")
+    b = b[order]
+    first = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+    at = pa.py_buffer((np.append(first, len(b)) * 8).astype(np.int32))
+    cells = [pa.Array.from_buffers(pa.binary(), len(first), [None, at, pa.py_buffer(x[order])]) for x in (key, h)]
+    return pa.RecordBatch.from_arrays([pa.array(b[first], pa.int32()), *cells], names=["b", "key", "h"])
+
+
+def _keys(bands: range, parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                lines = list({c: None for _, _, c in _of_part(part)})
+                held.append((line_keys(lines, bands).ravel(), np.repeat(line_ids(lines)[0].to_numpy(), len(bands))))
+                n += len(held[-1][0])
+                if n >= HELD:
+                    yield _dealt(*(np.concatenate(x) for x in zip(*held, strict=True)), parts)
+                    held, n = [], 0
+        if n:
+            yield _dealt(*(np.concatenate(x) for x in zip(*held, strict=True)), parts)
+
+    return run
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the keys that different lines share: their pairs (null, x, y), x < y; for keys of more than PAIRED lines (key, x, null)."""
+    held = [[], []]
+    for batch in batches:
+        for c, to in zip(("key", "h"), held, strict=True):
+            col = batch.column(c).cast(pa.large_binary())
+            at = np.frombuffer(col.buffers()[1], dtype=np.int64)[col.offset : col.offset + len(col) + 1]
+            if len(col) and at[-1] > at[0]:
+                to.append(np.frombuffer(col.buffers()[2], dtype=np.uint8)[at[0] : at[-1]].copy().view(np.int64))
+    if not held[0]:
+        return
+    key, h = (np.concatenate(x) for x in held)
+    del held
+    order = np.argsort(key)
+    key = key[order]
+    again = np.zeros(len(key) + 1, dtype=bool)
+    again[1:-1] = key[1:] == key[:-1]
+    again = again[1:] | again[:-1]
+    key, h = key[again], h[order[again]]
+    order = np.lexsort((h, key))
+    key, h = key[order], h[order]
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (h[1:] != h[:-1])
+    key, h = key[new], h[new]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
+    size = np.diff(np.append(first, len(key)))
+    xs, ys = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for q in range(2, PAIRED + 1):
+        group = h[first[size == q][:, None] + np.arange(q)]
+        one, two = np.triu_indices(q, 1)
+        xs.append(group[:, one].ravel())
+        ys.append(group[:, two].ravel())
+    x, y = np.concatenate(xs), np.concatenate(ys)
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    new = np.ones(len(x), dtype=bool)
+    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    large = np.repeat(size > PAIRED, size)
+    names = ["key", "x", "y"]
+    for k, a, b in ((None, x[new], y[new]), (key[large], h[large], None)):
+        for i in range(0, len(a), 100_000):
+            none = pa.nulls(len(a[i : i + 100_000]), pa.int64())
+            yield pa.RecordBatch.from_arrays([none if c is None else pa.array(c[i : i + 100_000]) for c in (k, a, b)], names=names)
 
 
 def _wanted_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The lines (position, id) at the seats of each text, with their sets' sizes and sketches."""
     for batch in batches:
         for part in chunks(batch, "text"):
-            found: dict[str, int] = {}
-            for text, seats in zip(part.column("text").to_pylist(), part.column("seats").to_pylist(), strict=True):
-                all_lines = (text or "").split("\n")
-                found.update((compared(all_lines[s["pos"]]), s["id"]) for s in seats)
-            lines = list(found)
-            if not lines:
+            found: dict[int, str] = {}
+            seats = part.column("seats")
+            ids, pos = (seats.flatten().field(c).to_pylist() for c in ("id", "pos"))
+            at = np.concatenate([[0], np.cumsum(seats.value_lengths().to_numpy(zero_copy_only=False))]).tolist()
+            for i, text in enumerate(part.column("text").to_pylist()):
+                all_lines = text.split("\n")
+                found.update((k, compared(all_lines[p])) for k, p in zip(ids[at[i] : at[i + 1]], pos[at[i] : at[i + 1]], strict=True))
+            if not found:
                 continue
+            lines = list(found.values())
             hashes, sizes = line_sets(lines)
-            yield pa.RecordBatch.from_arrays([pa.array(found.values(), pa.int64()), pa.array(sizes), parity_sketch(hashes, sizes), pa.array(lines, pa.string())], names=["id", "n", "odd", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(sizes), parity_sketch(hashes, sizes), pa.array(lines, pa.string())], names=["id", "n", "odd", "body"])
 
 
 def _linked_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (x, y, body, other), bodies being lines, whose sets reach the similarity."""
     for batch in batches:
         for part in chunks(batch, "body"):
-            one, two = (line_sets(part.column(c).to_pylist()) for c in ("body", "other"))
-            both = overlap(*(list_array(h.view(np.int64), n, pa.int64()) for h, n in (one, two)))
-            yield part.select(["x", "y"]).filter(pa.array(100 * both >= PERCENT * (one[1] + two[1] - both)))
+            for first in range(0, part.num_rows, SORTED):
+                rows = part.slice(first, SORTED)
+                yield rows.select(["x", "y"]).filter(pa.array(similar(*(rows.column(c).to_pylist() for c in ("body", "other")))))
 
 
 def _documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text"), F.xxhash64("doc_id", "text").alias("rid"))
 
 
-def _near_lines(lines: DataFrame, doc: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """(h, g, component) of the lines that are linked with others, and the tables behind it."""
-    hits, written = None, []
+def _near_lines(lines: DataFrame, doc: DataFrame) -> DataFrame:
+    """(h, g, component) of the lines that are linked with others."""
+    spark = doc.sparkSession
+    parts, met = int(spark.conf.get("spark.sql.shuffle.partitions")), []
     for k in range(PASSES):
-        keys = lines.where(F.size(f"k{k}") > 0).select("h", "g", F.explode(f"k{k}").alias("key"))
-        shared = materialize(keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key"))
-        hit = materialize(semi(keys, shared, "key").distinct())
-        release(shared)
-        written.append(hit)
-        hits = hit if hits is None else hits.unionByName(hit)
-    wanted = materialize(hits.select("h", "g").distinct().select("h", "g", F.monotonically_increasing_id().alias("id")))
+        keys = doc.select("text").mapInArrow(_keys(range(k, BANDS, PASSES), parts), "b int, key binary, h binary")
+        met.append(materialize(keys.repartitionById(parts, "b").mapInArrow(_met, "key long, x long, y long")))
+        del keys
+        drop_shuffles(spark)
+    hits = met[0]
+    for more in met[1:]:
+        hits = hits.unionByName(more)
+    pairs = materialize(hits.where("y is not null").select("x", "y").distinct())
+    large = materialize(hits.where("y is null").select("key", F.col("x").alias("id")))
+    release(*met)
+    ids = pairs.select(F.explode(F.array("x", "y")).alias("h")).unionByName(large.select(F.col("id").alias("h")))
+    wanted = materialize(ids.distinct())
     few = wanted.count()
-    buckets = materialize(semi(hits, wanted, ["h", "g"], "inner").select("key", "id"))
-    release(*written)
     #: each wanted line is read at one place
-    places = semi(lines.select("h", "g", "doc", "rid", "pos"), wanted, ["h", "g"], "inner").groupBy("id").agg(F.min(F.struct("doc", "rid", "pos")).alias("at"))
-    seats = places.groupBy("at.doc", "at.rid").agg(F.collect_list(F.struct("at.pos", "id")).alias("seats")).select(F.col("doc").alias("sd"), F.col("rid").alias("sr"), "seats")
+    places = materialize(semi(lines, wanted, "h").dropDuplicates(["h"]), few)
+    seats = places.groupBy("doc", "rid").agg(F.collect_list(F.struct("pos", F.col("h").alias("id"))).alias("seats")).select(F.col("doc").alias("sd"), F.col("rid").alias("sr"), "seats")
     seats = materialize(seats, few)
     read = semi(doc, seats, F.col("doc").eqNullSafe(F.col("sd")) & (F.col("rid") == F.col("sr")), "inner").select("text", "seats")
     sets = materialize(read.mapInArrow(_wanted_lines, "id long, n long, odd array<long>, body string").dropDuplicates(["id"]), few)
-    release(seats)
-    found = cluster(buckets, sets, _linked_lines).withColumnRenamed("node", "id")
-    release(buckets, sets)
-    out = materialize(found.join(wanted, "id").select("h", "g", "component"), few)
-    release(wanted)
-    return out, [out]
+    release(seats, wanted)
+    links = materialize(verified(pairs, sets, _linked_lines), pairs.count(), VERIFIED_ROWS)
+    every = links
+    if large.limit(1).count():
+        every = links.unionByName(cluster(large, sets, _linked_lines).select(F.col("node").alias("x"), F.col("component").alias("y")))
+    found = connected_components(every, "x", "y").withColumnRenamed("node", "h")
+    out = materialize(found.join(places.select("h", "g"), "h").select("h", "g", "component"), few)
+    release(pairs, large, sets, links, places)
+    return out
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(doc, rid, removed): for each document that loses lines, their positions in order."""
     doc = _documents(docs)
-    keys = ", ".join(f"k{k} array<long>" for k in range(PASSES))
-    lines = materialize(doc.mapInArrow(_lines, f"doc long, rid long, pos int, h long, g long, {keys}"))
-    near, written = _near_lines(lines, doc)
-    #: a class is a component, or an equal line; components are ids, far below most hashes, and g = null tells them apart
-    classed = semi(lines.select("doc", "rid", "pos", "h", "g"), near, ["h", "g"], "left")
-    classed = classed.select(F.coalesce("component", "h").alias("c"), F.when(F.col("component").isNull(), F.col("g")).alias("d"), F.struct("doc", "rid", "pos").alias("at"))
+    lines = materialize(doc.mapInArrow(_lines, "doc long, rid long, pos int, h long, g long"))
+    near = _near_lines(lines, doc)
+    #: only lines that occur again or are linked go on
+    again = lines.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g", F.lit(None).cast("long").alias("component"))
+    kinds = materialize(near.unionByName(again).groupBy("h", "g").agg(F.max("component").alias("component")))
+    #: a class is a component, or an equal line; components are ids, and g = null tells them apart
+    classed = semi(lines, kinds, ["h", "g"], "inner")
+    classed = materialize(classed.select(F.coalesce("component", "h").alias("c"), F.when(F.col("component").isNull(), F.col("g")).alias("d"), F.struct("doc", "rid", "pos").alias("at")))
+    release(lines, near, kinds)
     keepers = classed.groupBy("c", "d").agg(F.min("at").alias("keep"), F.max("at").alias("last")).where("not keep <=> last").select(F.col("c").alias("kc"), F.col("d").alias("kd"), "keep")
     keepers = materialize(keepers)
     gone = semi(classed, keepers, (F.col("c") == F.col("kc")) & F.col("d").eqNullSafe(F.col("kd")), "inner").where("not at <=> keep").select("at.doc", "at.rid", "at.pos").distinct()
     out = materialize(gone.groupBy("doc", "rid").agg(F.sort_array(F.collect_list("pos")).alias("removed")))
-    release(lines, keepers, *written)
+    release(classed, keepers)
     return out
 
 
