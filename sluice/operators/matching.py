@@ -68,15 +68,20 @@ def _title(c: Column) -> Column:
 
 def _candidate_keys(candidates: DataFrame) -> DataFrame:
     """(doc, rung, key, work, contractor), once for each key that a candidate has."""
-    keys = lambda f: F.transform("numbers", f)
-    each = lambda rung, c: candidates.select("doc", F.lit(rung).alias("rung"), F.explode(F.array_distinct(c)).alias("key"), "work", "contractor")
-    return each(1, keys(doc_no)).unionByName(each(2, keys(doc_no_folded))).unionByName(each(3, F.array(_title(F.col("title"))))).where("key <> ''")
+    numbers = F.coalesce("numbers", F.array().cast("array<string>"))
+    of = lambda rung, key: F.struct(F.lit(rung).alias("rung"), key.alias("key"))
+    keys = F.array_distinct(F.concat(F.transform(numbers, lambda x: of(1, doc_no(x))), F.transform(numbers, lambda x: of(2, doc_no_folded(x))), F.array(of(3, _title(F.col("title"))))))
+    return candidates.select("doc", F.inline(keys), "work", "contractor").where("key <> ''")
+
+
+def _rungs() -> Column:
+    """The keys of a group by rung: array of (rung, key)."""
+    return F.array(F.struct(F.lit(1).alias("rung"), F.col("act_norm").alias("key")), F.struct(F.lit(2).alias("rung"), F.col("act_folded").alias("key")), F.struct(F.lit(3).alias("rung"), _title(F.col("title")).alias("key")))
 
 
 def _group_keys(groups: DataFrame) -> DataFrame:
     """(doc, ord, rung, key): the keys of a group by rung."""
-    keys = F.array(F.struct(F.lit(1).alias("rung"), F.col("act_norm").alias("key")), F.struct(F.lit(2).alias("rung"), F.col("act_folded").alias("key")), F.struct(F.lit(3).alias("rung"), _title(F.col("title")).alias("key")))
-    return groups.select("doc", "ord", F.inline(keys)).where("key <> ''")
+    return groups.select("doc", "ord", F.inline(_rungs())).where("key <> ''")
 
 
 def _decided(groups: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -97,11 +102,13 @@ def match_groups(groups: DataFrame, candidates: DataFrame) -> DataFrame:
     works share costs as many rows as it has contractors.
     """
     by = _candidate_keys(candidates).groupBy("doc", "rung", "key", "contractor").agg(F.count("*").alias("n"), F.min("work").alias("one"))
-    own = groups.select("doc", "ord", _title(F.col("contractor")).alias("needle"))
+    own = groups.select("doc", "ord", F.inline(_rungs()), _title(F.col("contractor")).alias("needle")).where("key <> ''")
     a, b = F.col("needle"), F.lower("contractor")
     same = F.coalesce((a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a)), F.lit(False))
-    pairs = _decided(groups, candidates).join(by, ["doc", "rung", "key"]).join(own, ["doc", "ord"])
-    best = pairs.groupBy("doc", "ord").agg(F.first("rung").alias("rung"), F.sum("n").alias("n"), F.min("one").alias("one"), F.sum(F.when(same, F.col("n")).otherwise(0)).alias("m"), F.min(F.when(same, F.col("one"))).alias("own"))
+    #: one shuffle for both sums: by rung, then the first rung of each group
+    pairs = own.join(by, ["doc", "rung", "key"]).select("doc", "ord", "rung", "n", "one", same.alias("same")).repartition("doc", "ord")
+    each = pairs.groupBy("doc", "ord", "rung").agg(F.sum("n").alias("n"), F.min("one").alias("one"), F.sum(F.when(F.col("same"), F.col("n")).otherwise(0)).alias("m"), F.min(F.when(F.col("same"), F.col("one"))).alias("own"))
+    best = each.groupBy("doc", "ord").agg(F.min_by(F.struct("rung", "n", "one", "m", "own"), "rung").alias("b")).select("doc", "ord", "b.*")
     j = groups.select("doc", "ord").join(best, ["doc", "ord"], "left")
     alone, narrowed = F.col("n") == 1, F.col("m") == 1
     rung = F.coalesce(*[F.when(F.col("rung") == i, F.lit(score)) for i, (_, score) in enumerate(_RUNGS, 1)])

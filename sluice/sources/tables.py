@@ -35,6 +35,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def given_up(df: DataFrame) -> DataFrame:
+    """The same table. Shuffles of the plans that are done go at once, not when the driver next clears its heap: until
+    then they lie on disk."""
+    df.sparkSession._jvm.System.gc()
+    return df
+
+
 def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     """Rows of a table dealt by key to tasks of about so many rows each: what a task holds doesn't grow with the table."""
     n = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
