@@ -6,13 +6,15 @@ each line must give from its key, not from the printed text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.functions import cells
 from sluice.operators import registries
 from sluice.plans.catalog import query
-from sluice.sources.tables import stored, table, written
+from sluice.sources.tables import given_up, stored, table, written
 
 #: lines of customers of every kind; a line's number is n within its customer
 _LINES = """SELECT o_custkey AS doc, o_orderkey AS page, l_linenumber AS line, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS n,
@@ -26,38 +28,48 @@ def _days(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(c).cast("string").alias(c) if t == "date" else c for c, t in df.dtypes))
 
 
-def _lines(spark, d) -> DataFrame:
-    for t in ("orders", "lineitem"):
-        table(spark, d, t).createOrReplaceTempView(f"registers_{t}")
-    sql = _LINES.replace("lineitem JOIN orders", "registers_lineitem JOIN registers_orders")
-    return spark.sql(f"SELECT *, {_KIND} AS kind FROM ({sql})")
+def _orders(spark, d) -> DataFrame:
+    """Orders (doc, page, lines) with their lines in order. Lines that tie show the same, so nothing else breaks ties."""
+    line = F.struct(F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"))
+    joined = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return joined.groupBy(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("page")).agg(F.sort_array(F.collect_list(line)).alias("lines"))
+
+
+def _numbered(orders: DataFrame) -> DataFrame:
+    """(doc, page, p, lines): the columns of _LINES and kind, by order; a customer's orders lie in one partition, in order."""
+    by = Window.partitionBy("doc").orderBy("page")
+    before = F.sum(F.size("lines")).over(by.rowsBetween(Window.unboundedPreceding, 0)) - F.size("lines")
+    o = orders.select("doc", "page", "lines", F.row_number().over(by).alias("p"), before.alias("before"))
+    line = lambda x, i: F.struct(x["line"], x["part"], x["supp"], (F.col("before") + i + 1).alias("n"), ((x["part"] + x["supp"]) % 10).alias("kind"))
+    return o.select("doc", "page", "p", F.transform("lines", line).alias("lines"))
 
 
-def _pages(rows: DataFrame, printed: Column, before: Column, after: Column) -> DataFrame:
+def _pages(orders: DataFrame, printed: Callable[[Column], Column], before: Column, after: Column) -> DataFrame:
     """Pages (doc, page, text): what stands before the rows, the rows in order, what stands after."""
-    lines = F.sort_array(F.collect_list(F.struct("n", printed.alias("x"))))  # lines of one order
-    g = rows.groupBy("doc", "page", "p").agg(lines.alias("lines"))
-    body = F.array_join(F.col("lines.x"), "\n")
-    return g.select("doc", "page", F.concat_ws("\n", before, body, after).alias("text"))
+    body = F.array_join(F.transform("lines", printed), "\n")
+    return _numbered(orders).select("doc", "page", F.concat_ws("\n", before, body, after).alias("text"))
 
 
-def _text(c: str) -> Column:
-    return F.col(c).cast("string")
+def _text(c: Column) -> Column:
+    return c.cast("string")
 
 
-def annex_pages(spark, d) -> DataFrame:
-    kind = F.col("kind")
-    no = F.concat(F.lit("№ А-"), _text("part"))
-    number = F.when(kind == 2, F.concat(no, F.lit(" с 01.02.2024 по 03.04.2025"))).when(kind == 5, "").when(kind == 6, F.concat(no, F.lit(" от 31.02.2024"))).when(kind == 4, "").otherwise(F.concat(no, F.lit(" от 05.06.2024")))
-    position = F.when(kind.isin(3, 4), "").otherwise(F.when(kind == 8, F.lit("1")).otherwise(_text("n")))
-    cell = [position, F.concat(F.lit("Паспорт "), _text("supp")), number, F.concat(F.lit("Завод "), F.col("supp") % 7), F.when(kind == 6, "30.02.2024").otherwise("")]
-    row = F.concat(F.lit("| "), F.array_join(F.array(*cell), " | "), F.lit(" |"))
-    short = F.concat(F.lit("| "), _text("n"), F.lit(" | обрыв |"))
+def annex_pages(orders: DataFrame) -> DataFrame:
+    def printed(x: Column) -> Column:
+        kind, n = x["kind"], _text(x["n"])
+        no = F.concat(F.lit("№ А-"), _text(x["part"]))
+        number = F.when(kind == 2, F.concat(no, F.lit(" с 01.02.2024 по 03.04.2025"))).when(kind == 5, "").when(kind == 6, F.concat(no, F.lit(" от 31.02.2024"))).when(kind == 4, "").otherwise(F.concat(no, F.lit(" от 05.06.2024")))
+        position = F.when(kind.isin(3, 4), "").otherwise(F.when(kind == 8, F.lit("1")).otherwise(n))
+        cell = [position, F.concat(F.lit("Паспорт "), _text(x["supp"])), number, F.concat(F.lit("Завод "), x["supp"] % 7), F.when(kind == 6, "30.02.2024").otherwise("")]
+        row = F.concat(F.lit("| "), F.array_join(F.array(*cell), " | "), F.lit(" |"))
+        short = F.concat(F.lit("| "), n, F.lit(" | обрыв |"))
+        return F.when(kind == 7, short).otherwise(row)
+
     header = F.lit("| № п/п | Наименование документа | **Номер** | Организация | Дата |")
     rule, section = F.lit("|---|---|---|---|---|"), F.concat(F.lit("**Раздел "), F.col("doc") % 2, F.lit("**"))
     #: the first page opens the register, with or without the rule below its header; later ones go on below an empty header
     before = F.when(F.col("p") == 1, F.concat_ws("\n", F.lit("**Объект: дом**"), header, F.when(F.col("doc") % 3 != 0, rule), F.lit("| 1 | 2 | 3 | 4 | 5 |"))).otherwise(F.concat_ws("\n", section, F.lit("| | | | | |"), rule))
-    return _pages(_lines(spark, d), F.when(kind == 7, short).otherwise(row), before, F.lit("подпись"))
+    return _pages(orders, printed, before, F.lit("подпись"))
 
 
 #: the rows that a register must give; a page that holds no positioned row of full width closes it
@@ -72,7 +84,7 @@ _ANNEX = f"""l AS (SELECT *, {_KIND} AS kind FROM ({_LINES})), good AS (SELECT d
   CASE WHEN kind <> 5 THEN 'А-' || part END AS number_norm, CASE WHEN kind <> 5 THEN 'A-' || part END AS number_folded, CASE WHEN kind NOT IN (2, 5, 6) THEN '2024-06-05' END AS issued_at,
   CASE WHEN kind = 2 THEN '2024-02-01' END AS valid_from, CASE WHEN kind = 2 THEN '2025-04-03' END AS valid_to, kind = 6 AS date_bad FROM got""")
 def annex_registers(spark, d):
-    return _days(registries.annex_rows(registries.annex_records(annex_pages(spark, d)))).drop("seq")
+    return _days(registries.annex_rows(registries.annex_records(annex_pages(_orders(spark, d)), True))).drop("seq")
 
 
 @query(f"""WITH {_ANNEX}, seen AS (SELECT doc, section, row_no, count(*) AS k, lag(row_no) OVER (PARTITION BY doc, section ORDER BY row_no) AS b FROM got WHERE kind <> 3 GROUP BY 1, 2, 3)
@@ -82,7 +94,7 @@ def annex_registers(spark, d):
   UNION ALL SELECT DISTINCT doc, page, 'header_recovered', NULL, NULL FROM l WHERE p = 1 AND doc % 3 = 0 UNION ALL SELECT DISTINCT doc, page, 'register_closed', NULL, NULL FROM held WHERE shut
   UNION ALL SELECT doc, NULL, 'position_repeated', row_no::INTEGER, section FROM (SELECT doc, section, row_no, unnest(range(1, k)) FROM seen) UNION ALL SELECT doc, NULL, 'position_missing', r::INTEGER, section FROM (SELECT doc, section, unnest(range(b + 1, row_no)) AS r FROM seen WHERE b IS NOT NULL)""")
 def annex_remarks(spark, d):
-    return registries.annex_warnings(written(registries.annex_records(annex_pages(spark, d))))
+    return registries.annex_warnings(written(registries.annex_records(annex_pages(_orders(spark, d)), True)))
 
 
 @query(f"""WITH {_ANNEX}, filed AS (SELECT s_suppkey AS document, CASE WHEN s_suppkey % 2 = 0 THEN 'А-' ELSE 'A-' END || (s_suppkey * 3) AS number FROM supplier WHERE s_suppkey % 11 <> 0),
@@ -91,7 +103,7 @@ def annex_remarks(spark, d):
   CASE WHEN e.k = 1 THEN e.document WHEN e.k IS NULL AND f.k = 1 THEN f.document END AS document FROM got LEFT JOIN e ON kind <> 5 AND e.number = 'А-' || part LEFT JOIN f ON kind <> 5 AND f.number = 'A-' || part""")
 def registry_matches(spark, d):
     """Every register against the same filed documents, register documents aside."""
-    rows = registries.annex_rows(registries.annex_records(annex_pages(spark, d)))
+    rows = registries.annex_rows(registries.annex_records(annex_pages(_orders(spark, d)), True))
     s = F.col("s_suppkey")
     filed = table(spark, d, "supplier").select(F.lit(1).alias("doc"), s.alias("document"), F.concat(F.when(s % 2 == 0, "А-").otherwise("A-"), s * 3).alias("number"), F.when(s % 11 == 0, registries.REGISTRY_TYPE).otherwise("passport").alias("doc_type"))
     flat = rows.select(F.lit(1).alias("doc"), F.struct("doc", "page", "row_no", "seq").alias("seq"), "number", "number_norm")
@@ -99,21 +111,25 @@ def registry_matches(spark, d):
     return out.select("seq.doc", "seq.page", "seq.row_no", "state", "score", "document")
 
 
-def transfer_pages(spark, d) -> DataFrame:
+def transfer_pages(orders: DataFrame) -> DataFrame:
     """Even customers hand over form b, odd ones form a; a line of kind 0 opens a group."""
-    kind, doc = F.col("kind"), F.col("doc")
-    date = F.when(kind == 1, "до 05.06.2026").when(kind == 2, "c 01.02.2024 по 03.04.2025").when(kind == 3, "май 2024").when(kind == 4, "31.02.2024").when(kind == 5, "02.2024").otherwise("07.08.2024")
-    number = F.when(kind == 6, "б/н").otherwise(F.concat(F.lit("№"), _text("part"), F.lit("/А")))
-    cell_a = [F.when(kind == 0, F.concat(_text("n"), F.lit("."))).otherwise(""), F.concat(F.lit("Акт; "), _text("supp")), number, date, F.lit("2 шт.")]
-    cell_b = [F.concat(F.lit("1."), _text("line")), F.when(kind == 7, "АОСР на бетон").otherwise(F.concat(F.lit("Паспорт "), _text("supp"))), number, date, F.concat(F.lit("Завод "), F.col("supp") % 7), F.lit("3"), F.lit("46-47")]
-    row = lambda c: F.concat(F.lit("| "), F.array_join(F.array(*c), " | "), F.lit(" |"))
-    banner = F.concat(F.lit("| | Работы "), _text("part"), F.lit(" (ООО Мост "), F.col("supp") % 3, F.lit(") | | | | | |"))
-    printed = F.when(doc % 2 == 1, row(cell_a)).when(kind == 0, F.concat_ws("\n", banner, row(cell_b))).when(kind == 8, "| обрыв | x |").otherwise(row(cell_b))
+    doc = F.col("doc")
+
+    def printed(x: Column) -> Column:
+        kind, part, supp = x["kind"], x["part"], x["supp"]
+        date = F.when(kind == 1, "до 05.06.2026").when(kind == 2, "c 01.02.2024 по 03.04.2025").when(kind == 3, "май 2024").when(kind == 4, "31.02.2024").when(kind == 5, "02.2024").otherwise("07.08.2024")
+        number = F.when(kind == 6, "б/н").otherwise(F.concat(F.lit("№"), _text(part), F.lit("/А")))
+        cell_a = [F.when(kind == 0, F.concat(_text(x["n"]), F.lit("."))).otherwise(""), F.concat(F.lit("Акт; "), _text(supp)), number, date, F.lit("2 шт.")]
+        cell_b = [F.concat(F.lit("1."), _text(x["line"])), F.when(kind == 7, "АОСР на бетон").otherwise(F.concat(F.lit("Паспорт "), _text(supp))), number, date, F.concat(F.lit("Завод "), supp % 7), F.lit("3"), F.lit("46-47")]
+        row = lambda c: F.concat(F.lit("| "), F.array_join(F.array(*c), " | "), F.lit(" |"))
+        banner = F.concat(F.lit("| | Работы "), _text(part), F.lit(" (ООО Мост "), supp % 3, F.lit(") | | | | | |"))
+        return F.when(doc % 2 == 1, row(cell_a)).when(kind == 0, F.concat_ws("\n", banner, row(cell_b))).when(kind == 8, "| обрыв | x |").otherwise(row(cell_b))
+
     a, b = "| № п/п | Наименование документа | Номер документа | Дата | Кол-во экз. |\n|---|---|---|---|---|", "| № п/п | Наименование документов | № документа | Дата | Организация | Кол-во листов | Страница по списку |\n|---|---|---|---|---|---|---|"
-    head = F.concat(F.lit("Реестр передачи № R-"), _text("doc"), F.lit("\nОбъект: дом "), _text("doc"))
+    head = F.concat(F.lit("Реестр передачи № R-"), _text(doc), F.lit("\nОбъект: дом "), _text(doc))
     folder = F.when(doc % 2 == 1, "папка № 4/2\nИсполнитель работ: ООО Мост").otherwise("| Номер папки | №7 |")
     first = F.concat_ws("\n", head, folder, F.lit(""), F.when(doc % 2 == 1, a).otherwise(b))
-    return _pages(_lines(spark, d), printed, F.when(F.col("p") == 1, first).otherwise("| | | | | |\n|---|---|---|---|---|"), F.lit(""))
+    return _pages(orders, printed, F.when(F.col("p") == 1, first).otherwise("| | | | | |\n|---|---|---|---|---|"), F.lit(""))
 
 
 #: what the lines must give: rows before the first group are none; groups and rows count from 0; a group of form b takes its act from its first line of kind 7 with a number
@@ -126,14 +142,14 @@ _TRANSFER = f"""l AS (SELECT *, {_KIND} AS kind, doc % 2 = 1 AS a FROM ({_LINES}
   CASE WHEN kind IN (0, 6, 7, 8, 9) THEN '2024-08-07' END AS issued_at, CASE WHEN kind = 2 THEN '2024-02-01' END AS valid_from, CASE kind WHEN 1 THEN '2026-06-05' WHEN 2 THEN '2025-04-03' END AS valid_to,
   CASE WHEN NOT a THEN 3 END AS sheets, CASE WHEN a THEN 2 END AS copies, CASE WHEN NOT a THEN '46-47' END AS pages, kind = 4 AS date_bad, kind IN (3, 5) AS month_only FROM r""")
 def transfer_registers(spark, d):
-    return _days(registries.transfer_rows(registries.transfer_records(transfer_pages(spark, d))))
+    return _days(registries.transfer_rows(registries.transfer_records(transfer_pages(_orders(spark, d)), True)))
 
 
 @query(f"""WITH {_TRANSFER}, acts AS (SELECT doc, grp, arg_min(part || '/А', ord) AS act, min(ord) AS first FROM r WHERE NOT a AND kind = 7 GROUP BY 1, 2)
   SELECT r.doc, r.grp::INTEGER AS ord, CASE WHEN a THEN n::VARCHAR END AS group_no, CASE WHEN a THEN 'Акт ' || supp ELSE 'Работы ' || part END AS title, CASE WHEN NOT a THEN 'ООО Мост ' || (supp % 3) END AS contractor,
   CASE WHEN a THEN part || '/А' ELSE act END AS act_number, CASE WHEN a THEN part || '/А' ELSE act END AS act_norm, replace(CASE WHEN a THEN part || '/А' ELSE act END, 'А', 'A') AS act_folded, first::INTEGER AS act_row FROM r LEFT JOIN acts ON acts.doc = r.doc AND acts.grp = r.grp WHERE kind = 0""")
 def transfer_register_groups(spark, d):
-    return registries.transfer_groups(written(registries.transfer_records(transfer_pages(spark, d))))
+    return registries.transfer_groups(written(registries.transfer_records(transfer_pages(_orders(spark, d)), True)))
 
 
 @query(f"""WITH {_TRANSFER}, acts AS (SELECT DISTINCT doc, grp FROM r WHERE NOT a AND kind = 7)
@@ -141,12 +157,12 @@ def transfer_register_groups(spark, d):
   UNION ALL SELECT doc, NULL, 'date_without_day', (ord + 1)::INTEGER, NULL FROM r WHERE kind IN (3, 5) UNION ALL SELECT doc, NULL, 'bad_date', (ord + 1)::INTEGER, NULL FROM r WHERE kind = 4
   UNION ALL SELECT r.doc, NULL, 'no_act_number', (r.grp + 1)::INTEGER, 'Работы ' || part FROM r LEFT JOIN acts ON acts.doc = r.doc AND acts.grp = r.grp WHERE NOT a AND kind = 0 AND acts.doc IS NULL""")
 def transfer_remarks(spark, d):
-    return registries.transfer_warnings(written(registries.transfer_records(transfer_pages(spark, d))))
+    return registries.transfer_warnings(written(registries.transfer_records(transfer_pages(_orders(spark, d)), True)))
 
 
 @query(f"""WITH {_TRANSFER} SELECT DISTINCT doc, CASE WHEN a THEN 'a' ELSE 'b' END AS form, 'R-' || doc AS registry_no, CASE WHEN a THEN '4/2' ELSE '7' END AS folder_no, 'Объект: дом ' || doc AS object, CASE WHEN a THEN 'ООО Мост' END AS contractor FROM l""")
 def transfer_register_heads(spark, d):
-    return registries.transfer_heads(written(registries.transfer_records(transfer_pages(spark, d))))
+    return registries.transfer_heads(written(registries.transfer_records(transfer_pages(_orders(spark, d)), True)))
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 1 THEN o_orderdate::DATE::VARCHAR END AS valid_to, CASE o_orderkey % 6 WHEN 0 THEN o_orderdate::DATE::VARCHAR END AS issued_at, o_orderkey % 6 IN (2, 3) AS month_only FROM orders""")
@@ -166,17 +182,22 @@ _FILED = """works AS (SELECT doc, grp AS work, 'Мост ' || (supp % 2) AS cont
 
 def _reconciled(spark, d, name: str) -> DataFrame:
     """One table of the reconciliation, without the work that only others need."""
-    records = stored(registries.transfer_records(transfer_pages(spark, d)))
-    groups, rows = written(registries.transfer_groups(records)), registries.transfer_rows(records)
-    given = _TRANSFER.replace("lineitem JOIN orders", "registers_lineitem JOIN registers_orders").replace("count(*) FILTER (WHERE kind = 0) OVER", "count(CASE WHEN kind = 0 THEN 1 END) OVER")
-    #: the numbered lines once, for works and documents
-    stored(spark.sql(f"WITH {given} SELECT doc, ord, grp, kind, a, part, supp FROM r")).createOrReplaceTempView("registers_filed")
-    filed = "WITH " + _FILED.replace("FROM r ", "FROM registers_filed AS r ")
+    orders = given_up(stored(_orders(spark, d)))
+    records = given_up(stored(registries.transfer_records(transfer_pages(orders), True)))
+    groups, rows = stored(registries.transfer_groups(records)), registries.transfer_rows(records)
+    _numbered(orders).select("doc", "page", "p", F.inline("lines")).drop("kind").createOrReplaceTempView("registers_lines")
+    given = _TRANSFER.replace(_LINES, "SELECT * FROM registers_lines").replace("count(*) FILTER (WHERE kind = 0) OVER", "count(CASE WHEN kind = 0 THEN 1 END) OVER")
+    #: the numbered lines once, for works and documents; filed says of a line whether its group's work is
+    opened = "last_value(CASE WHEN kind = 0 THEN part % 5 <> 0 END) IGNORE NULLS OVER (PARTITION BY doc ORDER BY n ROWS UNBOUNDED PRECEDING) AS filed"
+    given_up(stored(spark.sql(f"WITH {given} SELECT doc, ord, grp, kind, a, part, supp, {opened} FROM r"))).createOrReplaceTempView("registers_filed")
+    filed = "WITH " + _FILED.replace("FROM r JOIN works ON works.doc = r.doc AND works.work = r.grp WHERE", "FROM r WHERE filed AND").replace("FROM r ", "FROM registers_filed AS r ")
     works = spark.sql(f"{filed} SELECT * FROM works")
     documents = spark.sql(f"{filed} SELECT *, CAST(NULL AS STRING) AS title, CAST(issued AS DATE) AS issued_at, array(org) AS organisations FROM documents")
     out = registries.reconcile(groups, rows, works, documents, "registers" if name == "verdicts" else name)
     if name != "verdicts":
         return out[name]
+    for t in ("orders", "lineitem"):
+        table(spark, d, t).createOrReplaceTempView(f"registers_{t}")
     expected = spark.sql("SELECT DISTINCT o_custkey AS doc, CASE WHEN o_custkey % 7 = 0 THEN 'R-0' ELSE 'r-' || o_custkey END AS number, CASE WHEN o_custkey % 2 = 1 THEN '4/2' WHEN o_custkey % 5 = 0 THEN NULL ELSE '7' END AS folder_no FROM registers_lineitem JOIN registers_orders ON o_orderkey = l_orderkey")
     return registries.register_verdicts(out["registers"], registries.transfer_heads(records), expected)
 

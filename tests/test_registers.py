@@ -9,7 +9,9 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from sluice.operators import matching, registries
+from sluice.plans.catalog import QUERIES
 
+DIR = "/root/testdata/sf0.001"
 DAY, LATER = datetime.date(2024, 1, 1), datetime.date(2024, 2, 1)
 
 
@@ -21,6 +23,14 @@ def joins(df) -> int:
     return sum(x.lstrip(" :+-").startswith("Join ") for x in optimized(df).splitlines())
 
 
+def test_register_pages_are_shuffled_as_lines(spark):
+    for name in ("transfer_registers", "annex_registers"):
+        plan = optimized(QUERIES[name](spark, DIR))
+        assert "MapInArrow" in plan and "RepartitionByExpression" not in plan
+        #: only the table itself names what would break ties
+        assert plan.count("l_extendedprice") == 1
+
+
 def test_groups_meet_their_candidates_once(spark):
     groups = spark.createDataFrame([(1, 0, "A-1", "A-1", "t", "x"), (1, 1, "А-2", "A-2", "Работы", "мост"), (2, 0, None, None, None, None)], "doc int, ord int, act_norm string, act_folded string, title string, contractor string")
     works = spark.createDataFrame([(1, 5, "Мост", "работы", ["A-1", "a-1"]), (1, 6, "ООО Мост", "РАБОТЫ", None), (1, 7, "Иной", "работы", ["A-2", "А-1"]), (2, 8, None, None, None)], "doc int, work int, contractor string, title string, numbers array<string>")
