@@ -31,6 +31,10 @@ def test_register_pages_are_shuffled_as_lines(spark):
         assert plan.count("l_extendedprice") == 1
 
 
+def test_verdicts_take_registers_from_stored_orders(spark):
+    assert "l_orderkey" not in optimized(QUERIES["register_verdicts"](spark, DIR))
+
+
 def test_groups_meet_their_candidates_once(spark):
     groups = spark.createDataFrame([(1, 0, "A-1", "A-1", "t", "x"), (1, 1, "А-2", "A-2", "Работы", "мост"), (2, 0, None, None, None, None)], "doc int, ord int, act_norm string, act_folded string, title string, contractor string")
     works = spark.createDataFrame([(1, 5, "Мост", "работы", ["A-1", "a-1"]), (1, 6, "ООО Мост", "РАБОТЫ", None), (1, 7, "Иной", "работы", ["A-2", "А-1"]), (2, 8, None, None, None)], "doc int, work int, contractor string, title string, numbers array<string>")
